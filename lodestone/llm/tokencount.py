@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import BLANK, LETTER, NUMBER, PLAIN
+from .bpe import BLANK, LETTER, NUMBER
 from .common import Scratch, doc_blocks, raw_text, texts
 
 MEMO = 1 << 16
+PLAIN = re.compile(r"[\x00-įı-ſ]*")  # characters whose lower case, composition and class need no library
 
 
 class TokenCounter:
@@ -62,8 +63,7 @@ class TokenCounter:
             self.by_word = re.compile(plain)
 
     def plain(self, text: str) -> bool:
-        """Below U+0250 lower-casing and composition act on each character alone; U+0130 is the exception."""
-        return PLAIN.fullmatch(text) is not None and "İ" not in text and not any(m in text for m in self.marks)
+        return PLAIN.fullmatch(text) is not None and not any(m in text for m in self.marks)
 
     def counts(self, batch: list[str]) -> list[int]:
         if self.by_word is None:
