@@ -6,6 +6,7 @@ Operators select only the columns they name, so extra columns never clash with t
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -47,6 +48,9 @@ class Scratch:
         out = f"{self.root}/{name}"
         writer = df.write.mode("overwrite")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(out)
+        # What was shuffled for this table isn't needed again; Spark's cleaner frees it once the JVM has dropped its plan.
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(out)
 
     def drop(self, name: str) -> None:
