@@ -283,3 +283,24 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, round_trip): the ids of each text, and whether they decode to its bytes."""
+
+    def run(batches):
+        bpe = Bpe.of(path, pattern)
+        for batch in batches:
+            column = batch.column(1)
+            data, offsets = raw_text(column)
+            for low, high in doc_blocks(offsets, BLOCK):
+                packed = bpe.encode(texts(column.slice(low, high - low)))
+                same = [bpe.decode(x) == data[offsets[i] : offsets[i + 1]].tobytes() for i, x in enumerate(packed, low)]
+                ids = np.frombuffer(b"".join(packed), "<u4").astype(np.int32)
+                ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in packed]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(low, high - low), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array(same)],
+                    ["doc_id", "n_tokens", "ids", "round_trip"],
+                )
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>, round_trip boolean")

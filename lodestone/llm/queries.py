@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprint, jaccard, quality, repeats, secrets, sharding, tokencount
+from . import bpe, decontaminate, fingerprint, html, jaccard, quality, repeats, secrets, sharding, tokencount
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op7_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_wrapper_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_edit_embedding": op5_edit_embedding,
         "op6_zstd_secrets": op6_zstd_secrets,
         "op7_token_cache": op7_token_cache,
+        "op8_wrapper_html": op8_wrapper_html,
         "op9_kd_shards": op9_kd_shards,
         "op10_pigeonhole_jaccard": op10_pigeonhole_jaccard,
     }
