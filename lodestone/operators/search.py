@@ -37,7 +37,7 @@ def signature_bits(vector: Column, planes: int, dimensions: int, seed: int = 7)
     return out
 
 
-def knn_prefiltered(collection: DataFrame, query: DataFrame, k: int, planes: int = 8, within: int = 3, dimensions: int = 64) -> DataFrame:
+def knn_prefiltered(collection: DataFrame, query: DataFrame, k: int, planes: int = 16, within: int = 9, dimensions: int = 64) -> DataFrame:
     """Approximate nearest neighbours: only rows whose projections differ in few signs are scored. A stored signature column saves its computation."""
     signed = collection if "signature" in collection.columns else collection.withColumn("signature", signature_bits(F.col("embedding"), planes, dimensions))
     one = query.limit(1).select(signature_bits(F.col("embedding"), planes, dimensions).alias("_s"))

@@ -43,19 +43,19 @@ def gather(queries: DataFrame, responses: DataFrame, window: str = "500 millisec
 
 
 def subscribe(stream: DataFrame, wanted: Column, handle: Callable[[DataFrame], None], done: str, checkpoint: str):
-    """Runs a handler once for each wanted (event_id, offset): batches land in order, handled keys are stored before the handler runs."""
+    """Runs a handler once for each wanted (event_id, offset). Handled keys are stored, a generation a batch, before the handler runs."""
+    kind = "event_id long, offset long, generation int"
 
     def batch(rows: DataFrame, _: int) -> None:
         spark = rows.sparkSession
-        held = spark.read.schema("event_id long, offset long").parquet(done)
-        new = rows.where(wanted).dropDuplicates(["event_id", "offset"]).join(held, ["event_id", "offset"], "left_anti").persist()
-        try:
-            new.select("event_id", "offset").write.mode("append").parquet(done)
-            handle(new)
-        finally:
-            new.unpersist()
-
-    stream.sparkSession.createDataFrame([], "event_id long, offset long").write.mode("append").parquet(done)
+        held = spark.read.schema(kind).parquet(done)
+        now = (held.agg(F.max("generation")).first()[0] or 0) + 1
+        keys = ["event_id", "offset"]
+        new = rows.where(wanted).dropDuplicates(keys).join(held.where(F.col("generation") < now), keys, "left_anti")
+        new.select(*keys, F.lit(now).alias("generation")).write.mode("append").parquet(done)
+        handle(new)
+
+    stream.sparkSession.createDataFrame([], kind).write.mode("append").parquet(done)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
