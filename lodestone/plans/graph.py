@@ -161,13 +161,17 @@ def star(t):
     return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
 
 
-REVENUE = F.round(F.sum(F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100).cast("long")) / 100.0, 2)
+def revenue():
+    cents = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100).cast("long")
+    return F.round(F.sum(cents) / 100.0, 2).alias("revenue")
+
+
 REVENUE_SQL = "round(sum(round(l_extendedprice * (1 - l_discount) * 100)::bigint) / 100.0, 2)::double"
 
 
 @query("sql_star_join", f"""select r_name, o_orderpriority, count(*) n, {REVENUE_SQL} revenue {STAR} group by 1, 2""")
 def _(t):
-    return star(t).groupBy("r_name", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), REVENUE.alias("revenue"))
+    return star(t).groupBy("r_name", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), revenue())
 
 
 @query("sql_cube", f"""select r_name, l_returnflag, count(*) n {STAR} group by cube (r_name, l_returnflag)""")
@@ -177,7 +181,7 @@ def _(t):
 
 @query("sql_rollup", f"""select r_name, n_name, count(*) n, {REVENUE_SQL} revenue {STAR} group by rollup (r_name, n_name)""")
 def _(t):
-    return star(t).rollup("r_name", "n_name").agg(F.count(F.lit(1)).alias("n"), REVENUE.alias("revenue"))
+    return star(t).rollup("r_name", "n_name").agg(F.count(F.lit(1)).alias("n"), revenue())
 
 
 @query("sql_rank", """select o_custkey, o_orderkey, rank() over (partition by o_custkey order by o_totalprice desc, o_orderkey)::bigint place from orders qualify place <= 3""")
