@@ -45,13 +45,19 @@ class Scratch:
         self._path = jvm.org.apache.hadoop.fs.Path
 
     def table(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+        self.free()
         out = f"{self.root}/{name}"
         writer = df.write.mode("overwrite")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(out)
-        # What was shuffled for this table isn't needed again; Spark's cleaner frees it once the JVM has dropped its plan.
+        return self.spark.read.schema(df.schema).parquet(out)
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{name}")
+
+    def free(self) -> None:
+        """What was shuffled for the tables before isn't needed again; Spark's cleaner frees it once the JVM has dropped their plans."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
-        return self.spark.read.schema(df.schema).parquet(out)
 
     def drop(self, name: str) -> None:
         self._fs.delete(self._path(f"{self.root}/{name}"), True)

@@ -85,8 +85,22 @@ def entries(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     return anchors[starts], owner[starts], at[starts] - offsets[owner[starts]], count
 
 
+def planes(values: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of each number, all lowest bytes first: planes of zeros compress to nothing."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def numbers(packed: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(packed) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(packed, np.uint8).reshape(width, -1).T
+    return out.view("<u8").reshape(-1)
+
+
 def packed_entries(docs: DataFrame, parts: int, fine: int, length: int, gram: int) -> DataFrame:
-    """(part, docs, texts, anchor, who, at, n): the entries of each block of texts for each part, as packed arrays. A task sends equal texts once."""
+    """(part, shard, docs, texts, anchor, who, at, n): the entries of each block of texts for each shard, as packed arrays.
+
+    Within a shard 40 bits name an anchor. A task sends equal texts once.
+    """
 
     def run(batches):
         met: set[bytes] = set()
@@ -107,41 +121,40 @@ def packed_entries(docs: DataFrame, parts: int, fine: int, length: int, gram: in
                     met.clear()
                 keep = first[who]
                 anchor, who, at, n = anchor[keep], who[keep], at[keep], n[keep]
-                part = ((anchor % U64(fine)) % U64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                anchor, who, at, n, part = anchor[order], who[order], at[order], n[order], part[order]
-                cuts = np.flatnonzero(np.concatenate((part[:1] >= 0, part[1:] != part[:-1])))
+                shard = (anchor % U64(fine)).astype(np.int64)
+                order = np.argsort(shard, kind="stable")
+                anchor, who, at, n, shard = (anchor[order] >> U64(24)), who[order], at[order], n[order], shard[order]
+                cuts = np.flatnonzero(np.concatenate((shard[:1] >= 0, shard[1:] != shard[:-1])))
                 texts = np.frombuffer(b"".join(digest), np.int64)
                 rows = []
-                for a, b in zip(cuts, np.append(cuts[1:], len(part)), strict=True):
+                for a, b in zip(cuts, np.append(cuts[1:], len(shard)), strict=True):
                     some, where = np.unique(who[a:b], return_inverse=True)
-                    rows.append((int(part[a]), ids[low + some].tobytes(), texts[some].tobytes(), anchor[a:b].tobytes(), where.astype(np.uint32).tobytes(), at[a:b].astype(np.uint32).tobytes(), n[a:b].astype(np.uint8).tobytes()))
-                columns = list(zip(*rows, strict=True)) or [()] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["part", "docs", "texts", "anchor", "who", "at", "n"])
+                    rows.append((int(shard[a]) % parts, int(shard[a]), ids[low + some].tobytes(), texts[some].tobytes(), planes(anchor[a:b], 5), planes(np.diff(where, prepend=0), 4), planes(np.diff(at[a:b], prepend=0), 4), n[a:b].astype(np.uint8).tobytes()))
+                columns = list(zip(*rows, strict=True)) or [()] * 8
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[2:])], ["part", "shard", "docs", "texts", "anchor", "who", "at", "n"])
 
-    return docs.mapInArrow(run, "part int, docs binary, texts binary, anchor binary, who binary, at binary, n binary")
+    return docs.mapInArrow(run, "part int, shard long, docs binary, texts binary, anchor binary, who binary, at binary, n binary")
 
 
-ENTRY = np.dtype([("anchor", U64), ("text", np.int64), ("doc", np.int64), ("at", np.uint32), ("n", np.uint8)])
+ENTRY = np.dtype([("anchor", U64), ("shard", np.int64), ("text", np.int64), ("doc", np.int64), ("at", np.uint32), ("n", np.uint8)])
 
 
-def shared_entries(packed: DataFrame, parts: int, fine: int) -> DataFrame:
+def shared_entries(packed: DataFrame, parts: int) -> DataFrame:
     """(shard, doc_id, ats, ns): the entries whose anchor occurs in different texts, one row a shard and document."""
 
     def met(some: np.ndarray):
-        order = np.lexsort((some["text"], some["anchor"]))
+        order = np.lexsort((some["text"], some["anchor"], some["shard"]))
         some = some[order]
         if not len(some):
             return None
-        starts = np.flatnonzero(np.concatenate(([True], some["anchor"][1:] != some["anchor"][:-1])))
+        starts = np.flatnonzero(np.concatenate(([True], (some["anchor"][1:] != some["anchor"][:-1]) | (some["shard"][1:] != some["shard"][:-1]))))
         ends = np.append(starts[1:], len(some))
         several = some["text"][starts] != some["text"][ends - 1]
         some = some[np.repeat(several, ends - starts)]
         if not len(some):
             return None
-        shard = (some["anchor"] % U64(fine)).astype(np.int64)
-        order = np.lexsort((some["at"], some["doc"], shard))
-        some, shard = some[order], shard[order]
+        some = some[np.lexsort((some["at"], some["doc"], some["shard"]))]
+        shard = np.ascontiguousarray(some["shard"])
         cuts = np.flatnonzero(np.concatenate(([True], (some["doc"][1:] != some["doc"][:-1]) | (shard[1:] != shard[:-1]))))
         ends = np.append(cuts[1:], len(some))
         at, n = np.ascontiguousarray(some["at"]), np.ascontiguousarray(some["n"])
@@ -153,17 +166,18 @@ def shared_entries(packed: DataFrame, parts: int, fine: int) -> DataFrame:
     def run(batches):
         held, size, files = [], 0, None
         for batch in batches:
-            for _, docs, texts, anchor, who, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                where = np.frombuffer(who, np.uint32)
-                block = np.empty(len(where), ENTRY)
-                block["anchor"], block["at"], block["n"] = np.frombuffer(anchor, U64), np.frombuffer(at, np.uint32), np.frombuffer(n, np.uint8)
+            for _, shard, docs, texts, anchor, who, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                block = np.empty(len(n), ENTRY)
+                where = np.cumsum(numbers(who, 4).astype(np.uint32), dtype=np.uint32)
+                block["anchor"], block["shard"], block["n"] = numbers(anchor, 5), shard, np.frombuffer(n, np.uint8)
+                block["at"] = np.cumsum(numbers(at, 4).astype(np.uint32), dtype=np.uint32)
                 block["doc"], block["text"] = np.frombuffer(docs, np.int64)[where], np.frombuffer(texts, np.int64)[where]
                 held.append(block)
                 size += block.nbytes
             if size > MEMORY:  # beyond the memory, entries wait in files by their anchor's first bits
                 files = files or [tempfile.TemporaryFile(prefix="entries-") for _ in range(64)]
                 block = np.concatenate(held)
-                lot = (block["anchor"] >> U64(58)).astype(np.int64)
+                lot = (block["anchor"] >> U64(34)).astype(np.int64)
                 for i in range(64):
                     files[i].write(block[lot == i].tobytes())
                 held, size = [], 0
@@ -172,7 +186,7 @@ def shared_entries(packed: DataFrame, parts: int, fine: int) -> DataFrame:
             some = rest
             if files:
                 files[i].seek(0)
-                some = np.concatenate((np.frombuffer(files[i].read(), ENTRY), rest[(rest["anchor"] >> U64(58)) == i]))
+                some = np.concatenate((np.frombuffer(files[i].read(), ENTRY), rest[(rest["anchor"] >> U64(34)) == i]))
                 files[i].close()
             out = met(some)
             if out is not None:
@@ -309,12 +323,14 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     classes = sized.groupBy("sha").agg(F.min("doc_id").alias("rep"))
     members = scratch.table(sized.join(classes, "sha").select("doc_id", "rep", "n_bytes", "sha"), "members")
 
-    shared = scratch.table(shared_entries(packed_entries(docs, parts, fine, length, gram), parts, fine), "shared")
+    shared = scratch.table(shared_entries(packed_entries(docs, parts, fine, length, gram), parts), "shared")
     by_rep = shared.join(members.select("doc_id", "rep"), "doc_id").groupBy("rep").agg(F.collect_list("shard").alias("shards"), F.collect_list("ats").alias("ats"), F.collect_list("ns").alias("ns"))
     texts = docs.withColumnRenamed("doc_id", "rep")
     found = passages(texts.join(by_rep, "rep").select("rep", "text", "shards", "ats", "ns"), length)
     named = found.withColumn("c1", F.xxhash64("content", F.lit(1))).withColumn("c2", F.xxhash64("content", F.lit(2)))
-    found = scratch.table(named, "passages")
+    scratch.table(named, "passages")
+    del shared, by_rep, found, named
+    found = scratch.read("passages")
     scratch.drop("shared")
 
     distinct = found.groupBy("shard", "content").agg(F.min("rep").alias("least"), F.max("rep").alias("most"))
@@ -323,6 +339,7 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     hit = found.select("c1", "c2", "rep", "at").join(first, ["c1", "c2"]).where("holder < rep")
     ranges = hit.select("rep", F.struct((F.col("at") + F.col("first")).alias("a"), (F.col("at") + F.col("until") + F.lit(length - 1)).alias("b")).alias("r"))
     ranges = scratch.table(ranges.groupBy("rep").agg(F.collect_set("r").alias("ranges")), "ranges")
+    del distinct, first, hit, found
     scratch.drop("passages")
     changed = scratch.table(cut(texts.join(ranges, "rep").select("rep", "text", "ranges")), "changed")
 
