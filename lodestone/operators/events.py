@@ -11,15 +11,21 @@ from pyspark.sql import functions as F
 GENESIS = "0" * 64
 
 
-def append_offsets(events: DataFrame, head: int = -1, order: tuple[str, ...] = ("ts", "event_id"), stream: str | None = None) -> DataFrame:
-    """Offsets that follow the head. A whole log in one order is numbered by ranges: counts by range shift local numbers, so no task sees all rows."""
+def append_offsets(events: DataFrame, head: int = -1, ts: str = "ts", tie: str = "event_id", span_s: int = 3600, stream: str | None = None) -> DataFrame:
+    """Offsets that follow the head, in order of time and tie, by stream or over the whole log.
+
+    A whole log is numbered by spans of time: rows are numbered within their span, and the spans' counts, a row a span,
+    shift them. No task sees all rows, and the numbers depend on the rows alone.
+    """
     if stream is not None:
-        return events.withColumn("offset", F.row_number().over(Window.partitionBy(stream).orderBy(*order)) + F.lit(head).cast("long"))
-    dealt = events.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    dealt = dealt.withColumn("_lot", F.shiftright("_id", 33)).withColumn("_place", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = dealt.groupBy("_lot").agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.select("_lot", F.coalesce(F.sum("_n").over(Window.orderBy("_lot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    return dealt.join(F.broadcast(starts), "_lot").withColumn("offset", F.col("_start") + F.col("_place") + head + 1).drop("_id", "_lot", "_place", "_start")
+        return events.withColumn("offset", F.row_number().over(Window.partitionBy(stream).orderBy(ts, tie)) + F.lit(head).cast("long"))
+    span = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / span_s).cast("long")
+    dealt = events.withColumn("_span", F.coalesce(span, F.lit(-(2**63))))
+    sizes = dealt.groupBy("_span").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_span", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_span").orderBy(ts, tie))
+    return dealt.withColumn("_place", within).join(starts, "_span").withColumn("offset", F.col("_start") + F.col("_place") + F.lit(head).cast("long")).drop("_span", "_place", "_start")
 
 
 def between(log: DataFrame, start: int, end: int | None = None) -> DataFrame:
