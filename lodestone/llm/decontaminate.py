@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import doc_blocks, raw_text, texts
 
-RATE = 0.06  # edits allowed per character of an item
+RATE = 0.08  # edits allowed per character of an item
 ITEM_BYTES = 4 << 20
 RUN = re.compile(r"\s+")
 SCHEMA = "item_id long, distance long, item_chars long, match_start long, match_end long"
