@@ -32,15 +32,18 @@ from .components import connected
 
 SPARE = 0.2  # E as a share of H + 1
 CHANCE = 1e5  # other sets of a band that a short segment is weighed against
+BITS = {4: 4}  # bits by which one element tells sets apart, by the words of a shingle; longer shingles are rarer
+MOST_BITS = 8
 SKETCH = 8  # words of 64 parity bits
-FANOUT = 4  # pairs a group member may send in a round before the group waits for the next
+FANOUT, WIDER = 4, 16  # pairs a group member may send in the first round before the group waits for the next; growth a round
+ROUNDS = 3  # from this one on groups send all pairs that are left
 
 
 class Bands:
     """Size bands for a threshold p/q: a set links with sets of its own band and of those beside it."""
 
-    def __init__(self, p: int, q: int, most: int = 1 << 26):
-        self.p, self.q = p, q
+    def __init__(self, p: int, q: int, bits: int = 4, most: int = 1 << 26):
+        self.p, self.q, self.bits = p, q, bits
         low, edge = [1], Fraction(1)
         while low[-1] < most:
             edge *= Fraction(q, p)
@@ -52,14 +55,13 @@ class Bands:
         for b in range(len(low)):
             self.deletion[b], self.segments[b], self.kept[b] = self.allocate(int(self.high[b]), int(self.errors[b]))
 
-    @staticmethod
-    def allocate(size: int, errors: int) -> tuple[bool, int, int]:
+    def allocate(self, size: int, errors: int) -> tuple[bool, int, int]:
         """(one deletion?, segments, segments kept) at the least cost: signatures, each with those it meets by chance."""
         exact, paired = errors + 1, errors // 2 + 1
         spare = int(np.ceil(SPARE * exact))
 
         def meets(elements: float) -> float:
-            return 1 + CHANCE * 2.0 ** (-4 * elements)
+            return 1 + CHANCE * 2.0 ** (-self.bits * elements)
 
         whole, less = exact * meets(size / (exact + spare)), (size + paired) * meets(max(size / paired - 1, 0))
         return (True, paired, paired) if less < whole else (False, exact + spare, exact)
@@ -159,7 +161,7 @@ def signed(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
     """(sig, doc_id) of every set; a task sends equal sets once."""
 
     def run(batches):
-        bands, met = Bands(p, q), set()
+        bands, met = Bands(p, q, BITS.get(k, MOST_BITS if k > 4 else k)), set()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for low, high, sets in _blocks(batch.column(1), k):
@@ -260,13 +262,16 @@ def possible(m: np.ndarray, n: np.ndarray, differ: np.ndarray, p: int, q: int) -
     return (q * np.minimum(m, n) >= p * np.maximum(m, n)) & (differ * (p + q) <= (m + n) * (q - p))
 
 
-def apart(rows: DataFrame, p: int, q: int, everything: bool) -> DataFrame:
+def apart(rows: DataFrame, p: int, q: int, fanout: int | None) -> DataFrame:
     """(a, b) pairs of different components within a signature that the sketch leaves open, from rows
-    (sig, rep, component, n, sketch) sorted by signature; (null, null) where a group holds some back for the next round."""
+    (sig, rep, component, n, sketch) sorted by signature; (null, null) where a group holds some back for the next round.
+
+    fanout: pairs a member of a group may send; None for all.
+    """
 
     def group(part: dict) -> tuple[list[np.ndarray], bool]:
         rep, comp, n, sketch = part["rep"], part["component"], part["n"], part["sketch"]
-        out, sent, most, held = [], 0, FANOUT * len(rep), False
+        out, sent, most, held = [], 0, (fanout or 0) * len(rep), False
         if (comp == comp[0]).all():
             return out, held
         for i in range(len(rep) - 1):
@@ -274,7 +279,7 @@ def apart(rows: DataFrame, p: int, q: int, everything: bool) -> DataFrame:
             if not len(other):
                 continue
             other = other[possible(n[i], n[other], np.bitwise_count(sketch[i] ^ sketch[other]).sum(axis=1), p, q)]
-            if not everything and sent + len(other) > most:
+            if fanout is not None and sent + len(other) > most:
                 held = True
                 break
             sent += len(other)
@@ -333,13 +338,13 @@ def join(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     pairs = pairs.join(reps.toDF("a", "a_n", "a_sketch"), "a").join(reps.toDF("b", "b_n", "b_sketch"), "b").where(check("a_n", "b_n", "a_sketch", "b_sketch")).select("a", "b")
     tried = scratch.table(pairs, "pairs-0")
     links = scratch.table(verified(tried, docs, k, p, q), "links-0")
-    for turn in range(1, 9):
+    for turn in range(1, ROUNDS + 1):
         component = connected(links, scratch, f"component-{turn}")
         component = scratch.table(component, f"labels-{turn}")
         rows = groups.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
         mixed = rows.groupBy("sig").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("sig")
         rows = rows.join(mixed, "sig").join(reps, "rep").repartition("sig").sortWithinPartitions("sig", "rep")
-        found = scratch.table(apart(rows, p, q, turn > 6).distinct(), f"apart-{turn}")
+        found = scratch.table(apart(rows, p, q, None if turn == ROUNDS else FANOUT * WIDER ** (turn - 1)).distinct(), f"apart-{turn}")
         held = found.where("a is null").limit(1).count() > 0
         fresh = scratch.table(found.where("a is not null").join(tried, ["a", "b"], "left_anti"), f"pairs-{turn}")
         if not held and not fresh.limit(1).count():
