@@ -34,6 +34,7 @@ SPARE = 0.2  # E as a share of H + 1
 CHANCE = 1e5  # other sets of a band that a short segment is weighed against
 BITS = {4: 4}  # bits by which one element tells sets apart, by the words of a shingle; longer shingles are rarer
 MOST_BITS = 8
+BLOCK = 1 << 20  # bytes of text whose sets a worker holds at once
 SKETCH = 8  # words of 64 parity bits
 FANOUT, WIDER = 4, 16  # pairs a group member may send in the first round before the group waits for the next; growth a round
 ROUNDS = 3  # from this one on groups send all pairs that are left
@@ -140,7 +141,7 @@ class Sets:
 
 def _blocks(column: pa.Array, k: int):
     data, offsets = raw_text(column)
-    for low, high in doc_blocks(offsets):
+    for low, high in doc_blocks(offsets, BLOCK):
         yield low, high, Sets(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], k)
 
 
@@ -226,7 +227,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, p: int, q: int) -> DataF
     def run(batches):
         for batch in batches:
             left, right = (raw_text(batch.column(i))[1] for i in (2, 3))
-            for low, high in doc_blocks(left + right):
+            for low, high in doc_blocks(left + right, BLOCK):
                 sides = []
                 for i in (2, 3):
                     data, offsets = raw_text(batch.column(i).slice(low, high - low))
