@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -54,10 +55,15 @@ class Scratch:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}")
 
-    def free(self) -> None:
-        """What was shuffled for the tables before isn't needed again; Spark's cleaner frees it once the JVM has dropped their plans."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+    def free(self, wait: float = 0) -> None:
+        """What was shuffled for the tables before isn't needed again; Spark's cleaner frees it once the JVM has dropped their plans.
+
+        wait: seconds for the cleaner, which runs beside the queries, before a second pass over what it has let go.
+        """
+        for _ in range(2 if wait else 1):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(wait)
 
     def drop(self, name: str) -> None:
         self._fs.delete(self._path(f"{self.root}/{name}"), True)

@@ -125,11 +125,11 @@ def packed_entries(docs: DataFrame, parts: int, fine: int, length: int, gram: in
                 order = np.argsort(shard, kind="stable")
                 anchor, who, at, n, shard = (anchor[order] >> U64(24)), who[order], at[order], n[order], shard[order]
                 cuts = np.flatnonzero(np.concatenate((shard[:1] >= 0, shard[1:] != shard[:-1])))
-                texts = np.frombuffer(b"".join(digest), np.int64)
+                texts = np.frombuffer(b"".join(digest), np.int64)  # six bytes of them tell a group's texts apart
                 rows = []
                 for a, b in zip(cuts, np.append(cuts[1:], len(shard)), strict=True):
                     some, where = np.unique(who[a:b], return_inverse=True)
-                    rows.append((int(shard[a]) % parts, int(shard[a]), ids[low + some].tobytes(), texts[some].tobytes(), planes(anchor[a:b], 5), planes(np.diff(where, prepend=0), 4), planes(np.diff(at[a:b], prepend=0), 4), n[a:b].astype(np.uint8).tobytes()))
+                    rows.append((int(shard[a]) % parts, int(shard[a]), planes(np.diff(ids[low + some], prepend=0), 8), planes(texts[some], 6), planes(anchor[a:b], 5), planes(np.diff(where, prepend=0), 4), planes(np.diff(at[a:b], prepend=0), 4), n[a:b].astype(np.uint8).tobytes()))
                 columns = list(zip(*rows, strict=True)) or [()] * 8
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[2:])], ["part", "shard", "docs", "texts", "anchor", "who", "at", "n"])
 
@@ -171,7 +171,7 @@ def shared_entries(packed: DataFrame, parts: int) -> DataFrame:
                 where = np.cumsum(numbers(who, 4).astype(np.uint32), dtype=np.uint32)
                 block["anchor"], block["shard"], block["n"] = numbers(anchor, 5), shard, np.frombuffer(n, np.uint8)
                 block["at"] = np.cumsum(numbers(at, 4).astype(np.uint32), dtype=np.uint32)
-                block["doc"], block["text"] = np.frombuffer(docs, np.int64)[where], np.frombuffer(texts, np.int64)[where]
+                block["doc"], block["text"] = np.cumsum(numbers(docs, 8).view(np.int64))[where], numbers(texts, 6).view(np.int64)[where]
                 held.append(block)
                 size += block.nbytes
             if size > MEMORY:  # beyond the memory, entries wait in files by their anchor's first bits
@@ -324,6 +324,7 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     members = scratch.table(sized.join(classes, "sha").select("doc_id", "rep", "n_bytes", "sha"), "members")
 
     shared = scratch.table(shared_entries(packed_entries(docs, parts, fine, length, gram), parts), "shared")
+    scratch.free(wait=1.5)  # the packed entries are the largest shuffle
     by_rep = shared.join(members.select("doc_id", "rep"), "doc_id").groupBy("rep").agg(F.collect_list("shard").alias("shards"), F.collect_list("ats").alias("ats"), F.collect_list("ns").alias("ns"))
     texts = docs.withColumnRenamed("doc_id", "rep")
     found = passages(texts.join(by_rep, "rep").select("rep", "text", "shards", "ats", "ns"), length)
@@ -332,6 +333,7 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     del shared, by_rep, found, named
     found = scratch.read("passages")
     scratch.drop("shared")
+    scratch.free(wait=1.5)
 
     distinct = found.groupBy("shard", "content").agg(F.min("rep").alias("least"), F.max("rep").alias("most"))
     distinct = distinct.withColumn("c1", F.xxhash64("content", F.lit(1))).withColumn("c2", F.xxhash64("content", F.lit(2)))
