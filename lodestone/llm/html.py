@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-CONSTANT, PAGES, MOST = 0.6, 3, 0.85  # share of pages and least number of pages of a template text; share of varying text in the slot
+CONSTANT, PAGES, MOST, LOTS = 0.6, 3, 0.85, 32  # share of pages and least number of pages of a template text; share of varying text in the slot; parts of a host's texts
 
 # Elements by HTML's own kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -321,7 +321,10 @@ def extract(pages: DataFrame) -> DataFrame:
     blocks = blocks.select("host", "content", F.element_at("places", F.col("b.nodes") + 1).alias("place"), F.col("b.digests").alias("digest"), F.col("b.sizes").alias("size"))
     seen = blocks.groupBy("host", "place", "digest").agg(F.count_distinct("content").alias("pages"), F.first("size").alias("size"))
     differing = held.groupBy("host").agg(F.count_distinct("content").alias("of"))
-    seen = seen.join(differing, "host").withColumn("fixed", (F.col("of") >= PAGES) & (F.col("pages") >= CONSTANT * F.col("of")))
+    # A host may hold a third of all pages: its texts are dealt out by digest, and summed up again in part before they meet.
+    seen = seen.withColumn("lot", F.pmod("digest", F.lit(LOTS)))
+    differing = differing.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LOTS - 1).cast("long"))))
+    seen = seen.join(differing, ["host", "lot"]).withColumn("fixed", (F.col("of") >= PAGES) & (F.col("pages") >= CONSTANT * F.col("of")))
     by_place = seen.groupBy("host", "place").agg(F.sum(F.when(~F.col("fixed"), F.col("size") * F.col("pages")).otherwise(0)).alias("mass"), F.collect_list(F.when(F.col("fixed"), F.col("digest"))).alias("fixed"))
     by_host = by_place.groupBy("host").agg(F.collect_list(F.struct("place", "mass")).alias("masses"), F.flatten(F.collect_list(F.transform("fixed", lambda d: F.struct("place", d.alias("digest"))))).alias("fixed"))
     wrappers = scratch.table(aligned.where("kinds is not null").select("host", "kinds", "parents").join(by_host, "host"), "hosts")
