@@ -4,6 +4,9 @@ A candidate's novelty is the number of bytes it adds to its surroundings, compre
 identifiers, over its length. Text that resembles its surroundings or known identifiers adds few bytes; keys and tokens
 add nearly their entropy.
 
+A candidate starts within 80 characters after a sensitive word, on its line or a later one, or on the line after another
+candidate's end.
+
 Defined cases: a null or empty text has no spans; spans count code points, end exclusive; added spans never overlap base
 ones; repeated rows give repeated results.
 """
@@ -23,9 +26,11 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CONTEXT = re.compile(r"(?:secret|passw|token|credential|bearer|private|api.?key|access.?key|auth|signature|client.?id)[^\n]{0,80}", re.I | re.A)
+SENSITIVE = re.compile(r"(?=(secret|passw|token|credential|bearer|private|api.?key|access.?key|auth|signature|client.?id))", re.I | re.A)
 HINTS = ("secret", "passw", "token", "credential", "bearer", "private", "api", "access", "auth", "signature", "client")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST, REACH = 20, 80  # characters of a candidate; characters after a sensitive word within which it starts
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+WRAP = re.compile(r"[\x20\t]*\r?\n[\x20\t]*")
 AROUND, NOVEL = 256, 0.55
 
 # Identifiers and words common in code and configuration.
@@ -74,13 +79,22 @@ def novel_spans(text: str, lowered: str, base: list[tuple[int, int, int]], novel
     if not any(h in lowered for h in HINTS):
         return []
     out: dict[int, int] = {}
-    for near in CONTEXT.finditer(text):
-        at = near.start()
-        while (m := CANDIDATE.search(text, at)) and m.start() < near.end():
+    refused, done = set(), 0
+    for word in SENSITIVE.finditer(text):
+        # Every word has a window of its own, over line ends; a value wrapped over lines is followed to its last one.
+        at, end = max(done, word.start()), word.end(1) + REACH
+        while m := CANDIDATE.search(text, at, end + LEAST - 1):
+            m = CANDIDATE.match(text, m.start())
             at = m.end()
+            if m.start() in refused:
+                continue
             clear = all(m.end() <= s or e <= m.start() for s, _, e in base)
-            if clear and m.start() not in out and mixed(m[0]) and novelty(text, m.start(), m.end()) >= NOVEL:
-                out[m.start()] = m.end()
+            if clear and mixed(m[0]) and novelty(text, m.start(), m.end()) >= NOVEL:
+                out[m.start()] = done = m.end()
+                if wrap := WRAP.match(text, at):
+                    end = max(end, wrap.end() + 1)
+            else:
+                refused.add(m.start())
     return [(s, 3, e) for s, e in out.items()]
 
 
