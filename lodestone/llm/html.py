@@ -3,8 +3,8 @@
 A page's DOM is reduced to a skeleton: one node for each kind (tag and classes) of child under a node. The distinct
 skeletons of a host are aligned, the commonest first, by simple tree matching into one wrapper, so that each text block
 of a page has a place in it. A text that most of the host's differing pages hold at one place is template, the others are
-varying slots. The content is the slot under the wrapper's article or main node where it has one (constant blocks of
-the article itself stay); elsewhere it is the deepest node that holds nearly all varying text, less template blocks.
+varying slots. The content is what lies under the wrapper's outermost article and main nodes where it has any (constant
+blocks of an article stay, but not articles that are constant as a whole beside varying ones); elsewhere it is all varying text, less template blocks.
 Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are left out by tag, role and
 class at any place.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-CONSTANT, PAGES, MOST, LOTS = 0.6, 3, 0.85, 32  # share of pages and least number of pages of a template text; share of varying text in the slot; parts of a host's texts
+CONSTANT, PAGES, LOTS = 0.6, 3, 32  # share of pages and least number of pages of a template text; parts of a host's texts
 
 # Elements by HTML's own kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -281,32 +281,23 @@ def induced(skeletons: pd.DataFrame) -> pd.DataFrame:
 
 
 def slot(kinds: list[str], parents: list[int], mass: dict[int, int]) -> tuple[list[int], bool]:
-    """(places of the content, is it an article's?) from the varying text at each place."""
-    under, kids = Counter(), {}
-    for place in range(len(kinds) - 1, -1, -1):
-        kids.setdefault(parents[place], []).append(place)
-    order, deep = [], [0]
-    while deep:
-        place = deep.pop()
-        order.append(place)
-        deep += kids.get(place, [])
-    for place in reversed(order):
-        under[place] += mass.get(place, 0)
-        if parents[place] >= 0:
-            under[parents[place]] += under[place]
-    main = [p for p in order if kinds[p].endswith("!")]
-    top = max(main, key=lambda p: (under[p], -order.index(p)), default=None)
-    semantic = top is not None
-    if not semantic:
-        top = 0
-        while (below := max(kids.get(top, []), key=lambda p: under[p], default=None)) is not None and under[below] >= MOST * under[0] > 0 and kids.get(below):
-            top = below
-    held, deep = [], [top]
-    while deep:
-        place = deep.pop()
-        held.append(place)
-        deep += kids.get(place, [])
-    return held, semantic
+    """(places of the content, is it the articles'?) from the varying text at each place: all under the outermost article and main places, less those without any where others have some; every place of a host without them."""
+    kids: dict[int, list[int]] = {}
+    for place, parent in enumerate(parents):
+        kids.setdefault(parent, []).append(place)
+
+    def below(top: int, stop: bool) -> list[int]:
+        held, deep = [], [top]
+        while deep:
+            place = deep.pop()
+            held.append(place)
+            if not (stop and kinds[place].endswith("!")):
+                deep += kids.get(place, [])
+        return held
+
+    mains = [below(p, False) for p in below(0, True) if kinds[p].endswith("!")]
+    varying = [m for m in mains if any(mass.get(p, 0) for p in m)]
+    return ([p for m in varying or mains for p in m], True) if mains else (below(0, False), False)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -275,6 +275,15 @@ def test_html(spark):
     assert html.extract(df.where("false")).count() == 0
 
 
+def test_html_keeps_all_varying(spark):
+    body = "<div class=wrap><h1>Head {n}</h1><p class=intro>Intro {n}</p><div class=body>" + "<p>Long words of story {n} follow here</p>" * 20 + "</div></div>"
+    pair = "<article class=lead><p>Lead {n}</p></article><div><article class=story><p>The longer story {n}</p></article></div><article class=about><p>We are we</p></article>"
+    pages = [(n, f"http://{h}.example/{n}", PAGE.format(n=n, body=b.format(n=n))) for n, (h, b) in enumerate([("e", body)] * 4 + [("f", pair)] * 4)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[n].split("\n") == [f"Head {n}", f"Intro {n}"] + [f"Long words of story {n} follow here"] * 20 for n in range(4))
+    assert all(got[n] == f"Lead {n}\nThe longer story {n}" for n in range(4, 8))
+
+
 def test_tree_matching():
     wrapper = html.Wrapper()
     one = ["", [["html", [["nav", []], ["div", [["p", []]]]]]]]
