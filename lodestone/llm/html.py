@@ -11,7 +11,7 @@ class at any place.
 Blocks are the texts between block-level tags, white space collapsed, joined by one line feed.
 
 Defined cases: a null or empty page has the empty text; a null or odd url is a host of its own; a host's single page (or
-copies of one page) has no template; unclosed and stray tags are closed or skipped as browsers do.
+copies of one page) has no template; blocks nested more than 200 deep count by kind at the 200th; unclosed and stray tags are closed or skipped as browsers do.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
+DEEPEST = 200  # levels of a skeleton that are told apart
 CONSTANT, PAGES, LOTS = 0.6, 3, 32  # share of pages and least number of pages of a template text; parts of a host's texts
 
 # Elements by HTML's own kinds.
@@ -167,13 +168,31 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
 
 
 def shape(root: Node) -> list:
-    """The skeleton as nested lists [kind, kids], its nodes numbered in that order."""
+    """The skeleton as nested lists [kind, kids], its nodes numbered in that order. Nodes below DEEPEST share a place by kind under the last node above, those in an article with it."""
     count = 0
 
-    def walk(node: Node, depth: int) -> list:
+    def number(node: Node) -> int:
         nonlocal count
         node.place, count = count, count + 1
-        return [node.kind, [walk(k, depth + 1) for k in node.kids.values()] if depth < 200 else []]
+        return node.place
+
+    def flat(top: Node) -> list:
+        kinds: dict[str, int] = {}
+        deep = [(k, False) for k in reversed(top.kids.values())]
+        while deep:
+            node, inside = deep.pop()
+            inside |= node.kind.endswith("!")
+            kind = node.kind if node.kind.endswith("!") or not inside else node.kind + "!"
+            if kind in kinds:
+                node.place = kinds[kind]
+            else:
+                kinds[kind] = number(node)
+            deep += [(k, inside) for k in reversed(node.kids.values())]
+        return [[kind, []] for kind in kinds]
+
+    def walk(node: Node, depth: int) -> list:
+        number(node)
+        return [node.kind, [walk(k, depth + 1) for k in node.kids.values()] if depth < DEEPEST else flat(node)]
 
     return walk(root, 0)
 

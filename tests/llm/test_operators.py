@@ -284,6 +284,14 @@ def test_html_keeps_all_varying(spark):
     assert all(got[n] == f"Lead {n}\nThe longer story {n}" for n in range(4, 8))
 
 
+def test_html_deep(spark):
+    inner = "<article><p>Top {n}</p>" + "<div>" * 300 + "<p>Deep {n}</p>" + "<section>" * 300 + "Deeper {n}</article>"
+    outer = "<main><p>Top {n}</p></main>" + "<div>" * 300 + "<article><div>Deep {n}<p>Deeper {n}</p></div></article>"
+    pages = [(n, f"http://{h}.example/{n}", b.format(n=n)) for n, (h, b) in enumerate([("g", inner)] * 4 + [("h", outer)] * 4)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {n: f"Top {n}\nDeep {n}\nDeeper {n}" for n in range(8)}
+
+
 def test_tree_matching():
     wrapper = html.Wrapper()
     one = ["", [["html", [["nav", []], ["div", [["p", []]]]]]]]
