@@ -7,6 +7,8 @@ shingles into segments, their number set by the band, and a linked pair agrees i
   Empty segments and those of a few elements, which many sets share by chance, fall out of the E spare ones.
 * one deletion: of H // 2 + 1 segments at least one differs in one element at most, so the signatures of a segment and of
   it less each element meet. Bands of small sets, whose exact segments would be short, take this; `allocate` weighs both.
+Empty segments have no signatures. Sets so concentrated that a pair's equal segments could all be empty cut the universe
+again by another hash, and again, until they are not; the last cut's empty segments have signatures.
 
 Equal sets are one class, represented by their least doc_id. Sets that share a signature are candidates. First each
 group's members meet its least one, links are verified on whole texts, and components are formed; then only members of
@@ -37,6 +39,7 @@ MOST_BITS = 8
 BLOCK = 1 << 20  # bytes of text whose sets a worker holds at once
 SKETCH = 8  # words of 64 parity bits
 FANOUT, WIDER = 4, 16  # pairs a group member may send in the first round before the group waits for the next; growth a round
+CUTS = 10  # of the universe; few sets need a second, and those that reach the last send empty segments, too
 ROUNDS = 3  # from this one on groups send all pairs that are left
 
 
@@ -111,11 +114,24 @@ class Sets:
         return (np.concatenate(keys), np.concatenate(owners)) if keys else (np.zeros(0, U64), np.zeros(0, np.int64))
 
     def _band(self, bands: Bands, band: np.ndarray, chosen: np.ndarray, deletion: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures of one cut of the universe, and of further cuts for the sets whose equal segments may all be empty: both of a pair go on."""
+        keys, owners = [], []
+        for cut in range(CUTS):
+            k, o, again = self._cut(bands, band, chosen, deletion, cut, cut == CUTS - 1)
+            keys.append(k)
+            owners.append(o)
+            chosen = again
+            if not chosen.any():
+                break
+        return np.concatenate(keys), np.concatenate(owners)
+
+    def _cut(self, bands: Bands, band: np.ndarray, chosen: np.ndarray, deletion: bool, cut: int, empty: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(signature, text, texts that need another cut); empty: signatures of empty segments, too."""
         number = np.where(chosen, bands.segments[np.maximum(band, 0)], 0)
         base = np.concatenate(([0], np.cumsum(number)[:-1]))
         inside = chosen[self.doc]
         h, doc = self.hash[inside], self.doc[inside]
-        cell = base[doc] + (mix64(h ^ U64(0x9A11)) % number[doc].astype(U64)).astype(np.int64)
+        cell = base[doc] + (mix64(h ^ U64(0x9A11 + (cut << 32))) % number[doc].astype(U64)).astype(np.int64)
         order = np.argsort(cell, kind="stable")
         cell, part = cell[order], mix64(h[order] + U64(0x33))
         total = int(number.sum())
@@ -125,18 +141,21 @@ class Sets:
         if len(full):
             sums[full] = np.add.reduceat(part, np.searchsorted(cell, full))
         owner = np.repeat(np.arange(len(self.size)), number)
-        salt = (np.arange(total) - base[owner]).astype(U64) * U64(0x2545F4914F6CDD1D) + band[owner].astype(U64) * U64(0x9E3779B97F4A7C15)
+        salt = (np.arange(total) - base[owner]).astype(U64) * U64(0x2545F4914F6CDD1D) + band[owner].astype(U64) * U64(0x9E3779B97F4A7C15) + U64(cut * 0x0D1B54A32D192ED0)
+        # A pair is missed only if each of its equal segments (or of those one element apart) is empty in one of its sets. Then
+        # both sets lie in the segments that may differ: `kept` - 1 of them, or all but one with two elements or more.
+        kept = bands.kept[np.maximum(band, 0)]
+        again = chosen & (kept > 1) & (np.bincount(owner[count > int(deletion)], minlength=len(self.size)) < kept)
         if deletion:
             keys = np.concatenate((mix64(sums ^ salt), mix64((sums[cell] - part) ^ salt[cell])))
             owners = np.concatenate((owner, owner[cell]))
-            # A signature without elements says nothing: only a set of one element less than nothing could meet it.
-            real = np.concatenate((count > 0, count[cell] > 1)) | (number[owners] == 1)
-            return keys[real], owners[real]
+            real = np.concatenate((count > 0, count[cell] > 1)) | (number[owners] == 1) | empty
+            return keys[real], owners[real], again
         order = np.lexsort((sums, -count, owner))
         place = np.arange(total) - base[owner[order]]
-        keep = order[place < bands.kept[np.maximum(band, 0)][owner[order]]]
-        keep = keep[count[keep] > 0]
-        return mix64(sums[keep] ^ salt[keep]), owner[keep]
+        keep = order[place < kept[owner[order]]]
+        keep = keep[(count[keep] > 0) | empty]
+        return mix64(sums[keep] ^ salt[keep]), owner[keep], again
 
 
 def _blocks(column: pa.Array, k: int):

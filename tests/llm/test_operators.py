@@ -9,9 +9,11 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import bpe, decontaminate, fingerprint, html, jaccard, quality, repeats, secrets, sharding, suffixes, tokencount
+from lodestone.llm.common import raw_text
 
 BPE_PATH = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -366,5 +368,27 @@ def test_jaccard(spark, hard_docs, no_docs, plain, k, p):
     assert stay == {c for _, c in got.values()}
 
 
+@pytest.mark.parametrize(("bits", "p"), [(4, 85), (8, 80)])
+def test_jaccard_short_sets(bits, p):
+    """Every pair at the threshold shares a signature, those with empty segments too."""
+    rng = random.Random(p)
+    bands, texts = jaccard.Bands(p, 100, bits), []
+    for i in range(24_000):
+        n, m = rng.choice([(8, 10), (9, 11), (10, 12), (11, 13), (12, 14)] if p == 80 else [(7, 8), (12, 14), (13, 15), (14, 16)])
+        words = [f"{i}w{j}" for j in range(m)]
+        texts += [" ".join(words[:n]), " ".join(words)]
+    for i in range(8_000):
+        n = rng.choice([10, 12, 16] if p == 80 else [13, 16])  # one element of each differs
+        words = [f"{i}v{j}" for j in range(n)]
+        texts += [" ".join(words[1:]), " ".join(words[:-1])]
+    data = pa.array(texts, pa.string())
+    sets = jaccard.Sets(*raw_text(data), 1)
+    keys, owners = sets.signatures(bands, np.ones(len(texts), bool))
+    held = [set() for _ in texts]
+    for key, owner in zip(keys.tolist(), owners.tolist(), strict=True):
+        held[owner].add(key)
+    assert all(held[i] & held[i + 1] for i in range(0, len(texts), 2))
+
+
 def test_jaccard_empty(no_docs):
     assert jaccard.join(no_docs).count() == 0
