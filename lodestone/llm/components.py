@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
+ROUNDS = 200  # each about halves the longest path; a graph that takes more is an error, not a result
+
 
 def _hubs(arcs: DataFrame) -> DataFrame:
     return arcs.groupBy("u").agg(F.min("v").alias("m"))
@@ -17,7 +19,7 @@ def connected(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     held = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     held = scratch.table(held, f"{name}-0")
     state = None
-    for k in range(1, 200):
+    for k in range(1, ROUNDS):
         # Large star: larger neighbours of a node move to its least neighbour.
         arcs = held.unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
         moved = arcs.join(_hubs(arcs), "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
@@ -26,9 +28,11 @@ def connected(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         met = moved.join(_hubs(moved), "u")
         held = met.select("u", F.col("m").alias("v")).unionByName(met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         held = scratch.table(held, f"{name}-{k}")
-        now = tuple(held.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first())
+        now = tuple(held.agg(F.count(F.lit(1)), *(F.sum(F.xxhash64(F.lit(salt), "u", "v").cast("decimal(38,0)")) for salt in (1, 2))).first())
         scratch.drop(f"{name}-{k - 1}")
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     return held.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(held.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

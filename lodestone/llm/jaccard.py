@@ -11,12 +11,18 @@ Empty segments have no signatures. Sets so concentrated that a pair's equal segm
 again by another hash, and again, until they are not; the last cut's empty segments have signatures.
 
 Equal sets are one class, represented by their least doc_id. Sets that share a signature are candidates. First each
-group's members meet its least one, links are verified on whole texts, and components are formed; then only members of
-different components meet, a parity sketch (a lower bound of the difference) leaving out pairs that can't be linked.
-No group is expanded into all its pairs, and no link between components is lost.
+group's members meet its least one, links are verified on whole texts, and components are formed. Then, round by round,
+each group that still holds several components is searched breadth-first with a parity sketch, a lower bound of the
+difference that never drops a link and is as wide as the sets are large: a member reached once is not compared again, so
+a group sends at most one pair a member and forest. Where a sent pair proves no link, the group's next round sends more
+forests of pairs that share none; a group is done when a forest comes out empty, for then all its pairs that the sketch
+leaves open were verified or lie within one component. So rows follow the group's size, not its square, and no link
+between components is lost. Groups of over TILE members are dealt out by pairs of tiles, each a task's bounded share.
 
 Elements are 64-bit hashes of shingles. Defined cases: null and empty texts, and texts without words, have no shingles
-and link with nothing; fewer words than k make one shingle; rows with equal doc_id are linked if their texts are.
+and link with nothing; fewer words than k make one shingle; each row is judged by its own text, rows that repeat a doc_id
+count as one node of the graph; rows with a null doc_id link as any other, but the null counts as the largest id, so a
+component of such rows alone has a null component_id.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, Scratch, Words, doc_blocks, mix64, raw_text, shingles
@@ -37,10 +43,12 @@ CHANCE = 1e5  # other sets of a band that a short segment is weighed against
 BITS = {4: 4}  # bits by which one element tells sets apart, by the words of a shingle; longer shingles are rarer
 MOST_BITS = 8
 BLOCK = 1 << 20  # bytes of text whose sets a worker holds at once
-SKETCH = 8  # words of 64 parity bits
-FANOUT, WIDER = 4, 16  # pairs a group member may send in the first round before the group waits for the next; growth a round
+SKETCH = 512  # parity bits of a small set; larger ones have the next power of two above their size
+TILE = 1 << 14  # members of a group that meet in one task
+MEET = 1 << 17  # pairs compared at once
+FORESTS = 8  # growth of the forests a group may send from one round to the next
 CUTS = 10  # of the universe; few sets need a second, and those that reach the last send empty segments, too
-ROUNDS = 3  # from this one on groups send all pairs that are left
+NO_ID = 1 << 62  # keys from here on stand for null ids
 
 
 class Bands:
@@ -91,13 +99,16 @@ class Sets:
                 out[i, some] = np.add.reduceat(mix64(self.hash + U64(salt)), self.first[some])
         return out[0].view(np.int64), out[1].view(np.int64)
 
-    def sketches(self) -> np.ndarray:
-        """Parity bits of the elements: they differ in no more places than the sets do."""
-        bits = np.zeros(len(self.size) * SKETCH * 64, np.uint8)
-        spot = (mix64(self.hash ^ U64(0x5CE7)) % U64(SKETCH * 64)).astype(np.int64) + self.doc * SKETCH * 64
+    def sketches(self) -> list[bytes]:
+        """Parity bits of the elements: they differ in no more places than the sets do. A sketch folded in half is the narrower one."""
+        wide = np.maximum(SKETCH, 1 << np.ceil(np.log2(np.maximum(self.size, 1))).astype(np.int64))
+        base = np.concatenate(([0], np.cumsum(wide)))
+        bits = np.zeros(base[-1], np.uint8)
+        spot = (mix64(self.hash ^ U64(0x5CE7)) & (wide[self.doc] - 1).astype(U64)).astype(np.int64) + base[self.doc]
         odd, times = np.unique(spot, return_counts=True)
         bits[odd] = times & 1
-        return np.packbits(bits.reshape(len(self.size), -1), axis=1)
+        held = np.packbits(bits).tobytes()
+        return [held[x:y] for x, y in zip((base[:-1] // 8).tolist(), (base[1:] // 8).tolist(), strict=True)]
 
     def signatures(self, bands: Bands, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(signature, text) of the texts in `use`, for their own band and the next lower one."""
@@ -171,8 +182,7 @@ def summaries(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for low, high, sets in _blocks(batch.column(1), k):
                 d1, d2 = sets.digests()
-                sketch = [s.tobytes() for s in sets.sketches()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(sets.size), pa.array(d1), pa.array(d2), pa.array(sketch, pa.binary())], ["doc_id", "n", "d1", "d2", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(sets.size), pa.array(d1), pa.array(d2), pa.array(sets.sketches(), pa.binary())], ["doc_id", "n", "d1", "d2", "sketch"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch binary")
 
@@ -266,14 +276,33 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, p: int, q: int) -> DataF
     return two.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """The sketches as rows of words, all as wide as the narrowest."""
+    least = min(map(len, sketches))
+    if max(map(len, sketches)) > least:
+        out = []
+        for s in sketches:
+            row = np.frombuffer(s, np.uint64)
+            out.append(np.bitwise_xor.reduce(row.reshape(-1, least // 8), axis=0) if len(s) > least else row)
+        return np.stack(out)
+    return np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+
+
 def may_link(p: int, q: int):
     """The sketch's bound as a column over (a_n, b_n, a_sketch, b_sketch)."""
     @F.pandas_udf("boolean")
     def check(a_n: pd.Series, b_n: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        if not len(a_n):
-            return pd.Series([], dtype=bool)
-        x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1).view(np.uint64) for s in (a, b))
-        return pd.Series(possible(a_n.to_numpy(), b_n.to_numpy(), np.bitwise_count(x ^ y).sum(axis=1), p, q))
+        out = np.zeros(len(a_n), bool)
+        least = np.minimum(a.str.len().to_numpy(), b.str.len().to_numpy())
+        m, n, left, right = a_n.to_numpy(), b_n.to_numpy(), a.to_numpy(), b.to_numpy()
+        for width in np.unique(least).tolist():
+            some = np.flatnonzero(least == width)
+            for at in range(0, len(some), max(1, MEET * 64 // width)):
+                part = some[at : at + max(1, MEET * 64 // width)]
+                blank = [bytes(width)]  # its width is what the others are folded to
+                x, y = folded([*left[part], *blank])[:-1], folded([*right[part], *blank])[:-1]
+                out[part] = possible(m[part], n[part], np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64), p, q)
+        return pd.Series(out)
 
     return check
 
@@ -282,72 +311,127 @@ def possible(m: np.ndarray, n: np.ndarray, differ: np.ndarray, p: int, q: int) -
     return (q * np.minimum(m, n) >= p * np.maximum(m, n)) & (differ * (p + q) <= (m + n) * (q - p))
 
 
-def apart(rows: DataFrame, p: int, q: int, fanout: int | None) -> DataFrame:
-    """(a, b) pairs of different components within a signature that the sketch leaves open, from rows
-    (sig, rep, component, n, sketch) sorted by signature; (null, null) where a group holds some back for the next round.
-
-    fanout: pairs a member of a group may send; None for all.
-    """
-
-    def group(part: dict) -> tuple[list[np.ndarray], bool]:
-        rep, comp, n, sketch = part["rep"], part["component"], part["n"], part["sketch"]
-        out, sent, most, held = [], 0, (fanout or 0) * len(rep), False
+def forest(comp: np.ndarray, n: np.ndarray, sketch: np.ndarray, p: int, q: int, used: dict[int, list[int]], hub: int) -> list[np.ndarray]:
+    """[(member, member)] pairs that reach, from each first component on, all that the sketch leaves open, none of them in `used` or with the hub."""
+    left, spot, out = np.ones(len(comp), bool), np.empty(len(comp), np.int64), []
+    by = np.argsort(comp, kind="stable")
+    names, starts = np.unique(comp[by], return_index=True)
+    ends = np.append(starts[1:], len(by))
+    for which in range(len(names)):
+        own = by[starts[which] : ends[which]]
+        if not left[own[0]]:
+            continue
+        left[own] = False
+        front, at = own, 0
+        while at < len(front):
+            rest = np.flatnonzero(left)
+            if not len(rest):
+                return out
+            take = front[at : at + max(1, MEET // len(rest))]
+            at += len(take)
+            differ = np.zeros((len(take), len(rest)), np.int64)
+            for w in range(sketch.shape[1]):
+                differ += np.bitwise_count(sketch[take, w][:, None] ^ sketch[rest, w][None])
+            near = possible(n[take][:, None], n[rest][None], differ, p, q)
+            spot[:] = -1
+            spot[rest] = np.arange(len(rest))
+            if hub >= 0:
+                near[take == hub] = False
+                near[:, rest == hub] = False
+            for r, node in enumerate(take.tolist() if used else ()):
+                if node in used:
+                    gone = spot[used[node]]
+                    near[r, gone[gone >= 0]] = False
+            hit = np.flatnonzero(near.any(axis=0))
+            if len(hit):
+                out.append(np.column_stack((take[near[:, hit].argmax(axis=0)], rest[hit])))
+                joined = np.isin(comp, comp[rest[hit]]) & left
+                left[joined] = False
+                front, at = np.concatenate((front[at:], np.flatnonzero(joined))), 0
+    return out
+
+
+def forests(rows: DataFrame, p: int, q: int, most: int) -> DataFrame:
+    """(a, b, sig) pairs that may link different components of a signature's group or tile pair, at most `most` forests of
+    them, from rows (sig, lot, rep, component, n, sketch) sorted by (sig, lot); sig is null on pairs but those of a group
+    whose last forest had some: it may hold back more. Pairs with the least member of a whole group were tried before."""
+    names = ("sig", "lot", "rep", "component", "n")
+
+    def group(part: dict) -> tuple[list[np.ndarray], list[int]]:
+        comp, out, used = part["component"], [], {}
         if (comp == comp[0]).all():
-            return out, held
-        for i in range(len(rep) - 1):
-            other = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
-            if not len(other):
-                continue
-            other = other[possible(n[i], n[other], np.bitwise_count(sketch[i] ^ sketch[other]).sum(axis=1), p, q)]
-            if fanout is not None and sent + len(other) > most:
-                held = True
-                break
-            sent += len(other)
-            if len(other):
-                out.append(np.column_stack((np.full(len(other), rep[i]), rep[other])))
-        return out, held
+            return out, []
+        sketch = folded(part["sketch"].tolist())
+        hub = int(part["rep"].argmin()) if part["lot"][0] < 0 else -1
+        for turn in range(most):
+            found = forest(comp, part["n"], sketch, p, q, used, hub)
+            if not found:
+                return out, []
+            pairs = np.concatenate(found)
+            out.append(np.column_stack((part["rep"][pairs[:, 0]], part["rep"][pairs[:, 1]])))
+            if turn + 1 < most:
+                for a, b in pairs.tolist():
+                    used.setdefault(a, []).append(b)
+                    used.setdefault(b, []).append(a)
+        return out, [int(part["sig"][0])]
 
     def run(batches):
-        def send(found, held):
+        def send(found, open_):
             pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.zeros((0, 2), np.int64)
-            a, b = (pairs[:, i].tolist() + [None] * held for i in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            a, b = (pa.array(np.append(pairs[:, i], np.zeros(len(open_), np.int64)), mask=np.arange(len(pairs) + len(open_)) >= len(pairs)) for i in (0, 1))
+            return pa.RecordBatch.from_arrays([a, b, pa.array([None] * len(pairs) + open_, pa.int64())], ["a", "b", "sig"])
+
+        def solved(parts):
+            found, open_ = [], []
+            for part in parts:
+                more, back = group(part)
+                found += more
+                open_ += back
+            if found:
+                yield send(found, open_)
 
         rest = None
-        names = ("sig", "rep", "component", "n")
         for batch in batches:
             if not len(batch):
                 continue
             part = {name: batch.column(i).to_numpy(zero_copy_only=False) for i, name in enumerate(names)}
-            part["sketch"] = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(len(batch), -1).view(np.uint64)
+            part["sketch"] = np.array(batch.column(5).to_pylist(), object)
             if rest is not None:
                 part = {name: np.concatenate((rest[name], part[name])) for name in part}
-            starts = np.flatnonzero(np.concatenate(([True], part["sig"][1:] != part["sig"][:-1])))
-            found, held = [], False
-            for a, b in zip(starts, starts[1:], strict=False):
-                more, back = group({name: v[a:b] for name, v in part.items()})
-                found += more
-                held |= back
+            starts = np.flatnonzero(np.concatenate(([True], (part["sig"][1:] != part["sig"][:-1]) | (part["lot"][1:] != part["lot"][:-1]))))
+            yield from solved({name: v[a:b] for name, v in part.items()} for a, b in zip(starts, starts[1:], strict=False))
             rest = {name: v[starts[-1] :] for name, v in part.items()}
-            if found or held:
-                yield send(found, held)
         if rest is not None:
-            found, held = group(rest)
-            if found or held:
-                yield send(found, held)
+            yield from solved([rest])
 
-    return rows.select(*("sig", "rep", "component", "n", "sketch")).mapInArrow(run, "a long, b long")
+    return rows.select(*names, "sketch").mapInArrow(run, "a long, b long, sig long")
 
 
-def join(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every text: sets of k-word shingles, linked at a similarity of p/q or more."""
+def keyed(docs: DataFrame) -> Column:
+    """The key of a row: its doc_id, or for a null one a number from its text beyond all ids."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(NO_ID - 1) + F.lit(NO_ID))
+
+
+def tiled(mixed: DataFrame) -> DataFrame:
+    """(sig, tiles) of the groups that may have untried pairs, from (sig, members); both of two members met as hub and member."""
+    return mixed.where("members > 2").select("sig", F.ceil(F.col("members") / TILE).cast("int").alias("tiles"))
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows with their lot: -1, or in a group of several tiles each pair of tiles that holds the row's own."""
+    own = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.least(t, own) * F.col("tiles") + F.greatest(t, own))
+    return rows.withColumn("lot", F.explode(F.when(F.col("tiles") == 1, F.array(F.lit(-1))).otherwise(F.array_distinct(pairs)))).drop("tiles")
+
+
+def labelled(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
+    """(key, n_shingles, component) of every row; docs: (doc_id, text) with keys for ids."""
     scratch = Scratch(docs.sparkSession, "jaccard")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sums = scratch.table(summaries(docs, k), "sums")
-    classes = sums.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    classes = scratch.table(sums.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     members = sums.join(classes, ["d1", "d2"]).select("doc_id", "rep", "n", "sketch")
     members = scratch.table(members.unionByName(sums.where("n = 0").select("doc_id", F.col("doc_id").alias("rep"), "n", "sketch")), "members")
-    reps = members.where("doc_id = rep and n > 0").dropDuplicates(["rep"]).select("rep", "n", "sketch")
+    reps = members.where("doc_id = rep and n > 0").select("rep", "n", "sketch").distinct()
 
     groups = shared(signed(docs, k, p, q).repartition("sig").sortWithinPartitions("sig"))
     groups = scratch.table(groups.join(members.where("n > 0 and doc_id <> rep").select("doc_id", "rep"), "doc_id", "left").select("sig", F.coalesce("rep", "doc_id").alias("rep")).distinct(), "groups")
@@ -355,31 +439,48 @@ def join(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     check = may_link(p, q)
     hubs = groups.groupBy("sig").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").select("sig", "hub")
     pairs = groups.join(hubs, "sig").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    pairs = pairs.join(reps.toDF("a", "a_n", "a_sketch"), "a").join(reps.toDF("b", "b_n", "b_sketch"), "b").where(check("a_n", "b_n", "a_sketch", "b_sketch")).select("a", "b")
+    pairs = pairs.join(reps.toDF("a", "a_n", "a_sketch"), "a").join(reps.toDF("b", "b_n", "b_sketch"), "b").where(check("a_n", "b_n", "a_sketch", "b_sketch")).select("a", "b").distinct()
     tried = scratch.table(pairs, "pairs-0")
     links = scratch.table(verified(tried, docs, k, p, q), "links-0")
-    for turn in range(1, ROUNDS + 1):
-        component = connected(links, scratch, f"component-{turn}")
-        component = scratch.table(component, f"labels-{turn}")
-        rows = groups.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
-        mixed = rows.groupBy("sig").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("sig")
-        rows = rows.join(mixed, "sig").join(reps, "rep").repartition("sig").sortWithinPartitions("sig", "rep")
-        found = scratch.table(apart(rows, p, q, None if turn == ROUNDS else FANOUT * WIDER ** (turn - 1)).distinct(), f"apart-{turn}")
-        held = found.where("a is null").limit(1).count() > 0
-        fresh = scratch.table(found.where("a is not null").join(tried, ["a", "b"], "left_anti"), f"pairs-{turn}")
-        if not held and not fresh.limit(1).count():
-            break
-        tried = tried.unionByName(fresh)
-        more = scratch.table(verified(fresh, docs, k, p, q), f"links-{turn}")
-        links = links.unionByName(more)
-        if not held:
-            component = scratch.table(connected(links, scratch, f"component-{turn}-end"), f"labels-{turn}-end")
+    most, turn, rest = 1, 0, groups
+    while True:
+        turn += 1
+        component = scratch.table(connected(links, scratch, f"component-{turn}"), f"labels-{turn}")
+        rows = rest.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
+        mixed = rows.groupBy("sig").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("members")).where("least <> most")
+        rows = dealt(rows.join(tiled(mixed), "sig")).join(reps, "rep").repartition("sig", "lot").sortWithinPartitions("sig", "lot", "rep")
+        found = scratch.table(forests(rows, p, q, most), f"forests-{turn}")
+        fresh = scratch.table(found.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), f"pairs-{turn}")
+        if fresh.limit(1).count():
+            tried = tried.unionByName(fresh)
+            links = links.unionByName(scratch.table(verified(fresh, docs, k, p, q), f"links-{turn}"))
+        elif not found.where("sig is not null").limit(1).count():
             break
+        rest = groups.join(found.where("sig is not null").select("sig").distinct(), "sig", "left_semi")
+        most *= FORESTS
     out = members.select("doc_id", "rep", F.col("n").alias("n_shingles")).join(component.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
+def join(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every text: sets of k-word shingles, linked at a similarity of p/q or more."""
+    out = labelled(docs.select(keyed(docs).alias("doc_id"), "text"), k, p, q)
+    return out.select(*(F.when(F.col(c) < NO_ID, F.col(c)).alias(c) if c != "n_shingles" else F.col(c) for c in out.columns))
+
+
 def one_of_each(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
-    """The rows that stay when one document of each group does, all columns kept."""
-    gone = join(docs, k, p, q).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows that stay when one document of each group does, all columns kept; of rows with one doc_id and group, the least as a row."""
+    key = "_key"
+    while key in docs.columns:
+        key += "_"
+    held = docs.withColumn(key, keyed(docs))
+    found = Scratch(docs.sparkSession, "one").table(labelled(held.select(F.col(key).alias("doc_id"), "text"), k, p, q), "labels")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    kept = held.join(gone, key, "left_anti")
+    twice = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("doc_id").alias(key))
+    if twice.limit(1).count():
+        whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        order = F.struct(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind))
+        again = kept.join(twice, key, "left_semi").groupBy(key).agg(F.min_by(whole, order).alias("row")).select("row.*")
+        kept = kept.join(twice, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(again)
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
