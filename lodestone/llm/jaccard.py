@@ -10,14 +10,15 @@ shingles into segments, their number set by the band, and a linked pair agrees i
 Empty segments have no signatures. Sets so concentrated that a pair's equal segments could all be empty cut the universe
 again by another hash, and again, until they are not; the last cut's empty segments have signatures.
 
-Equal sets are one class, represented by their least doc_id. Sets that share a signature are candidates. First each
-group's members meet its least one, links are verified on whole texts, and components are formed. Then, round by round,
-each group that still holds several components is searched breadth-first with a parity sketch, a lower bound of the
-difference that never drops a link and is as wide as the sets are large: a member reached once is not compared again, so
-a group sends at most one pair a member and forest. Where a sent pair proves no link, the group's next round sends more
-forests of pairs that share none; a group is done when a forest comes out empty, for then all its pairs that the sketch
-leaves open were verified or lie within one component. So rows follow the group's size, not its square, and no link
-between components is lost. Groups of over TILE members are dealt out by pairs of tiles, each a task's bounded share.
+Equal sets are one class, represented by their least doc_id. Sets that share a signature are candidates, in three rounds.
+1. Each group's members meet its least one; links are verified on whole texts, and components are formed.
+2. Each group that still holds several components is searched breadth-first with a parity sketch, a lower bound of the
+   difference that never drops a link and is as wide as the sets are large. A member reached once is not compared again,
+   so a group sends one pair a member at most. Where all of them prove to be links, the group has no other link between
+   its components.
+3. Groups of which a pair proved to be none are searched once more, with whole sets: what is sent now is a link.
+So rows follow the groups' sizes, not their squares, and no link between components is lost. Groups of over TILE members,
+or of large sets, are dealt out by pairs of tiles, each a task's bounded share.
 
 Elements are 64-bit hashes of shingles. Defined cases: null and empty texts, and texts without words, have no shingles
 and link with nothing; fewer words than k make one shingle; each row is judged by its own text, rows that repeat a doc_id
@@ -46,7 +47,8 @@ BLOCK = 1 << 20  # bytes of text whose sets a worker holds at once
 SKETCH = 512  # parity bits of a small set; larger ones have the next power of two above their size
 TILE = 1 << 14  # members of a group that meet in one task
 MEET = 1 << 17  # pairs compared at once
-FORESTS = 8  # growth of the forests a group may send from one round to the next
+TILE_ELEMENTS = 1 << 20  # of the whole sets of a tile
+WIDER = 8  # bits an element of the third round's sketches
 CUTS = 10  # of the universe; few sets need a second, and those that reach the last send empty segments, too
 NO_ID = 1 << 62  # keys from here on stand for null ids
 
@@ -103,11 +105,8 @@ class Sets:
         """Parity bits of the elements: they differ in no more places than the sets do. A sketch folded in half is the narrower one."""
         wide = np.maximum(SKETCH, 1 << np.ceil(np.log2(np.maximum(self.size, 1))).astype(np.int64))
         base = np.concatenate(([0], np.cumsum(wide)))
-        bits = np.zeros(base[-1], np.uint8)
         spot = (mix64(self.hash ^ U64(0x5CE7)) & (wide[self.doc] - 1).astype(U64)).astype(np.int64) + base[self.doc]
-        odd, times = np.unique(spot, return_counts=True)
-        bits[odd] = times & 1
-        held = np.packbits(bits).tobytes()
+        held = np.packbits((np.bincount(spot, minlength=base[-1]) & 1).astype(np.uint8)).tobytes()
         return [held[x:y] for x, y in zip((base[:-1] // 8).tolist(), (base[1:] // 8).tolist(), strict=True)]
 
     def signatures(self, bands: Bands, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -311,9 +310,12 @@ def possible(m: np.ndarray, n: np.ndarray, differ: np.ndarray, p: int, q: int) -
     return (q * np.minimum(m, n) >= p * np.maximum(m, n)) & (differ * (p + q) <= (m + n) * (q - p))
 
 
-def forest(comp: np.ndarray, n: np.ndarray, sketch: np.ndarray, p: int, q: int, used: dict[int, list[int]], hub: int) -> list[np.ndarray]:
-    """[(member, member)] pairs that reach, from each first component on, all that the sketch leaves open, none of them in `used` or with the hub."""
-    left, spot, out = np.ones(len(comp), bool), np.empty(len(comp), np.int64), []
+def forest(comp: np.ndarray, n: np.ndarray, sketch: np.ndarray, p: int, q: int, hub: int, linked=None) -> list[np.ndarray]:
+    """[(member, member)] pairs, none with the hub, that reach from each first component on all that the sketch leaves open.
+
+    linked: decides pairs of members for sure; without it each that the sketch leaves open counts.
+    """
+    left, out = np.ones(len(comp), bool), []
     by = np.argsort(comp, kind="stable")
     names, starts = np.unique(comp[by], return_index=True)
     ends = np.append(starts[1:], len(by))
@@ -333,78 +335,121 @@ def forest(comp: np.ndarray, n: np.ndarray, sketch: np.ndarray, p: int, q: int,
             for w in range(sketch.shape[1]):
                 differ += np.bitwise_count(sketch[take, w][:, None] ^ sketch[rest, w][None])
             near = possible(n[take][:, None], n[rest][None], differ, p, q)
-            spot[:] = -1
-            spot[rest] = np.arange(len(rest))
             if hub >= 0:
                 near[take == hub] = False
                 near[:, rest == hub] = False
-            for r, node in enumerate(take.tolist() if used else ()):
-                if node in used:
-                    gone = spot[used[node]]
-                    near[r, gone[gone >= 0]] = False
             hit = np.flatnonzero(near.any(axis=0))
-            if len(hit):
-                out.append(np.column_stack((take[near[:, hit].argmax(axis=0)], rest[hit])))
-                joined = np.isin(comp, comp[rest[hit]]) & left
+            pairs = np.column_stack((take[near[:, hit].argmax(axis=0)], rest[hit]))
+            if linked is not None:  # each member's candidates in turn, until one is a link
+                sure = []
+                while len(hit):
+                    pairs = np.column_stack((take[near[:, hit].argmax(axis=0)], rest[hit]))
+                    good = linked(pairs)
+                    sure.append(pairs[good])
+                    near[near[:, hit].argmax(axis=0), hit] = False
+                    hit = hit[~good]
+                    hit = hit[near[:, hit].any(axis=0)]
+                pairs = np.concatenate(sure) if sure else pairs
+            if len(pairs):
+                out.append(pairs)
+                joined = np.isin(comp, comp[pairs[:, 1]]) & left
                 left[joined] = False
                 front, at = np.concatenate((front[at:], np.flatnonzero(joined))), 0
     return out
 
 
-def forests(rows: DataFrame, p: int, q: int, most: int) -> DataFrame:
-    """(a, b, sig) pairs that may link different components of a signature's group or tile pair, at most `most` forests of
-    them, from rows (sig, lot, rep, component, n, sketch) sorted by (sig, lot); sig is null on pairs but those of a group
-    whose last forest had some: it may hold back more. Pairs with the least member of a whole group were tried before."""
+class Whole:
+    """A group's whole sets: their sketches, and which pairs of them are linked."""
+
+    def __init__(self, elements: list[bytes], p: int, q: int):
+        self.p, self.q = p, q
+        self.sets = [np.frombuffer(e, np.uint64) for e in elements]
+        self.size = np.array([len(x) for x in self.sets], np.int64)
+
+    def sketches(self) -> np.ndarray:
+        words = max(8, 1 << int(np.ceil(np.log2(self.size.max() * WIDER / 64))))
+        out = np.zeros(len(self.sets) * words, np.uint64)
+        for i, x in enumerate(self.sets):
+            spot = mix64(x ^ U64(0x5CE7)) & U64(words * 64 - 1)
+            np.bitwise_xor.at(out, (spot >> U64(6)).astype(np.int64) + i * words, U64(1) << (spot & U64(63)))
+        return out.reshape(len(self.sets), words)
+
+    def linked(self, pairs: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(pairs), bool)
+        total = np.cumsum(self.size[pairs].sum(axis=1))
+        cuts = np.searchsorted(total, np.arange(0, total[-1], 1 << 20)).tolist() + [len(pairs)]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            if low < high:
+                some = pairs[low:high]
+                h = np.concatenate([self.sets[i] for i in some.ravel().tolist()])
+                which = np.repeat(np.arange(high - low), self.size[some].sum(axis=1))
+                order = np.lexsort((h, which))
+                h, which = h[order], which[order]
+                both = np.bincount(which[1:][(h[1:] == h[:-1]) & (which[1:] == which[:-1])], minlength=high - low)
+                union = self.size[some].sum(axis=1) - both
+                out[low:high] = self.q * both >= self.p * union
+        return out
+
+
+def forests(rows: DataFrame, p: int, q: int, whole: bool) -> DataFrame:
+    """(sig, a, b) pairs that reach all candidates of each signature's group or tile pair, from rows (sig, lot, rep,
+    component, n, held) sorted by (sig, lot); held: sketches, or whole sets, whose pairs are links. Pairs with the least
+    member of a whole group were tried before."""
     names = ("sig", "lot", "rep", "component", "n")
 
-    def group(part: dict) -> tuple[list[np.ndarray], list[int]]:
-        comp, out, used = part["component"], [], {}
+    def group(part: dict) -> np.ndarray | None:
+        comp = part["component"]
         if (comp == comp[0]).all():
-            return out, []
-        sketch = folded(part["sketch"].tolist())
-        hub = int(part["rep"].argmin()) if part["lot"][0] < 0 else -1
-        for turn in range(most):
-            found = forest(comp, part["n"], sketch, p, q, used, hub)
-            if not found:
-                return out, []
-            pairs = np.concatenate(found)
-            out.append(np.column_stack((part["rep"][pairs[:, 0]], part["rep"][pairs[:, 1]])))
-            if turn + 1 < most:
-                for a, b in pairs.tolist():
-                    used.setdefault(a, []).append(b)
-                    used.setdefault(b, []).append(a)
-        return out, [int(part["sig"][0])]
+            return None
+        held, hub = part["held"].tolist(), int(part["rep"].argmin()) if part["lot"][0] < 0 else -1
+        if whole:
+            sets = Whole(held, p, q)
+            found = forest(comp, part["n"], sets.sketches(), p, q, hub, sets.linked)
+        else:
+            found = forest(comp, part["n"], folded(held), p, q, hub)
+        if not found:
+            return None
+        pairs = np.sort(part["rep"][np.concatenate(found)], axis=1)
+        return np.column_stack((np.full(len(pairs), part["sig"][0]), pairs))
 
     def run(batches):
-        def send(found, open_):
-            pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.zeros((0, 2), np.int64)
-            a, b = (pa.array(np.append(pairs[:, i], np.zeros(len(open_), np.int64)), mask=np.arange(len(pairs) + len(open_)) >= len(pairs)) for i in (0, 1))
-            return pa.RecordBatch.from_arrays([a, b, pa.array([None] * len(pairs) + open_, pa.int64())], ["a", "b", "sig"])
-
         def solved(parts):
-            found, open_ = [], []
-            for part in parts:
-                more, back = group(part)
-                found += more
-                open_ += back
+            found = [x for part in parts if (x := group(part)) is not None]
             if found:
-                yield send(found, open_)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.ascontiguousarray(np.concatenate(found).T)], ["sig", "a", "b"])
 
-        rest = None
+        waiting, key = [], None  # the parts of the last group, which may go on
         for batch in batches:
             if not len(batch):
                 continue
             part = {name: batch.column(i).to_numpy(zero_copy_only=False) for i, name in enumerate(names)}
-            part["sketch"] = np.array(batch.column(5).to_pylist(), object)
-            if rest is not None:
-                part = {name: np.concatenate((rest[name], part[name])) for name in part}
+            part["held"] = np.array(batch.column(5).to_pylist(), object)
             starts = np.flatnonzero(np.concatenate(([True], (part["sig"][1:] != part["sig"][:-1]) | (part["lot"][1:] != part["lot"][:-1]))))
-            yield from solved({name: v[a:b] for name, v in part.items()} for a, b in zip(starts, starts[1:], strict=False))
-            rest = {name: v[starts[-1] :] for name, v in part.items()}
-        if rest is not None:
-            yield from solved([rest])
+            cuts = [{name: v[a:b] for name, v in part.items()} for a, b in zip(starts, np.append(starts[1:], len(batch)), strict=True)]
+            if key == (cuts[0]["sig"][0], cuts[0]["lot"][0]):
+                waiting.append(cuts.pop(0))
+            if cuts:
+                if waiting:
+                    yield from solved([{name: np.concatenate([w[name] for w in waiting]) for name in part}])
+                yield from solved(cuts[:-1])
+                waiting, key = [cuts[-1]], (cuts[-1]["sig"][0], cuts[-1]["lot"][0])
+        if waiting:
+            yield from solved([{name: np.concatenate([w[name] for w in waiting]) for name in waiting[0]}])
+
+    return rows.select(*names, "held").mapInArrow(run, "sig long, a long, b long")
+
+
+def elements(docs: DataFrame, k: int) -> DataFrame:
+    """(rep, held): each text's whole set."""
+
+    def run(batches):
+        for batch in batches:
+            for low, high, sets in _blocks(batch.column(1), k):
+                ends = np.append(sets.first[1:], len(sets.hash))
+                held = [sets.hash[a:b].tobytes() for a, b in zip(sets.first.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(held, pa.binary())], ["rep", "held"])
 
-    return rows.select(*names, "sketch").mapInArrow(run, "a long, b long, sig long")
+    return docs.select("doc_id", "text").mapInArrow(run, "rep long, held binary")
 
 
 def keyed(docs: DataFrame) -> Column:
@@ -412,11 +457,6 @@ def keyed(docs: DataFrame) -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(NO_ID - 1) + F.lit(NO_ID))
 
 
-def tiled(mixed: DataFrame) -> DataFrame:
-    """(sig, tiles) of the groups that may have untried pairs, from (sig, members); both of two members met as hub and member."""
-    return mixed.where("members > 2").select("sig", F.ceil(F.col("members") / TILE).cast("int").alias("tiles"))
-
-
 def dealt(rows: DataFrame) -> DataFrame:
     """Rows with their lot: -1, or in a group of several tiles each pair of tiles that holds the row's own."""
     own = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
@@ -425,39 +465,52 @@ def dealt(rows: DataFrame) -> DataFrame:
 
 
 def labelled(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
-    """(key, n_shingles, component) of every row; docs: (doc_id, text) with keys for ids."""
+    """(doc_id, n_shingles, component_id) of every row; docs: (doc_id, text) with keys for ids."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     sums = scratch.table(summaries(docs, k), "sums")
-    classes = scratch.table(sums.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = scratch.table(sums.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")  # written, so that a hot set's join may be split
     members = sums.join(classes, ["d1", "d2"]).select("doc_id", "rep", "n", "sketch")
     members = scratch.table(members.unionByName(sums.where("n = 0").select("doc_id", F.col("doc_id").alias("rep"), "n", "sketch")), "members")
-    reps = members.where("doc_id = rep and n > 0").select("rep", "n", "sketch").distinct()
+    reps = members.where("doc_id = rep and n > 0").select("rep", "n", F.col("sketch").alias("held")).distinct()
 
     groups = shared(signed(docs, k, p, q).repartition("sig").sortWithinPartitions("sig"))
     groups = scratch.table(groups.join(members.where("n > 0 and doc_id <> rep").select("doc_id", "rep"), "doc_id", "left").select("sig", F.coalesce("rep", "doc_id").alias("rep")).distinct(), "groups")
 
+    def components(links: DataFrame, turn: int) -> DataFrame:
+        return scratch.table(connected(links, scratch, f"component-{turn}"), f"labels-{turn}")
+
+    def searched(groups: DataFrame, component: DataFrame, held: DataFrame, whole: bool, name: str) -> DataFrame:
+        """The forests of the groups of several components; both of two members met as hub and member."""
+        rows = groups.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
+        size = F.ceil(F.count(F.lit(1)) / TILE)
+        if whole:
+            rows = rows.join(reps.select("rep", "n"), "rep")
+            size = F.greatest(size, F.ceil(F.sum("n") / TILE_ELEMENTS))
+        mixed = rows.groupBy("sig").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("members"), size.cast("int").alias("tiles"))
+        mixed = mixed.where("least <> most and members > 2").select("sig", "tiles")
+        rows = dealt(rows.select("sig", "rep", "component").join(mixed, "sig")).join(held, "rep")
+        return scratch.table(forests(rows.repartition("sig", "lot").sortWithinPartitions("sig", "lot", "rep"), p, q, whole), name)
+
     check = may_link(p, q)
     hubs = groups.groupBy("sig").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").select("sig", "hub")
     pairs = groups.join(hubs, "sig").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = pairs.join(reps.toDF("a", "a_n", "a_sketch"), "a").join(reps.toDF("b", "b_n", "b_sketch"), "b").where(check("a_n", "b_n", "a_sketch", "b_sketch")).select("a", "b").distinct()
-    tried = scratch.table(pairs, "pairs-0")
-    links = scratch.table(verified(tried, docs, k, p, q), "links-0")
-    most, turn, rest = 1, 0, groups
-    while True:
-        turn += 1
-        component = scratch.table(connected(links, scratch, f"component-{turn}"), f"labels-{turn}")
-        rows = rest.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
-        mixed = rows.groupBy("sig").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("members")).where("least <> most")
-        rows = dealt(rows.join(tiled(mixed), "sig")).join(reps, "rep").repartition("sig", "lot").sortWithinPartitions("sig", "lot", "rep")
-        found = scratch.table(forests(rows, p, q, most), f"forests-{turn}")
-        fresh = scratch.table(found.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), f"pairs-{turn}")
-        if fresh.limit(1).count():
-            tried = tried.unionByName(fresh)
-            links = links.unionByName(scratch.table(verified(fresh, docs, k, p, q), f"links-{turn}"))
-        elif not found.where("sig is not null").limit(1).count():
-            break
-        rest = groups.join(found.where("sig is not null").select("sig").distinct(), "sig", "left_semi")
-        most *= FORESTS
+    tried = scratch.table(pairs, "pairs-1")
+    links = scratch.table(verified(tried, docs, k, p, q), "links-1")
+    component = components(links, 1)
+
+    found = searched(groups, component, reps, False, "forests-2")
+    fresh = scratch.table(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs-2")
+    if fresh.limit(1).count():
+        links = links.unionByName(scratch.table(verified(fresh, docs, k, p, q), "links-2"))
+        component = components(links, 2)
+    doubtful = scratch.table(found.join(links, ["a", "b"], "left_anti").select("sig").distinct(), "doubtful")
+    if doubtful.limit(1).count():
+        rest = scratch.table(groups.join(doubtful, "sig"), "groups-3")
+        nodes = rest.select(F.col("rep").alias("doc_id")).distinct()
+        held = elements(docs.join(nodes, "doc_id", "left_semi"), k).join(reps.select("rep", "n"), "rep")
+        more = searched(rest, component, held, True, "forests-3")
+        component = components(links.unionByName(more.select("a", "b").distinct()), 3)
     out = members.select("doc_id", "rep", F.col("n").alias("n_shingles")).join(component.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
