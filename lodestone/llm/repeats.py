@@ -10,16 +10,20 @@
 4. Occurrences whose doc_id is larger get those windows' bytes removed.
 
 Passages that very many texts share are one row a text in two joins, which adaptive execution splits, and one passage in a
-shard. Shards' sizes follow the text: about SHARD_BYTES of it each.
+shard. Shards' sizes follow the text: about SHARD_BYTES of it each. Where one anchor has so many different passages that a
+shard's go beyond HOT_BYTES (a line that very many texts hold, each with another neighbour), its windows travel alone, dealt
+out by their own hash.
 
-Defined cases: null and empty texts have nothing to remove; texts below LENGTH bytes stay; doc_id is the key of the table,
-and rows with a null one are left out; fully repeated rows keep their bytes, as neither id is smaller.
+Defined cases: null and empty texts have nothing to remove; texts below LENGTH bytes stay; of rows with one doc_id neither
+is smaller, so they keep the bytes that they share, fully repeated rows too; a null doc_id counts as one that is larger
+than all others.
 """
 
 from __future__ import annotations
 
 import hashlib
 import tempfile
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, Scratch, doc_blocks, mix64, raw_text, stream64
-from .suffixes import sort
+from .suffixes import Spill, sort
 
+NO_ID = 2**63 - 1
+HOT_BYTES = 32 << 20  # of one shard's passages
+TAG = 2**48 - 1  # bits of a text's hash that tell rows with one doc_id apart
 LENGTH, GRAM, SHARD_BYTES, MOST_PARTS, MEMORY = 50, 24, 4 << 20, 20_000, 48 << 20
+STEP = 1 << 20  # entries of a shard's order taken at once
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -103,17 +111,18 @@ def packed_entries(docs: DataFrame, parts: int, fine: int, length: int, gram: in
     """
 
     def run(batches):
-        met: set[bytes] = set()
+        met: set[tuple[int, int]] = set()
         for batch in batches:
             data, offsets = raw_text(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, tags = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 2))
             for low, high in doc_blocks(offsets):
                 own = offsets[low : high + 1] - offsets[low]
                 block = data[offsets[low] : offsets[high]]
-                digest = [hashlib.blake2b(block[a:b], digest_size=8).digest() for a, b in zip(own, own[1:], strict=False)]
+                tag = tags[low:high]
                 anchor, who, at, n = entries(block, own, length, gram)
                 first = np.zeros(high - low, bool)
-                for i, d in enumerate(digest):
+                for i, (a, b) in enumerate(zip(own.tolist(), own[1:].tolist(), strict=False)):
+                    d = (int(tag[i]), zlib.crc32(block[a:b]))
                     if d not in met:
                         met.add(d)
                         first[i] = True
@@ -125,11 +134,10 @@ def packed_entries(docs: DataFrame, parts: int, fine: int, length: int, gram: in
                 order = np.argsort(shard, kind="stable")
                 anchor, who, at, n, shard = (anchor[order] >> U64(24)), who[order], at[order], n[order], shard[order]
                 cuts = np.flatnonzero(np.concatenate((shard[:1] >= 0, shard[1:] != shard[:-1])))
-                texts = np.frombuffer(b"".join(digest), np.int64)  # six bytes of them tell a group's texts apart
                 rows = []
                 for a, b in zip(cuts, np.append(cuts[1:], len(shard)), strict=True):
                     some, where = np.unique(who[a:b], return_inverse=True)
-                    rows.append((int(shard[a]) % parts, int(shard[a]), planes(np.diff(ids[low + some], prepend=0), 8), planes(texts[some], 6), planes(anchor[a:b], 5), planes(np.diff(where, prepend=0), 4), planes(np.diff(at[a:b], prepend=0), 4), n[a:b].astype(np.uint8).tobytes()))
+                    rows.append((int(shard[a]) % parts, int(shard[a]), planes(np.diff(ids[low + some], prepend=0), 8), planes(tag[some], 6), planes(anchor[a:b], 5), planes(np.diff(where, prepend=0), 4), planes(np.diff(at[a:b], prepend=0), 4), n[a:b].astype(np.uint8).tobytes()))
                 columns = list(zip(*rows, strict=True)) or [()] * 8
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[2:])], ["part", "shard", "docs", "texts", "anchor", "who", "at", "n"])
 
@@ -140,7 +148,7 @@ ENTRY = np.dtype([("anchor", U64), ("shard", np.int64), ("text", np.int64), ("do
 
 
 def shared_entries(packed: DataFrame, parts: int) -> DataFrame:
-    """(shard, doc_id, ats, ns): the entries whose anchor occurs in different texts, one row a shard and document."""
+    """(shard, doc_id, tag, ats, ns): the entries whose anchor occurs in different texts, one row a shard and document."""
 
     def met(some: np.ndarray):
         order = np.lexsort((some["text"], some["anchor"], some["shard"]))
@@ -153,14 +161,14 @@ def shared_entries(packed: DataFrame, parts: int) -> DataFrame:
         some = some[np.repeat(several, ends - starts)]
         if not len(some):
             return None
-        some = some[np.lexsort((some["at"], some["doc"], some["shard"]))]
+        some = some[np.lexsort((some["at"], some["text"], some["doc"], some["shard"]))]
         shard = np.ascontiguousarray(some["shard"])
-        cuts = np.flatnonzero(np.concatenate(([True], (some["doc"][1:] != some["doc"][:-1]) | (shard[1:] != shard[:-1]))))
+        cuts = np.flatnonzero(np.concatenate(([True], (some["doc"][1:] != some["doc"][:-1]) | (some["text"][1:] != some["text"][:-1]) | (shard[1:] != shard[:-1]))))
         ends = np.append(cuts[1:], len(some))
         at, n = np.ascontiguousarray(some["at"]), np.ascontiguousarray(some["n"])
         return pa.RecordBatch.from_arrays(
-            [pa.array(shard[cuts]), pa.array(some["doc"][cuts]), pa.array([at[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()), pa.array([n[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())],
-            ["shard", "doc_id", "ats", "ns"],
+            [pa.array(shard[cuts]), pa.array(some["doc"][cuts]), pa.array(some["text"][cuts]), pa.array([at[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()), pa.array([n[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())],
+            ["shard", "doc_id", "tag", "ats", "ns"],
         )
 
     def run(batches):
@@ -192,17 +200,16 @@ def shared_entries(packed: DataFrame, parts: int) -> DataFrame:
             if out is not None:
                 yield out
 
-    return packed.repartitionById(parts, "part").mapInArrow(run, "shard long, doc_id long, ats binary, ns binary")
+    return packed.repartitionById(parts, "part").mapInArrow(run, "shard long, doc_id long, tag long, ats binary, ns binary")
 
 
 def passages(held: DataFrame, length: int) -> DataFrame:
-    """(shard, content, rep, at, n) of each entry, from rows (rep, text, shards, ats, ns)."""
+    """(shard, content, rep, tag, at, n) of each entry, from rows (rep, tag, text, shards, ats, ns)."""
 
     def run(batches):
         for batch in batches:
-            data, offsets = raw_text(batch.column(1))
-            reps = batch.column(0).to_pylist()
-            shards, ats, ns = (c.to_pylist() for c in batch.columns[2:])
+            data, offsets = raw_text(batch.column(2))
+            reps, tags, _, shards, ats, ns = (c.to_pylist() if i != 2 else None for i, c in enumerate(batch.columns))
             out, size = [], 0
             for i, rep in enumerate(reps):
                 at = np.concatenate([np.frombuffer(x, np.uint32) for x in ats[i]]).astype(np.int64)
@@ -210,88 +217,152 @@ def passages(held: DataFrame, length: int) -> DataFrame:
                 shard = np.repeat(np.array(shards[i], np.int64), [len(x) for x in ns[i]])
                 _, first = np.unique(at, return_index=True)  # copies of a text sent the same entries
                 at, n, shard = at[first], n[first], shard[first]
-                out.append((np.full(len(at), rep, np.int64), shard, at, n, at + offsets[i]))
+                out.append((np.full(len(at), rep, np.int64), np.full(len(at), tags[i], np.int64), shard, at, n, at + offsets[i]))
                 size += len(at)
                 if size > 1 << 16 or i == len(reps) - 1:
-                    rep_, shard, at, n, start = (np.concatenate(c) for c in zip(*out, strict=True))
+                    rep_, tag, shard, at, n, start = (np.concatenate(c) for c in zip(*out, strict=True))
                     width = n + length - 1
                     ends = np.cumsum(width)
                     spot = np.repeat(start - (ends - width), width) + np.arange(ends[-1] if len(ends) else 0)
                     content = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32).tobytes()), pa.py_buffer(data[spot].tobytes())])
-                    yield pa.RecordBatch.from_arrays([pa.array(shard), content, pa.array(rep_), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["shard", "content", "rep", "at", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(shard), content, pa.array(rep_), pa.array(tag), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["shard", "content", "rep", "tag", "at", "n"])
                     out, size = [], 0
 
-    return held.mapInArrow(run, "shard long, content binary, rep long, at int, n int")
-
-
-def first_holders(contents: list[bytes], least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(content, first window, end window, least holder) of runs of windows with one least holder."""
-    size = np.fromiter(map(len, contents), np.int64, len(contents))
-    letters = np.frombuffer(b"\0".join(contents) + b"\0", np.uint8).astype(np.int16) + np.int16(2)
-    start = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
-    letters[start + size] = 1
-    text = np.append(letters, np.int16(0))
-    order, lcp = sort(text, 258, length, MEMORY)
-    owner = np.repeat(np.arange(len(contents)), size + 1)
-    window = np.zeros(len(text), bool)
-    window[:-1] = np.arange(len(letters)) + length <= (start + size)[owner]
-    full = np.flatnonzero(window[order])
-    lcp[0] = 0
-    met = np.minimum.reduceat(lcp, np.concatenate(([0], full[:-1] + 1))) if len(full) else lcp[:0]
-    # The least common prefix since the window before: from the entry after it up to this one.
-    if len(full):
-        met[0] = 0
-    at = order[full]
-    groups = np.flatnonzero(met < length)
-    held = np.minimum.reduceat(least[owner[at]], groups) if len(groups) else least[:0]
-    first = np.empty(len(text), np.int64)
-    first[at] = np.repeat(held, np.diff(np.append(groups, len(at))))
-    spots = np.flatnonzero(window)
-    value, whose = first[spots], owner[spots]
-    fresh = np.ones(len(spots), bool)
-    fresh[1:] = (value[1:] != value[:-1]) | (whose[1:] != whose[:-1])
-    cut = np.flatnonzero(fresh)
-    ends = np.append(cut[1:], len(spots))
-    return whose[cut], spots[cut] - start[whose[cut]], spots[ends - 1] + 1 - start[whose[cut]], value[cut]
-
-
-def holders(distinct: DataFrame, parts: int, length: int) -> DataFrame:
+    return held.mapInArrow(run, "shard long, content binary, rep long, tag long, at int, n int")
+
+
+class Passages:
+    """A shard's passages as one text: their bytes plus 2, each ended by a 1, the whole by a 0. Arrays beyond `memory` are mapped files."""
+
+    def __init__(self, memory: int):
+        self.memory, self.file, self.blocks, self.held = memory, None, [], 0
+        self.sizes: list[np.ndarray] = []
+        self.numbers: list[tuple[np.ndarray, ...]] = []
+        self.n = 0
+
+    def add(self, column: pa.Array, *numbers: np.ndarray) -> None:
+        data, offsets = raw_text(column)
+        size = np.diff(offsets)
+        letters = np.ones(len(data) + len(size), np.uint16)
+        spot = np.ones(len(letters), bool)
+        spot[np.cumsum(size + 1) - 1] = False
+        letters[spot] = data.astype(np.uint16) + 2
+        self.n += len(letters)
+        self.sizes.append(size.astype(np.int32))
+        self.numbers.append(numbers)
+        self.blocks.append(letters)
+        self.held += letters.nbytes
+        if self.held > self.memory:
+            self.file = self.file or tempfile.TemporaryFile(prefix="passages-")
+            for block in self.blocks:
+                self.file.write(block.tobytes())
+            self.blocks, self.held = [], 0
+
+    def text(self) -> np.ndarray:
+        end = np.zeros(1, np.uint16)
+        if self.file is None:
+            return np.concatenate((*self.blocks, end))
+        for block in (*self.blocks, end):
+            self.file.write(block.tobytes())
+        self.file.flush()
+        with self.file as file:
+            return np.memmap(file, np.uint16, "r", shape=(self.n + 1,))
+
+
+def first_holders(held: Passages, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, first window, end window, least holder) of runs of windows with one least holder; the passages' first number is theirs."""
+    text, size = held.text(), np.concatenate(held.sizes)
+    least = np.concatenate([n[0] for n in held.numbers])
+    order, lcp = sort(text, 258, length, held.memory)
+    start = np.cumsum(size + 1, dtype=np.int64) - size - 1
+    scratch = Spill(held.memory)
+    owner = scratch.array(len(text), np.int32)
+    owner[:-1] = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
+    owner[-1] = 0
+    window = scratch.array(len(text), bool, 0)
+    for a in range(0, len(text) - 1, STEP):
+        some = owner[a : min(a + STEP, len(text) - 1)]
+        window[a : a + len(some)] = np.arange(a + length, a + length + len(some)) <= (start + size)[some]
+    first = scratch.array(len(text), np.int64)
+    # In order, suffixes of whole windows with common prefixes of `length` are equal windows; a group may go on over steps.
+    waiting, shared = [], 0
+    for a in range(0, len(order), STEP):
+        at, near = order[a : a + STEP], lcp[a : a + STEP]
+        full = np.flatnonzero(window[at])
+        if len(full):
+            # The least common prefix since the window before: from the entry after it up to this one.
+            met = np.minimum.reduceat(near, np.concatenate(([0], full[:-1] + 1)))
+            met[0] = min(met[0], shared) if waiting else 0
+            shared = near[full[-1] + 1 :].min() if full[-1] + 1 < len(near) else length
+            at = at[full]
+            cuts = np.flatnonzero(met < length)
+            head = cuts[0] if len(cuts) else len(at)
+            waiting.append(at[:head])
+            if len(cuts):
+                settle(first, waiting, least, owner)
+                value = np.minimum.reduceat(least[owner[at]], cuts)
+                first[at[cuts[0] :]] = np.repeat(value, np.diff(np.append(cuts, len(at))))
+                waiting = [at[cuts[-1] :]]
+        else:
+            shared = min(shared, near.min())
+    settle(first, waiting, least, owner)
+    out = []
+    for a in range(0, len(text), STEP):
+        spots = np.flatnonzero(window[a : a + STEP]) + a
+        if len(spots):
+            value, whose = first[spots], owner[spots]
+            cut_ = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (whose[1:] != whose[:-1])))
+            ends = np.append(cut_[1:], len(spots)) - 1
+            out.append((whose[cut_], spots[cut_] - start[whose[cut_]], spots[ends] + 1 - start[whose[cut_]], value[cut_]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
+
+
+def settle(first: np.ndarray, waiting: list[np.ndarray], least: np.ndarray, owner: np.ndarray) -> None:
+    """Gives a group's windows their least holder."""
+    if sum(map(len, waiting)):
+        value = min(least[owner[at]].min() for at in waiting if len(at))
+        for at in waiting:
+            first[at] = value
+
+
+def holders(distinct: DataFrame, parts: int, length: int, memory: int = MEMORY) -> DataFrame:
     """(c1, c2, first, until, holder): for each distinct passage of several holders, its windows' least holder."""
 
-    def solve(rows):
-        contents, least = [r[0] for r in rows], np.array([r[1] for r in rows], np.int64)
-        most = np.array([r[2] for r in rows], np.int64)
-        whose, first, until, holder = first_holders(contents, least, length)
+    def solve(held: Passages) -> pa.RecordBatch:
+        whose, first, until, holder = first_holders(held, length)
+        most, c1, c2 = (np.concatenate([n[i] for n in held.numbers]) for i in (1, 2, 3))
         real = holder < most[whose]
         whose, first, until, holder = whose[real], first[real], until[real], holder[real]
-        c1, c2 = np.array([r[3] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64)
         return pa.RecordBatch.from_arrays([pa.array(c1[whose]), pa.array(c2[whose]), pa.array(first.astype(np.int32)), pa.array(until.astype(np.int32)), pa.array(holder)], ["c1", "c2", "first", "until", "holder"])
 
     def run(batches):
-        rows, shard, size = [], None, 0
+        held, last = Passages(memory), None
         for batch in batches:
-            for s, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if s != shard and size > 1 << 20:
-                    yield solve(rows)
-                    rows, size = [], 0
-                shard = s
-                rows.append(row)
-                size += len(row[0])
-        if rows:
-            yield solve(rows)
+            shard = batch.column(0).to_numpy(zero_copy_only=False)
+            cuts = np.concatenate(([0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)])).tolist()
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if shard[a] != last and held.n > 1 << 20:  # small shards are sorted together
+                    yield solve(held)
+                    held = Passages(memory)
+                last = shard[a]
+                held.add(batch.column(1).slice(a, b - a), *(batch.column(i).slice(a, b - a).to_numpy(zero_copy_only=False) for i in (2, 3, 4, 5)))
+        if held.n:
+            yield solve(held)
 
     dealt = distinct.withColumn("part", (F.col("shard") % parts).cast("int")).repartitionById(parts, "part").sortWithinPartitions("shard")
     return dealt.select("shard", "content", "least", "most", "c1", "c2").mapInArrow(run, "c1 long, c2 long, first int, until int, holder long")
 
 
 def cut(held: DataFrame) -> DataFrame:
-    """(rep, n_removed, n_spans, kept_sha256, spans) from rows (rep, text, ranges)."""
+    """(rep, tag, n_removed, n_spans, kept_sha256, spans) from rows (rep, tag, text, ranges)."""
 
     def run(batches):
         for batch in batches:
-            data, offsets = raw_text(batch.column(1))
+            data, offsets = raw_text(batch.column(2))
             rows = []
-            for i, ranges in enumerate(batch.column(2).to_pylist()):
+            for i, ranges in enumerate(batch.column(3).to_pylist()):
                 text = data[offsets[i] : offsets[i + 1]].tobytes()
                 spans: list[list[int]] = []
                 for a, b in sorted((r["a"], r["b"]) for r in ranges):
@@ -307,50 +378,66 @@ def cut(held: DataFrame) -> DataFrame:
                 rows.append((sum(b - a for a, b in spans), len(spans), digest.hexdigest(), spans))
             columns = list(zip(*rows, strict=True)) or [()] * 4
             types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["rep", "n_removed", "n_spans", "kept_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["rep", "tag", "n_removed", "n_spans", "kept_sha256", "spans"])
+
+    return held.mapInArrow(run, "rep long, tag long, n_removed long, n_spans long, kept_sha256 string, spans array<array<int>>")
+
+
+def windows(found: DataFrame, scratch: Scratch, length: int, hot_bytes: int, parts: int) -> DataFrame:
+    """The passages, those of shards beyond `hot_bytes` cut to single windows that are dealt out by hash."""
+    size = F.approx_count_distinct("c1") * F.avg(F.col("n") + length - 1)
+    hot = scratch.table(found.groupBy("shard").agg(size.alias("size")).where(F.col("size") > hot_bytes).select("shard"), "hot")
+    if not hot.limit(1).count():
+        return found
+    one = found.join(hot, "shard", "left_semi").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    one = one.withColumn("content", F.expr(f"substring(content, i + 1, {length})"))
+    one = named(one.select(F.pmod(F.xxhash64("content"), F.lit(parts)).alias("shard"), "content", "rep", "tag", (F.col("at") + F.col("i")).alias("at"), F.lit(1).alias("n")))
+    return scratch.table(found.join(hot, "shard", "left_anti").select(*one.columns).unionByName(one), "dealt")
+
 
-    return held.mapInArrow(run, "rep long, n_removed long, n_spans long, kept_sha256 string, spans array<array<int>>")
+def named(passages: DataFrame) -> DataFrame:
+    """With two independent hashes of the content."""
+    return passages.withColumn("c1", F.xxhash64(F.lit(1), "content")).withColumn("c2", F.xxhash64(F.lit(2), "content"))
 
 
-def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_bytes: int = HOT_BYTES, memory: int = MEMORY) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of each text; spans: [start, end) of the removed runs."""
     scratch = Scratch(docs.sparkSession, "repeats")
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sized = scratch.table(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("sha")), "sized")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tag", F.xxhash64("text"))
+    sized = scratch.table(docs.select("doc_id", F.col("tag").bitwiseAND(TAG).alias("tag"), F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("sha")), "sized")
     total = sized.agg(F.sum("n_bytes")).first()[0] or 0
     fine = max(16, int(total // SHARD_BYTES))
     parts = min(fine, MOST_PARTS)
-    classes = sized.groupBy("sha").agg(F.min("doc_id").alias("rep"))
-    members = scratch.table(sized.join(classes, "sha").select("doc_id", "rep", "n_bytes", "sha"), "members")
+    classes = scratch.table(sized.groupBy("sha").agg(F.min("doc_id").alias("rep")), "classes")  # written, so that a hot text's join may be split
+    members = scratch.table(sized.join(classes, "sha").select("doc_id", "tag", "rep", "n_bytes", "sha"), "members")
 
     shared = scratch.table(shared_entries(packed_entries(docs, parts, fine, length, gram), parts), "shared")
     scratch.free(wait=1.5)  # the packed entries are the largest shuffle
-    by_rep = shared.join(members.select("doc_id", "rep"), "doc_id").groupBy("rep").agg(F.collect_list("shard").alias("shards"), F.collect_list("ats").alias("ats"), F.collect_list("ns").alias("ns"))
-    texts = docs.withColumnRenamed("doc_id", "rep")
-    found = passages(texts.join(by_rep, "rep").select("rep", "text", "shards", "ats", "ns"), length)
-    named = found.withColumn("c1", F.xxhash64("content", F.lit(1))).withColumn("c2", F.xxhash64("content", F.lit(2)))
-    scratch.table(named, "passages")
-    del shared, by_rep, found, named
-    found = scratch.read("passages")
+    own = members.select("doc_id", "tag", "rep").distinct()
+    by_rep = shared.join(own, ["doc_id", "tag"]).groupBy("rep", "tag").agg(F.collect_list("shard").alias("shards"), F.collect_list("ats").alias("ats"), F.collect_list("ns").alias("ns"))
+    texts = docs.select(F.col("doc_id").alias("rep"), F.col("tag").bitwiseAND(TAG).alias("tag"), "text")
+    found = named(passages(texts.join(by_rep, ["rep", "tag"]).select("rep", "tag", "text", "shards", "ats", "ns"), length))
+    scratch.table(found, "passages")
+    del shared, by_rep, own, found
     scratch.drop("shared")
     scratch.free(wait=1.5)
 
-    distinct = found.groupBy("shard", "content").agg(F.min("rep").alias("least"), F.max("rep").alias("most"))
-    distinct = distinct.withColumn("c1", F.xxhash64("content", F.lit(1))).withColumn("c2", F.xxhash64("content", F.lit(2)))
-    first = scratch.table(holders(distinct, parts, length), "holders")
-    hit = found.select("c1", "c2", "rep", "at").join(first, ["c1", "c2"]).where("holder < rep")
-    ranges = hit.select("rep", F.struct((F.col("at") + F.col("first")).alias("a"), (F.col("at") + F.col("until") + F.lit(length - 1)).alias("b")).alias("r"))
-    ranges = scratch.table(ranges.groupBy("rep").agg(F.collect_set("r").alias("ranges")), "ranges")
+    found = windows(scratch.read("passages"), scratch, length, hot_bytes, parts)
+    distinct = named(found.groupBy("shard", "content").agg(F.min("rep").alias("least"), F.max("rep").alias("most")))
+    first = scratch.table(holders(distinct, parts, length, memory), "holders")
+    hit = found.select("c1", "c2", "rep", "tag", "at").join(first, ["c1", "c2"]).where("holder < rep")
+    ranges = hit.select("rep", "tag", F.struct((F.col("at") + F.col("first")).alias("a"), (F.col("at") + F.col("until") + F.lit(length - 1)).alias("b")).alias("r"))
+    ranges = scratch.table(ranges.groupBy("rep", "tag").agg(F.collect_set("r").alias("ranges")), "ranges")
     del distinct, first, hit, found
     scratch.drop("passages")
-    changed = scratch.table(cut(texts.join(ranges, "rep").select("rep", "text", "ranges")), "changed")
+    changed = scratch.table(cut(texts.join(ranges, ["rep", "tag"]).select("rep", "tag", "text", "ranges")), "changed")
 
     copy = (F.col("doc_id") != F.col("rep")) & (F.col("n_bytes") >= length)
     empty = hashlib.sha256(b"").hexdigest()
-    own = members.where(~copy).select("doc_id", "n_bytes", F.lower(F.hex("sha")).alias("sha"), F.when(F.col("doc_id") == F.col("rep"), F.col("rep")).alias("rep"))
-    kept = own.join(changed, "rep", "left").select(
+    own = members.where(~copy).select("doc_id", "n_bytes", F.lower(F.hex("sha")).alias("sha"), "tag", F.when(F.col("doc_id") == F.col("rep"), F.col("rep")).alias("rep"))
+    kept = own.join(changed.dropDuplicates(["rep", "tag"]), ["rep", "tag"], "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
         F.coalesce("kept_sha256", "sha").alias("kept_sha256"), F.coalesce("spans", F.array().cast("array<array<int>>")).alias("spans"),
     )
     gone = members.where(copy).select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(empty).alias("kept_sha256"), F.array(F.array(F.lit(0), F.col("n_bytes").cast("int"))).alias("spans"))
-    return kept.unionByName(gone)
+    return kept.unionByName(gone).withColumn("doc_id", F.when(F.col("doc_id") < NO_ID, F.col("doc_id")))

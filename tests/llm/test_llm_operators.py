@@ -73,19 +73,50 @@ def brute_repeats(texts, length):
     return out
 
 
-def test_repeats(hard_docs, no_docs, plain):
-    got = {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in rows(repeats.remove(hard_docs)).items()}
+def brute_rows(rows, length):
+    """As brute_repeats, for rows (doc_id, text) with repeated and null ids: a null is larger than all, equal ids are not smaller."""
+    held, out = {}, Counter()
+    place = lambda i: float("inf") if i is None else i
+    for i, t in sorted(rows, key=lambda r: place(r[0])):
+        b = (t or "").encode()
+        for k in range(len(b) - length + 1):
+            held.setdefault(b[k : k + length], place(i))
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - length + 1):
+            if held[b[k : k + length]] < place(i):
+                gone[k : k + length] = b"\1" * length
+        out[i, len(b), sum(gone), hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()] += 1
+    return out
+
+
+@pytest.mark.parametrize(("hot", "memory"), [(repeats.HOT_BYTES, repeats.MEMORY), (2000, 1 << 14)])
+def test_repeats(spark, hard_docs, no_docs, plain, hot, memory):
+    """Also with shards far larger than the memory, and with single windows of hot shards."""
+    got = {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in rows(repeats.remove(hard_docs, hot_bytes=hot, memory=memory)).items()}
     assert got == brute_repeats(plain, 50)
     assert repeats.remove(no_docs).count() == 0
+    rng = random.Random(hot)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7))) for _ in range(n))
+    line, other = say(20), [say(25) for _ in range(4)]  # every text holds the line, each with another neighbour
+    made = [(i, f"{say(rng.randrange(5))} {line} {say(rng.randrange(9))} {rng.choice(other)[rng.randrange(60):]}") for i in range(60)]
+    made += [(7, made[7][1]), (8, made[9][1]), (9, say(40) + line), (None, made[3][1]), (None, say(9) + other[0]), (None, say(8) + other[0]), (None, None)]
+    rng.shuffle(made)
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    found = Counter((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in repeats.remove(docs, hot_bytes=hot, memory=memory).collect())
+    assert found == brute_rows(made, 50)
 
 
-def test_suffix_sort():
+def test_suffix_sort(monkeypatch):
     rng = random.Random(5)
-    for _ in range(120):
-        b = bytes(rng.choice(b"abc"[: rng.randrange(1, 4)]) for _ in range(rng.randrange(1, 50)))
-        cap = rng.randrange(1, 12)
-        text = np.append(np.frombuffer(b, np.uint8).astype(np.int16) + 2, np.int16(0))
-        for memory in (1 << 20, 60):  # the second keeps most queues on disk
+    for turn in range(200):
+        b = bytes(rng.choice(b"abcdefgh"[: rng.randrange(1, 8)]) for _ in range(rng.randrange(1, 90))) * rng.randrange(1, 4)
+        cap = rng.randrange(1, 40)
+        monkeypatch.setattr(suffixes, "RANGE", rng.choice([1, 3, 1 << 12]))
+        monkeypatch.setattr(suffixes, "LOOK", rng.choice([1, 2, 1 << 9]))
+        text = np.append(np.frombuffer(b, np.uint8).astype(np.uint16) + 2, 0).astype(np.uint16)
+        for memory in (1 << 20, 60):  # the second keeps most queues and arrays on disk
             order, lcp = suffixes.sort(text, 258, cap, memory)
             tails = [b[i : i + cap] for i in order]
             assert sorted(order.tolist()) == list(range(len(text))) and tails == sorted(tails)
@@ -93,6 +124,22 @@ def test_suffix_sort():
             assert lcp.tolist() == expected
 
 
+def test_suffix_sort_on_disk(monkeypatch):
+    """A text far larger than the memory goes through queues on disk, at every level of names."""
+    rng, written, levels = random.Random(6), [], []
+    write, order = suffixes.Spill.write, suffixes.name_order
+    monkeypatch.setattr(suffixes.Spill, "write", lambda self, block: written.append(block.nbytes) or write(self, block))
+    monkeypatch.setattr(suffixes, "name_order", lambda names, cap, spill: levels.append(len(names)) or order(names, cap, spill))
+    words = [bytes(rng.choice(b"abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    b = b" ".join(rng.choice(words) for _ in range(60_000))
+    text = np.append(np.frombuffer(b, np.uint8).astype(np.uint16) + 2, 0).astype(np.uint16)
+    got, lcp = suffixes.sort(text, 258, 50, 1 << 14)
+    assert sum(written) > 10 * len(b) and len(b) > 20 * (1 << 14) and len(levels) == 2
+    tails = [b[i : i + 50] for i in got]
+    assert all(x <= y for x, y in zip(tails, tails[1:], strict=False)) and len(np.unique(got)) == len(text)
+    assert all(x[:k] == y[:k] and (k == 50 or x[k : k + 1] != y[k : k + 1]) for x, y, k in zip(tails, tails[1:], lcp[1:].tolist(), strict=False))
+
+
 # 3: decontamination
 
 
