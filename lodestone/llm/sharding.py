@@ -1,14 +1,18 @@
-"""K-d tree partitioning into a given number of shards, by DataFrame operations alone.
+"""K-d tree partitioning by DataFrame operations alone.
 
-Each document is a point: its bytes, its bytes beyond one per character, and its text's CRC. A node is split along the
+Each document is a point of its metadata: bytes, characters, source and language, the last two as numbers that stand for
+their names. Equal texts are one point: they take the least source and language among them. A node is split along the
 dimension in which it is widest against the whole table, at the weighted quantile that gives each side its share of
-leaves. All nodes of a level are split together: sums of bytes by bin narrow each cut down, a bin at a time, so a level
-costs a few aggregations whose results hold nodes x BINS rows at most, whatever the table holds. Equal texts have equal
-points; a cut goes between two of them only where the group outweighs KEEP of a shard, and then by hash of doc_id.
+leaves, until leaves hold the target bytes: a given number of bytes, or the table's share of a given number of shards. All
+nodes of a level are split together: sums of bytes by bin narrow each cut down, a bin at a time, so a level costs a few
+aggregations whose results hold nodes x BINS rows at most, whatever the table holds. Rows with one value in the cut's
+dimension are ordered by their texts' CRC, so equal texts stay together; a cut goes between two of them only where the
+group outweighs KEEP of a shard, and then by hash of doc_id.
 
 Law: bytes. Sizes of shards differ by a few thousandths of a shard, or by about a document where that is more.
-Defined cases: a null text has 0 bytes (size 8) and CRC 0; rows equal in text and doc_id can't be cut apart; an empty
-table gives no rows; a table with fewer rows than shards leaves shards empty.
+Defined cases: a null text has 0 bytes (size 8) and CRC 0; a null or missing source, language or n_chars counts as the
+empty name or as the text's own characters; rows equal in text and doc_id can't be cut apart; an empty table gives no
+rows; a table with fewer rows than shards leaves shards empty.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 BINS, KEEP, EXACT, SLOTS = 512, 0.004, 0.0005, 128
-DIMS = ("size", "surplus", "crc")
+DIMS = ("size", "chars", "source", "lang")
 
 
 @dataclass
@@ -41,11 +45,17 @@ class Node:
 
 def key(dim: str) -> Column:
     """One number a row for a dimension; rows with one value are ordered by their CRC."""
-    if dim == "crc":
-        return F.shiftleft(F.col("crc"), 31) + F.least(F.col("size"), F.lit(2**31 - 1))
     return F.shiftleft(F.least(F.col(dim), F.lit(2**31 - 1)), 32) + F.col("crc")
 
 
+def named(docs: DataFrame, column: str) -> Column:
+    """A number of 31 bits for a name; the empty one, null or a missing column: 0."""
+    if column not in docs.columns:
+        return F.lit(0).cast("long")
+    name = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return F.shiftright(F.crc32(F.encode(name, "UTF-8")), 1).cast("long")
+
+
 def tree(node: Node, leaf) -> Column:
     """The expression that takes a row down the tree."""
     if not node.sides:
@@ -101,7 +111,7 @@ class Search:
 
 
 def grow(points: DataFrame, shards: int) -> Node:
-    """The tree over rows of (size, surplus, crc, tie)."""
+    """The tree over rows of DIMS, their keys and tie."""
     root, spark = Node(0, shards), points.sparkSession
     whole = points.agg(F.sum("size").alias("bytes"), *(f(d).alias(f"{n}_{d}") for d in DIMS for n, f in (("low", F.min), ("high", F.max)))).first()
     if not whole.bytes:
@@ -125,7 +135,7 @@ def grow(points: DataFrame, shards: int) -> Node:
         while going := [s for s in searches.values() if s.node.cut is None]:
             rows = ", ".join(s.row() for s in going)
             states = spark.sql(f"select * from values {rows} as t(node, dim, at, low, high, step)").select("node", "dim", F.col("at").cast("long"), *(F.col(c).cast("long") for c in ("low", "high", "step")))
-            own = F.when(F.col("dim") == DIMS[0], F.col(f"key_{DIMS[0]}")).when(F.col("dim") == DIMS[1], F.col(f"key_{DIMS[1]}")).otherwise(F.col(f"key_{DIMS[2]}"))
+            own = F.coalesce(*(F.when(F.col("dim") == d, F.col(f"key_{d}")) for d in DIMS))
             met = box.join(F.broadcast(states), "node").withColumn("own", own)  # a row a node
             met = met.where(F.col("at").isNull() | (F.col("own") == F.col("at"))).withColumn("value", F.when(F.col("at").isNull(), F.col("own")).otherwise(F.col("tie")))
             met = met.where("value >= low and value < high").withColumn("bin", F.expr("(value - low) div step"))
@@ -139,17 +149,28 @@ def grow(points: DataFrame, shards: int) -> Node:
     return root
 
 
-def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row."""
-    scratch = Scratch(docs.sparkSession, "shards")
+def points_of(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, size, chars, source, lang, crc, tie) of every row; texts are read once, later passes read these numbers alone."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    octets = F.octet_length(text).cast("long")
-    points = docs.select(
-        "doc_id", (octets + 8).alias("size"), (octets - F.char_length(text)).alias("surplus"),
+    own = docs.select(
+        "doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.char_length(text).cast("long").alias("chars"), named(docs, "source").alias("source"), named(docs, "lang").alias("lang"),
         F.crc32(F.encode(text, "UTF-8")).alias("crc"), F.shiftrightunsigned(F.xxhash64("doc_id"), 2).alias("tie"),
     )
+    own = scratch.table(own, "own")
+    # Equal texts have one size and CRC. Written, so that a hot text's join may be split.
+    groups = own.groupBy("crc", "size").agg(F.min("source").alias("first_source"), F.min("lang").alias("first_lang"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
+    held = own.join(scratch.table(groups, "groups"), ["crc", "size"], "left")
+    return held.select("doc_id", "size", "chars", F.coalesce("first_source", "source").alias("source"), F.coalesce("first_lang", "lang").alias("lang"), "crc", "tie")
+
+
+def shard(docs: DataFrame, shards: int = 24, target_bytes: int | None = None) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row; target_bytes: of a shard, in place of their number."""
+    scratch = Scratch(docs.sparkSession, "shards")
+    points = points_of(docs, scratch)
     points = points.select("*", *(key(d).alias(f"key_{d}") for d in DIMS))
-    points = scratch.table(points, "points")  # texts are read once; every later pass reads these numbers alone
+    points = scratch.table(points, "points")
+    if target_bytes:
+        shards = max(1, -(-(points.agg(F.sum("size")).first()[0] or 0) // target_bytes))
     placed = points.withColumn("shard", tree(grow(points, shards), lambda n: F.lit(n.low)).cast("int")).withColumn("lot", F.pmod("tie", F.lit(SLOTS)))
     # Slots: each shard's rows are dealt into lots by hash, numbered within a lot, and shifted by the lots before.
     lots = placed.groupBy("shard", "lot").agg(F.count(F.lit(1)).alias("n"))
