@@ -2,7 +2,8 @@
 
 Texts and test items are lower-cased and their white space runs become one space. An item with an error budget of k is
 cut into k + 1 pieces: a passage within k edits holds one of them unchanged. One automaton finds all pieces of a block of
-items; hits on neighbouring diagonals become one window, and Myers' bit-parallel distance decides the best match in it.
+items; the windows around an item's hits are merged where they overlap, and Myers' bit-parallel distance finds the closest
+match in each. A second pass, from that match's end backwards, finds where it starts.
 
 Defined cases: null and empty texts match nothing; items without a word are left out; equal items are all reported; a
 text shorter than the item matches only within the budget. The items are taken in blocks of a stated number of bytes, so
@@ -73,6 +74,31 @@ class Myers:
         return found
 
 
+    def anchored(self, window: str, distance: int) -> int:
+        """The fewest characters of the window, from its first on, that are at a distance from the whole pattern."""
+        plus, minus, score = self.full, 0, self.n
+        if score == distance:
+            return 0
+        full, top, peq = self.full, self.top, self.peq.get
+        for at, c in enumerate(window, 1):
+            equal = peq(c, 0)
+            vertical = equal | minus
+            across = (((equal & plus) + plus) ^ plus) | equal
+            up = minus | (full & ~(across | plus))
+            down = plus & across
+            if up & top:
+                score += 1
+            elif down & top:
+                score -= 1
+            up = (up << 1 | 1) & full  # characters before the match's first cost one each
+            down = down << 1 & full
+            plus = down | (full & ~(vertical | up))
+            minus = up & vertical
+            if score == distance:
+                return at
+        raise ValueError("no such distance")
+
+
 class Matcher:
     """A block of items, ready to search texts."""
 
@@ -86,7 +112,7 @@ class Matcher:
         for piece, where in spots.items():
             self.automaton.add_word(piece, (len(piece), where))
         self.automaton.make_automaton()
-        self.myers: dict[int, Myers] = {}
+        self.myers: dict[int, tuple[Myers, Myers]] = {}
 
     def matches(self, text: str) -> list[tuple[int, int, int, int, int]]:
         """(item_id, distance, item's length, start, end) of the closest match of each item found."""
@@ -99,23 +125,28 @@ class Matcher:
         out = []
         for which, starts in begins.items():
             item_id, item, k = self.items[which]
-            best, high = None, None
-            for start in sorted(starts):
-                if high is not None and start <= high and best is not None and best[0] == 0:
-                    continue
-                if text.startswith(item, start) if start >= 0 else False:
-                    best = min(best or (k + 1, 0, 0), (0, start, start + len(item)))
-                    break
-                if k == 0:
-                    continue
+            n, starts = len(item), sorted(starts)
+            whole = next((s for s in starts if s >= 0 and text.startswith(item, s)), None)
+            if whole is not None:
+                out.append((item_id, 0, n, whole, whole + n))
+                continue
+            best, windows = None, []
+            for start in starts if k else ():
+                low, high = max(0, start - k), start + n + k
+                if windows and low <= windows[-1][1]:
+                    windows[-1][1] = high
+                else:
+                    windows.append([low, high])
+            for low, high in windows:
                 if which not in self.myers:
-                    self.myers[which] = Myers(item)
-                low, high = max(0, start - k), start + len(item) + 2 * k
-                found = self.myers[which].best(text[low:high], k)
+                    self.myers[which] = Myers(item), Myers(item[::-1])
+                found = self.myers[which][0].best(text[low:high], k)
                 if found and (best is None or found[0] < best[0]):
-                    best = (found[0], max(0, low + found[1] - len(item)), low + found[1])
+                    best = (found[0], low + found[1])
             if best is not None:
-                out.append((item_id, best[0], len(item), best[1], best[2]))
+                distance, end = best
+                back = self.myers[which][1].anchored(text[max(0, end - n - k) : end][::-1], distance)
+                out.append((item_id, distance, n, end - back, end))
         return sorted(out)
 
 
@@ -148,9 +179,10 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "item_id", "distance", "item_chars", "match_start", "match_end"]
     for items in item_blocks(benchmark, rate):
+        held = docs.sparkSession.sparkContext.broadcast(items)  # ITEM_BYTES of text and an id each
 
-        def run(batches, items=items):
-            matcher = Held.of(items, rate)
+        def run(batches, held=held):
+            matcher = Held.of(held.value, rate)
             for batch in batches:
                 rows, at, base = [], [], 0
                 _, offsets = raw_text(batch.column(1))
@@ -171,9 +203,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
     """The rows whose texts hold no test item, all columns kept."""
     spot = docs.columns.index("text")
     for items in item_blocks(benchmark, rate):
+        held = docs.sparkSession.sparkContext.broadcast(items)
 
-        def run(batches, items=items):
-            matcher = Held.of(items, rate)
+        def run(batches, held=held):
+            matcher = Held.of(held.value, rate)
             for batch in batches:
                 keep = []
                 _, offsets = raw_text(batch.column(spot))
