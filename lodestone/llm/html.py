@@ -1,12 +1,17 @@
 """Main text of pages by wrapper induction.
 
 A page's DOM is reduced to a skeleton: one node for each kind (tag and classes) of child under a node. The distinct
-skeletons of a host are aligned, the commonest first, by simple tree matching into one wrapper, so that each text block
-of a page has a place in it. A text that most of the host's differing pages hold at one place is template, the others are
-varying slots. The content is what lies under the wrapper's outermost article and main nodes where it has any (constant
-blocks of an article stay, but not articles that are constant as a whole beside varying ones); elsewhere it is all varying text, less template blocks.
-Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are left out by tag, role and
-class at any place.
+skeletons of a host are aligned by simple tree matching into one wrapper, so that each text block of a page has a place
+in it. Skeletons are aligned FORMS at a time, the commonest first, into partial wrappers, and these again, until a host
+has one: no task aligns more than FORMS trees.
+
+A text that most of the host's differing pages hold at one place is template, the others are varying slots. Pages vote by
+their longest blocks, so near copies of one page have about one vote. The content is what lies under the wrapper's
+outermost article and main nodes where it has any (but not articles that are constant as a whole beside varying ones);
+elsewhere it is all varying text. Template blocks go in both; within an article only on hosts of SURE_PAGES differing
+pages and more, at a share of SURE, and where they are less than half of the page's own article.
+What varies though it is no content can't be told by alignment: menus, headers, footers, sidebars, notices, adverts,
+forms, comments, scripts and styles are left out by tag, role and class at any place.
 
 Blocks are the texts between block-level tags, white space collapsed, joined by one line feed.
 
@@ -32,6 +37,8 @@ from .common import Scratch
 
 DEEPEST = 200  # levels of a skeleton that are told apart
 CONSTANT, PAGES, LOTS = 0.6, 3, 32  # share of pages and least number of pages of a template text; parts of a host's texts
+SURE, SURE_PAGES = 0.8, 10  # the same within an article
+FORMS = 64  # trees aligned by one task
 
 # Elements by HTML's own kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -272,6 +279,12 @@ def host_of(url: str | None) -> str:
         return url or ""
 
 
+def leading(texts: list[str], digests: list[int]) -> list[int]:
+    """The digests of a page's longest differing blocks, three at most."""
+    held = {d: len(t) for t, d in zip(texts, digests, strict=True)}
+    return sorted(held, key=lambda d: (-held[d], d))[:3]
+
+
 def parsed(pages: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -281,22 +294,70 @@ def parsed(pages: DataFrame) -> DataFrame:
                 skeleton = json.dumps(shape(root), separators=(",", ":"))
                 texts = [t for _, t in blocks]
                 digest = [xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts]
-                rows.append((host_of(url), skeleton, xxhash.xxh64_intdigest("\n".join(texts)) - (1 << 63), [b.place for b, _ in blocks], texts, digest))
+                rows.append((host_of(url), skeleton, leading(texts, digest), [b.place for b, _ in blocks], texts, digest))
             columns = list(zip(*rows, strict=True)) or [()] * 6
-            types = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["page_id", "url", "host", "skeleton", "content", "nodes", "texts", "digests"])
+            types = [pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["page_id", "url", "host", "skeleton", "leads", "nodes", "texts", "digests"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    out = pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, host string, skeleton string, content long, nodes array<int>, texts array<string>, digests array<long>")
+    out = pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, host string, skeleton string, leads array<long>, nodes array<int>, texts array<string>, digests array<long>")
     return out.withColumn("form", F.xxhash64("skeleton"))
 
 
-def induced(skeletons: pd.DataFrame) -> pd.DataFrame:
-    """One host's distinct skeletons, aligned: the places of each, and the wrapper's kinds and parents in the first row."""
+def nested(wrapper: Wrapper) -> tuple[list, list[int]]:
+    """(the wrapper as a tree, the place of each of its nodes in that tree's order)."""
+    order: list[int] = []
+
+    def walk(place: int) -> list:
+        order.append(place)
+        return [wrapper.kinds[place], [walk(k) for k in wrapper.kids[place]]]
+
+    return walk(0), order
+
+
+def induced(trees: pd.DataFrame) -> pd.DataFrame:
+    """One lot's trees, aligned: the places of each in the lot's wrapper, and the wrapper as a tree in the first row."""
     wrapper = Wrapper()
-    rows = skeletons.sort_values(["pages", "form"], ascending=[False, True])
+    rows = trees.sort_values(["pages", "form"], ascending=[False, True])
     maps = [wrapper.align(json.loads(s)) for s in rows["skeleton"]]
-    return pd.DataFrame({"host": rows["host"], "form": rows["form"], "places": maps, "kinds": [wrapper.kinds] + [None] * (len(rows) - 1), "parents": [wrapper.parents] + [None] * (len(rows) - 1)})
+    tree, order = nested(wrapper)
+    spot = [0] * len(order)
+    for i, place in enumerate(order):
+        spot[place] = i
+    rest = [None] * (len(rows) - 1)
+    return pd.DataFrame({"host": rows["host"], "lot": rows["lot"], "form": rows["form"], "places": [[spot[p] for p in m] for m in maps], "skeleton": [json.dumps(tree, separators=(",", ":")), *rest], "pages": [int(rows["pages"].sum()), *[0] * len(rest)]})
+
+
+def wrapped(shapes: DataFrame, scratch: Scratch, forms: int) -> tuple[DataFrame, DataFrame]:
+    """((host, form, places) of each form, (host, skeleton) of each host's wrapper), from (host, form, skeleton, pages)."""
+    places, turn = None, 0
+    while True:
+        turn += 1
+        size = scratch.table(shapes.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / forms).alias("lots")), f"lots-{turn}")
+        dealt = shapes.join(size, "host").withColumn("lot", F.pmod(F.xxhash64("form", "skeleton"), "lots")).select("host", "lot", "form", "skeleton", "pages")
+        kind = "host string, lot long, form long, places array<int>, skeleton string, pages long"
+        aligned = scratch.table(dealt.groupBy("host", "lot").applyInPandas(induced, kind), f"aligned-{turn}")
+        own = aligned.select("host", "form", "lot", "places")
+        if places is None:
+            places = own
+        else:  # a place in the partial wrapper becomes one in the wrapper of its lot
+            up = own.select("host", F.col("form").alias("lot"), F.col("lot").alias("next"), F.col("places").alias("up"))
+            places = places.join(up, ["host", "lot"]).select("host", "form", F.col("next").alias("lot"), F.expr("transform(places, p -> element_at(up, p + 1))").alias("places"))
+            places = scratch.table(places, f"places-{turn}")
+        shapes = aligned.where("skeleton is not null").select("host", F.col("lot").alias("form"), "skeleton", "pages")
+        if not size.where("lots > 1").limit(1).count():
+            return places.select("host", "form", "places"), shapes.select("host", "skeleton")
+
+
+def unnested(skeleton: str) -> tuple[list[str], list[int]]:
+    """(kinds, parents) of a tree's nodes, in its order."""
+    kinds, parents, deep = [], [], [(json.loads(skeleton), -1)]
+    while deep:
+        (kind, kids), parent = deep.pop()
+        kinds.append(kind)
+        parents.append(parent)
+        deep += [(k, len(kinds) - 1) for k in reversed(kids)]
+    return kinds, parents
 
 
 def slot(kinds: list[str], parents: list[int], mass: dict[int, int]) -> tuple[list[int], bool]:
@@ -319,49 +380,63 @@ def slot(kinds: list[str], parents: list[int], mass: dict[int, int]) -> tuple[li
     return ([p for m in varying or mains for p in m], True) if mains else (below(0, False), False)
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def votes(held: DataFrame, places: DataFrame) -> DataFrame:
+    """(host, place, digest, size, pages, of): how many of a host's differing pages hold each text at each place."""
+    blocks = held.join(places, ["host", "form"]).select("host", "leads", "places", F.explode(F.arrays_zip("nodes", "digests", F.transform("texts", F.length).alias("sizes"))).alias("b"))
+    blocks = blocks.select("host", F.element_at("places", F.col("b.nodes") + 1).alias("place"), F.col("b.digests").alias("digest"), F.col("b.sizes").alias("size"), F.array_except("leads", F.array("b.digests")).alias("by"))
+    voters = (F.count_distinct(F.get("by", F.lit(i))) for i in (0, 1))
+    seen = blocks.groupBy("host", "place", "digest").agg(F.greatest(*voters).alias("pages"), F.first("size").alias("size"))
+    differing = held.groupBy("host").agg(F.greatest(*(F.count_distinct(F.get("leads", F.lit(i))) for i in (0, 1))).alias("of"))
+    # A host may hold a third of all pages: its texts are dealt out by digest, and summed up again in part before they meet.
+    seen = seen.withColumn("lot", F.pmod("digest", F.lit(LOTS)))
+    differing = differing.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LOTS - 1).cast("long"))))
+    return seen.join(differing, ["host", "lot"])
+
+
+def extract(pages: DataFrame, forms: int = FORMS) -> DataFrame:
     """(page_id, url, text, n_chars) of each page."""
     scratch = Scratch(pages.sparkSession, "wrappers")
     held = scratch.table(parsed(pages), "parsed")
     shapes = held.groupBy("host", "form").agg(F.first("skeleton").alias("skeleton"), F.count(F.lit(1)).alias("pages"))
-    aligned = scratch.table(shapes.groupBy("host").applyInPandas(induced, "host string, form long, places array<int>, kinds array<string>, parents array<int>"), "aligned")
-
-    # How many differing pages of the host hold each text at each place, and how many pages differ.
-    blocks = held.join(aligned.select("host", "form", "places"), ["host", "form"]).select("host", "content", "places", F.explode(F.arrays_zip("nodes", "digests", F.transform("texts", F.length).alias("sizes"))).alias("b"))
-    blocks = blocks.select("host", "content", F.element_at("places", F.col("b.nodes") + 1).alias("place"), F.col("b.digests").alias("digest"), F.col("b.sizes").alias("size"))
-    seen = blocks.groupBy("host", "place", "digest").agg(F.count_distinct("content").alias("pages"), F.first("size").alias("size"))
-    differing = held.groupBy("host").agg(F.count_distinct("content").alias("of"))
-    # A host may hold a third of all pages: its texts are dealt out by digest, and summed up again in part before they meet.
-    seen = seen.withColumn("lot", F.pmod("digest", F.lit(LOTS)))
-    differing = differing.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LOTS - 1).cast("long"))))
-    seen = seen.join(differing, ["host", "lot"]).withColumn("fixed", (F.col("of") >= PAGES) & (F.col("pages") >= CONSTANT * F.col("of")))
-    by_place = seen.groupBy("host", "place").agg(F.sum(F.when(~F.col("fixed"), F.col("size") * F.col("pages")).otherwise(0)).alias("mass"), F.collect_list(F.when(F.col("fixed"), F.col("digest"))).alias("fixed"))
-    by_host = by_place.groupBy("host").agg(F.collect_list(F.struct("place", "mass")).alias("masses"), F.flatten(F.collect_list(F.transform("fixed", lambda d: F.struct("place", d.alias("digest"))))).alias("fixed"))
-    wrappers = scratch.table(aligned.where("kinds is not null").select("host", "kinds", "parents").join(by_host, "host"), "hosts")
+    places, wrappers = wrapped(shapes, scratch, forms)
+    seen = votes(held, places).withColumn("fixed", (F.col("of") >= PAGES) & (F.col("pages") >= CONSTANT * F.col("of")))
+    by_place = seen.groupBy("host", "place").agg(
+        F.sum(F.when(~F.col("fixed"), F.col("size") * F.col("pages")).otherwise(0)).alias("mass"),
+        F.collect_list(F.when(F.col("fixed"), F.struct("digest", ((F.col("of") >= SURE_PAGES) & (F.col("pages") >= SURE * F.col("of"))).alias("sure")))).alias("fixed"),
+    )
+    # One row a host: a mass for each place, and its template texts, no more than CONSTANT allows for: a page's blocks / CONSTANT.
+    by_host = by_place.groupBy("host").agg(F.collect_list(F.struct("place", "mass")).alias("masses"), F.flatten(F.collect_list(F.transform("fixed", lambda f: F.struct("place", f["digest"].alias("digest"), f["sure"].alias("sure"))))).alias("fixed"))
+    hosts = scratch.table(wrappers.join(by_host, "host"), "hosts")
 
     def slots(batches):
         for batch in batches:
-            found = [slot(k, p, {m["place"]: m["mass"] for m in ms}) for k, p, ms in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.bool_()), batch.column(4)], ["host", "slot", "semantic", "fixed"])
+            found = [slot(*unnested(k), {m["place"]: m["mass"] for m in ms}) for k, ms in zip(*(batch.column(i).to_pylist() for i in (1, 2)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.bool_()), batch.column(3)], ["host", "slot", "semantic", "fixed"])
 
-    chosen = wrappers.select("host", "kinds", "parents", "masses", "fixed").mapInArrow(slots, "host string, slot array<int>, semantic boolean, fixed array<struct<place:int,digest:bigint>>")
-    chosen = scratch.table(chosen, "slots")
+    kinds = "host string, slot array<int>, semantic boolean, fixed array<struct<place:int,digest:bigint,sure:boolean>>"
+    chosen = scratch.table(hosts.select("host", "skeleton", "masses", "fixed").mapInArrow(slots, kinds), "slots")
 
     def run(batches):
         for batch in batches:
             rows = []
             for nodes, texts, digests, places, inside, semantic, fixed in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
-                spots = [places[i] for i in nodes]
-                main = set(inside or [])
-                template = {(f["place"], f["digest"]) for f in fixed or []}
-                varying = [(s, d) not in template for s, d in zip(spots, digests, strict=True)]
-                kept = [s in main and (semantic or v) for s, v in zip(spots, varying, strict=True)]
-                if not any(kept):  # a page of another form than its host's
-                    kept = varying
-                rows.append("\n".join(t for t, k in zip(texts, kept, strict=True) if k))
+                template = {(f["place"], f["digest"]): f["sure"] for f in fixed or []}
+                rows.append("\n".join(content(texts, [(places[i], d) for i, d in zip(nodes, digests, strict=True)], set(inside or []), bool(semantic), template)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.string())], ["page_id", "url", "text"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    joined = held.select("page_id", "url", "host", "form", "nodes", "texts", "digests").join(aligned.select("host", "form", "places"), ["host", "form"]).join(chosen, "host", "left")
+    joined = held.select("page_id", "url", "host", "form", "nodes", "texts", "digests").join(places, ["host", "form"]).join(chosen, "host", "left")
     out = joined.select("page_id", "url", "nodes", "texts", "digests", "places", "slot", "semantic", "fixed").mapInArrow(run, f"page_id {kind}, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def content(texts: list[str], spots: list[tuple[int, int]], inside: set[int], semantic: bool, template: dict[tuple[int, int], bool]) -> list[str]:
+    """The blocks of a page, at (place, digest) spots, that are content: in the slots and not template."""
+    varying = [t for t, s in zip(texts, spots, strict=True) if s not in template]
+    own = [(t, s) for t, s in zip(texts, spots, strict=True) if s[0] in inside]
+    if semantic:
+        rest = [t for t, s in own if not template.get(s)]
+        kept = rest if 2 * sum(map(len, rest)) > sum(len(t) for t, _ in own) else [t for t, _ in own]
+    else:
+        kept = [t for t, s in own if s not in template]
+    return kept or varying  # a page of another form than its host's
