@@ -158,6 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
                 )
 
     rows = _columns(docs).join(F.broadcast(chosen), "doc_id")  # at most `sample` rows of 12 bytes
+    rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "n_chars")).alias("row")).select("doc_id", "row.text", "row.n_chars", "label")
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = rows.mapInArrow(run, f"doc_id {kind}, label int, bucket array<int>, value array<double>, stats array<double>").collect()
     held.sort(key=lambda r: (r.doc_id, r.bucket, r.value))

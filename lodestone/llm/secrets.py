@@ -148,12 +148,14 @@ def redact(docs: DataFrame) -> DataFrame:
     def run(batches):
         novelty = Novelty()
         for batch in batches:
-            columns = batch.columns
-            cleaned = [clean(t, novelty) for t in columns[spot].to_pylist()]
-            if counts is not None:
-                was = zip(columns[spot].to_pylist(), cleaned, columns[counts].to_pylist(), strict=True)
-                columns[counts] = pa.array([n if a == b else len(b) for a, b, n in was], columns[counts].type)
-            columns[spot] = pa.array(cleaned, columns[spot].type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            _, offsets = raw_text(batch.column(spot))
+            for low, high in doc_blocks(offsets):
+                part = batch.slice(low, high - low)
+                columns, was = part.columns, part.column(spot).to_pylist()
+                cleaned = [clean(t, novelty) for t in was]
+                if counts is not None:
+                    columns[counts] = pa.array([n if a == b else len(b) for a, b, n in zip(was, cleaned, columns[counts].to_pylist(), strict=True)], columns[counts].type)
+                columns[spot] = pa.array(cleaned, columns[spot].type)
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     return docs.mapInArrow(run, docs.schema)

@@ -156,6 +156,16 @@ def distance_within(item, text):
     return best
 
 
+def distance_whole(a, b):
+    row = list(range(len(a) + 1))
+    for c in b:
+        new = [row[0] + 1]
+        for j, d in enumerate(a, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return row[-1]
+
+
 def test_decontamination(spark, no_docs):
     rng = random.Random(7)
     say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7))) for _ in range(n))
@@ -177,6 +187,9 @@ def test_decontamination(spark, no_docs):
             if item and text and (d := distance_within(item, text)) <= decontaminate.budget(item, decontaminate.RATE):
                 expected[i, k] = d
     assert got == expected and 0 < len(got) < 40
+    for r in decontaminate.find(docs, bench).collect():  # the passage reported is at that distance from the whole item
+        passage, item = decontaminate.normal(texts[r.doc_id])[r.match_start : r.match_end], decontaminate.normal(items[r.item_id][1])
+        assert distance_whole(item, passage) == r.distance and r.item_chars == len(item)
     assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == set(range(len(texts))) - {i for i, _ in got}
     assert decontaminate.find(no_docs, bench).count() == 0
     assert decontaminate.clean(docs, bench.where("false")).count() == len(texts)
@@ -341,6 +354,36 @@ def test_html_deep(spark):
     assert got == {n: f"Top {n}\nDeep {n}\nDeeper {n}" for n in range(8)}
 
 
+def test_html_wrapper_alone(spark, monkeypatch):
+    """Pages without article or main, of neutral class names, in many forms: alignment alone tells template from content."""
+    rng = random.Random(8)
+    pages, expected = [], {}
+    for n in range(60):
+        extra = "".join(f"<div class=k{j}><span>Always {j}</span></div>" for j in range(6) if rng.random() < 0.85)
+        blocks = [f"Story {n} part {j} " + " ".join(rng.choice("uvwxyz") * 3 for _ in range(9)) for j in range(rng.randrange(1, 5))]
+        body = "".join(f"<div class=x{j}><p>{b}</p></div>" for j, b in enumerate(blocks))
+        pages.append((n, f"http://n.example/{n}", f"<html><body><div class=q><div class=r>Start</div>{extra}</div><div class=s>{body}</div><div class=t>Since 1999</div></body></html>"))
+        expected[n] = "\n".join(blocks)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for forms in (html.FORMS, 4):  # the second merges partial wrappers over several rounds
+        assert {r.page_id: r.text for r in html.extract(df, forms).collect()} == expected
+    monkeypatch.setattr(html, "PAGES", 10**9)  # no template: no wrapper's vote
+    assert all(r.text.startswith("Start") and r.text.endswith("Since 1999") for r in html.extract(df).collect())
+
+
+def test_html_template_in_articles(spark):
+    """A constant block of an article goes where enough differing pages hold it; near copies keep theirs."""
+    page = "<article><h1>Head {n}</h1><p>Story {n} goes on and on for {n} lines.</p><div class=v>Like it? Tell a friend!</div></article>"
+    copies = "<article><h1>One head</h1><p>All copies share this long text, word for word.</p><p>And this.</p><p>{n}</p></article>"
+    pages = [(n, "http://i.example/", page.format(n=n)) for n in range(12)] + [(n, "http://j.example/", page.format(n=n)) for n in range(12, 18)]
+    pages += [(n, "http://k.example/", copies.format(n=n)) for n in range(18, 40)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    story = "Head {n}\nStory {n} goes on and on for {n} lines."
+    assert all(got[n] == story.format(n=n) for n in range(12))
+    assert all(got[n] == story.format(n=n) + "\nLike it? Tell a friend!" for n in range(12, 18))
+    assert all(got[n] == f"One head\nAll copies share this long text, word for word.\nAnd this.\n{n}" for n in range(18, 40))
+
+
 def test_tree_matching():
     wrapper = html.Wrapper()
     one = ["", [["html", [["nav", []], ["div", [["p", []]]]]]]]
@@ -372,6 +415,26 @@ def test_sharding_is_even(spark, no_docs):
     assert len(sizes) == 24 and all(abs(s - mean) < 0.05 * mean for s in sizes.values())
 
 
+def test_sharding_by_metadata(spark):
+    """Cuts are along metadata, the sides of a node's cut are as they say, and equal texts of several sources stay together."""
+    rng = random.Random(2)
+    docs = [(i, "word " * rng.randrange(1, 400) + "é" * rng.randrange(9) + str(i // 3 * 3 if i % 5 else i), rng.choice(["en", "de", None]), f"source{rng.randrange(9)}") for i in range(900)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    got = rows(sharding.shard(df, target_bytes=sum(len(d[1].encode()) + 8 for d in docs) // 12))
+    of = {}
+    for i, text, _, _ in docs:
+        of.setdefault(text, set()).add(got[i].shard)
+    assert len({r.shard for r in got.values()}) in (12, 13) and sum(len(v) == 1 for v in of.values()) >= len(of) - 12
+    scratch = sharding.Scratch(spark, "tree")
+    points = sharding.points_of(df, scratch)
+    root = sharding.grow(points.select("*", *(sharding.key(d).alias(f"key_{d}") for d in sharding.DIMS)), 12)
+    dims, level = Counter(), [root]
+    while level:
+        dims.update(n.dim for n in level if n.sides)
+        level = [s for n in level for s in n.sides]
+    assert sum(dims.values()) == 11 and set(dims) <= {"size", "chars", "source", "lang"} and len(dims) > 1
+
+
 # 10: n-gram Jaccard join
 
 
