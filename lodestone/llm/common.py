@@ -7,6 +7,7 @@ Operators select only the columns they name, so extra columns never clash with t
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -15,19 +16,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BLOCK_BYTES = 2 << 20
 U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one is set only where the session names none, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir). Where the session names none, a local one sets its own, as in tests; a cluster must name one."""
     sc = spark.sparkContext
     name = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if name:
         return name.rstrip("/")
     held = sc._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
         held = sc._jsc.sc().getCheckpointDir()
     return held.get().rstrip("/")
@@ -69,9 +73,19 @@ class Scratch:
         self._fs.delete(self._path(f"{self.root}/{name}"), True)
 
 
-def table_bytes(df: DataFrame) -> int:
-    """Catalyst's own size estimate of a DataFrame's plan, in bytes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+FILTER = 1 << 24  # bits of a filter: 64 a row, so 262,144 rows at most
+
+
+def likely(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """The rows whose number in a column may be among those of another table's, the others filtered before any shuffle: by a bit of each number's hash.
+
+    The filter has a fixed size and is broadcast; the more numbers, the more other rows it lets through. Any wanted row passes.
+    """
+    bit = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(FILTER))
+    one = F.expr("shiftleft(1L, cast(_bit % 64 as int))")
+    words = wanted.select(bit.alias("_bit")).groupBy(F.expr("_bit div 64").alias("_word")).agg(F.bit_or(one).alias("_bits"))
+    marked = rows.withColumn("_bit", bit).withColumn("_word", F.expr("_bit div 64"))
+    return marked.join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(one) != 0).select(*rows.columns)
 
 
 def raw_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, Words, doc_blocks, mix64, raw_text, shingles
+from .common import U64, Scratch, Words, doc_blocks, likely, mix64, raw_text, shingles
 from .components import connected
 
 SPARE = 0.2  # E as a share of H + 1
@@ -50,7 +50,6 @@ MEET = 1 << 17  # pairs compared at once
 TILE_ELEMENTS = 1 << 20  # of the whole sets of a tile
 WIDER = 8  # bits an element of the third round's sketches
 CUTS = 10  # of the universe; few sets need a second, and those that reach the last send empty segments, too
-FILTER = 1 << 24  # bits of a filter of ids: 64 a row, so 262,144 rows at most
 NO_ID = 1 << 62  # keys from here on stand for null ids
 
 
@@ -250,18 +249,6 @@ def shared(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "sig long, doc_id long")
 
 
-def wanted(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The texts whose ids may be among those of a column, all others filtered before any shuffle: by a bit of each id's hash.
-
-    The filter has a fixed size; the more ids, the more other texts it lets through.
-    """
-    bit = F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER))
-    one = lambda c: F.expr(f"shiftleft(1L, cast({c} % 64 as int))")
-    words = ids.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(one("bit")).alias("bits"))
-    held = docs.select(F.col("doc_id").alias(key), F.coalesce("text", F.lit("")).alias("text")).withColumn("bit", bit).withColumn("word", F.expr("bit div 64"))
-    return held.join(F.broadcast(words), "word").where(F.col("bits").bitwiseAND(one("bit")) != 0).select(key, "text")
-
-
 def verified(pairs: DataFrame, docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
     """The (a, b) pairs whose texts' sets have a similarity of p/q or more."""
 
@@ -282,7 +269,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, p: int, q: int) -> DataF
                 linked = (q * both >= p * union) & (union > 0)
                 yield batch.slice(low, high - low).select(["a", "b"]).filter(pa.array(linked))
 
-    held = wanted(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
+    held = likely(docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")), pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
     one = pairs.join(held.toDF("a", "left"), "a")
     two = one.join(held.toDF("b", "right"), "b")
     return two.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
@@ -521,7 +508,7 @@ def labelled(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
     if doubtful.limit(1).count():
         rest = scratch.table(groups.join(doubtful, "sig"), "groups-3")
         nodes = rest.select(F.col("rep").alias("doc_id")).distinct()
-        texts = wanted(docs, nodes, "doc_id").join(nodes, "doc_id", "left_semi")
+        texts = likely(docs.select("doc_id", "text"), nodes, "doc_id").join(nodes, "doc_id", "left_semi")
         held = elements(texts, k).join(reps.select("rep", "n"), "rep")
         more = searched(rest, component, held, True, "forests-3")
         component = components(links.unionByName(more.select("a", "b").distinct()), 3)

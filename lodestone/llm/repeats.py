@@ -4,9 +4,10 @@
 2. Every window of LENGTH bytes has an anchor, the least hash of the GRAM-byte strings in it, so equal windows have equal
    anchors. Runs of windows with one anchor are entries; entries travel packed, by anchor, and only those whose anchor
    occurs in two different texts come back.
-3. The passages of those entries, each distinct one once, go to the shard of their anchor. A shard's suffixes are sorted
-   by external induced sorting with common prefixes (suffixes.py): windows between two common prefixes below LENGTH are
-   equal, and the least doc_id among their passages is the first to hold them.
+3. The passages of those entries, each distinct one once, go to the shard of their anchor. The suffixes of a shard's
+   passages are sorted by external induced sorting with common prefixes (suffixes.py): windows between two common prefixes
+   below LENGTH are equal, and the least doc_id among their passages is the first to hold them. An anchor whose texts all
+   have one and the same passage has nothing to be sorted: no other passage can hold a window of it.
 4. Occurrences whose doc_id is larger get those windows' bytes removed.
 
 Passages that very many texts share are one row a text in two joins, which adaptive execution splits, and one passage in a
@@ -27,10 +28,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, doc_blocks, mix64, raw_text, stream64
+from .common import U64, Scratch, doc_blocks, likely, mix64, raw_text, stream64
 from .suffixes import Spill, sort
 
 NO_ID = 2**63 - 1
@@ -148,7 +150,7 @@ ENTRY = np.dtype([("anchor", U64), ("shard", np.int64), ("text", np.int64), ("do
 
 
 def shared_entries(packed: DataFrame, parts: int) -> DataFrame:
-    """(shard, doc_id, tag, ats, ns): the entries whose anchor occurs in different texts, one row a shard and document."""
+    """(shard, doc_id, tag, ats, ns, anchors): the entries whose anchor occurs in different texts, one row a shard and document."""
 
     def met(some: np.ndarray):
         order = np.lexsort((some["text"], some["anchor"], some["shard"]))
@@ -165,10 +167,10 @@ def shared_entries(packed: DataFrame, parts: int) -> DataFrame:
         shard = np.ascontiguousarray(some["shard"])
         cuts = np.flatnonzero(np.concatenate(([True], (some["doc"][1:] != some["doc"][:-1]) | (some["text"][1:] != some["text"][:-1]) | (shard[1:] != shard[:-1]))))
         ends = np.append(cuts[1:], len(some))
-        at, n = np.ascontiguousarray(some["at"]), np.ascontiguousarray(some["n"])
+        at, n, anchor = (np.ascontiguousarray(some[c]) for c in ("at", "n", "anchor"))
         return pa.RecordBatch.from_arrays(
-            [pa.array(shard[cuts]), pa.array(some["doc"][cuts]), pa.array(some["text"][cuts]), pa.array([at[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()), pa.array([n[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())],
-            ["shard", "doc_id", "tag", "ats", "ns"],
+            [pa.array(shard[cuts]), pa.array(some["doc"][cuts]), pa.array(some["text"][cuts]), pa.array([at[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()), pa.array([n[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()), pa.array([planes(anchor[a:b], 5) for a, b in zip(cuts, ends, strict=True)], pa.binary())],
+            ["shard", "doc_id", "tag", "ats", "ns", "anchors"],
         )
 
     def run(batches):
@@ -200,35 +202,36 @@ def shared_entries(packed: DataFrame, parts: int) -> DataFrame:
             if out is not None:
                 yield out
 
-    return packed.repartitionById(parts, "part").mapInArrow(run, "shard long, doc_id long, tag long, ats binary, ns binary")
+    return packed.repartitionById(parts, "part").mapInArrow(run, "shard long, doc_id long, tag long, ats binary, ns binary, anchors binary")
 
 
 def passages(held: DataFrame, length: int) -> DataFrame:
-    """(shard, content, rep, tag, at, n) of each entry, from rows (rep, tag, text, shards, ats, ns)."""
+    """(shard, anchor, content, rep, tag, at, n) of each entry, from rows (rep, tag, text, shards, ats, ns, anchors)."""
 
     def run(batches):
         for batch in batches:
             data, offsets = raw_text(batch.column(2))
-            reps, tags, _, shards, ats, ns = (c.to_pylist() if i != 2 else None for i, c in enumerate(batch.columns))
+            reps, tags, _, shards, ats, ns, anchors = (c.to_pylist() if i != 2 else None for i, c in enumerate(batch.columns))
             out, size = [], 0
             for i, rep in enumerate(reps):
                 at = np.concatenate([np.frombuffer(x, np.uint32) for x in ats[i]]).astype(np.int64)
                 n = np.concatenate([np.frombuffer(x, np.uint8) for x in ns[i]]).astype(np.int64)
                 shard = np.repeat(np.array(shards[i], np.int64), [len(x) for x in ns[i]])
+                anchor = np.concatenate([numbers(x, 5) for x in anchors[i]]).view(np.int64)
                 _, first = np.unique(at, return_index=True)  # copies of a text sent the same entries
-                at, n, shard = at[first], n[first], shard[first]
-                out.append((np.full(len(at), rep, np.int64), np.full(len(at), tags[i], np.int64), shard, at, n, at + offsets[i]))
+                at, n, shard, anchor = at[first], n[first], shard[first], anchor[first]
+                out.append((np.full(len(at), rep, np.int64), np.full(len(at), tags[i], np.int64), shard, anchor, at, n, at + offsets[i]))
                 size += len(at)
                 if size > 1 << 16 or i == len(reps) - 1:
-                    rep_, tag, shard, at, n, start = (np.concatenate(c) for c in zip(*out, strict=True))
+                    rep_, tag, shard, anchor, at, n, start = (np.concatenate(c) for c in zip(*out, strict=True))
                     width = n + length - 1
                     ends = np.cumsum(width)
                     spot = np.repeat(start - (ends - width), width) + np.arange(ends[-1] if len(ends) else 0)
                     content = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32).tobytes()), pa.py_buffer(data[spot].tobytes())])
-                    yield pa.RecordBatch.from_arrays([pa.array(shard), content, pa.array(rep_), pa.array(tag), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["shard", "content", "rep", "tag", "at", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(anchor), content, pa.array(rep_), pa.array(tag), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["shard", "anchor", "content", "rep", "tag", "at", "n"])
                     out, size = [], 0
 
-    return held.mapInArrow(run, "shard long, content binary, rep long, tag long, at int, n int")
+    return held.mapInArrow(run, "shard long, anchor long, content binary, rep long, tag long, at int, n int")
 
 
 class Passages:
@@ -335,10 +338,30 @@ def holders(distinct: DataFrame, parts: int, length: int, memory: int = MEMORY)
         whose, first, until, holder = whose[real], first[real], until[real], holder[real]
         return pa.RecordBatch.from_arrays([pa.array(c1[whose]), pa.array(c2[whose]), pa.array(first.astype(np.int32)), pa.array(until.astype(np.int32)), pa.array(holder)], ["c1", "c2", "first", "until", "holder"])
 
+    def alone(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """What is known of passages that are their anchor's only one."""
+        batch = batch.filter(pc.less(batch.column("least"), batch.column("most")))
+        until = pc.subtract(pc.binary_length(batch.column("content")), length - 1)
+        return pa.RecordBatch.from_arrays([batch.column("c1"), batch.column("c2"), pa.array(np.zeros(len(batch), np.int32)), until.cast(pa.int32()), batch.column("least")], ["c1", "c2", "first", "until", "holder"])
+
     def run(batches):
-        held, last = Passages(memory), None
+        held, last, single, before = Passages(memory), None, None, None  # single: a last row that may be its anchor's only one
         for batch in batches:
-            shard = batch.column(0).to_numpy(zero_copy_only=False)
+            if not len(batch):
+                continue
+            key = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)])
+            same = np.append(before is not None and (key[0] == before).all(), (key[1:] == key[:-1]).all(axis=1))
+            lone = ~same & np.append(~same[1:], True)
+            if single is not None:
+                if same[0]:
+                    held.add(single.column(2), *(single.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5, 6)))
+                else:
+                    yield alone(single)
+            single = batch.slice(len(batch) - 1) if lone[-1] else None
+            before, several = key[-1], ~lone
+            lone[-1] = False
+            yield alone(batch.filter(pa.array(lone)))
+            shard, batch = key[several, 0], batch.filter(pa.array(several))
             cuts = np.concatenate(([0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)])).tolist()
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
@@ -347,12 +370,14 @@ def holders(distinct: DataFrame, parts: int, length: int, memory: int = MEMORY)
                     yield solve(held)
                     held = Passages(memory)
                 last = shard[a]
-                held.add(batch.column(1).slice(a, b - a), *(batch.column(i).slice(a, b - a).to_numpy(zero_copy_only=False) for i in (2, 3, 4, 5)))
+                held.add(batch.column(2).slice(a, b - a), *(batch.column(i).slice(a, b - a).to_numpy(zero_copy_only=False) for i in (3, 4, 5, 6)))
+        if single is not None:
+            yield alone(single)
         if held.n:
             yield solve(held)
 
-    dealt = distinct.withColumn("part", (F.col("shard") % parts).cast("int")).repartitionById(parts, "part").sortWithinPartitions("shard")
-    return dealt.select("shard", "content", "least", "most", "c1", "c2").mapInArrow(run, "c1 long, c2 long, first int, until int, holder long")
+    dealt = distinct.withColumn("part", (F.col("shard") % parts).cast("int")).repartitionById(parts, "part").sortWithinPartitions("shard", "anchor")
+    return dealt.select("shard", "anchor", "content", "least", "most", "c1", "c2").mapInArrow(run, "c1 long, c2 long, first int, until int, holder long")
 
 
 def cut(held: DataFrame) -> DataFrame:
@@ -391,7 +416,7 @@ def windows(found: DataFrame, scratch: Scratch, length: int, hot_bytes: int, par
         return found
     one = found.join(hot, "shard", "left_semi").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     one = one.withColumn("content", F.expr(f"substring(content, i + 1, {length})"))
-    one = named(one.select(F.pmod(F.xxhash64("content"), F.lit(parts)).alias("shard"), "content", "rep", "tag", (F.col("at") + F.col("i")).alias("at"), F.lit(1).alias("n")))
+    one = named(one.select(F.pmod(F.xxhash64("content"), F.lit(parts)).alias("shard"), F.lit(-1).cast("long").alias("anchor"), "content", "rep", "tag", (F.col("at") + F.col("i")).alias("at"), F.lit(1).alias("n")))
     return scratch.table(found.join(hot, "shard", "left_anti").select(*one.columns).unionByName(one), "dealt")
 
 
@@ -414,23 +439,25 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_bytes: i
     shared = scratch.table(shared_entries(packed_entries(docs, parts, fine, length, gram), parts), "shared")
     scratch.free(wait=1.5)  # the packed entries are the largest shuffle
     own = members.select("doc_id", "tag", "rep").distinct()
-    by_rep = shared.join(own, ["doc_id", "tag"]).groupBy("rep", "tag").agg(F.collect_list("shard").alias("shards"), F.collect_list("ats").alias("ats"), F.collect_list("ns").alias("ns"))
+    by_rep = shared.join(own, ["doc_id", "tag"]).groupBy("rep", "tag").agg(F.collect_list("shard").alias("shards"), F.collect_list("ats").alias("ats"), F.collect_list("ns").alias("ns"), F.collect_list("anchors").alias("anchors"))
     texts = docs.select(F.col("doc_id").alias("rep"), F.col("tag").bitwiseAND(TAG).alias("tag"), "text")
-    found = named(passages(texts.join(by_rep, ["rep", "tag"]).select("rep", "tag", "text", "shards", "ats", "ns"), length))
+    by_rep = scratch.table(by_rep, "by-rep")
+    found = named(passages(likely(texts, by_rep.select("rep"), "rep").join(by_rep, ["rep", "tag"]).select("rep", "tag", "text", "shards", "ats", "ns", "anchors"), length))
+    scratch.drop("shared")
     scratch.table(found, "passages")
     del shared, by_rep, own, found
-    scratch.drop("shared")
+    scratch.drop("by-rep")
     scratch.free(wait=1.5)
 
     found = windows(scratch.read("passages"), scratch, length, hot_bytes, parts)
-    distinct = named(found.groupBy("shard", "content").agg(F.min("rep").alias("least"), F.max("rep").alias("most")))
+    distinct = named(found.groupBy("shard", "anchor", "content").agg(F.min("rep").alias("least"), F.max("rep").alias("most")))
     first = scratch.table(holders(distinct, parts, length, memory), "holders")
     hit = found.select("c1", "c2", "rep", "tag", "at").join(first, ["c1", "c2"]).where("holder < rep")
     ranges = hit.select("rep", "tag", F.struct((F.col("at") + F.col("first")).alias("a"), (F.col("at") + F.col("until") + F.lit(length - 1)).alias("b")).alias("r"))
     ranges = scratch.table(ranges.groupBy("rep", "tag").agg(F.collect_set("r").alias("ranges")), "ranges")
     del distinct, first, hit, found
     scratch.drop("passages")
-    changed = scratch.table(cut(texts.join(ranges, ["rep", "tag"]).select("rep", "tag", "text", "ranges")), "changed")
+    changed = scratch.table(cut(likely(texts, ranges.select("rep"), "rep").join(ranges, ["rep", "tag"]).select("rep", "tag", "text", "ranges")), "changed")
 
     copy = (F.col("doc_id") != F.col("rep")) & (F.col("n_bytes") >= length)
     empty = hashlib.sha256(b"").hexdigest()

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 
 CHUNK = 1 << 18  # entries of a queue taken at once
+DIRECT = 7  # names compared at the last level
 RANGE, LOOK = 1 << 12, 1 << 9  # entries of a range of names, and of those that are weighed for a lot
 NEVER = np.int32(2**31 - 1)
 ENTRY = np.dtype([("at", np.int32), ("lcp", np.uint8)])
@@ -319,12 +320,16 @@ def swept(names: np.ndarray, rising: bool, wanted: np.ndarray, seeds: np.ndarray
 def name_order(names: np.ndarray, cap: int, spill: Spill) -> np.ndarray:
     """The suffixes of a text of names in order of their first `cap` names; its last name is 0 and unique."""
     n, top = len(names), int(names.max())
+    if cap <= DIRECT and n * 4 * (cap + 4) <= spill.memory:
+        padded = np.concatenate((names, np.zeros(cap, names.dtype)))
+        return np.lexsort([padded[k : n + k] for k in range(cap - 1, -1, -1)]).astype(np.int32)
     larger = types(names, spill)
     smaller = ~larger
     smaller[n - 1] = False  # nothing precedes the first letter
     size = np.bincount(names, minlength=top + 1)
-    up = ((np.cumsum(size) - 1) // RANGE).astype(np.int32)
-    down = ((np.cumsum(size[::-1]) - 1) // RANGE).astype(np.int32)[::-1]
+    width = min(RANGE, max(RANGE >> 3, n >> 7, 1))
+    up = ((np.cumsum(size) - 1) // width).astype(np.int32)
+    down = ((np.cumsum(size[::-1]) - 1) // width).astype(np.int32)[::-1]
 
     def induced(seeds: np.ndarray, whole: bool) -> np.ndarray:
         lower = swept(names, True, larger, seeds, top, up, spill, False)

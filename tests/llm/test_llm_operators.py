@@ -113,7 +113,7 @@ def test_suffix_sort(monkeypatch):
     for turn in range(200):
         b = bytes(rng.choice(b"abcdefgh"[: rng.randrange(1, 8)]) for _ in range(rng.randrange(1, 90))) * rng.randrange(1, 4)
         cap = rng.randrange(1, 40)
-        monkeypatch.setattr(suffixes, "RANGE", rng.choice([1, 3, 1 << 12]))
+        monkeypatch.setattr(suffixes, "RANGE", rng.choice([1, 3, 1 << 12])); monkeypatch.setattr(suffixes, "DIRECT", rng.choice([0, 7]))
         monkeypatch.setattr(suffixes, "LOOK", rng.choice([1, 2, 1 << 9]))
         text = np.append(np.frombuffer(b, np.uint8).astype(np.uint16) + 2, 0).astype(np.uint16)
         for memory in (1 << 20, 60):  # the second keeps most queues and arrays on disk
