@@ -44,7 +44,7 @@ CHANCE = 1e5  # other sets of a band that a short segment is weighed against
 BITS = {4: 4}  # bits by which one element tells sets apart, by the words of a shingle; longer shingles are rarer
 MOST_BITS = 8
 BLOCK = 1 << 20  # bytes of text whose sets a worker holds at once
-SKETCH = 512  # parity bits of a small set; larger ones have the next power of two above their size
+SKETCH, DENSE = 512, 4  # parity bits of a sketch, and at least so many an element, up to the next power of two
 TILE = 1 << 14  # members of a group that meet in one task
 MEET = 1 << 17  # pairs compared at once
 TILE_ELEMENTS = 1 << 20  # of the whole sets of a tile
@@ -103,7 +103,7 @@ class Sets:
 
     def sketches(self) -> list[bytes]:
         """Parity bits of the elements: they differ in no more places than the sets do. A sketch folded in half is the narrower one."""
-        wide = np.maximum(SKETCH, 1 << np.ceil(np.log2(np.maximum(self.size, 1))).astype(np.int64))
+        wide = np.maximum(SKETCH, 1 << np.ceil(np.log2(np.maximum(self.size * DENSE, 1))).astype(np.int64))
         base = np.concatenate(([0], np.cumsum(wide)))
         spot = (mix64(self.hash ^ U64(0x5CE7)) & (wide[self.doc] - 1).astype(U64)).astype(np.int64) + base[self.doc]
         held = np.packbits((np.bincount(spot, minlength=base[-1]) & 1).astype(np.uint8)).tobytes()
@@ -464,6 +464,13 @@ def dealt(rows: DataFrame) -> DataFrame:
     return rows.withColumn("lot", F.explode(F.when(F.col("tiles") == 1, F.array(F.lit(-1))).otherwise(F.array_distinct(pairs)))).drop("tiles")
 
 
+def apart(groups: DataFrame) -> DataFrame:
+    """The groups without those of the same members as another one, told by two independent hashes of them."""
+    marks = (F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("x"), F.sum(F.xxhash64(F.lit(2), "rep").cast("decimal(38,0)")).alias("y"), F.count(F.lit(1)).alias("members"))
+    one = groups.groupBy("sig").agg(*marks).groupBy("x", "y", "members").agg(F.min("sig").alias("sig")).select("sig")
+    return groups.join(one, "sig")
+
+
 def labelled(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; docs: (doc_id, text) with keys for ids."""
     scratch = Scratch(docs.sparkSession, "jaccard")
@@ -506,7 +513,7 @@ def labelled(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
         component = components(links, 2)
     doubtful = scratch.table(found.join(links, ["a", "b"], "left_anti").select("sig").distinct(), "doubtful")
     if doubtful.limit(1).count():
-        rest = scratch.table(groups.join(doubtful, "sig"), "groups-3")
+        rest = scratch.table(apart(groups.join(doubtful, "sig")), "groups-3")
         nodes = rest.select(F.col("rep").alias("doc_id")).distinct()
         texts = likely(docs.select("doc_id", "text"), nodes, "doc_id").join(nodes, "doc_id", "left_semi")
         held = elements(texts, k).join(reps.select("rep", "n"), "rep")
