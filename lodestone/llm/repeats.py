@@ -147,10 +147,11 @@ def packed_entries(docs: DataFrame, parts: int, fine: int, length: int, gram: in
 
 
 ENTRY = np.dtype([("anchor", U64), ("shard", np.int64), ("text", np.int64), ("doc", np.int64), ("at", np.uint32), ("n", np.uint8)])
+HELD = np.dtype([("anchor", np.int64), ("shard", np.int64), ("at", np.uint32), ("n", np.uint8)])
 
 
 def shared_entries(packed: DataFrame, parts: int) -> DataFrame:
-    """(shard, doc_id, tag, ats, ns, anchors): the entries whose anchor occurs in different texts, one row a shard and document."""
+    """(doc_id, tag, held): the entries whose anchor occurs in different texts, one row a shard and document; held: records of HELD."""
 
     def met(some: np.ndarray):
         order = np.lexsort((some["text"], some["anchor"], some["shard"]))
@@ -167,11 +168,11 @@ def shared_entries(packed: DataFrame, parts: int) -> DataFrame:
         shard = np.ascontiguousarray(some["shard"])
         cuts = np.flatnonzero(np.concatenate(([True], (some["doc"][1:] != some["doc"][:-1]) | (some["text"][1:] != some["text"][:-1]) | (shard[1:] != shard[:-1]))))
         ends = np.append(cuts[1:], len(some))
-        at, n, anchor = (np.ascontiguousarray(some[c]) for c in ("at", "n", "anchor"))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(shard[cuts]), pa.array(some["doc"][cuts]), pa.array(some["text"][cuts]), pa.array([at[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()), pa.array([n[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()), pa.array([planes(anchor[a:b], 5) for a, b in zip(cuts, ends, strict=True)], pa.binary())],
-            ["shard", "doc_id", "tag", "ats", "ns", "anchors"],
-        )
+        held = np.empty(len(some), HELD)
+        for c in HELD.names:
+            held[c] = some[c]
+        offsets = pa.py_buffer((np.append(cuts, len(some)) * HELD.itemsize).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(some["doc"][cuts]), pa.array(some["text"][cuts]), pa.Array.from_buffers(pa.binary(), len(cuts), [None, offsets, pa.py_buffer(held)])], ["doc_id", "tag", "held"])
 
     def run(batches):
         held, size, files = [], 0, None
@@ -202,24 +203,22 @@ def shared_entries(packed: DataFrame, parts: int) -> DataFrame:
             if out is not None:
                 yield out
 
-    return packed.repartitionById(parts, "part").mapInArrow(run, "shard long, doc_id long, tag long, ats binary, ns binary, anchors binary")
+    return packed.repartitionById(parts, "part").mapInArrow(run, "doc_id long, tag long, held binary")
 
 
 def passages(held: DataFrame, length: int) -> DataFrame:
-    """(shard, anchor, content, rep, tag, at, n) of each entry, from rows (rep, tag, text, shards, ats, ns, anchors)."""
+    """(shard, anchor, content, rep, tag, at, n) of each entry, from rows (rep, tag, text, held)."""
 
     def run(batches):
         for batch in batches:
             data, offsets = raw_text(batch.column(2))
-            reps, tags, _, shards, ats, ns, anchors = (c.to_pylist() if i != 2 else None for i, c in enumerate(batch.columns))
+            reps, tags, held = (batch.column(i).to_pylist() for i in (0, 1, 3))
             out, size = [], 0
             for i, rep in enumerate(reps):
-                at = np.concatenate([np.frombuffer(x, np.uint32) for x in ats[i]]).astype(np.int64)
-                n = np.concatenate([np.frombuffer(x, np.uint8) for x in ns[i]]).astype(np.int64)
-                shard = np.repeat(np.array(shards[i], np.int64), [len(x) for x in ns[i]])
-                anchor = np.concatenate([numbers(x, 5) for x in anchors[i]]).view(np.int64)
-                _, first = np.unique(at, return_index=True)  # copies of a text sent the same entries
-                at, n, shard, anchor = at[first], n[first], shard[first], anchor[first]
+                own = np.frombuffer(b"".join(held[i]), HELD)
+                _, first = np.unique(own["at"], return_index=True)  # copies of a text sent the same entries
+                own = own[first]
+                at, n, shard, anchor = (own[c].astype(np.int64) for c in ("at", "n", "shard", "anchor"))
                 out.append((np.full(len(at), rep, np.int64), np.full(len(at), tags[i], np.int64), shard, anchor, at, n, at + offsets[i]))
                 size += len(at)
                 if size > 1 << 16 or i == len(reps) - 1:
@@ -439,10 +438,10 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_bytes: i
     shared = scratch.table(shared_entries(packed_entries(docs, parts, fine, length, gram), parts), "shared")
     scratch.free(wait=1.5)  # the packed entries are the largest shuffle
     own = members.select("doc_id", "tag", "rep").distinct()
-    by_rep = shared.join(own, ["doc_id", "tag"]).groupBy("rep", "tag").agg(F.collect_list("shard").alias("shards"), F.collect_list("ats").alias("ats"), F.collect_list("ns").alias("ns"), F.collect_list("anchors").alias("anchors"))
+    by_rep = shared.join(own, ["doc_id", "tag"]).groupBy("rep", "tag").agg(F.collect_list("held").alias("held"))
     texts = docs.select(F.col("doc_id").alias("rep"), F.col("tag").bitwiseAND(TAG).alias("tag"), "text")
     by_rep = scratch.table(by_rep, "by-rep")
-    found = named(passages(likely(texts, by_rep.select("rep"), "rep").join(by_rep, ["rep", "tag"]).select("rep", "tag", "text", "shards", "ats", "ns", "anchors"), length))
+    found = named(passages(likely(texts, by_rep.select("rep"), "rep").join(by_rep, ["rep", "tag"]).select("rep", "tag", "text", "held"), length))
     scratch.drop("shared")
     scratch.table(found, "passages")
     del shared, by_rep, own, found

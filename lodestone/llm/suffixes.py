@@ -25,7 +25,7 @@ import numpy as np
 
 CHUNK = 1 << 18  # entries of a queue taken at once
 DIRECT = 7  # names compared at the last level
-RANGE, LOOK = 1 << 12, 1 << 9  # entries of a range of names, and of those that are weighed for a lot
+RANGE, LOOK = 1 << 12, 1 << 11  # entries of a range of names, and of those that are weighed for a lot
 NEVER = np.int32(2**31 - 1)
 ENTRY = np.dtype([("at", np.int32), ("lcp", np.uint8)])
 
@@ -262,6 +262,12 @@ def swept(names: np.ndarray, rising: bool, wanted: np.ndarray, seeds: np.ndarray
     def key(at: np.ndarray) -> np.ndarray:
         return names[at] if rising else top - names[at]
 
+    # A run of one name sends itself on: from each position, where its run ends.
+    same = wanted[:-1] & (names[1:] == names[:-1])
+    ends = spill.array(len(names), np.int32)
+    ends[:] = np.arange(len(names), dtype=np.int32)
+    ends[1:][same] = 0
+    np.maximum.accumulate(ends, out=ends)
     cuts = np.searchsorted(ranges[names[seeds]], np.arange(number + 1)) if len(seeds) else np.zeros(number + 1, int)
     for r in range(number):
         sent = list(queues[r].taken())
@@ -273,22 +279,35 @@ def swept(names: np.ndarray, rising: bool, wanted: np.ndarray, seeds: np.ndarray
         far, look = [], LOOK
         while len(at):
             head, ranks = at[:look], rank[:look]
-            before = head - 1  # the first letter's is the last one's, which nobody wants
+            end = ends[head]
+            before = end - 1  # the first letter's is the last one's, which nobody wants
             sends = wanted[before]
             target = np.where(sends, key(before) * 2, NEVER)
-            # The longest lot that sends nothing into itself; or else all of the first name, which may send to it again.
-            lot = int((np.minimum.accumulate(target) <= ranks).argmax())
-            if not lot and target[0] > ranks[0]:
+            # The longest lot of whole names that sends nothing into itself.
+            late = np.minimum.accumulate(target) <= ranks
+            lot = int(late.argmax())
+            if not late[lot]:
                 lot = len(head)
-            if not lot:
-                lot = int(np.searchsorted(ranks, ranks[0], "right"))
-                if lot == len(head) < len(at):
-                    look *= 4
+            if lot < len(at) and rank[lot - 1] == rank[lot]:
+                lot = int(np.searchsorted(ranks, ranks[lot - 1])) or int(np.searchsorted(rank, rank[0], "right"))
+                if lot > len(head):
+                    look = lot
                     continue
-            taken = head[:lot] if whole else head[:lot][ranks[:lot] & 1 == 0]
+            head, ranks, end, sends, before = head[:lot], ranks[:lot], end[:lot], sends[:lot], before[:lot]
+            more = head - end
+            taken = head if whole else head[ranks & 1 == 0]
+            if more.any():  # of each name all first ones, then all second ones of runs, and so on
+                turn = np.arange(int(more.sum()) + lot) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
+                which = np.repeat(np.arange(lot), more + 1)
+                order = np.lexsort((turn, ranks[which]))
+                taken = (head[which] - turn)[order].astype(np.int32)
+                if not whole:
+                    taken = taken[ranks[which][order] & 1 == 0]
+                order = np.lexsort((more, ranks))
+                sends, before = sends[order], before[order]
             if len(taken):
                 out.put(taken)
-            new = before[:lot][sends[:lot]]
+            new = before[sends]
             at, rank = at[lot:], rank[lot:]
             look = LOOK
             inside = ranges[names[new]] == r
