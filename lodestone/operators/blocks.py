@@ -8,15 +8,21 @@ from pyspark.sql import functions as F
 FLAT, FANOUT = 40_000, 174
 
 
-def put(store: DataFrame, new: DataFrame, most_bytes: int, capacity: int | None = None, order: str = "arrival") -> DataFrame:
-    """(cid, size, outcome) of each offered block: stored, duplicate, too_large or full. Blocks are counted in order up to the capacity."""
+def put(store: DataFrame, new: DataFrame, most_bytes: int, capacity: int | None = None, order: str = "arrival", parts: int = 64) -> DataFrame:
+    """(order, cid, size, outcome) of each offered block: stored, duplicate, too_large or full. Blocks are counted in order up to the capacity.
+
+    order: a number. Running sizes are summed within ranges of it and shifted by the ranges before, so no task sees all blocks.
+    """
     first = Window.partitionBy("cid").orderBy(order)
     rows = new.withColumn("_n", F.row_number().over(first)).join(store.select("cid", F.lit(True).alias("_held")), "cid", "left")
     outcome = F.when(F.col("size") > most_bytes, "too_large").when(F.col("_held") | (F.col("_n") > 1), "duplicate").otherwise("stored")
     rows = rows.withColumn("outcome", outcome)
     if capacity is not None:
-        fresh = rows.where("outcome = 'stored'").withColumn("_total", F.sum("size").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
-        over = fresh.where(F.col("_total") > capacity).select(order, F.lit("full").alias("_full"))
+        cuts = sorted(set(new.agg(F.percentile_approx(F.col(order).cast("long"), [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or []))
+        fresh = rows.where("outcome = 'stored'").withColumn("_part", F.size(F.filter(F.lit(cuts).cast("array<long>"), lambda c: c <= F.col(order))))
+        before = fresh.groupBy("_part").agg(F.sum("size").alias("_sum")).select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+        within = F.sum("size").over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+        over = fresh.withColumn("_within", within).join(before, "_part").where(F.col("_before") + F.col("_within") > capacity).select(order, F.lit("full").alias("_full"))
         rows = rows.join(over, order, "left").withColumn("outcome", F.coalesce("_full", "outcome"))
     return rows.select(order, "cid", "size", "outcome")
 
@@ -35,42 +41,69 @@ def delete_unpinned(blocks: DataFrame, targets: DataFrame, pins: DataFrame) -> D
     return blocks.join(targets.join(pins, "cid", "left_anti").select("cid"), "cid", "left_anti")
 
 
-def tree_levels(chunks: DataFrame, flat: int = FLAT, fanout: int = FANOUT, depth: int = 4) -> DataFrame:
+def pinned(blocks: DataFrame, pins: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((cid) pinned after the changes, (at, cid, action, outcome) of each): changes (at, cid, action pin or unpin) in order of `at`.
+
+    A pin of a block that isn't held is not_found; an unpin of one that isn't pinned is not_pinned.
+    """
+    w = Window.partitionBy("cid").orderBy("at")
+    held = changes.join(blocks.select("cid", F.lit(True).alias("_b")).distinct(), "cid", "left").join(pins.select("cid", F.lit(True).alias("_p")).distinct(), "cid", "left")
+    real = (F.col("action") == "unpin") | F.col("_b").isNotNull()
+    before = F.last(F.when(real, F.col("action") == "pin"), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    was = F.coalesce(before, "_p", F.lit(False))
+    outcome = F.when(~real, "not_found").when((F.col("action") == "unpin") & ~was, "not_pinned").otherwise("ok")
+    done = held.withColumn("outcome", outcome)
+    last = done.where("outcome = 'ok'").groupBy("cid").agg(F.max(F.struct("at", "action")).alias("l")).select("cid", (F.col("l.action") == "pin").alias("on"))
+    after = pins.select("cid").distinct().join(last.where("not on"), "cid", "left_anti").unionByName(last.where("on").select("cid")).distinct()
+    return after, done.select("at", "cid", "action", "outcome")
+
+
+def _levels(chunks: DataFrame, fanout: int) -> int:
+    """Levels of inner nodes that the longest document needs."""
+    most = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    levels = 0
+    while most > fanout:
+        most, levels = -(-most // fanout), levels + 1
+    return levels
+
+
+def tree_levels(chunks: DataFrame, flat: int = FLAT, fanout: int = FANOUT) -> DataFrame:
     """(doc_id, level, node, children): how many children each inner node has. Level 1 packs chunks, each further level the one below, until one fits the fanout."""
     total = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > flat)
-    out = None
     level = total.select("doc_id", F.col("n").alias("width"))
-    for k in range(1, depth + 1):
+    out = level.where("false").select("doc_id", F.lit(0).alias("level"), F.col("width").alias("node"), F.col("width").alias("children"))
+    for k in range(1, _levels(chunks, fanout) + 1):
         level = level.where(F.col("width") > fanout)
         nodes = level.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(width - 1) div {fanout}"))).alias("node"), "width")
-        part = nodes.select("doc_id", F.lit(k).alias("level"), "node", F.least(F.lit(fanout).cast("long"), F.col("width") - F.col("node") * fanout).alias("children"))
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(nodes.select("doc_id", F.lit(k).alias("level"), "node", F.least(F.lit(fanout).cast("long"), F.col("width") - F.col("node") * fanout).alias("children")))
         level = level.withColumn("width", F.expr(f"(width + {fanout - 1}) div {fanout}"))
     return out
 
 
 def manifest(chunks: DataFrame, flat: int = FLAT, fanout: int = FANOUT) -> DataFrame:
     """(doc_id, chunk_count, total_size, structure, depth, root_children). A count above `flat` that fits the fanout is a tree of depth 0."""
-    held = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunk_count"), F.sum("size").cast("long").alias("total_size"))
-    width, depth = F.col("chunk_count"), F.lit(0)
-    for _ in range(4):
-        more = width > fanout
-        depth, width = depth + more.cast("int"), F.when(more, F.ceil(width / fanout)).otherwise(width)
+    held = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunk_count"), F.sum("size").cast("long").alias("total_size")).withColumns({"_width": F.col("chunk_count"), "_depth": F.lit(0)})
+    for _ in range(_levels(chunks, fanout)):
+        more = F.col("_width") > fanout
+        held = held.withColumns({"_depth": F.col("_depth") + more.cast("int"), "_width": F.when(more, F.expr(f"(_width + {fanout - 1}) div {fanout}")).otherwise(F.col("_width"))})
     tree = F.col("chunk_count") > flat
-    return held.select("doc_id", "chunk_count", "total_size", F.when(tree, "tree").otherwise("flat").alias("structure"), F.when(tree, depth).otherwise(0).cast("int").alias("depth"), F.when(tree, width).otherwise(F.col("chunk_count")).cast("long").alias("root_children"))
+    return held.select("doc_id", "chunk_count", "total_size", F.when(tree, "tree").otherwise("flat").alias("structure"), F.when(tree, F.col("_depth")).otherwise(0).cast("int").alias("depth"), F.when(tree, F.col("_width")).otherwise(F.col("chunk_count")).cast("long").alias("root_children"))
 
 
-def build_tree(chunks: DataFrame, fanout: int = FANOUT, depth: int = 4) -> DataFrame:
-    """(doc_id, level, node, cid, links): the inner nodes themselves. A node's cid is the digest of its ordered children's."""
-    below, out = chunks.select("doc_id", F.col("idx").cast("long").alias("pos"), "cid"), None
-    for k in range(1, depth + 1):
+def build_tree(chunks: DataFrame, fanout: int = FANOUT, flat: int = 0) -> DataFrame:
+    """(doc_id, level, node, cid, links): the inner nodes themselves, of documents of over `flat` chunks. A node's cid is the digest of its ordered children's."""
+    below = chunks.select("doc_id", F.col("idx").cast("long").alias("pos"), "cid")
+    if flat:
+        below = below.join(chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > flat).select("doc_id"), "doc_id", "left_semi")
+    out = below.where("false").select("doc_id", F.lit(0).alias("level"), F.col("pos").alias("node"), "cid", F.array("cid").alias("links"))
+    for k in range(1, _levels(chunks, fanout) + 1):
         wide = below.groupBy("doc_id").agg(F.max("pos").alias("last")).where(F.col("last") >= fanout).select("doc_id")
         part = below.join(wide, "doc_id", "left_semi").groupBy("doc_id", F.expr(f"pos div {fanout}").alias("node"))
         part = part.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "cid"))), lambda s: s["cid"]).alias("links"))
         part = part.withColumn("cid", F.concat(F.lit("01711220"), F.sha2(F.array_join("links", ",").cast("binary"), 256))).withColumn("level", F.lit(k))
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(part.select(*out.columns))
         below = part.select("doc_id", F.col("node").alias("pos"), "cid")
-    return out.select("doc_id", "level", "node", "cid", "links")
+    return out
 
 
 def expand(nodes: DataFrame) -> DataFrame:
@@ -84,18 +117,29 @@ def offsets(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("start", F.coalesce(F.sum("size").over(w), F.lit(0)).cast("long"))
 
 
-def read_range(chunks: DataFrame, start: int, end: int) -> DataFrame:
-    """(doc_id, text, error): characters [start, end) of each document, end clamped to its size; a start beyond it is an error."""
+def contains_offset(start: Column, size: Column, offset: Column) -> Column:
+    """Does [start, start + size) hold an offset?"""
+    return (offset >= start) & (offset < start + size)
+
+
+def read_range(chunks: DataFrame, start: int, end: int, part: str = "chunk") -> DataFrame:
+    """(doc_id, text, error): [start, end) of each document, end clamped to its size; a start beyond it is an error. Characters of text chunks, bytes of binary ones."""
     placed = offsets(chunks)
     sizes = placed.groupBy("doc_id").agg(F.sum("size").cast("long").alias("total"))
     stop = F.least(F.lit(end).cast("long"), F.col("total"))
     hit = placed.join(sizes, "doc_id").where((F.col("start") < stop) & (F.col("start") + F.col("size") > start))
     low = F.greatest(F.lit(start).cast("long") - F.col("start"), F.lit(0)).cast("int")
-    part = F.substring("chunk", low + 1, (F.least(F.col("size"), stop - F.col("start")) - low).cast("int"))
-    text = hit.select("doc_id", "idx", part.alias("part")).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "part"))), lambda s: s["part"]), "").alias("text"))
+    piece = F.substring(part, low + 1, (F.least(F.col("size"), stop - F.col("start")) - low).cast("int"))
+    text = hit.select("doc_id", "idx", piece.alias("part")).groupBy("doc_id").agg(joined("part").alias("text"))
     return sizes.join(text, "doc_id", "left").select("doc_id", "text", F.when(F.col("total") <= start, "out_of_bounds").alias("error"))
 
 
+def joined(part: str) -> Column:
+    """An aggregate: the parts of a group in order of idx, as one string or binary value."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("idx", part))), lambda s: s[part])
+    return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.element_at(parts, 1), lambda a, b: F.concat(a, b))
+
+
 def read_all(chunks: DataFrame) -> DataFrame:
     """(doc_id, text) of all chunks in order."""
     return chunks.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "chunk"))), lambda s: s["chunk"]), "").alias("text"))

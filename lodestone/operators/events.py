@@ -4,28 +4,42 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.folds import folded
+
 GENESIS = "0" * 64
 
 
-def append_offsets(events: DataFrame, head: int = -1, ts: str = "ts", tie: str = "event_id", span_s: int = 3600, stream: str | None = None) -> DataFrame:
+def cuts(rows: DataFrame, ts: str, parts: int) -> list[int]:
+    """At most `parts` - 1 times, in microseconds, that deal rows into about equal spans."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    found = rows.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)], 20 * parts)).first()[0]
+    return sorted(set(found or []))
+
+
+def append_offsets(events: DataFrame, head: int = -1, ts: str = "ts", tie: str = "event_id", stream: str | None = None, parts: int = 64) -> DataFrame:
     """Offsets that follow the head, in order of time and tie, by stream or over the whole log.
 
-    A whole log is numbered by spans of time: rows are numbered within their span, and the spans' counts, a row a span,
-    shift them. No task sees all rows, and the numbers depend on the rows alone.
+    Rows are numbered within spans of time that hold about 1 / `parts` of them, and the spans' counts, a row a span,
+    shift them, so no task sees a whole log or stream. A time that many rows share is a span of its own, cut again by
+    ranges of the tie. The numbers depend on the rows alone.
     """
-    if stream is not None:
-        return events.withColumn("offset", F.row_number().over(Window.partitionBy(stream).orderBy(ts, tie)) + F.lit(head).cast("long"))
-    span = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / span_s).cast("long")
-    dealt = events.withColumn("_span", F.coalesce(span, F.lit(-(2**63))))
-    sizes = dealt.groupBy("_span").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_span", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
-    within = F.row_number().over(Window.partitionBy("_span").orderBy(ts, tie))
-    return dealt.withColumn("_place", within).join(starts, "_span").withColumn("offset", F.col("_start") + F.col("_place") + F.lit(head).cast("long")).drop("_span", "_place", "_start")
+    times = cuts(events, ts, parts)
+    at = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(-(2**63)))
+    edges = F.lit(times).cast("array<long>")
+    within = F.array_contains(edges, at)
+    low, high = events.agg(F.min(tie), F.max(tie)).first() if dict(events.dtypes)[tie] in ("bigint", "int") else (None, None)
+    fine = F.lit(0).cast("long") if low is None else F.floor((F.col(tie) - low) * parts / (high - low + 1)).cast("long")
+    key = [stream] if stream is not None else []
+    dealt = events.withColumn("_span", 2 * F.size(F.filter(edges, lambda c: c < at)) + within.cast("int")).withColumn("_fine", F.when(within, fine).otherwise(F.lit(0).cast("long")))
+    sizes = dealt.groupBy(*key, "_span", "_fine").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*key).orderBy("_span", "_fine").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*key, "_span", "_fine", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy(*key, "_span", "_fine").orderBy(ts, tie))
+    placed = dealt.withColumn("_place", place).join(starts, [*key, "_span", "_fine"])
+    return placed.withColumn("offset", F.col("_start") + F.col("_place") + F.lit(head).cast("long")).select(*events.columns, "offset")
 
 
 def between(log: DataFrame, start: int, end: int | None = None) -> DataFrame:
@@ -68,25 +82,75 @@ def merge_clocks(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.explode("clocks").alias("actor", "clock")).groupBy(key, "actor").agg(F.max("clock").alias("clock"))
 
 
-def canonical(event_id: Column, kind: Column, version: Column, payload: Column, ts_ms: Column, signer: Column, prev: Column) -> Column:
-    """The hashed form: keys in alphabetical order, without the signature."""
-    return F.to_json(F.struct(event_id.cast("string").alias("id"), payload.alias("payload"), prev.alias("prev_hash"), version.alias("schema_version"), signer.cast("string").alias("signer"), ts_ms.alias("ts"), kind.alias("type")))
+def canonical(event_id: Column, kind: Column, version: Column, payload: Column, ts_ms: Column, signer: Column, clock: Column) -> tuple[Column, Column]:
+    """The hashed form in two parts, before and after the previous hash: keys in alphabetical order, without the signature. payload: JSON text."""
+    text = lambda c: F.to_json(F.array(c.cast("string"))).substr(F.lit(2), F.length(F.to_json(F.array(c.cast("string")))) - 2)  # noqa: E731  a quoted string
+    head = F.concat(
+        F.lit('{"causality":{"clocks":{'), text(signer), F.lit(":"), clock.cast("string"), F.lit('},"dots":[['), text(signer), F.lit(","), clock.cast("string"), F.lit(']]},"id":'), text(event_id),
+        F.lit(',"payload":'), payload, F.lit(',"prev_hash":"'),
+    )
+    tail = F.concat(F.lit('","redactable":false,"schema_version":'), version.cast("string"), F.lit(',"signer":'), text(signer), F.lit(',"trust_refs":[],"ts":'), ts_ms.cast("string"), F.lit(',"type":'), text(kind), F.lit("}"))
+    return head, tail
+
+
+def chain(log: DataFrame, stream: str, genesis: str = GENESIS) -> DataFrame:
+    """(stream, offset, prev_hash, hash): each event's hash covers its head, the hash before it and its tail, stream by stream in order."""
+
+    def step(state, row):
+        before = state[0] if state else genesis
+        after = hashlib.sha256(f"{row[0]}{before}{row[1]}".encode()).hexdigest()
+        return (after,), (before, after)
+
+    return folded(log, stream, ["offset"], ["head", "tail"], step, "prev_hash string, hash string")
+
+
+def rejected(rows: DataFrame, registry: Schemas) -> Column:
+    """Why an event can't be appended: schema_not_found, the first field that breaks its schema, or invalid_payload without a signature or its type."""
+    unsigned = (F.coalesce(F.length("sig"), F.lit(0)) == 0) | (F.coalesce(F.length("sig_type"), F.lit(0)) == 0)
+    return F.coalesce(registry.error(F.col("type"), F.col("schema_version"), F.col("payload")), F.when(unsigned, "invalid_payload"))
+
+
+def append(events: DataFrame, registry: Schemas, heads: DataFrame | None = None, stream: str = "stream") -> tuple[DataFrame, DataFrame]:
+    """(appended, refused) of new events (event_id, stream, type, schema_version, payload, ts, signer, sig, sig_type).
+
+    Appended ones get the stream's next offsets in order of time and id, their signer's clock, the hash before them and
+    their own. heads: (stream, head_offset, prev_hash, clocks) of what each stream holds so far.
+    """
+    checked = events.withColumn("error", rejected(events, registry))
+    fresh = append_offsets(checked.where("error is null").drop("error"), stream=stream)
+    clock = F.row_number().over(Window.partitionBy(stream, "signer").orderBy("offset")).cast("long")
+    fresh = fresh.withColumn("clock", clock)
+    genesis = F.lit(GENESIS)
+    if heads is not None:
+        fresh = fresh.join(heads, stream, "left").withColumn("offset", F.col("offset") + F.coalesce("head_offset", F.lit(-1)) + 1)
+        fresh = fresh.withColumn("clock", F.col("clock") + F.coalesce(F.try_element_at("clocks", F.col("signer")), F.lit(0)))
+        genesis = F.coalesce("prev_hash", genesis)
+    head, tail = canonical(F.col("event_id"), F.col("type"), F.col("schema_version"), F.col("payload"), F.unix_millis(F.col("ts").cast("timestamp")), F.col("signer"), F.col("clock"))
+    bodies = fresh.select(stream, "offset", head.alias("head"), tail.alias("tail"), genesis.alias("start"))
+
+    def step(state, row):
+        before = state[0] if state else row[2]
+        after = hashlib.sha256(f"{row[0]}{before}{row[1]}".encode()).hexdigest()
+        return (after,), (before, after)
+
+    hashes = folded(bodies, stream, ["offset"], ["head", "tail", "start"], step, "prev_hash string, hash string")
+    return fresh.select(*events.columns, "offset", "clock").join(hashes, [stream, "offset"]), checked.where("error is not null")
+
+
+def heads(log: DataFrame, stream: str = "stream") -> DataFrame:
+    """(stream, head_offset, prev_hash, clocks, event_count): where the next event of each stream goes on."""
+    last = log.groupBy(stream).agg(F.max(F.struct("offset", "hash")).alias("last"), F.count(F.lit(1)).alias("event_count"))
+    clocks = log.groupBy(stream, "signer").agg(F.max("clock").alias("n")).groupBy(stream).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("signer", "n")))).alias("clocks"))
+    return last.join(clocks, stream).select(stream, F.col("last.offset").alias("head_offset"), F.col("last.hash").alias("prev_hash"), "clocks", "event_count")
 
 
-def chain(log: DataFrame, stream: str, body: str = "body") -> DataFrame:
-    """(stream, offset, prev_hash, hash): each event's hash covers its body and the hash before it, stream by stream in order."""
+def at_offset(log: DataFrame, offset: int) -> DataFrame:
+    return log.where(F.col("offset") == offset)
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("offset")
-        before, out = GENESIS, []
-        for key, offset, text in zip(rows[stream], rows["offset"], rows[body], strict=True):
-            after = hashlib.sha256(f"{before}{text}".encode()).hexdigest()
-            out.append((key, offset, before, after))
-            before = after
-        return pd.DataFrame(out, columns=[stream, "offset", "prev_hash", "hash"])
 
-    kind = dict(log.dtypes)[stream]
-    return log.select(stream, "offset", body).groupBy(stream).applyInPandas(fold, f"{stream} {kind}, offset long, prev_hash string, hash string")
+def offset_of(log: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(hash, offset) of the wanted hashes, null for those that the log lacks."""
+    return hashes.join(log.select("hash", "offset"), "hash", "left")
 
 
 def verify_chain(chained: DataFrame, stream: str) -> DataFrame:
@@ -106,7 +170,29 @@ def keep_last(keys: DataFrame, handler: str, order: str, most: int) -> DataFrame
 
 
 def schema_errors(payload: Column, required: dict[str, str]) -> Column:
-    """The first required field that is missing or of another type (long or string), null if none; not_json for no object."""
+    """The first required field that is missing or of another type (long, double, boolean or string), null if none; not_json for no object."""
     parsed = F.try_parse_json(payload)
     checks = [F.when(F.try_variant_get(parsed, f"$.{k}", t).isNull(), F.lit(k)) for k, t in required.items()]
-    return F.when(parsed.isNull(), "not_json").otherwise(F.coalesce(*checks))
+    return F.when(parsed.isNull(), "not_json").otherwise(F.coalesce(*checks, F.lit(None).cast("string")))
+
+
+class Schemas:
+    """Required fields of payloads, by type and version."""
+
+    def __init__(self):
+        self.held: dict[tuple[str, int], dict[str, str]] = {}
+
+    def register(self, title: str, version: int, required: dict[str, str]) -> Schemas:
+        if not title or version is None:
+            raise ValueError("a schema has a title and a version")
+        self.held[title, version] = dict(required)
+        return self
+
+    def error(self, kind: Column, version: Column, payload: Column) -> Column:
+        """Null for a payload that fits its type's and version's schema."""
+        out = None
+        for (title, number), required in self.held.items():
+            own = (kind == title) & (version == number)
+            out = F.when(own, schema_errors(payload, required)) if out is None else out.when(own, schema_errors(payload, required))
+        missing = F.lit("schema_not_found")
+        return missing if out is None else out.otherwise(missing)

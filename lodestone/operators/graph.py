@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.ids import pseudo_cid
+
 
 def page(rows: DataFrame, order: list, offset: int = 0, limit: int | None = None) -> DataFrame:
     out = rows.orderBy(*order).offset(offset)
@@ -93,3 +95,42 @@ def last_write(rows: DataFrame, key: str, order: Column, deleted: Column | None
     w = Window.partitionBy(key).orderBy(order.desc())
     out = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
     return out if deleted is None else out.where(~deleted)
+
+
+def create_entities(held: DataFrame, new: DataFrame, now: Column, order: str = "arrival") -> DataFrame:
+    """The entities with new ones (arrival, space_id, entity_type, name, properties, created_by) after them: ids follow the largest, each has its pseudo-identifier and no embedding."""
+    top = held.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    body = F.to_json(F.struct("space_id", "entity_type", "name", "properties", "created_by", now.alias("timestamp")))
+    rows = numbered(new, order).crossJoin(F.broadcast(top))  # one row
+    made = rows.select((F.col("_top") + F.col("_place")).alias("id"), pseudo_cid(body).alias("cid"), "space_id", "entity_type", "name", "properties", F.lit(None).cast("binary").alias("embedding"), now.alias("created_at"), "created_by")
+    return held.unionByName(made.select(*held.columns))
+
+
+def numbered(rows: DataFrame, order: str, parts: int = 64) -> DataFrame:
+    """Rows with their place in order of a number, from 1: numbered within ranges and shifted by the ranges before."""
+    cuts = sorted(set(rows.agg(F.percentile_approx(F.col(order).cast("long"), [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or []))
+    dealt = rows.withColumn("_part", F.size(F.filter(F.lit(cuts).cast("array<long>"), lambda c: c <= F.col(order))))
+    before = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return dealt.withColumn("_within", F.row_number().over(Window.partitionBy("_part").orderBy(order))).join(before, "_part").withColumn("_place", F.col("_before") + F.col("_within")).drop("_part", "_within", "_before")
+
+
+def update_embeddings(entities: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the entities with new embeddings of (id, embedding), the ids that no entity has)."""
+    new = updates.select("id", F.col("embedding").alias("_e"), F.lit(True).alias("_u"))
+    out = entities.join(new, "id", "left").withColumn("embedding", F.when(F.col("_u"), F.col("_e")).otherwise(F.col("embedding"))).select(*entities.columns)
+    return out, updates.join(entities.select("id"), "id", "left_anti").select("id")
+
+
+def delete(rows: DataFrame, unwanted: Column) -> tuple[DataFrame, DataFrame]:
+    """(the rows that stay, (rows_affected) of those that go)."""
+    gone = F.coalesce(unwanted, F.lit(False))
+    return rows.where(~gone), rows.agg(F.count_if(gone).alias("rows_affected"))
+
+
+def create_edges(held: DataFrame, new: DataFrame, now: Column, order: str = "arrival") -> DataFrame:
+    """The edges with new ones (arrival, space_id, edge_type, source_id, target_id, properties, created_by), numbered after the largest id."""
+    top = held.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    body = F.to_json(F.struct("space_id", "edge_type", "source_id", "target_id", "properties", "created_by", now.alias("timestamp")))
+    rows = numbered(new, order).crossJoin(F.broadcast(top))  # one row
+    made = rows.select((F.col("_top") + F.col("_place")).alias("id"), pseudo_cid(body).alias("cid"), "space_id", "edge_type", "source_id", "target_id", "properties", now.alias("created_at"), "created_by")
+    return held.unionByName(made.select(*held.columns))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.folds import admitted, anchored, challenged, folded, lifecycle
+
 
 def expired(ts_ms: Column, ttl_s: Column, now_ms: Column) -> Column:
     """Past its time to live; 0 never expires."""
@@ -51,39 +52,22 @@ def discover(announcements: DataFrame, known: DataFrame, order: list[str]) -> Da
 
 def rate_limited(rows: DataFrame, key: str, ts_ms: str, order: str, most: int, window_ms: int) -> DataFrame:
     """(key, order, allowed): at most `most` rows in a window anchored at its first row; a row `window_ms` or more after the anchor opens the next."""
+    return folded(rows, key, [ts_ms, order], [ts_ms], anchored(most, window_ms), "allowed boolean").select(key, order, "allowed")
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([ts_ms, order])
-        anchor, used, out = None, 0, []
-        for ts in part[ts_ms]:
-            if anchor is None or ts - anchor >= window_ms:
-                anchor, used = ts, 0
-            out.append(used < most)
-            used += used < most
-        return pd.DataFrame({key: part[key], order: part[order], "allowed": out})
 
-    kinds = dict(rows.dtypes)
-    return rows.select(key, ts_ms, order).groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, {order} {kinds[order]}, allowed boolean")
+def admit(rows: DataFrame, key: str, order: str, most: int, reserved: int = 0, policy: str = "strict") -> DataFrame:
+    """(key, order, admitted) of (direction, kind) events in order: a connection is refused at the limit, and a close frees a place."""
+    return folded(rows, key, [order], ["kind", "direction"], admitted(most, reserved, policy), "admitted boolean")
 
 
-def admit(rows: DataFrame, key: str, order: str, most: int, reserved: int = 0, policy: str = "strict") -> DataFrame:
-    """(key, order, admitted) of (direction, kind) events in order: a connection is refused at the limit, and a refused one's close frees nothing."""
+def lifecycles(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, order, connections, reconnections, failures) after each event (kind) of a peer."""
+    return folded(rows, key, [order], ["kind"], lifecycle, "connections long, reconnections long, failures long")
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order)
-        active, out = 0, []
-        for kind, direction in zip(part["kind"], part["direction"], strict=True):
-            if kind == "established":
-                limit = max(0, most - reserved) if direction == "inbound" and policy == "prefer_outbound" else most
-                out.append(most == 0 or active < limit)
-                active += out[-1]
-            else:
-                out.append(None)
-                active = max(0, active - (kind == "closed"))
-        return pd.DataFrame({key: part[key], order: part[order], "admitted": pd.array(out, dtype="boolean")})
 
-    kinds = dict(rows.dtypes)
-    return rows.select(key, order, "kind", "direction").groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, {order} {kinds[order]}, admitted boolean")
+def challenges(rows: DataFrame, key: str, order: str, ttl_ms: int = 300_000) -> DataFrame:
+    """(key, order, outcome) of (kind issue or finish, ts_ms) events: issued, accepted, expired or missing."""
+    return folded(rows, key, [order], ["kind", "ts_ms"], challenged(ttl_ms), "outcome string")
 
 
 def may_accept(current: Column, inbound: Column, most: int, reserved: int = 0, policy: str = "strict") -> Column:
@@ -135,13 +119,42 @@ def retry_due(attempts: Column, elapsed_ms: Column, most: int, base_ms: int = 10
     return (attempts < most) & (elapsed_ms >= base_ms * F.pow(F.lit(2), F.least(attempts, F.lit(10))))
 
 
-def gather(queries: DataFrame, responses: DataFrame, window_ms: int = 500, per_query: int | None = None) -> DataFrame:
-    """Responses that came within the window of their query, at most `per_query` of each, in order of arrival."""
-    met = queries.join(responses, "query_id").where((F.col("r_ts") >= F.col("q_ts")) & (F.col("r_ts") <= F.col("q_ts") + window_ms))
+def gather(queries: DataFrame, responses: DataFrame, window_ms: int = 500, per_query: int | None = None, key: str = "topic") -> DataFrame:
+    """Responses that came within the window of their query (query_id, key, q_ts), at most `per_query` of each, in order of arrival (response_id, key, r_ts).
+
+    Both sides meet by key and window-long span of time, each response in its own span and the one before, so a busy key's
+    rows are dealt out and only near ones are paired.
+    """
+    span = lambda c: F.expr(f"{c} div {max(1, window_ms)}")
+    q = queries.withColumn("_span", span("q_ts"))
+    r = responses.withColumn("_span", F.explode(F.array(span("r_ts"), span("r_ts") - 1)))
+    met = q.join(r, [key, "_span"]).where((F.col("r_ts") >= F.col("q_ts")) & (F.col("r_ts") <= F.col("q_ts") + window_ms)).drop("_span")
     w = Window.partitionBy("query_id").orderBy("r_ts", "response_id")
     out = met.withColumn("rank", F.row_number().over(w).cast("long"))
     return out if per_query is None else out.where(F.col("rank") <= per_query)
 
 
+def accumulated(queries: DataFrame, batches: DataFrame, now: Column, timeout: int, key: str = "query_id") -> DataFrame:
+    """(key, providers, status) of pending queries (key, asked_at): the distinct providers of all batches (key, provider, at) within the timeout.
+
+    found with any; else pending before the timeout and timeout after it.
+    """
+    met = queries.join(batches, key, "left").groupBy(key, "asked_at").agg(F.size(F.collect_set(F.when(F.col("at") - F.col("asked_at") <= timeout, F.col("provider")))).cast("long").alias("providers"))
+    return met.select(key, "providers", F.when(F.col("providers") > 0, "found").when(now - F.col("asked_at") > timeout, "timeout").otherwise("pending").alias("status"))
+
+
+def throughput(rows: DataFrame, by: str) -> DataFrame:
+    """(by, messages, per_second) of (ts_ms) rows over the time from the first to the last."""
+    out = rows.groupBy(by).agg(F.count(F.lit(1)).alias("messages"), ((F.max("ts_ms") - F.min("ts_ms")) / 1000).alias("_s"))
+    return out.select(by, "messages", F.when(F.col("_s") > 0, F.col("messages") / F.col("_s")).otherwise(0.0).alias("per_second"))
+
+
+def message_error(most_bytes: int, now_ms: Column | None = None) -> Column:
+    """The first failed check of a message (version, id, source, topic, ts_ms, ttl, format, payload): version, size of its serialised form, or expiry; null if valid."""
+    whole = F.to_json(F.struct("format", "id", "payload", "source", F.col("ts_ms").alias("timestamp"), "topic", "ttl", "version"))
+    out = F.when(F.col("version") != 1, "invalid_version").when(F.octet_length(whole) > most_bytes, "too_large")
+    return out if now_ms is None else out.when(expired(F.col("ts_ms"), F.col("ttl"), now_ms), "expired")
+
+
 def latency(rows: DataFrame, by: str) -> DataFrame:
     return rows.groupBy(by).agg(F.avg("latency_ms").alias("avg_ms"), F.min("latency_ms").alias("min_ms"), F.max("latency_ms").alias("max_ms"), F.count(F.lit(1)).alias("messages"))

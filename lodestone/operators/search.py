@@ -10,19 +10,86 @@ from lodestone.functions import vectors
 PENALTY, BOOST, MOST_BOOST = 0.9, 0.1, 0.3
 
 
-def similarities(collection: DataFrame, query: DataFrame, vector: str = "embedding", id_col: str = "vec_id") -> DataFrame:
-    """Each row of the collection with its cosine similarity to the query's one vector, the query's own row left out."""
-    one = query.select(F.col(vector).alias("_q"), F.col(id_col).alias("_qid")).limit(1)
-    both = collection.crossJoin(F.broadcast(one))  # one row
-    return both.where(F.col(id_col) != F.col("_qid")).withColumn("score", 1.0 - vectors.cosine_distance(F.col(vector), F.col("_q"))).drop("_q", "_qid")
+BLOCK = 512  # query vectors that meet the collection at once
 
 
-def knn(collection: DataFrame, query: DataFrame, k: int, at_most: float | None = None) -> DataFrame:
-    """The k nearest by cosine distance. With a threshold 2k are fetched, those within it kept, and k returned."""
-    near = similarities(collection, query).withColumn("distance", 1.0 - F.col("score"))
-    if at_most is None:
-        return near.orderBy("distance", "vec_id").limit(k)
-    return near.orderBy("distance", "vec_id").limit(2 * k).where(F.col("distance") <= at_most).orderBy("distance", "vec_id").limit(k)
+def blocks_of(queries: DataFrame, most: int = BLOCK) -> list[DataFrame]:
+    """The queries in blocks of about `most` rows, by hash of their id."""
+    n = -(-queries.count() // most)
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)] if n > 1 else [queries]
+
+
+def similarities(collection: DataFrame, queries: DataFrame, vector: str = "embedding", id_col: str = "vec_id", most: int = BLOCK) -> DataFrame:
+    """(query_id, the collection's columns, score): each row of the collection with its cosine similarity to each query (query_id, vector), but for the row of its own id.
+
+    All pairs, for queries of a checked number; `knn` takes any number.
+    """
+    n = queries.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"over {most} query vectors")
+    both = collection.crossJoin(F.broadcast(queries.select("query_id", F.col(vector).alias("_q"))))  # at most `most` rows
+    return both.where(F.col(id_col) != F.col("query_id")).withColumn("score", 1.0 - vectors.cosine_distance(F.col(vector), F.col("_q"))).drop("_q")
+
+
+def ranked(near: DataFrame, k: int, at_most: float | None, id_col: str = "vec_id") -> DataFrame:
+    """The k nearest rows of each query. With a threshold 2k are fetched, those within it kept, and k returned."""
+    order = Window.partitionBy("query_id").orderBy("distance", id_col)
+    out = near.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= (k if at_most is None else 2 * k))
+    return out if at_most is None else out.where((F.col("distance") <= at_most) & (F.col("rank") <= k))
+
+
+def knn(collection: DataFrame, queries: DataFrame, k: int, at_most: float | None = None, vector: str = "embedding", id_col: str = "vec_id", most: int = BLOCK) -> DataFrame:
+    """(query_id, id, distance, rank): the k nearest rows by cosine distance of each query (query_id, vector), but for the row of its own id.
+
+    Each block of queries travels to the collection's partitions, which send on only their own nearest of each query.
+    """
+    fetch, out = k if at_most is None else 2 * k, None
+    for block in blocks_of(queries.select("query_id", vector), most):
+        part = _nearest(collection, block, fetch, vector, id_col)
+        out = part if out is None else out.unionByName(part)
+    return ranked(out, k, at_most, id_col)
+
+
+def _nearest(collection: DataFrame, block: DataFrame, k: int, vector: str, id_col: str) -> DataFrame:
+    """(query_id, id, distance) of each query's k nearest in each partition."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spark = collection.sparkSession
+    schema = block.select("query_id").join(collection.select(id_col)).withColumn("distance", F.lit(0.0)).schema
+    rows = block.where(F.col(vector).isNotNull()).collect()  # a block's vectors
+    if not rows:
+        return spark.createDataFrame([], schema)
+    held = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows], object), np.array([r[vector] for r in rows], float)))
+    fields = to_arrow_schema(schema)
+
+    def run(batches):
+        names, q = held.value
+        lengths = np.sqrt((q * q).sum(axis=1))
+        top = [(np.zeros(0), np.zeros(0, object))] * len(names)
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids = np.array(batch.column(0).to_pylist(), object)
+            own = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(batch), -1)
+            scale = lengths[:, None] * np.sqrt((own * own).sum(axis=1))
+            with np.errstate(all="ignore"):
+                distance = np.round(np.where(scale == 0, 1.0, 1.0 - (q @ own.T) / scale), 12)
+            for i, name in enumerate(names):
+                d, which = np.concatenate((top[i][0], distance[i])), np.concatenate((top[i][1], ids))
+                other = which != name
+                d, which = d[other], which[other]
+                if len(d) > k:  # all that tie with the k-th stay until ids decide
+                    some = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+                    d, which = d[some], which[some]
+                order = sorted(range(len(d)), key=lambda j: (d[j], which[j]))[:k]
+                top[i] = d[order], which[order]
+        found = [(name, i, x) for name, (d, which) in zip(names, top, strict=True) for i, x in zip(which.tolist(), d.tolist(), strict=True)]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), fields, strict=True)], schema=fields)
+
+    return collection.where(F.col(vector).isNotNull()).select(id_col, vector).mapInArrow(run, schema)
 
 
 def signature_bits(vector: Column, planes: int, dimensions: int, seed: int = 7) -> Column:
@@ -37,12 +104,16 @@ def signature_bits(vector: Column, planes: int, dimensions: int, seed: int = 7)
     return out
 
 
-def knn_prefiltered(collection: DataFrame, query: DataFrame, k: int, planes: int = 16, within: int = 9, dimensions: int = 64) -> DataFrame:
-    """Approximate nearest neighbours: only rows whose projections differ in few signs are scored. A stored signature column saves its computation."""
+def knn_prefiltered(collection: DataFrame, queries: DataFrame, k: int, planes: int = 16, within: int = 9, dimensions: int = 64, most: int = BLOCK) -> DataFrame:
+    """(query_id, vec_id, distance, rank): approximate nearest neighbours; only rows whose projections differ in few signs are scored. A stored signature column saves its computation."""
     signed = collection if "signature" in collection.columns else collection.withColumn("signature", signature_bits(F.col("embedding"), planes, dimensions))
-    one = query.limit(1).select(signature_bits(F.col("embedding"), planes, dimensions).alias("_s"))
-    close = signed.crossJoin(F.broadcast(one)).where(F.bit_count(F.col("signature").bitwiseXOR(F.col("_s"))) <= within).drop("_s", "signature")
-    return knn(close, query, k)
+    out = None
+    for block in blocks_of(queries.select("query_id", "embedding"), most):
+        marked = block.select("query_id", F.col("embedding").alias("_q"), signature_bits(F.col("embedding"), planes, dimensions).alias("_s"))
+        close = signed.crossJoin(F.broadcast(marked)).where(F.bit_count(F.col("signature").bitwiseXOR(F.col("_s"))) <= within)  # a block of `most` rows at most
+        near = close.where("vec_id <> query_id").select("query_id", "vec_id", F.round(vectors.cosine_distance(F.col("embedding"), F.col("_q")), 12).alias("distance"))
+        out = near if out is None else out.unionByName(near)
+    return ranked(out, k, None)
 
 
 def top_per_source(scored: DataFrame, k: int, source: str = "source_id", id_col: str = "vec_id") -> DataFrame:

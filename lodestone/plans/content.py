@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.catalogue import query
 from lodestone.functions import chunking, ids, strings
-from lodestone.operators import blocks, catalog, graph, indexing
+from lodestone.operators import blocks, catalog, graph, indexing, publish
 
 CHUNKS = """chunks as (select doc_id, i idx, i * 1000 "offset", substr(text, i * 1000 + 1, 1000) chunk from (select doc_id, text, unnest(range(0, (length(text) + 999) // 1000)) i from documents where length(text) > 0))"""
 
@@ -111,22 +111,94 @@ def _(t):
     return c.where("doc_id % 2 = 0").select("cid").intersect(c.where("doc_id % 2 = 1").select("cid"))
 
 
-@query("content_resolve", """select 'd' || i cid, case when d.doc_id is not null then 'local' when b.item_id is not null then 'remote' else 'not_found' end origin, case when d.doc_id is not null then d.source when b.item_id is not null then 'item' end title,
-    coalesce(d.n_chars, length(b.text)) size from (select unnest(range(0, 2000, 13)) i) r left join (select * from documents where doc_id % 2 = 0) d on d.doc_id = i left join benchmark b on b.item_id = i""")
+@query("content_resolve", """with w as (select 'd' || doc_id cid from documents union select 'd' || item_id from benchmark union select 'x' || doc_id from documents)
+    select w.cid, case when d.doc_id is not null then 'local' when b.item_id is not null then 'remote' else 'not_found' end origin, case when d.doc_id is not null then d.source when b.item_id is not null then 'item' end title,
+    coalesce(d.n_chars, length(b.text)) size from w left join (select * from documents join labels using (doc_id)) d on 'd' || d.doc_id = cid left join benchmark b on 'd' || b.item_id = cid""")
 def _(t):
-    name = lambda c: F.concat(F.lit("d"), F.col(c).cast("string")).alias("cid")
-    published = t.documents.where("doc_id % 2 = 0").select(name("doc_id"), F.col("source").alias("title"), F.col("n_chars").alias("size"))
+    """Labelled documents are published here, benchmark items elsewhere; every id of both is asked for, and as many that nobody has."""
+    name = lambda c, p="d": F.concat(F.lit(p), F.col(c).cast("string")).alias("cid")
+    published = t.documents.join(t.labels, "doc_id", "left_semi").select(name("doc_id"), F.col("source").alias("title"), F.col("n_chars").alias("size"))
     remote = t.benchmark.select(name("item_id"), F.lit("item").alias("title"), F.length("text").cast("long").alias("size"))
-    return catalog.resolve(t.spark.range(0, 2000, 13).select(name("id")), published, remote)
+    wanted = t.documents.select(name("doc_id")).union(t.benchmark.select(name("item_id"))).union(t.documents.select(name("doc_id", "x"))).distinct()
+    return catalog.resolve(wanted, published, remote)
 
 
-@query("content_providers", """select distinct 'd' || doc_id cid, 'me' provider from documents where doc_id < 100 union select distinct 'd' || item_id, 'peer' || (item_id % 3) from benchmark""")
+@query("content_providers", """select distinct 'd' || doc_id cid, 'me' provider from documents union select distinct 'd' || item_id, 'peer' || (item_id % 3) from benchmark""")
 def _(t):
-    published = t.documents.where("doc_id < 100").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("cid"))
+    published = t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("cid"))
     remote = t.benchmark.select(F.concat(F.lit("d"), F.col("item_id").cast("string")).alias("cid"), F.concat(F.lit("peer"), (F.col("item_id") % 3).cast("string")).alias("publisher"))
     return catalog.providers(published, remote, "me")
 
 
+@query("publish_simple", f"""with {CIDS}, held as (select distinct cid, size, 'held' title from cids join labels using (doc_id)), r as (select *, row_number() over w n, first_value(lang) over w first from cids window w as (partition by cid order by arrival))
+    select r.arrival doc_id, r.cid, r.size, 1::bigint block_count, case when h.cid is not null then h.title else r.first end title, h.cid is not null or n > 1 already_published from r left join held h using (cid)""")
+def _(t):
+    c = cids(t)
+    held = c.join(t.labels, "doc_id", "left_semi").select("cid", "size", F.lit(1).cast("long").alias("block_count"), F.lit("held").alias("title")).distinct()
+    new = t.documents.select(F.col("doc_id").alias("arrival"), F.col("text").cast("binary").alias("data"), F.col("lang").alias("title"))
+    return publish.publish(held, new).withColumnRenamed("arrival", "doc_id")
+
+
+#: Trees of fanout 3 over documents of more than two chunks, level by level up to six of them: 2,187 chunks.
+def tree_sql(fanout: int = 3, flat: int = 2, most: int = 6) -> str:
+    """Common table expressions l0 to l6 (doc_id, pos, cid, n): each level's nodes, and how many a level has."""
+    out = [f"l0 as (select doc_id, idx pos, '01551220' || sha256(chunk) cid, length(chunk) size, count(*) over (partition by doc_id) n, count(*) over (partition by doc_id) total from chunks)"]
+    for k in range(1, most + 1):
+        out.append(f"""g{k} as (select doc_id, pos // {fanout} pos, string_agg(cid, ',' order by pos) links, total from l{k - 1} where n > {fanout} and total > {flat} group by doc_id, pos // {fanout}, total),
+    l{k} as (select doc_id, pos, '01711220' || sha256(links) cid, strlen(links) size, count(*) over (partition by doc_id) n, total from g{k})""")
+    every = " union all ".join(f"select {k} level, doc_id, pos, cid, size::bigint size, n, total from l{k}" for k in range(most + 1))
+    return ",\n    ".join([*out, f"nodes as ({every}), top as (select doc_id, max(level) depth from nodes group by doc_id)"])
+
+
+MADE = f"""{tree_sql()}, kids as (select doc_id, '["' || string_agg(cid, '","' order by pos) || '"]' children from nodes join top using (doc_id) where level = depth group by doc_id),
+    m as (select d.doc_id, d.source, d.lang, coalesce(k.children, '[]') children, coalesce(c.n, 0) n, coalesce(c.s, 0)::bigint s, case when c.n > 2 then 'tree' else 'flat' end structure, coalesce(case when c.n > 2 then t.depth end, 0) depth
+      from documents d left join kids k using (doc_id) left join top t using (doc_id) left join (select doc_id, count(*) n, sum(length(chunk)) s from chunks group by doc_id) c using (doc_id)),
+    made as (select *, '{{"children":' || children || ',"chunk_count":' || n || ',"content_type":"text/plain","depth":' || depth || ',"name":"' || source || '","publisher":"did:me","structure":"' || structure || '","total_size":' || s || '}}' body from m)"""
+
+
+def dag(t, **switches):
+    c = chunks(t).select("doc_id", "idx", "size", ids.cid_hex(F.col("chunk").cast("binary")).alias("cid"))
+    meta = t.documents.select("doc_id", F.col("source").alias("name"), F.lit("text/plain").alias("content_type"), F.lit("did:me").alias("publisher"))
+    return publish.publish_dag(c, meta, 2, 3, **switches)
+
+
+@query("publish_dag", f"""with {CHUNKS}, {MADE} select doc_id, '01711220' || sha256(body) root_cid, n chunk_count, s total_size, structure, depth::int depth, 'success' dht, 'skipped' gossip from made""")
+def _(t):
+    return dag(t, gossip=False)[0].select("doc_id", "root_cid", "chunk_count", "total_size", "structure", "depth", "dht", "gossip")
+
+
+@query("publish_blocks", f"""with {CHUNKS}, {MADE}, b as (select cid, case when level = 0 then size else size end size from nodes where level = 0 or (total > 2) union select '01711220' || sha256(body), strlen(body) from made) select cid, min(size)::bigint size from b group by cid""")
+def _(t):
+    return dag(t)[1]
+
+
+@query("publish_announced", f"""with {CHUNKS}, {MADE}, a as (select doc_id, cid from nodes join top using (doc_id) where level = depth union select doc_id, '01711220' || sha256(body) from made) select doc_id, count(*) n from a group by doc_id""")
+def _(t):
+    return dag(t)[2].groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("content_info", f"""with {CHUNKS}, {MADE}, r as (select distinct '01711220' || sha256(body) cid, s, n from made) select cid, 'ok' status, s total_size, n chunk_count, true is_local from r
+    union all select distinct '01551220' || sha256(text), 'not_found', null, null, false from documents union all select distinct source, 'invalid_cid', null, null, false from documents""")
+def _(t):
+    made, stored, _ = dag(t)
+    wanted = made.select(F.col("root_cid").alias("cid")).union(t.documents.select(ids.cid_hex(F.col("text").cast("binary")))).union(t.documents.select("source")).distinct()
+    stored = stored.join(t.documents.select(ids.cid_hex(F.col("text").cast("binary")).alias("cid")), "cid", "left_anti")
+    return publish.info(wanted, made, stored)
+
+
+@query("content_list_local", f"""with {CHUNKS}, {MADE} select distinct '01711220' || sha256(body) cid from made""")
+def _(t):
+    made, stored, _ = dag(t)
+    return made.select(F.col("root_cid").alias("cid")).distinct().join(stored, "cid", "left_semi")
+
+
+@query("fetch_retry", """with a as (select l_orderkey cid, row_number() over (partition by l_orderkey order by l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey % 1000) n, case when l_returnflag = 'N' then 'ok' when l_linestatus = 'F' and l_returnflag = 'A' then 'not_found' else 'failed' end o from lineitem),
+    e as (select cid, min(n) filter (where o <> 'failed') f, max(n) l from a where n <= 3 group by cid) select e.cid, a.o status, a.n tries from e join a on a.cid = e.cid and a.n = coalesce(f, l)""")
+def _(t):
+    outcome = F.when(F.col("l_returnflag") == "N", "ok").when((F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "A"), "not_found").otherwise("failed")
+    return publish.retried(t.lineitem.select(F.col("l_orderkey").alias("cid"), (F.col("l_linenumber") * 100000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000).alias("attempt"), outcome.alias("outcome")), 2)
+
+
 @query("published_list", """select doc_id cid, 10::bigint page_count, (select count(*) from documents) total from documents order by n_chars desc, doc_id limit 10 offset 20""")
 def _(t):
     return catalog.listing(t.documents.select(F.col("doc_id").alias("cid"), "n_chars"), "n_chars", 20, 10).select("cid", "page_count", "total")
@@ -151,6 +223,35 @@ def _(t):
     return blocks.stats(cids(t).select("cid", "size").distinct())
 
 
+@query("block_capacity", f"""with {CIDS}, r as (select *, row_number() over (partition by cid order by arrival) n from cids), f as (select *, sum(size) over (order by arrival) total from r where n = 1 and size <= 10000)
+    select r.doc_id, case when r.size > 10000 then 'too_large' when r.n > 1 then 'duplicate' when f.total > 300000 then 'full' else 'stored' end outcome from r left join f on f.arrival = r.arrival""")
+def _(t):
+    c = cids(t)
+    return blocks.put(c.select("cid").where("false"), c, 10000, 300000).select(F.col("arrival").alias("doc_id"), "outcome")
+
+
+def pin_changes(t):
+    """Unlabelled documents are pinned, then every third one is unpinned; blocks are those of even ids."""
+    c = cids(t)
+    a = F.when(F.col("doc_id") % 3 == 0, "unpin").otherwise("pin")
+    return blocks.pinned(c.where("doc_id % 2 = 0").select("cid"), c.where("doc_id % 5 = 0").select("cid"), c.select(F.col("doc_id").alias("at"), "cid", a.alias("action")))
+
+
+PINS = f"""{CIDS}, c as (select doc_id "at", cid, case when doc_id % 3 = 0 then 'unpin' else 'pin' end action, cid in (select cid from cids where doc_id % 2 = 0) b, cid in (select cid from cids where doc_id % 5 = 0) p from cids),
+    s as (select *, action = 'unpin' or b is_real, last_value(case when action = 'unpin' or b then action = 'pin' end ignore nulls) over (partition by cid order by "at" rows between unbounded preceding and 1 preceding) was from c),
+    o as (select *, case when not is_real then 'not_found' when action = 'unpin' and not coalesce(was, p) then 'not_pinned' else 'ok' end outcome from s)"""
+
+
+@query("pin_outcomes", f"""with {PINS} select "at", cid, action, outcome from o""")
+def _(t):
+    return pin_changes(t)[1]
+
+
+@query("pinned_after", f"""with {PINS}, l as (select cid, arg_max(action, "at") a from o where outcome = 'ok' group by cid) select distinct cid from cids where cid in (select cid from l where a = 'pin') or (doc_id % 5 = 0 and cid not in (select cid from l))""")
+def _(t):
+    return pin_changes(t)[0]
+
+
 @query("block_get_batch", f"""with {CIDS}, w as (select distinct cid, size from cids where doc_id % 2 = 0) select r.doc_id pos, r.cid, w.cid is not null found, w.size from (select * from cids where doc_id % 5 = 0) r left join w using (cid)""")
 def _(t):
     c = cids(t)
@@ -197,14 +298,33 @@ def _(t):
     return _cdc(t, "fastcdc")
 
 
-@query("chunk_paragraphs")
+@query("chunk_paragraphs", """with recursive p as (select conv_id, row_number() over (partition by conv_id order by turn) n, trim(text, ' ' || chr(9) || chr(10) || chr(13)) part from conversations where length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 0),
+    s as (select conv_id, n, case when strlen(part) >= 600 then null else part end pack, case when strlen(part) >= 600 then [part] else []::varchar[] end done from p where n = 1
+      union all select p.conv_id, p.n,
+        case when s.pack is null or strlen(s.pack) + strlen(p.part) + 2 > 600 then case when strlen(p.part) >= 600 then null else p.part end when strlen(s.pack) + strlen(p.part) + 2 >= 600 then null else s.pack || chr(10) || chr(10) || p.part end,
+        list_concat(s.done, case when s.pack is null then case when strlen(p.part) >= 600 then [p.part] else []::varchar[] end
+          when strlen(s.pack) + strlen(p.part) + 2 > 600 then list_concat(case when strlen(s.pack) >= 100 then [s.pack] else []::varchar[] end, case when strlen(p.part) >= 600 then [p.part] else []::varchar[] end)
+          when strlen(s.pack) + strlen(p.part) + 2 >= 600 then [s.pack || chr(10) || chr(10) || p.part] else []::varchar[] end)
+      from s join p on p.conv_id = s.conv_id and p.n = s.n + 1),
+    e as (select conv_id, arg_max(list_concat(done, case when pack is not null and strlen(pack) >= 100 then [pack] else []::varchar[] end), n) l from s group by conv_id)
+    select conv_id doc_id, i - 1 idx, l[i] chunk from (select conv_id, l, unnest(range(1, len(l) + 1)) i from e)""")
 def _(t):
-    return chunking.packed(t.documents, 100, 1000, "\n")
+    """Conversations as texts, their turns parted by blank lines."""
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"])
+    texts = t.conversations.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(turns, "\n\n").alias("text"))
+    return chunking.packed(texts, 100, 600)
 
 
 @query("chunk_smart")
 def _(t):
-    return chunking.packed(t.pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")), 50, 2000, extension="html")
+    """By kind of file: pages as HTML, documents as Markdown, a third of them, or code, or text."""
+    page = chunking.packed(t.pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")), 50, 2000, extension="html")
+    kinds = ["md", "py", "txt"]
+    rest = [chunking.packed(t.documents.where(F.col("doc_id") % 3 == i).select("doc_id", "text"), 50, 2000, extension=k).withColumn("kind", F.lit(k)) for i, k in enumerate(kinds)]
+    out = page.withColumn("kind", F.lit("html"))
+    for r in rest:
+        out = out.unionByName(r)
+    return out
 
 
 @query("dedup_effectiveness")
@@ -218,23 +338,48 @@ def _(t):
     return blocks.manifest(chunks(t))
 
 
-@query("manifest_tree", f"""with {CHUNKS}, n as (select doc_id, count(*) n, sum(length(chunk))::bigint s from chunks group by doc_id)
-    select doc_id, n chunk_count, s total_size, case when n > 2 then 'tree' else 'flat' end structure, case when n > 9 then 2 when n > 3 then 1 else 0 end depth,
-    case when n > 9 then (((n + 2) // 3) + 2) // 3 when n > 3 then (n + 2) // 3 else n end::bigint root_children from n where n <= 27""")
+WIDTHS = """n as (select doc_id, count(*) n, sum(length(chunk))::bigint s from chunks group by doc_id), w as (select doc_id, n, s, n width, 0 depth from n union all select doc_id, n, s, (width + {f} - 1) // {f}, depth + 1 from w where width > {f})"""
+
+
+@query("manifest_tree", f"""with recursive {CHUNKS}, {WIDTHS.format(f=3)}, top as (select doc_id, n, s, max(depth) depth, min(width) width from w group by all)
+    select doc_id, n chunk_count, s total_size, case when n > 2 then 'tree' else 'flat' end structure, case when n > 2 then depth else 0 end::int depth, case when n > 2 then width else n end::bigint root_children from top""")
+def _(t):
+    return blocks.manifest(chunks(t), 2, 3)
+
+
+@query("manifest_levels", f"""with recursive {CHUNKS}, {WIDTHS.format(f=4)}, b as (select doc_id, depth "level", width, lag(width) over (partition by doc_id order by depth) below from w where n > 4)
+    select doc_id, "level"::int "level", node, least(4, below - node * 4)::bigint children from (select *, unnest(range(0, width)) node from b where "level" > 0)""")
+def _(t):
+    return blocks.tree_levels(chunks(t), 4, 4)
+
+
+@query("manifest_node_ids", f"""with {CHUNKS}, {tree_sql(4, 4)} select doc_id, level::int "level", pos node, cid from nodes where level > 0""")
+def _(t):
+    c = chunks(t).select("doc_id", "idx", ids.cid_hex(F.col("chunk").cast("binary")).alias("cid"))
+    return blocks.build_tree(c, 4, 4).select("doc_id", "level", "node", "cid")
+
+
+@query("tree_read", f"""with {CHUNKS} select doc_id, idx pos, '01551220' || sha256(chunk) cid, case when contains(chunk, 'the') then null else 'missing_block' end error from chunks""")
 def _(t):
-    return blocks.manifest(chunks(t), 2, 3).where("chunk_count <= 27")
+    """All chunks of all documents, read from their roots down in order; those without a word of the list are not held."""
+    made, _, _ = dag(t)
+    c = chunks(t).select("doc_id", "idx", "size", "chunk", ids.cid_hex(F.col("chunk").cast("binary")).alias("cid"))
+    return publish.read_tree(made.select("doc_id", "children"), blocks.build_tree(c, 3, 2), c.where(F.contains("chunk", F.lit("the"))).select("cid"))
 
 
-@query("manifest_levels", f"""with {CHUNKS}, n as (select doc_id, count(*) n from chunks group by doc_id having count(*) > 4)
-    select doc_id, 1 "level", g node, least(4, n - g * 4)::bigint children from (select doc_id, n, unnest(range(0, (n + 3) // 4)) g from n)""")
+@query("chunk_contains_offset", f"""with {CHUNKS} select doc_id, idx, "offset" <= 1500 and 1500 < "offset" + length(chunk) has from chunks""")
 def _(t):
-    return blocks.tree_levels(chunks(t), 4, 4, 1)
+    return chunks(t).select("doc_id", "idx", blocks.contains_offset(F.col("offset"), F.col("size"), F.lit(1500)).alias("has"))
 
 
-@query("tree_expand", f"""with {CHUNKS} select doc_id, idx pos, sha256(chunk) cid from chunks where doc_id in (select doc_id from chunks where idx >= 4)""")
+@query("read_byte_range", """select doc_id, case when strlen(text) > 1500 then hex(encode(text)[1501:least(2700, strlen(text))]) end data, case when strlen(text) <= 1500 then 'out_of_bounds' end error from documents where strlen(text) > 0""")
 def _(t):
-    c = chunks(t).select("doc_id", "idx", F.sha2("chunk", 256).alias("cid"))
-    return blocks.expand(blocks.build_tree(c, 4)).select("doc_id", (F.col("pos") - 1).alias("pos"), "cid")
+    data = F.col("text").cast("binary")
+    size = F.octet_length("text")
+    starts = F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(700))
+    cut = F.transform(starts, lambda s: F.substring(data, s + 1, F.lit(700)))
+    c = t.documents.where(size > 0).select("doc_id", F.posexplode(cut).alias("idx", "chunk")).withColumn("size", F.octet_length("chunk"))
+    return blocks.read_range(c, 1500, 2700).select("doc_id", F.hex("text").alias("data"), "error")
 
 
 @query("read_range", """select doc_id, case when length(text) > 1500 then substr(text, 1501, least(2700, length(text)) - 1500) end "text", case when length(text) <= 1500 then 'out_of_bounds' end error from documents where length(text) > 0""")

@@ -59,25 +59,72 @@ def _(t):
     return clocks(t).select("event_id", events.precedes(c, o).alias("precedes"), events.concurrent(c, o).alias("concurrent"), events.merged(c, o)["a"].alias("merged_a"), events.incremented(c, F.lit("b"))["clocks"]["b"].alias("next_b"))
 
 
-def body(t):
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    return events.canonical(F.col("event_id"), F.col("event_type"), F.lit(1), F.col("props"), ms, F.col("user_id"), F.lit(""))
+def schemas():
+    out = events.Schemas().register("click", 1, {"k": "long"}).register("view", 1, {"k": "long"}).register("error", 1, {"k": "long", "message": "string"})
+    return out.register("purchase", 1, {"k": "long"}).register("purchase", 2, {"k": "long"})
 
 
-@query("event_canonical_hash", """select event_id, sha256('{"id":"' || event_id || '","payload":"' || replace(props, '"', '\\"') || '","prev_hash":"","schema_version":1,"signer":"' || user_id || '","ts":' || (epoch_us(ts) // 1000) || ',"type":"' || event_type || '"}') "hash" from events""")
+def offered(t):
+    """Events as signed payloads: actors are streams and signers; some have no signature, no schema, or a field too few."""
+    e = F.col("event_id")
+    return t.events.select(
+        "event_id", F.col("user_id").alias("stream"), F.col("event_type").alias("type"), F.when(e % 9 == 0, 2).otherwise(1).alias("schema_version"), F.col("props").alias("payload"), "ts",
+        F.concat(F.lit("did:key:"), (F.col("user_id") % 2 + e % 3).cast("string")).alias("signer"), F.when(e % 14 == 0, "").otherwise("s").alias("sig"), F.lit("ed25519").alias("sig_type"),
+    )
+
+
+REFUSED = """case when event_type = 'signup' or (event_id % 9 = 0 and event_type <> 'purchase') then 'schema_not_found' when event_type = 'error' then 'message' when event_id % 14 = 0 then 'invalid_payload' end"""
+APPENDED = f"""good as (select *, row_number() over (partition by user_id order by ts, event_id) - 1 "offset", 'did:key:' || (user_id % 2 + event_id % 3) signer from events where {REFUSED} is null),
+    clocked as (select *, row_number() over (partition by user_id, signer order by "offset") clock from good),
+    bodies as (select *, '{{"causality":{{"clocks":{{"' || signer || '":' || clock || '}},"dots":[["' || signer || '",' || clock || ']]}},"id":"' || event_id || '","payload":' || props || ',"prev_hash":"' head,
+      '","redactable":false,"schema_version":' || case when event_id % 9 = 0 then 2 else 1 end || ',"signer":"' || signer || '","trust_refs":[],"ts":' || (epoch_us(ts) // 1000) || ',"type":"' || event_type || '"}}' tail from clocked),
+    linked as (select user_id, "offset", event_id, clock, repeat('0', 64) prev_hash, sha256(head || repeat('0', 64) || tail) hash from bodies where "offset" = 0
+      union all select b.user_id, b."offset", b.event_id, b.clock, l.hash, sha256(b.head || l.hash || b.tail) from linked l join bodies b on b.user_id = l.user_id and b."offset" = l."offset" + 1)"""
+
+
+def appended(t):
+    return events.append(offered(t), schemas())[0]
+
+
+@query("event_append", f"""with recursive {APPENDED} select event_id, user_id stream, "offset", clock, prev_hash, hash from linked""")
+def _(t):
+    return appended(t).select("event_id", "stream", "offset", "clock", "prev_hash", "hash")
+
+
+@query("event_refused", f"""select event_id, {REFUSED} error from events where {REFUSED} is not null""")
+def _(t):
+    return events.append(offered(t), schemas())[1].select("event_id", "error")
+
+
+@query("event_stream_heads", f"""with recursive {APPENDED}, c as (select user_id, signer, max(clock) n from clocked group by all)
+    select user_id stream, max("offset") head_offset, arg_max(hash, "offset") prev_hash, count(*) event_count, (select string_agg(signer || '=' || n, ',' order by signer) from c where c.user_id = linked.user_id) clocks from linked group by user_id""")
+def _(t):
+    pairs = F.transform(F.map_entries("clocks"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return events.heads(appended(t)).select("stream", "head_offset", "prev_hash", "event_count", F.array_join(pairs, ",").alias("clocks"))
+
+
+@query("event_offset_by_hash", f"""with recursive {APPENDED} select sha256('x' || doc_id) hash, null::bigint "offset" from documents union all select hash, "offset" from linked where user_id = 7""")
+def _(t):
+    log = appended(t).where("stream = 7")
+    odd = t.documents.select(F.sha2(F.concat(F.lit("x"), F.col("doc_id").cast("string")), 256).alias("hash"))
+    return events.offset_of(log, log.select("hash").unionByName(odd))
+
+
+@query("event_get", f"""with {LOG} select "offset", event_id, event_type from log where "offset" = 42""")
 def _(t):
-    return t.events.select("event_id", F.sha2(body(t), 256).alias("hash"))
+    return events.at_offset(log(t), 42).select("offset", "event_id", "event_type")
 
 
-@query("event_chain_build")
+@query("event_chain_verify", f"""with recursive {APPENDED} select user_id stream, count(*) n, true whole from linked group by 1""")
 def _(t):
-    return events.chain(t.events.select("user_id", F.col("event_id").alias("offset"), body(t).alias("body")), "user_id")
+    return events.verify_chain(appended(t), "stream").groupBy("stream").agg(F.count(F.lit(1)).alias("n"), F.every("linked").alias("whole"))
 
 
-@query("event_chain_verify", """select user_id, count(*) n, true whole from events group by 1""")
+@query("event_chain_tampered", f"""with {LOG} select event_type, count(*) n, count(*) filter (where event_id % 100 = 7) broken from log group by 1""")
 def _(t):
-    built = events.chain(t.events.select("user_id", F.col("event_id").alias("offset"), F.col("props").alias("body")), "user_id")
-    return events.verify_chain(built, "user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.every("linked").alias("whole"))
+    made = t.events.select("event_id", "event_type", F.col("event_id").alias("offset"), F.lit("").alias("head"), F.col("props").alias("tail"))
+    built = events.chain(made, "event_type").withColumn("prev_hash", F.when(F.col("offset") % 100 == 7, F.lit("other")).otherwise(F.col("prev_hash")))
+    return events.verify_chain(built, "event_type").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("linked")).alias("broken"))
 
 
 @query("event_schema_validate", """select event_id, case when event_id % 10 = 0 then 'message' end error from events""")

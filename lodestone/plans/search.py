@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone import extensions
 from lodestone.catalogue import query
 from lodestone.functions import ids, strings, vectors
 from lodestone.operators import indexing, search
@@ -20,6 +21,18 @@ rows_ as (select vec_id, score, ['local:a', 'network:p1', 'network:p2'][s + 1] s
 kept as (select * from (select *, row_number() over (partition by source_id order by score desc, vec_id) r from rows_) where r <= 20)"""
 
 
+def _planes_sql(planes: int = 16, dimensions: int = 64, seed: int = 7) -> str:
+    """The random projections' signs, written out."""
+    import numpy as np
+
+    rows = np.random.default_rng(seed)
+    dots = (f"case when list_dot_product(embedding::double[], [{', '.join(repr(float(x)) for x in rows.normal(size=dimensions))}]) >= 0 then {1 << p} else 0 end" for p in range(planes))
+    return f"({' + '.join(dots)})::bigint"
+
+
+PLANES_SQL = _planes_sql()
+
+
 def aggregate_sql(penalty: float, boost: float) -> str:
     return f"""{SOURCED},
     normed as (select *, case when max(score) over w = min(score) over w then 1.0 else (score - min(score) over w) / (max(score) over w - min(score) over w) end norm from kept window w as (partition by source_id)),
@@ -34,12 +47,25 @@ def aggregate_sql(penalty: float, boost: float) -> str:
 def sourced(t):
     """The rows of three overlapping sources, with their similarity to vector 0."""
     e = t.embeddings
-    sims = search.similarities(e, e.where("vec_id = 0"))
+    sims = search.similarities(e, one(t))
     spread = sims.withColumn("s", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).where(F.expr(SOURCES))
     name = F.element_at(F.array(*map(F.lit, NAMES)), F.col("s") + 1)
     return spread.select("vec_id", "score", name.alias("source_id"), F.when(F.col("s") == 0, "local").otherwise("network").alias("source"))
 
 
+def one(t):
+    """Vector 0 as a query."""
+    return t.embeddings.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def many(t):
+    """Every vector whose id is divisible by 50."""
+    return t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+ALL_SIMS = """alls as (select q.vec_id query_id, e.vec_id, 1 - list_cosine_similarity(e.embedding::double[], q.embedding::double[]) distance from embeddings e join embeddings q on q.vec_id % 50 = 0 and q.vec_id <> e.vec_id)"""
+
+
 def rounded(df, *cols):
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
@@ -73,20 +99,51 @@ def _(t):
     return rounded(search.in_scope(search.top_per_source(sourced(t), 20), "local").select("vec_id", "source_id", "score"), "score")
 
 
+@query("scope_network", f"""{SOURCED} select vec_id, source_id, round(score, 6) score from kept where source = 'network'""")
+def _(t):
+    return rounded(search.in_scope(search.top_per_source(sourced(t), 20), "network").select("vec_id", "source_id", "score"), "score")
+
+
+class Collection:
+    """One source's vectors as an adapter."""
+
+    def __init__(self, rows, source_id: str):
+        self.rows, self.name, self.scope = rows, source_id, source_id.split(":")[0]
+
+    def search(self, query, limit):
+        near = search.knn(self.rows, query, limit).select("vec_id", (1.0 - F.col("distance")).alias("score"))
+        return near.select("vec_id", "score", F.lit(self.name).alias("source_id"), F.lit(self.scope).alias("source"))
+
+
+@query("adapters_all", f"""{SOURCED} select vec_id, source_id, source, round(score, 6) score from kept""")
+def _(t):
+    rules = ["label between 0 and 5", "label between 3 and 8", "label % 2 = 0"]
+    adapters = [Collection(t.embeddings.where(r), n) for r, n in zip(rules, NAMES, strict=True)]
+    return rounded(extensions.gathered(adapters, one(t), 20).select("vec_id", "source_id", "source", "score"), "score")
+
+
 @query("knn_cosine_topk", f"""with {SIM} select vec_id, label, round(1 - score, 6) distance from sims order by 1 - score, vec_id limit 10""")
 def _(t):
-    return rounded(search.knn(t.embeddings, t.embeddings.where("vec_id = 0"), 10), "distance").select("vec_id", "label", "distance")
+    near = search.knn(t.embeddings, one(t), 10)
+    return rounded(near.join(t.embeddings.select("vec_id", "label"), "vec_id"), "distance").select("vec_id", "label", "distance")
+
+
+@query("knn_many", f"""with {ALL_SIMS} select query_id, vec_id, round(distance, 6) distance, row_number() over (partition by query_id order by distance, vec_id) "rank" from alls qualify "rank" <= 10""")
+def _(t):
+    return rounded(search.knn(t.embeddings, many(t), 10, most=4), "distance").select("query_id", "vec_id", "distance", "rank")
 
 
 @query("knn_threshold", f"""with {SIM}, near as (select *, 1 - score distance from sims order by 1 - score, vec_id limit 20)
     select vec_id, round(distance, 6) distance from near where distance <= 0.8 order by distance, vec_id limit 10""")
 def _(t):
-    return rounded(search.knn(t.embeddings, t.embeddings.where("vec_id = 0"), 10, at_most=0.8), "distance").select("vec_id", "distance")
+    return rounded(search.knn(t.embeddings, one(t), 10, at_most=0.8), "distance").select("vec_id", "distance")
 
 
-@query("knn_prefiltered")
+@query("knn_prefiltered", f"""with {ALL_SIMS}, s as (select vec_id, {PLANES_SQL} signature from embeddings),
+    near as (select a.* from alls a join s q on q.vec_id = query_id join s e on e.vec_id = a.vec_id where bit_count(xor(q.signature, e.signature)) <= 9)
+    select query_id, vec_id, round(distance, 6) distance from near qualify row_number() over (partition by query_id order by distance, vec_id) <= 10""")
 def _(t):
-    return rounded(search.knn_prefiltered(t.embeddings, t.embeddings.where("vec_id = 0"), 10), "distance").select("vec_id", "distance")
+    return rounded(search.knn_prefiltered(t.embeddings, many(t), 10), "distance").select("query_id", "vec_id", "distance")
 
 
 @query("vector_guards", """select label, count(*) filter (where len(embedding) = 64) fit, count(*) filter (where list_cosine_similarity(embedding::double[], embedding::double[]) > 0.999999) self_near,
