@@ -10,8 +10,10 @@ shingles into segments, their number set by the band, and a linked pair agrees i
 Empty segments have no signatures. Sets so concentrated that a pair's equal segments could all be empty cut the universe
 again by another hash, and again, until they are not; the last cut's empty segments have signatures.
 
-Equal sets are one class, represented by their least doc_id. Sets that share a signature are candidates, in three rounds.
-1. Each group's members meet its least one; links are verified on whole texts, and components are formed.
+Equal sets are one class, represented by their least doc_id. Sets that share a signature are candidates: the least of them
+is its hub, and a hub's group holds all sets that share a signature of which it is the least, so any two candidates are
+together in a group, and a group is one row a member however many signatures its members share. There are three rounds.
+1. Each group's members meet its hub; links are verified on whole texts, and components are formed.
 2. Each group that still holds several components is searched breadth-first with a parity sketch, a lower bound of the
    difference that never drops a link and is as wide as the sets are large. A member reached once is not compared again,
    so a group sends one pair a member at most. Where all of them prove to be links, the group has no other link between
@@ -45,7 +47,7 @@ BITS = {4: 4}  # bits by which one element tells sets apart, by the words of a s
 MOST_BITS = 8
 BLOCK = 1 << 20  # bytes of text whose sets a worker holds at once
 SKETCH, DENSE = 512, 4  # parity bits of a sketch, and at least so many an element, up to the next power of two
-TILE = 1 << 14  # members of a group that meet in one task
+TILE = 1 << 13  # members of a group that meet in one task
 MEET = 1 << 17  # pairs compared at once
 TILE_ELEMENTS = 1 << 20  # of the whole sets of a tile
 WIDER = 8  # bits an element of the third round's sketches
@@ -392,10 +394,10 @@ class Whole:
 
 
 def forests(rows: DataFrame, p: int, q: int, whole: bool) -> DataFrame:
-    """(sig, a, b) pairs that reach all candidates of each signature's group or tile pair, from rows (sig, lot, rep,
-    component, n, held) sorted by (sig, lot); held: sketches, or whole sets, whose pairs are links. Pairs with the least
-    member of a whole group were tried before."""
-    names = ("sig", "lot", "rep", "component", "n")
+    """(hub, a, b) pairs that reach all candidates of each hub's group or tile pair, from rows (hub, lot, rep,
+    component, n, held) sorted by (hub, lot); held: sketches, or whole sets, whose pairs are links. Pairs with the hub of a
+    whole group were tried before."""
+    names = ("hub", "lot", "rep", "component", "n")
 
     def group(part: dict) -> np.ndarray | None:
         comp = part["component"]
@@ -410,13 +412,13 @@ def forests(rows: DataFrame, p: int, q: int, whole: bool) -> DataFrame:
         if not found:
             return None
         pairs = np.sort(part["rep"][np.concatenate(found)], axis=1)
-        return np.column_stack((np.full(len(pairs), part["sig"][0]), pairs))
+        return np.column_stack((np.full(len(pairs), part["hub"][0]), pairs))
 
     def run(batches):
         def solved(parts):
             found = [x for part in parts if (x := group(part)) is not None]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.ascontiguousarray(np.concatenate(found).T)], ["sig", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.ascontiguousarray(np.concatenate(found).T)], ["hub", "a", "b"])
 
         waiting, key = [], None  # the parts of the last group, which may go on
         for batch in batches:
@@ -424,19 +426,19 @@ def forests(rows: DataFrame, p: int, q: int, whole: bool) -> DataFrame:
                 continue
             part = {name: batch.column(i).to_numpy(zero_copy_only=False) for i, name in enumerate(names)}
             part["held"] = np.array(batch.column(5).to_pylist(), object)
-            starts = np.flatnonzero(np.concatenate(([True], (part["sig"][1:] != part["sig"][:-1]) | (part["lot"][1:] != part["lot"][:-1]))))
+            starts = np.flatnonzero(np.concatenate(([True], (part["hub"][1:] != part["hub"][:-1]) | (part["lot"][1:] != part["lot"][:-1]))))
             cuts = [{name: v[a:b] for name, v in part.items()} for a, b in zip(starts, np.append(starts[1:], len(batch)), strict=True)]
-            if key == (cuts[0]["sig"][0], cuts[0]["lot"][0]):
+            if key == (cuts[0]["hub"][0], cuts[0]["lot"][0]):
                 waiting.append(cuts.pop(0))
             if cuts:
                 if waiting:
                     yield from solved([{name: np.concatenate([w[name] for w in waiting]) for name in part}])
                 yield from solved(cuts[:-1])
-                waiting, key = [cuts[-1]], (cuts[-1]["sig"][0], cuts[-1]["lot"][0])
+                waiting, key = [cuts[-1]], (cuts[-1]["hub"][0], cuts[-1]["lot"][0])
         if waiting:
             yield from solved([{name: np.concatenate([w[name] for w in waiting]) for name in waiting[0]}])
 
-    return rows.select(*names, "held").mapInArrow(run, "sig long, a long, b long")
+    return rows.select(*names, "held").mapInArrow(run, "hub long, a long, b long")
 
 
 def elements(docs: DataFrame, k: int) -> DataFrame:
@@ -464,13 +466,6 @@ def dealt(rows: DataFrame) -> DataFrame:
     return rows.withColumn("lot", F.explode(F.when(F.col("tiles") == 1, F.array(F.lit(-1))).otherwise(F.array_distinct(pairs)))).drop("tiles")
 
 
-def apart(groups: DataFrame) -> DataFrame:
-    """The groups without those of the same members as another one, told by two independent hashes of them."""
-    marks = (F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("x"), F.sum(F.xxhash64(F.lit(2), "rep").cast("decimal(38,0)")).alias("y"), F.count(F.lit(1)).alias("members"))
-    one = groups.groupBy("sig").agg(*marks).groupBy("x", "y", "members").agg(F.min("sig").alias("sig")).select("sig")
-    return groups.join(one, "sig")
-
-
 def labelled(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; docs: (doc_id, text) with keys for ids."""
     scratch = Scratch(docs.sparkSession, "jaccard")
@@ -483,37 +478,40 @@ def labelled(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
     groups = shared(signed(docs, k, p, q).repartition("sig").sortWithinPartitions("sig"))
     groups = scratch.table(groups.join(members.where("n > 0 and doc_id <> rep").select("doc_id", "rep"), "doc_id", "left").select("sig", F.coalesce("rep", "doc_id").alias("rep")).distinct(), "groups")
 
+    hubs = groups.groupBy("sig").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").select("sig", "hub")
+    near = scratch.table(groups.join(hubs, "sig").where("rep <> hub").select("hub", "rep").distinct(), "near")
+    near = near.unionByName(near.select("hub", F.col("hub").alias("rep")).distinct())
+    reps = scratch.table(likely(reps, near.select("rep"), "rep"), "reps")
+
     def components(links: DataFrame, turn: int) -> DataFrame:
         return scratch.table(connected(links, scratch, f"component-{turn}"), f"labels-{turn}")
 
     def searched(groups: DataFrame, component: DataFrame, held: DataFrame, whole: bool, name: str) -> DataFrame:
         """The forests of the groups of several components; both of two members met as hub and member."""
-        rows = groups.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
+        rows = groups.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("hub", "rep", F.coalesce("component", "rep").alias("component"))
         size = F.ceil(F.count(F.lit(1)) / TILE)
         if whole:
             rows = rows.join(reps.select("rep", "n"), "rep")
             size = F.greatest(size, F.ceil(F.sum("n") / TILE_ELEMENTS))
-        mixed = rows.groupBy("sig").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("members"), size.cast("int").alias("tiles"))
-        mixed = mixed.where("least <> most and members > 2").select("sig", "tiles")
-        rows = dealt(rows.select("sig", "rep", "component").join(mixed, "sig")).join(held, "rep")
-        return scratch.table(forests(rows.repartition("sig", "lot").sortWithinPartitions("sig", "lot", "rep"), p, q, whole), name)
+        mixed = rows.groupBy("hub").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("members"), size.cast("int").alias("tiles"))
+        mixed = scratch.table(mixed.where("least <> most and members > 2").select("hub", "tiles"), f"mixed-{name}")  # written, so that a hot group's join may be split
+        rows = dealt(rows.select("hub", "rep", "component").join(mixed, "hub")).join(held, "rep")
+        return scratch.table(forests(rows.repartition("hub", "lot").sortWithinPartitions("hub", "lot", "rep"), p, q, whole), name)
 
     check = may_link(p, q)
-    hubs = groups.groupBy("sig").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").select("sig", "hub")
-    pairs = groups.join(hubs, "sig").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    pairs = pairs.join(reps.toDF("a", "a_n", "a_sketch"), "a").join(reps.toDF("b", "b_n", "b_sketch"), "b").where(check("a_n", "b_n", "a_sketch", "b_sketch")).select("a", "b").distinct()
-    tried = scratch.table(pairs, "pairs-1")
+    pairs = near.where("rep <> hub").toDF("a", "b").join(reps.toDF("a", "a_n", "a_sketch"), "a").join(reps.toDF("b", "b_n", "b_sketch"), "b")
+    tried = scratch.table(pairs.where(check("a_n", "b_n", "a_sketch", "b_sketch")).select("a", "b").distinct(), "pairs-1")
     links = scratch.table(verified(tried, docs, k, p, q), "links-1")
     component = components(links, 1)
 
-    found = searched(groups, component, reps, False, "forests-2")
+    found = searched(near, component, reps, False, "forests-2")
     fresh = scratch.table(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs-2")
     if fresh.limit(1).count():
         links = links.unionByName(scratch.table(verified(fresh, docs, k, p, q), "links-2"))
         component = components(links, 2)
-    doubtful = scratch.table(found.join(links, ["a", "b"], "left_anti").select("sig").distinct(), "doubtful")
+    doubtful = scratch.table(found.join(links, ["a", "b"], "left_anti").select("hub").distinct(), "doubtful")
     if doubtful.limit(1).count():
-        rest = scratch.table(apart(groups.join(doubtful, "sig")), "groups-3")
+        rest = scratch.table(near.join(doubtful, "hub"), "groups-3")
         nodes = rest.select(F.col("rep").alias("doc_id")).distinct()
         texts = likely(docs.select("doc_id", "text"), nodes, "doc_id").join(nodes, "doc_id", "left_semi")
         held = elements(texts, k).join(reps.select("rep", "n"), "rep")
