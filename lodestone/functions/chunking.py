@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -73,6 +74,8 @@ class Rabin:
             start = end
         return out
 
+    cuts_plain = cuts  # the fingerprint keeps a trace of all bytes since the last cut, so it is taken byte by byte
+
 
 class FastCdc:
     """Gear hashing with a stricter mask before the target size and a looser one after it."""
@@ -84,7 +87,7 @@ class FastCdc:
         bits = sizes.target.bit_length() - 1
         self.strict, self.loose = ((1 << b) - 1 << (64 - b) for b in (bits + 1, max(1, bits - 1)))
 
-    def cuts(self, data: bytes) -> list[int]:
+    def cuts_plain(self, data: bytes) -> list[int]:
         s, out, start, n = self.sizes, [], 0, len(data)
         while start < n:
             end, h = min(n, start + s.most), 0
@@ -97,6 +100,65 @@ class FastCdc:
             start = end
         return out
 
+    def cuts(self, data: bytes) -> list[int]:
+        """The same by blocks: a hash reaches 64 bytes back, so all are summed at once, doubling; only the walk over the cuts goes on one by one."""
+        s, out, start, n = self.sizes, [], 0, len(data)
+        if n <= s.least:
+            return [n] if n else []
+        whole = np.array(self.gear, np.uint64)[np.frombuffer(data, np.uint8)]
+        for reach in (1, 2, 4, 8, 16, 32):
+            if n > reach:
+                whole[reach:] += whole[:-reach].copy() << np.uint64(reach)
+        strict, loose = (np.flatnonzero(whole & np.uint64(m) == 0) for m in (self.strict, self.loose))
+        while start < n:
+            end, h, at = min(n, start + s.most), 0, start + s.least
+            warm = min(end, at + 63)
+            while at < warm:  # the first hashes of a chunk know its own bytes alone
+                h = ((h << 1) + self.gear[data[at]]) & U64
+                at += 1
+                if h & (self.strict if at - 1 - start < s.target else self.loose) == 0:
+                    end = at
+                    break
+            else:
+                turn = start + s.target
+                for spots, low, high in ((strict, at, min(end, turn)), (loose, max(at, turn), end)):
+                    k = np.searchsorted(spots, low)
+                    if low < high and k < len(spots) and spots[k] < high:
+                        end = int(spots[k]) + 1
+                        break
+            out.append(end)
+            start = end
+        return out
+
+
+def streamed(buffers: Iterable[bytes], cutter: Rabin | FastCdc) -> Iterator[bytes]:
+    """The chunks of a stream of buffers, those of its bytes as a whole; about two of the largest chunks are held at once."""
+    held, most = bytearray(), cutter.sizes.most
+    for buffer in buffers:
+        held += buffer
+        if len(held) >= 2 * most:
+            start = 0
+            for end in cutter.cuts(bytes(held)):
+                if end == len(held) and end - start < most:
+                    break  # it may go on
+                yield bytes(held[start:end])
+                start = end
+            del held[:start]
+    start = 0
+    for end in cutter.cuts(bytes(held)):
+        yield bytes(held[start:end])
+        start = end
+
+
+class Streaming:
+    """A chunker of streams by either way of cutting."""
+
+    def __init__(self, cutter: Rabin | FastCdc):
+        self.cutter = cutter
+
+    def chunks(self, buffers: Iterable[bytes]) -> Iterator[bytes]:
+        return streamed(buffers, self.cutter)
+
 
 def paragraphs(text: str, least: int, most: int, separator: str = "\n\n") -> list[str]:
     """Trimmed paragraphs packed up to `most` UTF-8 bytes; packs below `least` are dropped, a larger paragraph stays whole."""

@@ -36,19 +36,19 @@ def checked(a: Column, n: int) -> Column:
 
 
 def embed(text: Column, dimensions: int = 384) -> Column:
-    """A stand-in for an embedding model: signed hashing of words, normalised to length 1. Any pandas UDF of this shape may replace it."""
-    import xxhash
+    """A stand-in for an embedding model: signed hashing of words, normalised to length 1. Any function of this shape may replace it.
+
+    Words are hashed in the JVM; a batch's signed counts are summed at once.
+    """
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: F.length(w) > 0)
 
     @F.pandas_udf("array<float>")
-    def run(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            v = np.zeros(dimensions)
-            for w in (t or "").lower().split():
-                h = xxhash.xxh64_intdigest(w)
-                v[h % dimensions] += 1.0 if h >> 63 else -1.0
-            n = np.linalg.norm(v)
-            out.append((v / n if n else v).astype(np.float32))
-        return pd.Series(out)
-
-    return run(text)
+    def summed(hashes: pd.Series) -> pd.Series:
+        size = np.fromiter(map(len, hashes), np.int64, len(hashes))
+        flat = np.concatenate([*hashes, np.zeros(0, np.int64)]).astype(np.int64)
+        spot = np.repeat(np.arange(len(size)), size) * dimensions + flat % dimensions
+        v = np.bincount(spot, np.where(flat < 0, 1.0, -1.0), len(size) * dimensions).reshape(len(size), dimensions)
+        n = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        return pd.Series(list((v / np.where(n > 0, n, 1)).astype(np.float32)))
+
+    return summed(F.transform(words, lambda w: F.xxhash64(w)))

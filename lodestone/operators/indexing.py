@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.extensions import Embedder
 from lodestone.functions import chunking, strings, vectors
 
 
@@ -36,17 +39,31 @@ def final_error(loaded: Column, failed: Column, most: float, sample: int) -> Col
     return F.when(loaded + failed < sample, F.lit(None).cast("string")).when(rate > most, "failure_rate").when((loaded == 0) & (failed > 0), "zero_success")
 
 
-def index(docs: DataFrame, least: int, most: int, dimensions: int = 384, separator: str = "\n") -> DataFrame:
-    """(doc_id, chunk_index, chunk, embedding): validated, packed and embedded texts."""
+def index(docs: DataFrame, least: int, most: int, dimensions: int = 384, separator: str = "\n", embedder: Embedder = vectors.embed) -> DataFrame:
+    """(doc_id, chunk_index, chunk, embedding): validated, packed and embedded texts. embedder: a column of texts and a number of dimensions to a column of vectors."""
     fit = docs.where(skip_reason(F.lit(""), F.col("text"), F.octet_length("text"), 100 << 20, [], 1).isNull())
     parts = chunking.packed(fit, least, most, separator)
-    return parts.withColumn("embedding", vectors.embed(F.col("chunk"), dimensions)).withColumnRenamed("idx", "chunk_index")
+    return parts.withColumn("embedding", embedder(F.col("chunk"), dimensions)).withColumnRenamed("idx", "chunk_index")
+
+
+def index_status(files: DataFrame, chunks: DataFrame, by: str) -> DataFrame:
+    """(by, files_indexed, chunks_stored, files_skipped) of an index run over files (doc_id, by) from its chunks (doc_id)."""
+    counted = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    return files.join(counted, "doc_id", "left").groupBy(by).agg(F.count("_n").alias("files_indexed"), F.coalesce(F.sum("_n"), F.lit(0)).alias("chunks_stored"), F.count_if(F.col("_n").isNull()).alias("files_skipped"))
+
+
+def fetched(attempts: DataFrame, most: int = 3) -> DataFrame:
+    """(cid, status, tries) of remote fetches from their log (cid, attempt, ok): the first success of at most `most` tries, else fetch_failed."""
+    w = Window.partitionBy("cid").orderBy("attempt")
+    rows = attempts.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    out = rows.groupBy("cid").agg(F.min(F.when(F.col("ok"), F.col("_n"))).alias("_first"), F.max("_n").alias("_last"))
+    return out.select("cid", F.when(F.col("_first").isNotNull(), "fetched").otherwise("fetch_failed").alias("status"), F.coalesce("_first", "_last").cast("long").alias("tries"))
 
 
-def index_remote(content: DataFrame, indexed: DataFrame, least: int, most: int, dimensions: int = 384) -> DataFrame:
+def index_remote(content: DataFrame, indexed: DataFrame, least: int, most: int, dimensions: int = 384, embedder: Embedder = vectors.embed) -> DataFrame:
     """Remote content by the same steps, but for what is indexed, of another type or over 100 MiB; broken UTF-8 is mended."""
     fit = content.join(indexed.select("doc_id"), "doc_id", "left_anti").where(strings.indexable(F.col("content_type"), rule="remote") & (F.octet_length("data") <= 100 << 20))
-    return index(fit.select("doc_id", F.make_valid_utf8(F.col("data").cast("string")).alias("text")), least, most, dimensions)
+    return index(fit.select("doc_id", F.make_valid_utf8(F.col("data").cast("string")).alias("text")), least, most, dimensions, embedder=embedder)
 
 
 def rag_context(chunks: DataFrame, by: str, most: int = 5) -> DataFrame:
@@ -64,11 +81,30 @@ def citations(chunks: DataFrame, by: str, most: int = 5) -> DataFrame:
     return chunks.withColumn("citation", F.row_number().over(Window.partitionBy(by).orderBy("rank")).cast("long")).where(F.col("citation") <= most)
 
 
-def rerank(chunks: DataFrame, question: Column, most: int = 5) -> DataFrame:
-    """By the share of the question's words that a chunk holds; a stand-in for a cross-encoder."""
-    asked = F.array_distinct(F.split(F.lower(question), r"\W+"))
-    share = F.size(F.array_intersect(asked, F.split(F.lower("content"), r"\W+"))) / F.size(asked)
-    return chunks.withColumn("rerank", share).orderBy(F.desc("rerank"), "rank").limit(most)
+def answers(questions: DataFrame, chunks: DataFrame, by: str = "q", most: int = 5) -> DataFrame:
+    """(by, prompt, error) of each question from its retrieved chunks (by, rank, content); one without any is the error NO_CONTEXT."""
+    context = rag_context(chunks, by, most)
+    out = questions.join(context, by, "left")
+    return out.select(by, F.when(F.col("context").isNotNull(), prompt(F.col("question"), F.col("context"))).alias("prompt"), F.when(F.col("context").isNull(), "NO_CONTEXT").alias("error"))
+
+
+def rerank(chunks: DataFrame, by: str, question: str = "question", most: int = 5, score: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """The best chunks of each question, their rank by score: the share of the question's words that a chunk holds, a stand-in for a cross-encoder (question, content) of the caller's."""
+    if score is None:
+        asked = F.array_distinct(F.split(F.lower(F.col(question)), r"\W+"))
+        value = F.size(F.array_intersect(asked, F.split(F.lower("content"), r"\W+"))) / F.size(asked)
+    else:
+        value = score(F.col(question), F.col("content"))
+    scored = chunks.withColumn("rerank", value)
+    w = Window.partitionBy(by).orderBy(F.desc("rerank"), "rank")
+    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= most)
+
+
+def stored_entities(chunks: DataFrame, answer: Column, space_id: Column, created_by: Column, at_least: float = 0.7) -> DataFrame:
+    """New entities (doc_id, space_id, entity_type, name, properties, created_by) of a model's answers about chunks (doc_id, source_path, text); blank chunks give none."""
+    found = extract_entities(chunks.where(F.length(F.trim("text")) > 0), answer, at_least)
+    properties = F.to_json(F.struct("confidence", "source_path"))
+    return found.select("doc_id", space_id.alias("space_id"), F.col("type").alias("entity_type"), "name", properties.alias("properties"), created_by.alias("created_by"))
 
 
 def keywords(docs: DataFrame, most: int = 5) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from lodestone.catalogue import query
 from lodestone.functions import ids, strings
 from lodestone.operators import network
+from lodestone.streaming import queries
 
 NOW = 1705276800000
 MESSAGES = """messages as (select event_id id, event_type topic, (epoch_us(ts) // 1000) ts_ms, (user_id % 4) * 86400 ttl, case when event_id % 50 = 0 then 2 else 1 end version, props, user_id from events)"""
@@ -80,7 +79,13 @@ def _(t):
     return network.discover(announced(t).where("error is null"), known, ["id"]).select("cid", "id")
 
 
-@query("rate_limit_anchored")
+RATED = """n as (select user_id, event_id, (epoch_us(ts) // 1000) ms, row_number() over (partition by user_id order by ts, event_id) i from events),
+    s as (select user_id, event_id, i, ms anchor, 1 used, true allowed from n where i = 1
+      union all select n.user_id, n.event_id, n.i, case when n.ms - s.anchor >= 21600000 then n.ms else s.anchor end, case when n.ms - s.anchor >= 21600000 then 1 when s.used < 5 then s.used + 1 else s.used end, n.ms - s.anchor >= 21600000 or s.used < 5
+      from s join n on n.user_id = s.user_id and n.i = s.i + 1)"""
+
+
+@query("rate_limit_anchored", f"""with recursive {RATED} select user_id, event_id, allowed from s""")
 def _(t):
     rows = messages(t).select("user_id", "ts_ms", F.col("id").alias("event_id"))
     return network.rate_limited(rows, "user_id", "ts_ms", "event_id", 5, 6 * 3600 * 1000)
@@ -146,10 +151,16 @@ def _(t):
     return t.events.select("event_id", network.may_accept(F.col("user_id") % 40, F.col("event_id") % 2 == 0, 30, 10, "prefer_outbound").alias("admitted"))
 
 
-@query("admission_running")
+ADMITTED = f"""c as (select user_id % 8 node, event_id, {KINDS} kind, event_id % 2 = 0 inbound from events), n as (select *, row_number() over (partition by node order by event_id) i from c),
+    s as (select node, event_id, i, case when kind = 'established' then 1 else 0 end active, case when kind = 'established' then true end admitted from n where i = 1
+      union all select n.node, n.event_id, n.i, case when n.kind = 'established' then s.active + case when s.active < case when n.inbound then 7 else 10 end then 1 else 0 end when n.kind = 'closed' then greatest(s.active - 1, 0) else s.active end,
+        case when n.kind = 'established' then s.active < case when n.inbound then 7 else 10 end end from s join n on n.node = s.node and n.i = s.i + 1)"""
+
+
+@query("admission_running", f"""with recursive {ADMITTED} select node, event_id, admitted from s where admitted is not null""")
 def _(t):
     c = connections(t).withColumn("node", F.col("peer") % 8).withColumnRenamed("ts", "event_id")
-    return network.admit(c, "node", "event_id", 10, 3, "prefer_outbound")
+    return network.admit(c, "node", "event_id", 10, 3, "prefer_outbound").where("admitted is not null")
 
 
 @query("dial_eligibility", f"""with {FOLD}, {FAILS} select peer, failures < 3 and ts_gap >= 1000 * power(2, least(failures, 10)) due from (select peer, failures, 10000 - last_success ts_gap from fails)""")
@@ -164,19 +175,22 @@ def _(t):
     select query_id, response_id, row_number() over (partition by query_id order by r_ts, response_id) "rank" from q join r using (user_id) where r_ts between q_ts and q_ts + 43200000 qualify "rank" <= 3""")
 def _(t):
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    q = t.events.where("event_type = 'signup'").select(F.col("event_id").alias("_query"), ms.alias("q_ts"), F.col("user_id").alias("query_id"))
-    r = t.events.where("event_type = 'click'").select(F.col("event_id").alias("response_id"), ms.alias("r_ts"), F.col("user_id").alias("query_id"))
-    from pyspark.sql import Window
+    q = t.events.where("event_type = 'signup'").select(F.col("event_id").alias("query_id"), ms.alias("q_ts"), "user_id")
+    r = t.events.where("event_type = 'click'").select(F.col("event_id").alias("response_id"), ms.alias("r_ts"), "user_id")
+    return network.gather(q, r, 43200000, 3, "user_id").select("query_id", "response_id", "rank")
+
 
-    met = network.gather(q, r, 43200000).drop("rank")
-    w = Window.partitionBy("_query").orderBy("r_ts", "response_id")
-    return met.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 3").select(F.col("_query").alias("query_id"), "response_id", "rank")
+@query("provider_accumulation", """with q as (select o_orderkey query_id, o_orderkey % 50 asked_at from orders), b as (select l_orderkey query_id, l_suppkey provider, l_orderkey % 50 + l_quantity::int "at" from lineitem)
+    select query_id, count(distinct case when "at" - asked_at <= 20 then provider end) providers, case when count(case when "at" - asked_at <= 20 then 1 end) > 0 then 'found' when 60 - asked_at > 20 then 'timeout' else 'pending' end status from q left join b using (query_id) group by query_id, asked_at""")
+def _(t):
+    q = t.orders.select(F.col("o_orderkey").alias("query_id"), (F.col("o_orderkey") % 50).alias("asked_at"))
+    b = t.lineitem.select(F.col("l_orderkey").alias("query_id"), F.col("l_suppkey").alias("provider"), (F.col("l_orderkey") % 50 + F.bround("l_quantity", 0).cast("int")).alias("at"))
+    return network.accumulated(q, b, F.lit(60), 20)
 
 
-@query("provider_accumulation", """select l_orderkey query_id, count(distinct l_suppkey) providers, 'found' status from lineitem group by 1""")
+@query("message_throughput", f"""with {MESSAGES} select topic, count(*) messages, round(count(*) / ((max(ts_ms) - min(ts_ms)) / 1000), 6) per_second from messages group by 1""")
 def _(t):
-    out = t.lineitem.groupBy(F.col("l_orderkey").alias("query_id")).agg(F.size(F.collect_set("l_suppkey")).cast("long").alias("providers"))
-    return out.withColumn("status", F.when(F.col("providers") > 0, "found").otherwise("timeout"))
+    return network.throughput(messages(t), "topic").withColumn("per_second", F.round("per_second", 6))
 
 
 @query("latency_stats", """select l_returnflag route, round(avg(l_quantity), 6) avg_ms, min(l_quantity) min_ms, max(l_quantity) max_ms, count(*) messages from lineitem group by 1""")
@@ -189,21 +203,18 @@ def _(t):
     return messages(t).select("id", (F.abs(F.lit(NOW) - F.col("ts_ms")) > 300000).alias("drifted"))
 
 
-def streamed(t, plan, mode="append"):
-    """The result of a stream over the events, run to its end."""
+def streamed(t, plan):
+    """The result of a stream over the events, run to its end: batches of a plan without state across them are appended as files under the session's shared folder, others' last state replaces them."""
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
     source = t.spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{t.folder}/events.parquet*")
-    name = f"stream_{os.urandom(6).hex()}"
-    run = plan(source.withColumn("ts", F.col("ts").cast("timestamp"))).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return t.spark.table(name)
+    return queries.run_to_files(plan(source.withColumn("ts", F.col("ts").cast("timestamp"))))
 
 
 @query("stream_tumbling", """select time_bucket(interval 6 hours, ts) "start", event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2""")
 def _(t):
     from lodestone.streaming import queries as q
 
-    return streamed(t, lambda s: q.tumbling(s, "ts", "6 hours", "event_type"), "complete").withColumn("total", F.round("total", 4))
+    return streamed(t, lambda s: q.tumbling(s, "ts", "6 hours", "event_type")).withColumn("total", F.round("total", 4))
 
 
 @query("stream_dedup", """select event_type, user_id, count(*) n from (select distinct user_id, event_type from events) group by 1, 2""")
@@ -218,16 +229,63 @@ def _(t):
 def _(t):
     from lodestone.streaming import queries as q
 
-    return streamed(t, lambda s: q.sessions(s, "ts", "4 hours", "user_id"), "complete")
+    return streamed(t, lambda s: q.sessions(s, "ts", "4 hours", "user_id"))
 
 
-@query("stream_rate_limit")
+@query("stream_rate_limit", f"""with recursive {RATED} select user_id, event_id, allowed from s""")
 def _(t):
     from lodestone.streaming import queries as q
 
     return streamed(t, lambda s: q.rate_limited(s.select("user_id", "event_id", F.unix_millis("ts").alias("ts_ms")), "user_id", 5, 6 * 3600 * 1000))
 
 
+@query("stream_admission", f"""with recursive {ADMITTED} select node, event_id, admitted from s where admitted is not null""")
+def _(t):
+    from lodestone.streaming import queries as q
+
+    kind = F.when(F.col("event_type") == "click", "established").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "closed").otherwise("activity")
+    rows = lambda s: s.select((F.col("user_id") % 8).alias("node"), "event_id", kind.alias("kind"), F.when(F.col("event_id") % 2 == 0, "inbound").otherwise("outbound").alias("direction"))
+    return streamed(t, lambda s: q.admitted(rows(s), "node", "event_id", 10, 3, "prefer_outbound")).where("admitted is not null")
+
+
+@query("stream_lifecycle", f"""with recursive {FOLD}, n as (select *, row_number() over (partition by peer order by ts) i from c),
+    s as (select peer, i, case when kind = 'established' then 1 else 0 end connections, kind = 'established' known, 0 reconnections from n where i = 1
+      union all select n.peer, n.i, case n.kind when 'established' then s.connections + 1 when 'closed' then greatest(s.connections - 1, 0) else s.connections end, s.known or n.kind = 'established', s.reconnections + case when n.kind = 'established' and (s.connections > 0 or s.known) then 1 else 0 end from s join n on n.peer = s.peer and n.i = s.i + 1)
+    select peer, max(reconnections)::bigint reconnections, arg_max(connections, i)::bigint connections from s group by peer""")
+def _(t):
+    from lodestone.streaming import queries as q
+
+    kind = F.when(F.col("event_type") == "click", "established").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "closed").otherwise("activity")
+    out = streamed(t, lambda s: q.lifecycles(s.select(F.col("user_id").alias("peer"), "event_id", kind.alias("kind")), "peer", "event_id"))
+    return out.groupBy("peer").agg(F.max("reconnections").alias("reconnections"), F.max_by("connections", "event_id").alias("connections"))
+
+
+@query("stream_gather", """with q as (select event_id q_id, ts, user_id from events where event_type = 'signup'), r as (select event_id r_id, ts r_ts, user_id from events where event_type = 'click') select q_id, r_id from q join r using (user_id) where r_ts >= ts and r_ts <= ts + interval 6 hours""")
+def _(t):
+    from lodestone.streaming import queries as q
+
+    def plan(s):
+        asked = s.where("event_type = 'signup'").select(F.col("event_id").alias("query"), F.col("user_id").alias("q_id"), F.col("ts").alias("q_ts"))
+        told = s.where("event_type = 'click'").select(F.col("event_id").alias("response"), F.col("user_id").alias("r_id"), F.col("ts").alias("r_ts"))
+        return q.gather(asked, told, "6 hours", "12 hours").select(F.col("query").alias("q_id"), F.col("response").alias("r_id"))
+
+    return streamed(t, plan)
+
+
+@query("stream_router", f"""with {MESSAGES}, r as (select topic, case when version <> 1 or strlen(props) > 8 then 'i' when ttl > 0 and {NOW} > ts_ms + ttl * 1000 then 'e' else 'd' end o from messages)
+    select topic, count(*) received, count(*) filter (where o = 'd') delivered from r group by 1""")
+def _(t):
+    """Routed batch by batch; the counts of all batches together."""
+    import uuid
+
+    base = f"{queries.folder(t.spark)}/{uuid.uuid4().hex}"
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    source = t.spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{t.folder}/events.parquet*")
+    rows = source.select(F.col("event_id").alias("id"), F.col("event_type").alias("topic"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), ((F.col("user_id") % 4) * 86400).alias("ttl"), F.when(F.col("event_id") % 50 == 0, 2).otherwise(1).alias("version"), "props", "user_id")
+    queries.route(rows, NOW, 8, f"{base}/store", f"{base}/stats", f"{base}/checkpoint").start().awaitTermination()
+    return t.spark.read.parquet(f"{base}/stats").groupBy("topic").agg(F.sum("received").alias("received"), F.sum("delivered").alias("delivered"))
+
+
 @query("stream_topics", """select event_id, user_id from events where event_type = 'error'""")
 def _(t):
     from lodestone.streaming import queries as q

@@ -43,11 +43,11 @@ def _(t):
     return stores.put_records(new.select("key", "value", "expires").where("false"), new, "at", 150, 700)[1]
 
 
-@query("record_get", f"""with {PUTS} select "key", arg_max(expires, "at") expires from o where outcome = 'stored' group by "key" having arg_max(expires, "at") > 2000""")
+@query("record_get", f"""with {PUTS} select "key", arg_max(expires, "at") expires from o where outcome = 'stored' group by "key" having arg_max(expires, "at") > 300""")
 def _(t):
     new = puts(t)
     held = stores.put_records(new.select("key", "value", "expires").where("false"), new, "at", 150, 700)[0]
-    return stores.live(held, F.lit(2000)).select("key", "expires")
+    return stores.live(held, F.lit(300)).select("key", "expires")
 
 
 def provided(t, half: int):

@@ -2,38 +2,88 @@
 
 from __future__ import annotations
 
+import re
 import struct
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def scan(spark: SparkSession, path: str, extensions: list[str] | None = None, hidden: bool = False, ignored: list[str] | None = None) -> DataFrame:
-    """(path, content, length, modificationTime) of all files below a folder, by extension, without hidden or ignored ones."""
+def ignore_rules(lines: list[str]) -> list[tuple[str, bool, bool]]:
+    """(regular expression, only folders?, kept again?) of an ignore file's lines: comments, !, /, *, ?, ** and a last / as Git reads them."""
+    out = []
+    for line in lines:
+        rule = line.rstrip("\n").rstrip()
+        if not rule or rule.startswith("#"):
+            continue
+        again, rule = rule.startswith("!"), rule.removeprefix("!")
+        folder, rule = rule.endswith("/"), rule.rstrip("/")
+        anchored = "/" in rule
+        body, i = "", 0
+        rule = rule.lstrip("/")
+        while i < len(rule):
+            if rule.startswith("**/", i):
+                body, i = body + "(?:.*/)?", i + 3
+            elif rule.startswith("**", i):
+                body, i = body + ".*", i + 2
+            else:
+                body += {"*": "[^/]*", "?": "[^/]"}.get(rule[i], re.escape(rule[i]))
+                i += 1
+        out.append((f"^{'' if anchored else '(?:.*/)?'}{body}{'/' if folder else '(?:/|$)'}", folder, again))
+    return out
+
+
+def scan(spark: SparkSession, path: str, extensions: list[str] | None = None, hidden: bool = False, ignored: list[str] | None = None, ignore_file: str | None = ".gitignore") -> DataFrame:
+    """(path, content, length, modificationTime) of all files below a folder, by extension, without hidden or ignored ones.
+
+    ignored: lines as of an ignore file, after those of the folder's own one; the last that fits a path decides.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     if extensions:
         files = files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin([e.lower() for e in extensions]))
     below = F.substring_index("path", path.rstrip("/") + "/", -1)
     if not hidden:
         files = files.where(~below.rlike(r"(^|/)\."))
-    for pattern in ignored or []:  # the common forms of an ignore file: names, *.ext and folder/
-        rule = pattern.strip()
-        if rule and not rule.startswith("#"):
-            regex = rule.rstrip("/").replace(".", r"\.").replace("*", "[^/]*")
-            files = files.where(~below.rlike(f"(^|/){regex}(/|$)"))
+    lines = [*_lines(spark, f"{path.rstrip('/')}/{ignore_file}" if ignore_file else None), *(ignored or [])]
+    rules = ignore_rules(lines)
+    if rules:
+        kept = F.lit(True)
+        for regex, _, again in rules:
+            kept = F.when(below.rlike(regex), F.lit(again)).otherwise(kept)
+        files = files.where(kept)
     return files
 
 
+def _lines(spark: SparkSession, path: str | None) -> list[str]:
+    """The lines of a small file, none if there is no such file."""
+    if path is None:
+        return []
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [r.value for r in spark.read.text(path).collect()] if fs.exists(place) else []
+
+
 def stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
     """A throttled stream of Parquet files."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def vectors(spark: SparkSession, path: str) -> DataFrame:
+    """All collections' vectors: the last generation of each (collection, cid, chunk_index)."""
+    rows = spark.read.parquet(path)
+    w = Window.partitionBy("collection", "cid", "chunk_index").orderBy(F.desc("generation"))
+    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "generation")
+
+
 def upsert_vectors(rows: DataFrame, path: str) -> None:
-    """Appends vectors by collection, the first of each (cid, chunk_index)."""
-    rows.dropDuplicates(["cid", "chunk_index"]).write.mode("append").partitionBy("collection").parquet(path)
+    """Writes vectors by collection, one of each (cid, chunk_index), as a generation that stands in for the rows held before."""
+    spark = rows.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    held = [int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(place) if "=" in f.getPath().getName()] if fs.exists(place) else []
+    rows.dropDuplicates(["collection", "cid", "chunk_index"]).write.partitionBy("collection").parquet(f"{path}/generation={max(held, default=-1) + 1}")
 
 
 def collections(vectors: DataFrame) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+import tempfile
+import uuid
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
 
-from lodestone.operators import network
+from lodestone.operators import folds, network
 
 
 def topics(stream: DataFrame, names: list[str]) -> dict[str, DataFrame]:
@@ -42,62 +44,103 @@ def gather(queries: DataFrame, responses: DataFrame, window: str = "500 millisec
     return q.join(r, F.expr(f"q_id = r_id and r_ts >= q_ts and r_ts <= q_ts + interval {window}"))
 
 
-def subscribe(stream: DataFrame, wanted: Column, handle: Callable[[DataFrame], None], done: str, checkpoint: str):
-    """Runs a handler once for each wanted (event_id, offset). Handled keys are stored, a generation a batch, before the handler runs."""
-    kind = "event_id long, offset long, generation int"
+def folder(spark: SparkSession) -> str:
+    """A folder for streams' files and checkpoints, below the one all executors share (spark.checkpoint.dir); a local session may do without that."""
+    sc = spark.sparkContext
+    name = sc.getConf().get("spark.checkpoint.dir", None)
+    if not name:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        name = tempfile.mkdtemp(prefix="streams-")
+    return f"{name.rstrip('/')}/streams"
+
+
+def run_to_files(stream: DataFrame) -> DataFrame:
+    """A stream run to its end, as a table of Parquet files. Batches are appended; a batch that is run again replaces its own files."""
+    spark = stream.sparkSession
+    base = f"{folder(spark)}/{uuid.uuid4().hex}"
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
+
+    # Windows that are still open at the end are sent by a last watermark: complete mode where the plan allows for it.
+    mode = "complete" if _aggregates(stream) else "append"
+    run = stream.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    out = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{base}/rows")
+    if mode == "complete":
+        out = out.where(F.col("batch") == out.agg(F.max("batch")).first()[0])
+    return out.drop("batch")
+
+
+def _aggregates(stream: DataFrame) -> bool:
+    return "Aggregate [" in stream._jdf.queryExecution().analyzed().toString()
+
+
+def subscribe(stream: DataFrame, wanted: Column, handle: Callable[[DataFrame], None], done: str, checkpoint: str, keep: int = 10_000):
+    """Runs a handler once for each wanted (event_id, offset). Handled keys are stored, a generation a batch, before the handler runs; the last `keep` of them, and all of the batch, are kept."""
+    kind = "event_id long, offset long"
+
+    def generations(spark: SparkSession) -> list[int]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(done)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted(int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(path) if "=" in f.getPath().getName()) if fs.exists(path) else []
 
     def batch(rows: DataFrame, _: int) -> None:
         spark = rows.sparkSession
-        held = spark.read.schema(kind).parquet(done)
-        now = (held.agg(F.max("generation")).first()[0] or 0) + 1
-        keys = ["event_id", "offset"]
-        new = rows.where(wanted).dropDuplicates(keys).join(held.where(F.col("generation") < now), keys, "left_anti")
-        new.select(*keys, F.lit(now).alias("generation")).write.mode("append").parquet(done)
+        before = generations(spark)
+        held = spark.read.schema(kind).parquet(*(f"{done}/generation={g}" for g in before)) if before else spark.createDataFrame([], kind)
+        held, keys = held.distinct(), ["event_id", "offset"]
+        new = rows.where(wanted).dropDuplicates(keys).join(held, keys, "left_anti").persist()
+        kept = held.orderBy(F.desc("offset")).limit(keep).unionByName(new.select(*keys))
+        kept.write.parquet(f"{done}/generation={before[-1] + 1 if before else 0}")
         handle(new)
+        new.unpersist()
+        for old in before:  # the new one holds what is kept of them
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{done}/generation={old}")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-    stream.sparkSession.createDataFrame([], kind).write.mode("append").parquet(done)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
 def route(stream: DataFrame, now_ms: int, most_bytes: int, store: str, stats: str, checkpoint: str):
-    """Validates, stores what is delivered, and appends each batch's counts."""
+    """Validates, stores what is delivered, and each batch's counts; a batch that is run again replaces its own files."""
 
     def batch(rows: DataFrame, number: int) -> None:
         routed = network.routed(rows, now_ms, most_bytes).persist()
-        routed.where("outcome = 'delivered'").drop("outcome").write.mode("append").parquet(store)
-        network.router_stats(routed).withColumn("batch", F.lit(number)).write.mode("append").parquet(stats)
+        routed.where("outcome = 'delivered'").drop("outcome").write.mode("overwrite").parquet(f"{store}/batch={number}")
+        network.router_stats(routed).write.mode("overwrite").parquet(f"{stats}/batch={number}")
         routed.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-def rate_limited(stream: DataFrame, key: str, most: int, window_ms: int, kind: str = "long") -> DataFrame:
+def rate_limited(stream: DataFrame, key: str, most: int, window_ms: int) -> DataFrame:
     """(key, event_id, allowed) with the anchored window kept as state between batches."""
+    out = folds.streamed(stream, key, ["ts_ms", "event_id"], ["ts_ms"], folds.anchored(most, window_ms), "allowed boolean", "anchor long, used long")
+    return out.select(key, "event_id", "allowed")
 
-    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        anchor, used = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(parts)).sort_values(["ts_ms", "event_id"])
-        allowed = []
-        for ts in rows["ts_ms"]:
-            if anchor is None or ts - anchor >= window_ms:
-                anchor, used = int(ts), 0
-            allowed.append(used < most)
-            used += used < most
-        state.update((anchor, used))
-        yield pd.DataFrame({key: k[0], "event_id": rows["event_id"], "allowed": allowed})
 
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, event_id long, allowed boolean", "anchor long, used int", "append", GroupStateTimeout.NoTimeout)
+def admitted(stream: DataFrame, key: str, order: str, most: int, reserved: int = 0, policy: str = "strict") -> DataFrame:
+    """(key, order, admitted) of (kind, direction) events, each key's open connections kept between batches."""
+    return folds.streamed(stream, key, [order], ["kind", "direction"], folds.admitted(most, reserved, policy), "admitted boolean", "active long")
 
 
-def failure_monitor(stream: DataFrame, most: float, every: int, stop: Callable[[float], None], checkpoint: str):
-    """Stops the intake once the failure rate passes one and a half times the limit."""
-    seen = {"loaded": 0, "failed": 0}
+def lifecycles(stream: DataFrame, key: str, order: str, idle_ms: int | None = None) -> DataFrame:
+    """(key, order, connections, reconnections, failures) after each event of a peer, its state kept between batches."""
+    kept = "connections long, known boolean, reconnections long, failures long"
+    return folds.streamed(stream, key, [order], ["kind"], folds.lifecycle, "connections long, reconnections long, failures long", kept, idle_ms)
 
-    def batch(rows: DataFrame, _: int) -> None:
-        for r in rows.groupBy("status").count().collect():  # a row a status
-            seen[r["status"]] = seen.get(r["status"], 0) + r["count"]
-        total = seen["loaded"] + seen["failed"]
-        if total >= every and seen["failed"] / total > 1.5 * most:
-            stop(seen["failed"] / total)
+
+def failure_monitor(stream: DataFrame, most: float, every: int, stop: Callable[[float], None], checkpoint: str, counts: str):
+    """Stops the intake once the failure rate passes one and a half times the limit. Each batch's counts are files, so a restart goes on with them and a repeated batch counts once."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.groupBy("status").count().write.mode("overwrite").parquet(f"{counts}/batch={number}")
+        seen = rows.sparkSession.read.schema("status string, count long").parquet(counts)
+        n = seen.agg(F.sum(F.when(F.col("status") == "loaded", F.col("count"))), F.sum(F.when(F.col("status") == "failed", F.col("count")))).first()
+        loaded, failed = n[0] or 0, n[1] or 0
+        if loaded + failed >= every and failed / (loaded + failed) > 1.5 * most:
+            stop(failed / (loaded + failed))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True)

@@ -3,12 +3,15 @@
 import hashlib
 import json
 import random
+from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions import chunking, ids, strings, vectors
-from lodestone.operators import blocks, catalog, events, graph, indexing, network, search
+from lodestone import extensions
+from lodestone.functions import chunking, config, ids, strings, vectors
+from lodestone.operators import blocks, catalog, events, folds, graph, indexing, network, publish, search
 from lodestone.sources import files
 from lodestone.streaming import queries as streaming
 
@@ -43,10 +46,19 @@ def test_vectors(spark):
 
 def test_prefilter_recall(spark):
     e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    q = e.where("vec_id = 0")
-    exact = {r.vec_id for r in search.knn(e, q, 10).collect()}
-    near = {r.vec_id for r in search.knn_prefiltered(e, q, 10, planes=16, within=9).collect()}
-    assert len(exact & near) >= 9
+    q = e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = {(r.query_id, r.vec_id) for r in search.knn(e, q, 10, most=7).collect()}
+    near = {(r.query_id, r.vec_id) for r in search.knn_prefiltered(e, q, 10, planes=16, within=9).collect()}
+    assert len(exact) == 10 * q.count() and len(exact & near) >= 0.9 * len(exact)
+
+
+def test_knn_ties_and_zero_vectors(spark):
+    e = spark.createDataFrame([(i, [1.0, 0.0] if i < 5 else [0.0, 0.0]) for i in range(8)] + [(9, None)], "vec_id long, embedding array<double>")
+    q = spark.createDataFrame([(3, [1.0, 0.0]), (100, [0.0, 0.0]), (101, None)], "query_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.distance) for r in search.knn(e, q, 3).collect()}
+    assert got == {(3, 1): (0, 0.0), (3, 2): (1, 0.0), (3, 3): (2, 0.0), (100, 1): (0, 1.0), (100, 2): (1, 1.0), (100, 3): (2, 1.0)}
+    with pytest.raises(ValueError, match="over 1"):
+        search.similarities(e, q, most=1)
 
 
 def test_traversal(spark):
@@ -72,9 +84,9 @@ def test_clocks(spark):
 
 
 def test_chain_finds_tampering(spark):
-    log = spark.createDataFrame([(1, i, f"e{i}") for i in range(20)], "stream long, offset long, body string")
+    log = spark.createDataFrame([(1, i, f"e{i}:", "!") for i in range(20)], "stream long, offset long, head string, tail string")
     built = events.chain(log, "stream").toPandas().sort_values("offset").reset_index(drop=True)
-    assert built.prev_hash[0] == "0" * 64 and built.hash[3] == hashlib.sha256((built.hash[2] + "e3").encode()).hexdigest()
+    assert built.prev_hash[0] == "0" * 64 and built.hash[3] == hashlib.sha256(f"e3:{built.hash[2]}!".encode()).hexdigest()
     built.loc[7, "hash"] = "f" * 64
     bad = [r.offset for r in events.verify_chain(spark.createDataFrame(built), "stream").where("not linked").collect()]
     assert bad == [8]
@@ -222,11 +234,130 @@ def test_router_and_monitor(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "store")).count() == 8
     rates = []
     runs = spark.readStream.schema("id long, topic string, ts_ms long, ttl long, version int, props string").parquet(str(tmp_path / "in")).select(F.when(F.col("version") == 2, "failed").otherwise("loaded").alias("status"))
-    streaming.failure_monitor(runs, 0.1, 10, rates.append, str(tmp_path / "check2")).start().awaitTermination()
+    streaming.failure_monitor(runs, 0.1, 10, rates.append, str(tmp_path / "check2"), str(tmp_path / "counts")).start().awaitTermination()
     assert rates == [0.2]
+    spark.createDataFrame(rows, "id long, topic string, ts_ms long, ttl long, version int, props string").withColumn("version", F.lit(2)).write.mode("append").parquet(str(tmp_path / "in"))
+    streaming.failure_monitor(runs, 0.1, 10, rates.append, str(tmp_path / "check2"), str(tmp_path / "counts")).start().awaitTermination()
+    assert rates == [0.2, 0.6]  # a restart goes on with the counts so far
 
 
 def test_schema_errors(spark):
     payloads = ['{"message":"m","count":1}', '{"message":"m"}', '{"count":1}', "nope", json.dumps({"message": "m", "count": "x"})]
     df = spark.createDataFrame([(p,) for p in payloads], "p string")
     assert [r.e for r in df.select(events.schema_errors(F.col("p"), {"message": "string", "count": "long"}).alias("e")).collect()] == [None, "count", "message", "not_json", "count"]
+
+
+def test_append_goes_on_from_heads(spark):
+    """Two appends make the chain and clocks that one makes; another one's payloads are refused with their reasons."""
+    registry = events.Schemas().register("a", 1, {"k": "long"})
+    rows = [(i, i % 2, "a" if i != 5 else "b", 1, '{"k":%d}' % i if i != 7 else "{}", datetime(2024, 1, 1, 0, i), f"d{i % 3}", "" if i == 9 else "s", "t") for i in range(20)]
+    kind = "event_id long, stream long, type string, schema_version int, payload string, ts timestamp, signer string, sig string, sig_type string"
+    df = spark.createDataFrame(rows, kind)
+    whole, refused = events.append(df, registry)
+    assert {r.event_id: r.error for r in refused.collect()} == {5: "schema_not_found", 7: "k", 9: "invalid_payload"}
+    first, _ = events.append(df.where("event_id < 12"), registry)
+    rest, _ = events.append(df.where("event_id >= 12"), registry, events.heads(first))
+    key = lambda d: sorted((r.event_id, r.offset, r.clock, r.prev_hash, r.hash) for r in d.collect())
+    assert key(first.unionByName(rest)) == key(whole)
+
+
+def test_offsets_of_a_hot_time(spark):
+    rows = [(i, datetime(2024, 1, 1) if i % 3 else datetime(2024, 1, 1, 0, i % 60), i % 2) for i in range(500)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, s long")
+    expected = {i: n for n, (_, i) in enumerate(sorted((ts, i) for i, ts, _ in rows))}
+    assert {r.event_id: r.offset for r in events.append_offsets(df, parts=7).collect()} == expected
+    for stream in (0, 1):
+        own = {i: n for n, (_, i) in enumerate(sorted((ts, i) for i, ts, s in rows if s == stream))}
+        assert {r.event_id: r.offset for r in events.append_offsets(df, stream="s", parts=7).where(F.col("s") == stream).collect()} == own
+
+
+def test_read_tree_errors(spark):
+    roots = spark.createDataFrame([("d", ["n1", "c3"]), ("e", ["c1", "c9"])], "doc_id string, children array<string>")
+    nodes = spark.createDataFrame([(1, "n1", ["c1", "c2"])], "level int, cid string, links array<string>")
+    held = spark.createDataFrame([(c,) for c in ("c1", "c2", "c3")], "cid string")
+    got = sorted((r.doc_id, r.pos, r.cid, r.error) for r in publish.read_tree(roots, nodes, held).collect())
+    assert got == [("d", 0, "c1", "mixed_levels"), ("d", 1, "c2", "mixed_levels"), ("d", 2, "c3", "mixed_levels"), ("e", 0, "c1", None), ("e", 1, "c9", "missing_block")]
+
+
+def test_announcements_follow_the_network(spark):
+    chunks = spark.createDataFrame([("d", 0, 3, "c0"), ("d", 1, 3, "c1")], "doc_id string, idx int, size long, cid string")
+    meta = spark.createDataFrame([("d", "name", "text/plain", "did:me"), ("e", None, None, "did:me")], "doc_id string, name string, content_type string, publisher string")
+    off, _, announced = publish.publish_dag(chunks, meta, running=False)
+    assert {(r.doc_id, r.dht, r.gossip, r.chunk_count) for r in off.collect()} == {("d", "not_attempted", "not_attempted", 2), ("e", "not_attempted", "not_attempted", 0)} and announced.count() == 0
+    on, stored, announced = publish.publish_dag(chunks, meta, dht=False)
+    assert {(r.dht, r.gossip) for r in on.collect()} == {("skipped", "success")} and announced.count() == 0 and stored.count() == 4
+
+
+@pytest.mark.parametrize("kind", [chunking.Rabin, chunking.FastCdc])
+def test_chunking_a_stream(kind):
+    """Chunks of buffers of any size are those of the whole, and the buffer stays below the largest chunk and one buffer."""
+    rng = np.random.default_rng(4)
+    data = rng.integers(0, 256, 120_000, dtype=np.uint8).tobytes()
+    cutter = kind(chunking.SMALL)
+    whole = [data[a:b] for a, b in zip([0, *cutter.cuts(data)], cutter.cuts(data), strict=False)]
+    for size in (1, 700, 50_000):
+        parts = (data[i : i + size] for i in range(0, len(data), size)) if size > 1 else (bytes([b]) for b in data[:9000])
+        got = list(chunking.streamed(parts, cutter))
+        assert b"".join(got) == (data if size > 1 else data[:9000]) and (size == 1 or got == whole)
+    assert isinstance(chunking.Streaming(cutter), extensions.Chunker)
+
+
+@pytest.mark.parametrize("kind", [chunking.Rabin, chunking.FastCdc])
+def test_cuts_byte_by_byte(kind):
+    """The block form of the hashes finds the cuts of the plain one."""
+    rng = np.random.default_rng(5)
+    for data in (b"", b"a", bytes(5000), rng.integers(0, 256, 60_000, dtype=np.uint8).tobytes(), b"abc" * 9000):
+        assert kind(chunking.SMALL).cuts(data) == kind(chunking.SMALL).cuts_plain(data)
+
+
+def test_settings(monkeypatch):
+    monkeypatch.setenv("N", "7")
+    monkeypatch.setenv("BAD", "x1")
+    monkeypatch.setenv("NEG", "-3")
+    assert (config.whole("N", 1), config.whole("BAD", 1), config.whole("NONE", 2), config.whole("NEG", 5, 0), config.whole("NEG", 5)) == (7, 1, 2, 5, -3)
+    for text, value in (("TRUE", True), ("on", True), ("0", False), ("maybe", False)):
+        monkeypatch.setenv("FLAG", text)
+        assert config.flag("FLAG", True) is value
+    assert config.flag("NONE", True) is True and config.text("NONE") is None and config.text("N") == "7" and str(config.path("NONE", "/d")) == "/d"
+    assert config.seconds("N", 1).total_seconds() == 7 and config.milliseconds("NONE", 1500).total_seconds() == 1.5
+
+
+def test_registry_and_adapters(spark):
+    held = extensions.Registry()
+    held.register("x", 1)
+    with pytest.raises(ValueError, match="x is registered"):
+        held.register("x", 2)
+    with pytest.raises(KeyError, match="unknown: y"):
+        held["y"]
+    with pytest.raises(ValueError, match="invalid scope"):
+        extensions.gathered([], None, 1, "elsewhere")
+
+
+def test_embedder_is_pluggable(spark):
+    docs = spark.createDataFrame([(1, "some words that are long enough to be kept as one chunk of text")], "doc_id long, text string")
+    flat = lambda text, dimensions: F.array_repeat(F.length(text).cast("float"), dimensions)
+    row = indexing.index(docs, 10, 1000, 3, embedder=flat).first()
+    assert row.embedding == [float(len(row.chunk))] * 3
+
+
+def test_upsert_replaces_held_rows(spark, tmp_path):
+    kind = "collection string, cid string, chunk_index int, embedding array<float>"
+    files.upsert_vectors(spark.createDataFrame([("a", "c1", 0, [1.0]), ("a", "c2", 0, [2.0]), ("b", "c1", 0, [3.0])], kind), str(tmp_path / "v"))
+    files.upsert_vectors(spark.createDataFrame([("a", "c1", 0, [9.0]), ("a", "c3", 0, [4.0])], kind), str(tmp_path / "v"))
+    got = {(r.collection, r.cid): r.embedding for r in files.vectors(spark, str(tmp_path / "v")).collect()}
+    assert got == {("a", "c1"): [9.0], ("a", "c2"): [2.0], ("a", "c3"): [4.0], ("b", "c1"): [3.0]}
+
+
+def test_cache_expires_and_evicts():
+    step, state, got = folds.cached(2, 100), None, []
+    for query, ts in (("a", 0), ("a", 50), ("b", 60), ("a", 99), ("c", 101), ("b", 102), ("a", 103), ("a", 203)):
+        state, (hit,) = step(state, (query, ts))
+        got.append(hit)
+    assert got == [False, True, False, True, False, False, False, False]
+
+
+def test_answer_without_context(spark):
+    chunks = spark.createDataFrame([], "q long, rank long, content string")
+    asked = spark.createDataFrame([(1, "why?")], "q long, question string")
+    row = indexing.answers(asked, chunks).first()
+    assert row.error == "NO_CONTEXT" and row.prompt is None
