@@ -81,3 +81,11 @@ def base58_bytes(text: str) -> bytes:
         number = number * 58 + BASE58.index(c)
     body = number.to_bytes((number.bit_length() + 7) // 8, "big")
     return b"\0" * (len(text) - len(text.lstrip("1"))) + body
+
+
+def base58_text(raw: bytes) -> str:
+    number, out = int.from_bytes(raw, "big"), ""
+    while number:
+        number, digit = divmod(number, 58)
+        out = BASE58[digit] + out
+    return "1" * (len(raw) - len(raw.lstrip(b"\0"))) + out

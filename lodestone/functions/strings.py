@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ids import base58_bytes
+from .ids import base58_bytes, base58_text
 
 # File extensions by language, catalog enumerations, error codes with HTTP status.
 LANGUAGES = {
@@ -172,3 +172,9 @@ def did_peer_parse(dids: pd.Series) -> pd.DataFrame:
             row["error"] = "encoding"
         rows.append(row)
     return pd.DataFrame(rows, columns=["numalgo", "keys", "services", "error"])
+
+
+@F.pandas_udf(T.StringType())
+def multikey(hexadecimal: pd.Series) -> pd.Series:
+    """Base58 text (leading z) of bytes in hexadecimal, the codec's prefix first."""
+    return hexadecimal.map(lambda h: None if h is None else "z" + base58_text(bytes.fromhex(h)))

@@ -79,3 +79,8 @@ def listing(rows: DataFrame, date: str, offset: int, limit: int, most: int = 100
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     part = rows.orderBy(F.desc(date), "cid").offset(offset).limit(min(limit, most))
     return part.withColumn("page_count", F.count(F.lit(1)).over(Window.partitionBy())).crossJoin(F.broadcast(total))
+
+
+def backfill_names(spaces: DataFrame) -> DataFrame:
+    """Spaces without a name take the one derived from their location, or their key."""
+    return spaces.withColumn("name", F.coalesce("name", strings.derive_name(F.col("location"), F.col("key"))))

@@ -27,7 +27,9 @@ def _(t):
     return cids(t).select("doc_id", "cid", "size")
 
 
-@query("content_id_text")
+@query("content_id_text", """with c as (select doc_id, '01551220' || sha256(text) h from documents), b as (select doc_id, h, unhex(h) raw from c),
+    k as (select doc_id, 'b' || array_to_string(list_transform(range(0, 58), lambda i: 'abcdefghijklmnopqrstuvwxyz234567'[1 + ((('0x' || substr(h || '0000', 2 * ((i * 5) // 8) + 1, 4))::bigint >> (11 - (i * 5) % 8)) & 31)]), '') cid from b)
+    select doc_id, cid, 85 codec, true verified from k""")
 def _(t):
     raw = t.documents.select("doc_id", ids.cid_bytes(F.col("text").cast("binary")).alias("raw"), "text").withColumn("cid", ids.cid_text("raw"))
     return raw.select("doc_id", "cid", ids.cid_codec(ids.cid_parse("cid")).alias("codec"), ids.cid_verifies(ids.cid_parse("cid"), F.col("text").cast("binary")).alias("verified"))
@@ -51,10 +53,17 @@ def _(t):
     return out.select("lang", "n", strings.indexable(text, F.lit(10)).alias("a"), strings.indexable(image, rule="remote").alias("b"), strings.indexable(pdf, rule="published").alias("c"))
 
 
-@query("detect_language", """select ext, case ext when 'rs' then 'rust' when 'py' then 'python' when 'hxx' then 'cpp' when 'MD' then null end "language", ext = 'MD' markdown from (select unnest(['rs', 'py', 'hxx', 'MD', 'zzz']) ext)""")
+KINDS = ["rs", "py", "js", "tsx", "java", "go", "rb", "cs", "h", "hxx", "exs", "htm", "php", "sol", "MD", "mdx", "zzz"]
+
+
+@query("detect_language", f"""with p as (select page_id, url || '.' || {KINDS}[page_id % {len(KINDS)} + 1] path, {KINDS}[page_id % {len(KINDS)} + 1] ext from pages)
+    select page_id, case ext when 'rs' then 'rust' when 'py' then 'python' when 'js' then 'javascript' when 'tsx' then 'typescript' when 'java' then 'java' when 'go' then 'go' when 'rb' then 'ruby' when 'cs' then 'csharp' when 'h' then 'c' when 'hxx' then 'cpp' when 'exs' then 'elixir'
+      when 'htm' then 'html' when 'php' then 'php' when 'sol' then 'solidity' end "language", ext in ('MD', 'mdx') markdown from p where not ends_with(path, '/.' || ext)""")
 def _(t):
-    e = t.spark.sql("select explode(array('rs', 'py', 'hxx', 'MD', 'zzz')) ext").withColumn("path", F.concat(F.lit("/a.b/file."), "ext"))
-    return e.select("ext", strings.detect_language(F.col("path")).alias("language"), strings.is_markdown(F.col("path")).alias("markdown"))
+    """Every page's address with an extension of each kind in turn."""
+    ext = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("page_id") % len(KINDS) + 1).cast("int"))
+    p = t.pages.select("page_id", F.concat("url", F.lit("."), ext).alias("path"), ext.alias("ext")).where(~F.endswith("path", F.concat(F.lit("/."), "ext")))
+    return p.select("page_id", strings.detect_language(F.col("path")).alias("language"), strings.is_markdown(F.col("path")).alias("markdown"))
 
 
 @query("file_validate_reasons", """select doc_id, case when strlen(text) > 15000 then 'too_large' when contains(text, chr(0)) or length(regexp_replace(text, '[!-~\\s\\x{85}\\x{a0}]', '', 'g'))::double / greatest(length(text), 1) > 0.3 then 'binary'
@@ -415,20 +424,53 @@ def _(t):
     return indexing.extract_entities(t.documents.select("doc_id", "source", "n_chars"), answer).select("doc_id", "type", "name", "confidence")
 
 
-@query("keywords")
+@query("keywords", """with w as (select doc_id, unnest(regexp_split_to_array(lower(text), '[^A-Za-z0-9_]+')) word from documents), tf as (select doc_id, word, count(*) tf from w where length(word) > 3 group by all), df as (select word, count(*) df from tf group by 1)
+    select doc_id, word, tf, row_number() over (partition by doc_id order by round(tf * ln(((select count(*) from documents) + 1)::double / (df + 1)), 9) desc, word) place from tf join df using (word) qualify place <= 5""")
 def _(t):
     return indexing.keywords(t.documents)
 
 
-@query("index_space")
+#: Lines of documents packed up to 1000 bytes, packs below 50 dropped: what an index run stores, by its chunks' sizes in characters.
+PACKED = """p as (select doc_id, row_number() over (partition by doc_id order by k) n, part from (select doc_id, unnest(range(1, len(l) + 1)) k, trim(l[k], E' \\t\\n\\r') part from (select doc_id, string_split(text, E'\\n') l from documents where {fit})) where length(part) > 0),
+    s as (select doc_id, n, case when strlen(part) >= 1000 then null else part end pack, case when strlen(part) >= 1000 then [part] else []::varchar[] end done from p where n = 1
+      union all select p.doc_id, p.n,
+        case when s.pack is null or strlen(s.pack) + strlen(p.part) + 2 > 1000 then case when strlen(p.part) >= 1000 then null else p.part end when strlen(s.pack) + strlen(p.part) + 2 >= 1000 then null else s.pack || E'\\n\\n' || p.part end,
+        list_concat(s.done, case when s.pack is null then case when strlen(p.part) >= 1000 then [p.part] else []::varchar[] end
+          when strlen(s.pack) + strlen(p.part) + 2 > 1000 then list_concat(case when strlen(s.pack) >= 50 then [s.pack] else []::varchar[] end, case when strlen(p.part) >= 1000 then [p.part] else []::varchar[] end)
+          when strlen(s.pack) + strlen(p.part) + 2 >= 1000 then [s.pack || E'\\n\\n' || p.part] else []::varchar[] end)
+      from s join p on p.doc_id = s.doc_id and p.n = s.n + 1),
+    e as (select doc_id, arg_max(list_concat(done, case when pack is not null and strlen(pack) >= 50 then [pack] else []::varchar[] end), n) l from s group by doc_id),
+    packed as (select doc_id, i - 1 chunk_index, length(l[i]) size from (select doc_id, l, unnest(range(1, len(l) + 1)) i from e))"""
+FIT = r"""not contains(text, chr(0)) and length(text) > 0 and length(regexp_replace(text, '[!-~\s\x{85}\x{a0}]', '', 'g'))::double / length(text) <= 0.3 and strlen(trim(text)) >= 1"""
+
+
+@query("index_space", f"""with recursive {PACKED.format(fit=FIT)} select doc_id, chunk_index, size, 64 dimensions from packed""")
 def _(t):
-    return indexing.index(t.documents, 50, 1000, 64).select("doc_id", "chunk_index", F.length("chunk").alias("size"), F.size("embedding").alias("dimensions"))
+    return indexing.index(t.documents, 50, 1000, 64).select("doc_id", "chunk_index", F.length("chunk").cast("long").alias("size"), F.size("embedding").alias("dimensions"))
 
 
-@query("index_remote")
+@query("index_status", f"""with recursive {PACKED.format(fit=FIT)}, c as (select doc_id, count(*) n from packed group by 1) select source, count(n) files_indexed, coalesce(sum(n), 0)::bigint chunks_stored, count(*) filter (where n is null) files_skipped from documents left join c using (doc_id) group by source""")
+def _(t):
+    return indexing.index_status(t.documents.select("doc_id", "source"), indexing.index(t.documents, 50, 1000, 4).select("doc_id"), "source")
+
+
+@query("index_remote", f"""with recursive {PACKED.format(fit=FIT + " and doc_id not in (select doc_id from labels)")} select doc_id, chunk_index, size from packed""")
 def _(t):
     content = t.documents.select("doc_id", F.lit("text/plain").alias("content_type"), F.col("text").cast("binary").alias("data"))
-    return indexing.index_remote(content, t.labels, 50, 1000, 64).select("doc_id", "chunk_index", F.length("chunk").alias("size"))
+    return indexing.index_remote(content, t.labels, 50, 1000, 64).select("doc_id", "chunk_index", F.length("chunk").cast("long").alias("size"))
+
+
+@query("remote_fetch_retry", """with a as (select l_orderkey cid, row_number() over (partition by l_orderkey order by l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey % 1000) n, l_returnflag = 'R' ok from lineitem)
+    select cid, case when min(n) filter (where ok and n <= 3) is not null then 'fetched' else 'fetch_failed' end status, coalesce(min(n) filter (where ok and n <= 3), max(n) filter (where n <= 3)) tries from a group by cid""")
+def _(t):
+    return indexing.fetched(t.lineitem.select(F.col("l_orderkey").alias("cid"), (F.col("l_linenumber") * 100000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000).alias("attempt"), (F.col("l_returnflag") == "R").alias("ok")))
+
+
+@query("extract_and_store", """select doc_id, 1 space_id, 'person' entity_type, source "name", '{"confidence":' || least(1.0, n_chars / 1000.0)::double || ',"source_path":"/' || source || '"}' properties, 'me' created_by from documents where least(1.0, n_chars / 1000.0) >= 0.7 and length(trim(text)) > 0""")
+def _(t):
+    answer = F.format_string('[{"type":"Person","name":"%s","confidence":%s},{"type":"robot","name":"x","confidence":1}]', F.col("source"), F.least(F.lit(1.0), F.col("n_chars") / 1000.0).cast("double").cast("string"))
+    chunks_ = t.documents.select("doc_id", F.concat(F.lit("/"), "source").alias("source_path"), "text", "source", "n_chars")
+    return indexing.stored_entities(chunks_, answer, F.lit(1), F.lit("me"))
 
 
 @query("did_web_url", """select page_id, 'https://' || regexp_extract(url, '^https?://([^/?#]+)', 1) || '/.well-known/did.json' url from pages""")
@@ -437,14 +479,30 @@ def _(t):
     return t.pages.select("page_id", strings.did_web_url(did).alias("url"))
 
 
-@query("did_methods", """select 'did:web:a.example%3A8080:users:b' did, 'web' "method", 300 "seconds", 'https://a.example:8080/users/b/did.json' url union all select 'did:key:z6Mk', 'key', 86400, null""")
+DIDS = """d as (select page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) host from pages)"""
+
+
+def dids(t):
+    """Every page's host as a web identifier, with a port and a path for some, and as one of another method."""
+    host = F.regexp_extract("url", "^https?://([^/?#]+)", 1)
+    kinds = [F.concat(F.lit("did:web:"), host), F.concat(F.lit("did:web:"), host, F.lit("%3A8080:users:b")), F.concat(F.lit("did:key:z6Mk"), host), F.concat(F.lit("did:web:"), host, F.lit(":..:x"))]
+    return t.pages.select("page_id", F.element_at(F.array(*kinds), (F.col("page_id") % 4 + 1).cast("int")).alias("did"))
+
+
+@query("did_methods", f"""with {DIDS} select page_id, case page_id % 4 when 2 then 'key' else 'web' end "method", case page_id % 4 when 2 then 86400 else 300 end "seconds",
+    case page_id % 4 when 0 then 'https://' || host || '/.well-known/did.json' when 1 then 'https://' || host || ':8080/users/b/did.json' end url from d""")
 def _(t):
-    d = t.spark.sql("select explode(array('did:web:a.example%3A8080:users:b', 'did:key:z6Mk')) did")
+    d = dids(t)
     method = strings.did_method(F.col("did"))
-    return d.select("did", method.alias("method"), strings.did_cache_seconds(method).alias("seconds"), strings.did_web_url(F.col("did")).alias("url"))
+    return d.select("page_id", method.alias("method"), strings.did_cache_seconds(method).alias("seconds"), strings.did_web_url(F.col("did")).alias("url"))
 
 
-@query("did_peer_parse")
+@query("did_peer_parse", """select c_custkey, case c_custkey % 3 when 0 then 0 when 1 then 2 end numalgo, case c_custkey % 3 when 0 then 'verification:Ed25519:' || sha256(c_name) when 1 then 'encryption:X25519:' || sha256(c_name) else '' end keys, case c_custkey % 3 when 2 then 'format' end error from customer""")
 def _(t):
-    d = t.spark.sql("select explode(array('did:peer:0z6MkhaXgBZDvotDkL5257faiztiGiC2QtKLGpbnnEGta2doK', 'did:peer:9abc', 'did:web:x')) did")
-    return d.select("did", strings.did_peer_parse("did").alias("p")).select("did", "p.numalgo", F.size("p.keys").alias("keys"), "p.error")
+    """Customers' names, digested, as keys: the identifiers are made from them and read again."""
+    made = t.customer.select("c_custkey", F.sha2("c_name", 256).alias("key"))
+    key = strings.multikey(F.concat(F.when(F.col("c_custkey") % 3 == 0, "ed01").otherwise("ec01"), F.col("key")))
+    d = made.select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("did:peer:0"), key)).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("did:peer:2.E"), key)).otherwise("did:peer:x").alias("did"))
+    found = d.select("c_custkey", strings.did_peer_parse("did").alias("p"))
+    named = F.transform("p.keys", lambda k: F.concat_ws(":", k["purpose"], k["type"], k["key"]))
+    return found.select("c_custkey", "p.numalgo", F.array_join(named, ",").alias("keys"), "p.error")

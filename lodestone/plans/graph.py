@@ -68,6 +68,24 @@ def _(t):
     return graph.counts_by_space(entities(t))
 
 
+@query("counts_edges_by_space", """select c_nationkey::bigint space_id, count(*) n from orders join customer on o_custkey = c_custkey group by 1""")
+def _(t):
+    rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").cast("long").alias("space_id"))
+    return graph.counts_by_space(rows)
+
+
+@query("edge_pseudo_cid", """select o_orderkey, 'bafk' || substr(sha256('{"space_id":1,"edge_type":"mentions","source_id":' || o_custkey || ',"target_id":' || o_orderkey || '}'), 1, 32) cid from orders""")
+def _(t):
+    body = F.to_json(F.struct(F.lit(1).alias("space_id"), F.lit("mentions").alias("edge_type"), F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("target_id")))
+    return t.orders.select("o_orderkey", ids.pseudo_cid(body).alias("cid"))
+
+
+@query("backfill_space_names", """select n_nationkey id, case when n_nationkey % 3 = 0 then n_name else rtrim(regexp_extract('/data/' || n_name || '/', '([^/]+)/*$', 1)) end "name" from nation""")
+def _(t):
+    held = t.nation.select(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") % 3 == 0, F.col("n_name")).alias("name"), F.concat(F.lit("/data/"), "n_name", F.lit("/")).alias("location"), F.sha2("n_name", 256).alias("key"))
+    return catalog.backfill_names(held).select("id", "name")
+
+
 @query("graph_traverse_2hop", f"""with {EDGES}, h as (select distinct source_id, target_id from edges),
     one as (select h.source_id start, h.target_id id, 1 depth from h where h.source_id <> h.target_id and h.source_id < 10000000),
     two as (select one.start, h.target_id id, 2 depth from one join h on h.source_id = one.id where h.target_id <> one.start)

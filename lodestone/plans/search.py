@@ -219,10 +219,14 @@ def _(t):
     return out.withColumn("hit_rate", F.round(F.coalesce(F.try_divide(100.0 * F.col("hits"), F.col("lookups")), F.lit(0.0)), 6))
 
 
-@query("error_status", """select * from (values ('INVALID_QUERY', 400), ('TIMEOUT', 504), ('NETWORK_UNAVAILABLE', 503), ('INTERNAL_ERROR', 500)) v(code, status)""")
+STATUS = {"click": "INVALID_QUERY", "view": "TIMEOUT", "purchase": "NETWORK_UNAVAILABLE", "error": "INTERNAL_ERROR", "signup": "QDRANT_ERROR"}
+
+
+@query("error_status", """select event_id, case event_type when 'click' then 400 when 'view' then 504 when 'purchase' then 503 else 500 end status from events""")
 def _(t):
-    codes = t.spark.sql("select explode(array('INVALID_QUERY', 'TIMEOUT', 'NETWORK_UNAVAILABLE', 'INTERNAL_ERROR')) code")
-    return codes.select("code", strings.literal_map(strings.ERRORS)[F.col("code")].alias("status"))
+    """Each kind of event as an error's code."""
+    code = strings.literal_map(STATUS)[F.col("event_type")]
+    return t.events.select("event_id", strings.literal_map(strings.ERRORS)[code].alias("status"))
 
 
 @query("snippets", """select conv_id, turn, case when length(text) > 150 then substr(text, 1, 150) || '...' else text end snippet, substr(text, 1, 4000) body from conversations""")
@@ -241,13 +245,21 @@ def _(t):
     return indexing.citations(t.conversations.select("conv_id", "turn", F.col("turn").alias("rank")), "conv_id").select("conv_id", "turn", "citation")
 
 
-@query("rag_pipeline")
+@query("rag_pipeline", """with q as (select item_id q, text question, list_distinct(regexp_split_to_array(lower(text), '[^A-Za-z0-9_]+')) asked from benchmark),
+    d as (select doc_id, text content, regexp_split_to_array(lower(text), '[^A-Za-z0-9_]+') words from documents where doc_id in (select doc_id from labels)),
+    r as (select q, question, asked, doc_id, content, words, row_number() over (partition by q order by abs(length(content) - length(question)), doc_id) "rank" from q, d qualify "rank" <= 20),
+    s as (select q, question, content, row_number() over (partition by q order by len(list_intersect(asked, list_distinct(words)))::double / len(asked) desc, "rank") n from r)
+    select q, 'Answer from the context, citing [Source N]; say so if it doesn''t hold the answer.' || chr(10) || chr(10) || 'Context:' || chr(10) || string_agg('[Source ' || n || ']' || chr(10) || content || chr(10), chr(10) order by n) || chr(10) || chr(10) || 'Question: ' || any_value(question) || chr(10) || chr(10) || 'Answer:' prompt, null::varchar error from s where n <= 5 group by q""")
 def _(t):
-    """Sub-queries, retrieval, reranking and the prompt of one question."""
-    docs = t.documents.select("doc_id", F.col("text").alias("content"), vectors.embed(F.col("text"), 64).alias("embedding"))
-    question = t.benchmark.orderBy("item_id").limit(1).select(F.col("item_id").alias("q"), "text", vectors.embed(F.col("text"), 64).alias("embedding"))
-    q = question.select(F.col("q"), F.col("text").alias("question"), F.col("embedding").alias("_q"))
-    scored = docs.crossJoin(F.broadcast(q)).withColumn("rank", vectors.cosine_distance(F.col("embedding"), F.col("_q"))).orderBy("rank", "doc_id").limit(20)
-    top = indexing.rerank(scored, F.col("question"))
-    context = indexing.rag_context(top.select("q", "rank", "content", "question"), "q")
-    return context.join(q.select("q", "question"), "q").select("q", indexing.prompt(F.col("question"), F.col("context")).alias("prompt"))
+    """Every benchmark item as a question: retrieval among labelled documents by a stand-in's vector (a text's length), reranking, context and prompt."""
+    from pyspark.sql import Window
+
+    docs = t.documents.join(t.labels.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.col("text").alias("content"))
+    asked = t.benchmark.select(F.col("item_id").alias("q"), F.col("text").alias("question"))
+    far = F.abs(F.length("content") - F.length("question"))
+    met = None
+    for block in search.blocks_of(asked.withColumnRenamed("q", "query_id")):  # each of a checked number of questions
+        part = docs.crossJoin(F.broadcast(block.withColumnRenamed("query_id", "q"))).withColumn("far", far)
+        met = part if met is None else met.unionByName(part)
+    top = met.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("far", "doc_id"))).where("rank <= 20")
+    return indexing.answers(asked, indexing.rerank(top, "q"))
