@@ -6,7 +6,10 @@ them, and their walks differ in few places: edit distance becomes Hamming distan
 sampled steps, SAMPLES to each doubling of the step number, four bits a step (0: past the end), as hexadecimal digits.
 The likeness of two fingerprints is the share of equal samples, each weighted by the steps that it stands for.
 
-Near pairs: bands of sampled bits bring likely pairs together, and the likeness of whole fingerprints verifies them.
+Near pairs: bands of sampled bits bring likely pairs together; each is keyed by a doubling of the length, and a text has
+those of its own and of the one below, so near texts on two sides of a doubling meet. The least text of a band is its
+hub. A hub's members are verified against it by the likeness of whole fingerprints, and groups that still hold several
+components are searched breadth-first, so that no link between members of a group is lost and a member sends one pair.
 
 Defined cases: a null or empty text has the empty fingerprint, alike to the empty one (1.0) and to no other (0.0);
 equal texts have equal fingerprints; a single document is its own next one; rows with equal or null doc_id follow each
@@ -23,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_blocks, mix64, raw_text, stream64, texts
+from .common import Scratch, doc_blocks, mix64, raw_text, stream64, texts
+from .components import connected, spanning
 
 SAMPLES, BUCKET_BYTES, MOST_BUCKETS, BLOCK_CHARS = 48, 8 << 20, 20_000, 3 << 20
 _plans: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -193,40 +197,85 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     return in_order(docs).mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def near_pairs(docs: DataFrame, at_least: float = 0.8, bands: int = 24, width: int = 4) -> DataFrame:
-    """(doc_id, hub, likeness): near texts linked to a smaller document of one of their bands, and equal texts to their first.
+def prints(rows: list[str]) -> np.ndarray:
+    """Fingerprints as rows of samples, all as wide as the longest; past an end 0."""
+    width = max(map(len, rows), default=0)
+    return np.frombuffer("".join(r.ljust(width, "0") for r in rows).encode(), np.uint8).reshape(len(rows), width) - np.uint8(48)
 
-    Only texts that differ are banded, each group of equal ones by its first document. A band is `width` samples of the
-    walk's first half; members of a band are held against its first document.
+
+def alike(rows: list[str], at_least: float):
+    """Which members of a group are as alike as that."""
+    samples = prints(rows)
+    octaves = 1
+    while len(plan(octaves)[0]) < samples.shape[1]:
+        octaves += 1
+    weights = plan(octaves)[1][: samples.shape[1]]
+    some = samples != 0
+
+    def near(take: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        total, same = np.zeros((len(take), len(rest))), np.zeros((len(take), len(rest)))
+        for k in range(samples.shape[1]):
+            a, b = samples[take, k][:, None], samples[rest, k][None]
+            either = some[take, k][:, None] | some[rest, k][None]
+            total += either * weights[k]
+            same += (either & (a == b)) * weights[k]
+        return same >= at_least * np.maximum(total, 1e-9)
+
+    return near
+
+
+def near_pairs(docs: DataFrame, at_least: float = 0.8, bands: int = 24, width: int = 4, tile: int = 1 << 12) -> DataFrame:
+    """(doc_id, hub, likeness): pairs of near texts that connect all that share a band and are linked, and equal texts with their first.
+
+    Only texts that differ are banded, each group of equal ones by its first document. Groups of over `tile` members are
+    dealt out by pairs of tiles.
     """
-    spark = docs.sparkSession
-    prints = fingerprints(docs)
-    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
+    scratch = Scratch(docs.sparkSession, "near")
+    found = scratch.table(fingerprints(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "prints")
+    classes = scratch.table(found.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "classes")
 
     def run(batches):
         for batch in batches:
             ids, keys = [], []
             for doc, digits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                length = len(digits)
-                if not length:
-                    continue
-                top = (length - 1) // SAMPLES * SAMPLES
-                for b in range(bands):
-                    spots = (stream64(width, 5000 + b) % np.uint64(max(1, min(length, max(SAMPLES, top))))).astype(int)
-                    keys.append(f"{top}:{b}:" + "".join(digits[s] for s in spots))
-                    ids.append(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(keys, pa.string())], ["first", "band"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    banded = classes.select("first", "fingerprint").mapInArrow(run, f"first {kind}, band string")
-    hubs = banded.groupBy("band").agg(F.min("first").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "hub")
-    edges = banded.join(hubs, "band").where("first <> hub").select("first", "hub").distinct()
-    both = edges.join(classes, "first").withColumnRenamed("fingerprint", "mine").join(classes.select(F.col("first").alias("hub"), F.col("fingerprint").alias("theirs")), "hub")
+                own = (len(digits) - 1) // SAMPLES
+                for octave in range(max(0, own - 1), own + 1) if digits else ():
+                    for b in range(bands):
+                        spots = (stream64(width, 5000 + b) % np.uint64(max(1, min(len(digits), max(1, octave) * SAMPLES)))).astype(int)
+                        keys.append(f"{octave}:{b}:" + "".join(digits[s] for s in spots))
+                        ids.append(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string())], ["rep", "band"])
+
+    banded = scratch.table(classes.select("first", "fingerprint").mapInArrow(run, "rep long, band string").distinct(), "bands")
+    hubs = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "hub")
+    near = scratch.table(banded.join(hubs, "band").where("rep <> hub").select("hub", "rep").distinct(), "members")
+    held = classes.select(F.col("first").alias("rep"), "fingerprint")
 
     @F.pandas_udf("double")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+    def likeness_of(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series(likeness(a.tolist(), b.tolist()))
 
-    near = both.select(F.col("first").alias("doc_id"), "hub", alike("mine", "theirs").alias("likeness")).where(F.col("likeness") >= at_least)
-    equal = prints.join(classes, "fingerprint").where("doc_id <> first").select("doc_id", F.col("first").alias("hub"), F.lit(1.0).alias("likeness"))
-    return near.unionByName(equal)
+    def scored(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(held.toDF("a", "mine"), "a").join(held.toDF("b", "theirs"), "b")
+        return both.select("a", "b", likeness_of("mine", "theirs").alias("likeness")).where(F.col("likeness") >= at_least)
+
+    links = scratch.table(scored(near.toDF("a", "b")), "links-1")
+    component = scratch.table(connected(links.select("a", "b"), scratch, "component"), "labels")
+    groups = near.unionByName(near.select("hub", F.col("hub").alias("rep")).distinct())
+    rows = groups.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("hub", "rep", F.coalesce("component", "rep").alias("component"))
+    mixed = rows.groupBy("hub").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("members"))
+    mixed = scratch.table(mixed.where("least <> most and members > 2").select("hub", F.ceil(F.col("members") / tile).cast("int").alias("tiles")), "mixed")
+    own = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
+    lots = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.least(t, own) * F.col("tiles") + F.greatest(t, own))
+    dealt = rows.join(mixed, "hub").withColumn("lot", F.explode(F.array_distinct(lots))).join(held, "rep")
+
+    def search(part: pd.DataFrame) -> pd.DataFrame:
+        reps = part["rep"].to_numpy()
+        pairs = spanning(part["component"].to_numpy(), alike(part["fingerprint"].tolist(), at_least), -1, 1 << 16)
+        pairs = np.sort(reps[np.concatenate(pairs)], axis=1) if pairs else np.zeros((0, 2), np.int64)
+        return pd.DataFrame(pairs, columns=["a", "b"])
+
+    more = dealt.groupBy("hub", "lot").applyInPandas(search, "a long, b long").distinct().join(links.select("a", "b"), ["a", "b"], "left_anti")
+    more = scratch.table(scored(more), "links-2")
+    equal = found.join(classes, "fingerprint").where("doc_id <> first").select("doc_id", F.col("first").alias("hub"), F.lit(1.0).alias("likeness"))
+    return links.unionByName(more).select(F.col("b").alias("doc_id"), F.col("a").alias("hub"), "likeness").unionByName(equal)

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, Scratch, Words, doc_blocks, likely, mix64, raw_text, shingles
-from .components import connected
+from .components import connected, spanning
 
 SPARE = 0.2  # E as a share of H + 1
 CHANCE = 1e5  # other sets of a band that a short segment is weighed against
@@ -312,52 +312,16 @@ def possible(m: np.ndarray, n: np.ndarray, differ: np.ndarray, p: int, q: int) -
     return (q * np.minimum(m, n) >= p * np.maximum(m, n)) & (differ * (p + q) <= (m + n) * (q - p))
 
 
-def forest(comp: np.ndarray, n: np.ndarray, sketch: np.ndarray, p: int, q: int, hub: int, linked=None) -> list[np.ndarray]:
-    """[(member, member)] pairs, none with the hub, that reach from each first component on all that the sketch leaves open.
-
-    linked: decides pairs of members for sure; without it each that the sketch leaves open counts.
-    """
-    left, out = np.ones(len(comp), bool), []
-    by = np.argsort(comp, kind="stable")
-    names, starts = np.unique(comp[by], return_index=True)
-    ends = np.append(starts[1:], len(by))
-    for which in range(len(names)):
-        own = by[starts[which] : ends[which]]
-        if not left[own[0]]:
-            continue
-        left[own] = False
-        front, at = own, 0
-        while at < len(front):
-            rest = np.flatnonzero(left)
-            if not len(rest):
-                return out
-            take = front[at : at + max(1, MEET // len(rest))]
-            at += len(take)
-            differ = np.zeros((len(take), len(rest)), np.int64)
-            for w in range(sketch.shape[1]):
-                differ += np.bitwise_count(sketch[take, w][:, None] ^ sketch[rest, w][None])
-            near = possible(n[take][:, None], n[rest][None], differ, p, q)
-            if hub >= 0:
-                near[take == hub] = False
-                near[:, rest == hub] = False
-            hit = np.flatnonzero(near.any(axis=0))
-            pairs = np.column_stack((take[near[:, hit].argmax(axis=0)], rest[hit]))
-            if linked is not None:  # each member's candidates in turn, until one is a link
-                sure = []
-                while len(hit):
-                    pairs = np.column_stack((take[near[:, hit].argmax(axis=0)], rest[hit]))
-                    good = linked(pairs)
-                    sure.append(pairs[good])
-                    near[near[:, hit].argmax(axis=0), hit] = False
-                    hit = hit[~good]
-                    hit = hit[near[:, hit].any(axis=0)]
-                pairs = np.concatenate(sure) if sure else pairs
-            if len(pairs):
-                out.append(pairs)
-                joined = np.isin(comp, comp[pairs[:, 1]]) & left
-                left[joined] = False
-                front, at = np.concatenate((front[at:], np.flatnonzero(joined))), 0
-    return out
+def may_meet(n: np.ndarray, sketch: np.ndarray, p: int, q: int):
+    """The sketch's bound between members of a group."""
+
+    def near(take: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        differ = np.zeros((len(take), len(rest)), np.int64)
+        for w in range(sketch.shape[1]):
+            differ += np.bitwise_count(sketch[take, w][:, None] ^ sketch[rest, w][None])
+        return possible(n[take][:, None], n[rest][None], differ, p, q)
+
+    return near
 
 
 class Whole:
@@ -406,9 +370,9 @@ def forests(rows: DataFrame, p: int, q: int, whole: bool) -> DataFrame:
         held, hub = part["held"].tolist(), int(part["rep"].argmin()) if part["lot"][0] < 0 else -1
         if whole:
             sets = Whole(held, p, q)
-            found = forest(comp, part["n"], sets.sketches(), p, q, hub, sets.linked)
+            found = spanning(comp, may_meet(part["n"], sets.sketches(), p, q), hub, MEET, sets.linked)
         else:
-            found = forest(comp, part["n"], folded(held), p, q, hub)
+            found = spanning(comp, may_meet(part["n"], folded(held), p, q), hub, MEET)
         if not found:
             return None
         pairs = np.sort(part["rep"][np.concatenate(found)], axis=1)

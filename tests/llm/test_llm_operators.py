@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 
 from lodestone.llm import bpe, decontaminate, fingerprint, html, jaccard, quality, repeats, secrets, sharding, suffixes, tokencount
-from lodestone.llm.common import raw_text
+from lodestone.llm.common import raw_text, stream64
 
 BPE_PATH = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -244,6 +244,60 @@ def test_fingerprints(spark, hard_docs, no_docs, plain):
     assert (6, 5) in near and (8, 5) in near
 
 
+def plain_walk(text):
+    """One text's walk, a step after another, by its definition."""
+    if not text:
+        return ""
+    steps, _ = fingerprint.plan(int(3 * len(text)).bit_length() + 1)
+    hashes, out, at, wanted = [int(h) for h in fingerprint.char_hash(np.array([ord(c) for c in text]))], [], 0, set(steps.tolist())
+    for j in range(int(steps[-1]) + 1):
+        if at >= len(text):
+            break
+        if j in wanted:
+            out.append("0123456789abcdef"[(hashes[at] >> 20) % 15 + 1])
+        turn = int(stream64(256, 1000 + (j >> 8))[j & 255]) & 0xFFFFFFFF | 1
+        at += (hashes[at] * turn & 0xFFFFFFFF) >> 31
+    return "".join(out)
+
+
+def test_walks_step_by_step():
+    rng = random.Random(4)
+    for _ in range(40):
+        texts = ["".join(rng.choice("abc dé日\U0001f642") for _ in range(rng.randrange(0, 400))) for _ in range(rng.randrange(1, 6))]
+        assert fingerprint.walks(texts) == [plain_walk(t) for t in texts]
+
+
+def test_near_pairs(spark):
+    """Against all pairs: every near one is in one component, at lengths on both sides of a doubling, with a passage that all share."""
+    rng = random.Random(21)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    texts, passage = {}, say(150)
+    for i in range(60):
+        base = passage + say(rng.choice([40, 90, 130, 250, 380, 700]))
+        for j in range(4):
+            t = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                k = rng.randrange(len(t))
+                t[k : k + 1] = rng.choice([[], ["z"], ["z", t[k]]])
+            texts[len(texts)] = "".join(t)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = [(r.doc_id, r.hub, r.likeness) for r in fingerprint.near_pairs(df, tile=64).collect()]
+    walked = fingerprint.walks([texts[i] for i in range(len(texts))])
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b, likeness in got:
+        assert likeness >= 0.8 and fingerprint.likeness([walked[a]], [walked[b]])[0] == pytest.approx(likeness)
+        root[find(a)] = find(b)
+    near = [(a, b) for b in texts for a in range(b) if fingerprint.likeness([walked[a]], [walked[b]])[0] >= 0.8]
+    assert len(near) > 150 and sum(find(a) == find(b) for a, b in near) >= 0.98 * len(near)
+    assert len(got) < 3 * len(texts)
+
+
 # 6: secret scans
 
 
@@ -478,6 +532,29 @@ def test_jaccard(spark, hard_docs, no_docs, plain, k, p):
     assert stay == {c for _, c in got.values()}
 
 
+def test_jaccard_groups_of_strangers_and_copies(spark, monkeypatch):
+    """A large group of near copies beside as many strangers with one passage: rows in proportion, and no link lost; also in tiles."""
+    rng = random.Random(31)
+    shared, texts = [f"s{i}" for i in range(30)], []
+    base = [f"b{i}" for i in range(60)]
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.randrange(1, 3)):
+            words[rng.randrange(60)] = f"e{i}-{rng.randrange(9)}"
+        texts.append(" ".join(words))
+        texts.append(" ".join(shared + [f"w{i}-{j}" for j in range(rng.randrange(10, 14))]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sent = []
+    plain = jaccard.Scratch.table
+    monkeypatch.setattr(jaccard.Scratch, "table", lambda self, df, name, *by: (out := plain(self, df, name, *by), sent.append((name, out.count())) if name.startswith(("pairs", "forests")) else None)[0])
+    expected = brute_components(dict(enumerate(texts)), 1, 85, 100)
+    for tile in (jaccard.TILE, 40):
+        monkeypatch.setattr(jaccard, "TILE", tile)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs, 1, 85, 100).collect()}
+        assert got == expected
+    assert all(n <= 20 * len(texts) for _, n in sent)
+
+
 @pytest.mark.parametrize(("bits", "p"), [(4, 85), (8, 80)])
 def test_jaccard_short_sets(bits, p):
     """Every pair at the threshold shares a signature, those with empty segments too."""
