@@ -147,11 +147,11 @@ def packed_entries(docs: DataFrame, parts: int, fine: int, length: int, gram: in
 
 
 ENTRY = np.dtype([("anchor", U64), ("shard", np.int64), ("text", np.int64), ("doc", np.int64), ("at", np.uint32), ("n", np.uint8)])
-HELD = np.dtype([("anchor", np.int64), ("shard", np.int64), ("at", np.uint32), ("n", np.uint8)])
+HELD = np.dtype([("low", np.uint32), ("high", np.uint8), ("at", np.uint32), ("n", np.uint8)])  # low and high: of the anchor
 
 
 def shared_entries(packed: DataFrame, parts: int) -> DataFrame:
-    """(doc_id, tag, held): the entries whose anchor occurs in different texts, one row a shard and document; held: records of HELD."""
+    """(shard, doc_id, tag, held): the entries whose anchor occurs in different texts, one row a shard and document; held: records of HELD."""
 
     def met(some: np.ndarray):
         order = np.lexsort((some["text"], some["anchor"], some["shard"]))
@@ -169,10 +169,10 @@ def shared_entries(packed: DataFrame, parts: int) -> DataFrame:
         cuts = np.flatnonzero(np.concatenate(([True], (some["doc"][1:] != some["doc"][:-1]) | (some["text"][1:] != some["text"][:-1]) | (shard[1:] != shard[:-1]))))
         ends = np.append(cuts[1:], len(some))
         held = np.empty(len(some), HELD)
-        for c in HELD.names:
-            held[c] = some[c]
+        held["low"], held["high"] = some["anchor"] & U64(0xFFFFFFFF), some["anchor"] >> U64(32)
+        held["at"], held["n"] = some["at"], some["n"]
         offsets = pa.py_buffer((np.append(cuts, len(some)) * HELD.itemsize).astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(some["doc"][cuts]), pa.array(some["text"][cuts]), pa.Array.from_buffers(pa.binary(), len(cuts), [None, offsets, pa.py_buffer(held)])], ["doc_id", "tag", "held"])
+        return pa.RecordBatch.from_arrays([pa.array(shard[cuts]), pa.array(some["doc"][cuts]), pa.array(some["text"][cuts]), pa.Array.from_buffers(pa.binary(), len(cuts), [None, offsets, pa.py_buffer(held)])], ["shard", "doc_id", "tag", "held"])
 
     def run(batches):
         held, size, files = [], 0, None
@@ -203,22 +203,23 @@ def shared_entries(packed: DataFrame, parts: int) -> DataFrame:
             if out is not None:
                 yield out
 
-    return packed.repartitionById(parts, "part").mapInArrow(run, "doc_id long, tag long, held binary")
+    return packed.repartitionById(parts, "part").mapInArrow(run, "shard long, doc_id long, tag long, held binary")
 
 
 def passages(held: DataFrame, length: int) -> DataFrame:
-    """(shard, anchor, content, rep, tag, at, n) of each entry, from rows (rep, tag, text, held)."""
+    """(shard, anchor, content, rep, tag, at, n) of each entry, from rows (rep, tag, text, shards, held)."""
 
     def run(batches):
         for batch in batches:
             data, offsets = raw_text(batch.column(2))
-            reps, tags, held = (batch.column(i).to_pylist() for i in (0, 1, 3))
+            reps, tags, shards, held = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
             out, size = [], 0
             for i, rep in enumerate(reps):
                 own = np.frombuffer(b"".join(held[i]), HELD)
+                shard = np.repeat(np.array(shards[i], np.int64), [len(x) // HELD.itemsize for x in held[i]])
                 _, first = np.unique(own["at"], return_index=True)  # copies of a text sent the same entries
-                own = own[first]
-                at, n, shard, anchor = (own[c].astype(np.int64) for c in ("at", "n", "shard", "anchor"))
+                own, shard = own[first], shard[first]
+                at, n, anchor = own["at"].astype(np.int64), own["n"].astype(np.int64), own["low"].astype(np.int64) | own["high"].astype(np.int64) << 32
                 out.append((np.full(len(at), rep, np.int64), np.full(len(at), tags[i], np.int64), shard, anchor, at, n, at + offsets[i]))
                 size += len(at)
                 if size > 1 << 16 or i == len(reps) - 1:
@@ -436,17 +437,17 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_bytes: i
     members = scratch.table(sized.join(classes, "sha").select("doc_id", "tag", "rep", "n_bytes", "sha"), "members")
 
     shared = scratch.table(shared_entries(packed_entries(docs, parts, fine, length, gram), parts), "shared")
-    scratch.free(wait=1.5)  # the packed entries are the largest shuffle
+    scratch.free(wait=2.5)  # the packed entries are the largest shuffle
     own = members.select("doc_id", "tag", "rep").distinct()
-    by_rep = shared.join(own, ["doc_id", "tag"]).groupBy("rep", "tag").agg(F.collect_list("held").alias("held"))
+    by_rep = shared.join(own, ["doc_id", "tag"]).groupBy("rep", "tag").agg(F.collect_list("shard").alias("shards"), F.collect_list("held").alias("held"))
     texts = docs.select(F.col("doc_id").alias("rep"), F.col("tag").bitwiseAND(TAG).alias("tag"), "text")
     by_rep = scratch.table(by_rep, "by-rep")
-    found = named(passages(likely(texts, by_rep.select("rep"), "rep").join(by_rep, ["rep", "tag"]).select("rep", "tag", "text", "held"), length))
+    found = named(passages(likely(texts, by_rep.select("rep"), "rep").join(by_rep, ["rep", "tag"]).select("rep", "tag", "text", "shards", "held"), length))
     scratch.drop("shared")
     scratch.table(found, "passages")
     del shared, by_rep, own, found
     scratch.drop("by-rep")
-    scratch.free(wait=1.5)
+    scratch.free(wait=2.5)
 
     found = windows(scratch.read("passages"), scratch, length, hot_bytes, parts)
     distinct = named(found.groupBy("shard", "anchor", "content").agg(F.min("rep").alias("least"), F.max("rep").alias("most")))
