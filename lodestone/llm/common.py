@@ -6,6 +6,9 @@ Operators select only the columns they name, so extra columns never clash with t
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import gc
 import re
 import tempfile
@@ -77,16 +80,38 @@ class Scratch:
 FILTER = 1 << 24  # bits of a filter: 64 a row, so 262,144 rows at most
 
 
+def _marked(rows: DataFrame, wanted: DataFrame, column: str, how: str) -> DataFrame:
+    bit = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(FILTER))
+    one = F.expr("shiftleft(1L, cast(_bit % 64 as int))")
+    words = wanted.select(bit.alias("_bit")).groupBy(F.expr("_bit div 64").alias("_word")).agg(F.bit_or(one).alias("_bits"))
+    marked = rows.withColumn("_bit", bit).withColumn("_word", F.expr("_bit div 64")).join(F.broadcast(words), "_word", how)
+    return marked.withColumn("_hit", F.coalesce(F.col("_bits").bitwiseAND(one) != 0, F.lit(False)))
+
+
 def likely(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
     """The rows whose number in a column may be among those of another table's, the others filtered before any shuffle: by a bit of each number's hash.
 
     The filter has a fixed size and is broadcast; the more numbers, the more other rows it lets through. Any wanted row passes.
     """
-    bit = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(FILTER))
-    one = F.expr("shiftleft(1L, cast(_bit % 64 as int))")
-    words = wanted.select(bit.alias("_bit")).groupBy(F.expr("_bit div 64").alias("_word")).agg(F.bit_or(one).alias("_bits"))
-    marked = rows.withColumn("_bit", bit).withColumn("_word", F.expr("_bit div 64"))
-    return marked.join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(one) != 0).select(*rows.columns)
+    return _marked(rows, wanted, column, "inner").where("_hit").select(*(F.col(f"`{c}`") for c in rows.columns))
+
+
+def without(rows: DataFrame, gone: DataFrame, column: str) -> DataFrame:
+    """The rows whose number in a column isn't among those of another table's same column: those that the filter rules out, and of the rest what an anti join leaves, which alone is shuffled."""
+    clear = _marked(rows, gone, column, "left").where("not _hit").select(*(F.col(f"`{c}`") for c in rows.columns))
+    return clear.unionByName(likely(rows, gone, column).join(gone, column, "left_anti").select(*(F.col(f"`{c}`") for c in rows.columns)))
+
+
+def released(run):
+    """A function of batches that gives its worker's free memory back to the system once it has ended, as workers are used again."""
+
+    @functools.wraps(run)
+    def inner(batches):
+        yield from run(batches)
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return inner
 
 
 def raw_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_blocks, raw_text, texts
+from .common import doc_blocks, raw_text, released, texts
 
 RATE = 0.08  # edits allowed per character of an item
 ITEM_BYTES = 4 << 20
@@ -194,7 +194,7 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame
                 columns = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.int64()) for c in columns)], names)
 
-        part = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
+        part = docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {kind}, {SCHEMA}")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -214,5 +214,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
                     keep += [not matcher.matches(t) for t in texts(batch.column(spot).slice(low, high - low))]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(released(run), docs.schema)
     return docs

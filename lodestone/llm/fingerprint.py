@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, doc_blocks, mix64, raw_text, stream64, texts
+from .common import Scratch, doc_blocks, mix64, raw_text, released, stream64, texts
 from .components import connected, spanning
 
 SAMPLES, BUCKET_BYTES, MOST_BUCKETS, BLOCK_CHARS = 48, 8 << 20, 20_000, 3 << 20
@@ -115,7 +115,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             out = [f for low, high in doc_blocks(offsets, BLOCK_CHARS) for f in walks(texts(batch.column(1).slice(low, high - low)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")
+    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
 def in_order(docs: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def compare_edits(docs: DataFrame) -> DataFrame:
             yield results(rows, names, kind)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return in_order(docs).mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return in_order(docs).mapInArrow(released(run), f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def prints(rows: list[str]) -> np.ndarray:
@@ -246,7 +246,7 @@ def near_pairs(docs: DataFrame, at_least: float = 0.8, bands: int = 24, width: i
                         ids.append(doc)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string())], ["rep", "band"])
 
-    banded = scratch.table(classes.select("first", "fingerprint").mapInArrow(run, "rep long, band string").distinct(), "bands")
+    banded = scratch.table(classes.select("first", "fingerprint").mapInArrow(released(run), "rep long, band string").distinct(), "bands")
     hubs = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "hub")
     near = scratch.table(banded.join(hubs, "band").where("rep <> hub").select("hub", "rep").distinct(), "members")
     held = classes.select(F.col("first").alias("rep"), "fingerprint")

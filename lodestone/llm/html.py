@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, released
 
 DEEPEST = 200  # levels of a skeleton that are told apart
 CONSTANT, PAGES, LOTS = 0.6, 3, 32  # share of pages and least number of pages of a template text; parts of a host's texts
@@ -300,7 +300,7 @@ def parsed(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["page_id", "url", "host", "skeleton", "leads", "nodes", "texts", "digests"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    out = pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, host string, skeleton string, leads array<long>, nodes array<int>, texts array<string>, digests array<long>")
+    out = pages.select("page_id", "url", "html").mapInArrow(released(run), f"page_id {kind}, url string, host string, skeleton string, leads array<long>, nodes array<int>, texts array<string>, digests array<long>")
     return out.withColumn("form", F.xxhash64("skeleton"))
 
 
@@ -426,7 +426,7 @@ def extract(pages: DataFrame, forms: int = FORMS) -> DataFrame:
 
     kind = pages.schema["page_id"].dataType.simpleString()
     joined = held.select("page_id", "url", "host", "form", "nodes", "texts", "digests").join(places, ["host", "form"]).join(chosen, "host", "left")
-    out = joined.select("page_id", "url", "nodes", "texts", "digests", "places", "slot", "semantic", "fixed").mapInArrow(run, f"page_id {kind}, url string, text string")
+    out = joined.select("page_id", "url", "nodes", "texts", "digests", "places", "slot", "semantic", "fixed").mapInArrow(released(run), f"page_id {kind}, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, Words, doc_blocks, likely, mix64, raw_text, shingles
+from .common import U64, Scratch, Words, doc_blocks, likely, mix64, raw_text, released, shingles, without
 from .components import connected, spanning
 
 SPARE = 0.2  # E as a share of H + 1
@@ -185,28 +185,21 @@ def summaries(docs: DataFrame, k: int) -> DataFrame:
                 d1, d2 = sets.digests()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(sets.size), pa.array(d1), pa.array(d2), pa.array(sets.sketches(), pa.binary())], ["doc_id", "n", "d1", "d2", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, n long, d1 long, d2 long, sketch binary")
 
 
 def signed(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
-    """(sig, doc_id) of every set; a task sends equal sets once."""
+    """(sig, doc_id) of every set."""
 
     def run(batches):
-        bands, met = Bands(p, q, BITS.get(k, MOST_BITS if k > 4 else k)), set()
+        bands = Bands(p, q, BITS.get(k, MOST_BITS if k > 4 else k))
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for low, high, sets in _blocks(batch.column(1), k):
-                use = np.zeros(high - low, bool)
-                for i, d in enumerate(zip(*(d.tolist() for d in sets.digests()), strict=True)):
-                    if d not in met:
-                        met.add(d)
-                        use[i] = True
-                if len(met) > 1 << 20:
-                    met.clear()
-                keys, owners = sets.signatures(bands, use)
+                keys, owners = sets.signatures(bands, np.ones(high - low, bool))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[low + owners], pa.int64())], ["sig", "doc_id"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "sig long, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "sig long, doc_id long")
 
 
 def shared(rows: DataFrame) -> DataFrame:
@@ -248,7 +241,7 @@ def shared(rows: DataFrame) -> DataFrame:
             if done.any():
                 yield out(part[done])
 
-    return rows.mapInArrow(run, "sig long, doc_id long")
+    return rows.mapInArrow(released(run), "sig long, doc_id long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
@@ -274,7 +267,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, p: int, q: int) -> DataF
     held = likely(docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")), pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
     one = pairs.join(held.toDF("a", "left"), "a")
     two = one.join(held.toDF("b", "right"), "b")
-    return two.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    return two.select("a", "b", "left", "right").mapInArrow(released(run), "a long, b long")
 
 
 def folded(sketches: list[bytes]) -> np.ndarray:
@@ -402,7 +395,7 @@ def forests(rows: DataFrame, p: int, q: int, whole: bool) -> DataFrame:
         if waiting:
             yield from solved([{name: np.concatenate([w[name] for w in waiting]) for name in waiting[0]}])
 
-    return rows.select(*names, "held").mapInArrow(run, "hub long, a long, b long")
+    return rows.select(*names, "held").mapInArrow(released(run), "hub long, a long, b long")
 
 
 def elements(docs: DataFrame, k: int) -> DataFrame:
@@ -415,7 +408,7 @@ def elements(docs: DataFrame, k: int) -> DataFrame:
                 held = [sets.hash[a:b].tobytes() for a, b in zip(sets.first.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(held, pa.binary())], ["rep", "held"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "rep long, held binary")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "rep long, held binary")
 
 
 def keyed(docs: DataFrame) -> Column:
@@ -439,8 +432,11 @@ def labelled(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
     members = scratch.table(members.unionByName(sums.where("n = 0").select("doc_id", F.col("doc_id").alias("rep"), "n", "sketch")), "members")
     reps = members.where("doc_id = rep and n > 0").select("rep", "n", F.col("sketch").alias("held")).distinct()
 
-    groups = shared(signed(docs, k, p, q).repartition("sig").sortWithinPartitions("sig"))
-    groups = scratch.table(groups.join(members.where("n > 0 and doc_id <> rep").select("doc_id", "rep"), "doc_id", "left").select("sig", F.coalesce("rep", "doc_id").alias("rep")).distinct(), "groups")
+    # Of equal sets the representative's text alone is signed.
+    copies = members.where("n > 0").groupBy("doc_id").agg(F.max(F.expr("int(doc_id = rep)")).alias("own")).where("own = 0").select("doc_id")
+    copies = scratch.table(copies, "copies")
+    groups = shared(signed(without(docs, copies, "doc_id"), k, p, q).repartition("sig").sortWithinPartitions("sig"))
+    groups = scratch.table(groups.withColumnRenamed("doc_id", "rep"), "groups")
 
     hubs = groups.groupBy("sig").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").select("sig", "hub")
     near = scratch.table(groups.join(hubs, "sig").where("rep <> hub").select("hub", "rep").distinct(), "near")
@@ -499,7 +495,7 @@ def one_of_each(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataF
     held = docs.withColumn(key, keyed(docs))
     found = Scratch(docs.sparkSession, "one").table(labelled(held.select(F.col(key).alias("doc_id"), "text"), k, p, q), "labels")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
-    kept = held.join(gone, key, "left_anti")
+    kept = without(held, gone, key)
     twice = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("doc_id").alias(key))
     if twice.limit(1).count():
         whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Words, doc_blocks, raw_text
+from .common import SPACE, Words, doc_blocks, raw_text, released
 
 WORDS, FACTORS, BINS, SAMPLE, THRESHOLD = 4096, 8, 8, 4000, 0.3
 
@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     rows = _columns(docs).join(F.broadcast(chosen), "doc_id")  # at most `sample` rows of 12 bytes
     rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "n_chars")).alias("row")).select("doc_id", "row.text", "row.n_chars", "label")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    held = rows.mapInArrow(run, f"doc_id {kind}, label int, bucket array<int>, value array<double>, stats array<double>").collect()
+    held = rows.mapInArrow(released(run), f"doc_id {kind}, label int, bucket array<int>, value array<double>, stats array<double>").collect()
     held.sort(key=lambda r: (r.doc_id, r.bucket, r.value))
     return fit([(np.array(r.bucket, np.int64), np.array(r.value), np.array(r.stats, float), r.label) for r in held[:sample]])
 
@@ -181,7 +181,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = _columns(docs).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    out = _columns(docs).mapInArrow(released(run), f"doc_id {kind}, score double, predicted int")
     return out.select("doc_id", (folds("doc_id") == 0).alias("held_out"), "score", "predicted")
 
 
@@ -196,4 +196,4 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sampl
             n_chars = np.full(len(batch), -1) if length is None else batch.column(length).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array(scores(held.value, batch.column(spot), n_chars) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

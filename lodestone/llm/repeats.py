@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, doc_blocks, likely, mix64, raw_text, stream64
+from .common import U64, Scratch, doc_blocks, likely, mix64, raw_text, released, stream64
 from .suffixes import Spill, sort
 
 NO_ID = 2**63 - 1
@@ -143,7 +143,7 @@ def packed_entries(docs: DataFrame, parts: int, fine: int, length: int, gram: in
                 columns = list(zip(*rows, strict=True)) or [()] * 8
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[2:])], ["part", "shard", "docs", "texts", "anchor", "who", "at", "n"])
 
-    return docs.mapInArrow(run, "part int, shard long, docs binary, texts binary, anchor binary, who binary, at binary, n binary")
+    return docs.mapInArrow(released(run), "part int, shard long, docs binary, texts binary, anchor binary, who binary, at binary, n binary")
 
 
 ENTRY = np.dtype([("anchor", U64), ("shard", np.int64), ("text", np.int64), ("doc", np.int64), ("at", np.uint32), ("n", np.uint8)])
@@ -203,7 +203,7 @@ def shared_entries(packed: DataFrame, parts: int) -> DataFrame:
             if out is not None:
                 yield out
 
-    return packed.repartitionById(parts, "part").mapInArrow(run, "shard long, doc_id long, tag long, held binary")
+    return packed.repartitionById(parts, "part").mapInArrow(released(run), "shard long, doc_id long, tag long, held binary")
 
 
 def passages(held: DataFrame, length: int) -> DataFrame:
@@ -231,7 +231,7 @@ def passages(held: DataFrame, length: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(anchor), content, pa.array(rep_), pa.array(tag), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["shard", "anchor", "content", "rep", "tag", "at", "n"])
                     out, size = [], 0
 
-    return held.mapInArrow(run, "shard long, anchor long, content binary, rep long, tag long, at int, n int")
+    return held.mapInArrow(released(run), "shard long, anchor long, content binary, rep long, tag long, at int, n int")
 
 
 class Passages:
@@ -377,7 +377,7 @@ def holders(distinct: DataFrame, parts: int, length: int, memory: int = MEMORY)
             yield solve(held)
 
     dealt = distinct.withColumn("part", (F.col("shard") % parts).cast("int")).repartitionById(parts, "part").sortWithinPartitions("shard", "anchor")
-    return dealt.select("shard", "anchor", "content", "least", "most", "c1", "c2").mapInArrow(run, "c1 long, c2 long, first int, until int, holder long")
+    return dealt.select("shard", "anchor", "content", "least", "most", "c1", "c2").mapInArrow(released(run), "c1 long, c2 long, first int, until int, holder long")
 
 
 def cut(held: DataFrame) -> DataFrame:
@@ -405,7 +405,7 @@ def cut(held: DataFrame) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["rep", "tag", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    return held.mapInArrow(run, "rep long, tag long, n_removed long, n_spans long, kept_sha256 string, spans array<array<int>>")
+    return held.mapInArrow(released(run), "rep long, tag long, n_removed long, n_spans long, kept_sha256 string, spans array<array<int>>")
 
 
 def windows(found: DataFrame, scratch: Scratch, length: int, hot_bytes: int, parts: int) -> DataFrame:

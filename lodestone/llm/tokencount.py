@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import BLANK, LETTER, NUMBER
-from .common import Scratch, doc_blocks, raw_text, texts
+from .common import Scratch, doc_blocks, raw_text, released, texts
 
 MEMO = 1 << 16
 PLAIN = re.compile(r"[\x00-įı-ſ]*")  # characters whose lower case, composition and class need no library
@@ -121,6 +121,6 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: in
     misses = keyed.select("content", "text")
     if (held := stored()) is not None:
         misses = misses.join(held, "content", "left_anti")
-    misses.groupBy("content").agg(F.first("text").alias("text")).mapInArrow(run, kind).write.mode("append").parquet(cache)
+    misses.groupBy("content").agg(F.first("text").alias("text")).mapInArrow(released(run), kind).write.mode("append").parquet(cache)
     sized = keyed.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes"))
     return sized.join(stored(), "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
