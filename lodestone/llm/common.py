@@ -53,10 +53,11 @@ class Scratch:
         self._fs.deleteOnExit(path)
         self._path = jvm.org.apache.hadoop.fs.Path
 
-    def table(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, *partition_by: str, compression: str | None = None) -> DataFrame:
         self.free()
         out = f"{self.root}/{name}"
         writer = df.write.mode("overwrite")
+        writer = writer.option("compression", compression) if compression else writer
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(out)
         return self.spark.read.schema(df.schema).parquet(out)
 

@@ -410,13 +410,13 @@ def cut(held: DataFrame) -> DataFrame:
 
 def windows(found: DataFrame, scratch: Scratch, length: int, hot_bytes: int, parts: int) -> DataFrame:
     """The passages, those of shards beyond `hot_bytes` cut to single windows that are dealt out by hash."""
-    size = F.approx_count_distinct("c1") * F.avg(F.col("n") + length - 1)
+    size = F.approx_count_distinct(F.xxhash64("content")) * F.avg(F.col("n") + length - 1)
     hot = scratch.table(found.groupBy("shard").agg(size.alias("size")).where(F.col("size") > hot_bytes).select("shard"), "hot")
     if not hot.limit(1).count():
         return found
     one = found.join(hot, "shard", "left_semi").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     one = one.withColumn("content", F.expr(f"substring(content, i + 1, {length})"))
-    one = named(one.select(F.pmod(F.xxhash64("content"), F.lit(parts)).alias("shard"), F.lit(-1).cast("long").alias("anchor"), "content", "rep", "tag", (F.col("at") + F.col("i")).alias("at"), F.lit(1).alias("n")))
+    one = one.select(F.pmod(F.xxhash64("content"), F.lit(parts)).alias("shard"), F.lit(-1).cast("long").alias("anchor"), "content", "rep", "tag", (F.col("at") + F.col("i")).alias("at"), F.lit(1).alias("n"))
     return scratch.table(found.join(hot, "shard", "left_anti").select(*one.columns).unionByName(one), "dealt")
 
 
@@ -442,9 +442,10 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_bytes: i
     by_rep = shared.join(own, ["doc_id", "tag"]).groupBy("rep", "tag").agg(F.collect_list("shard").alias("shards"), F.collect_list("held").alias("held"))
     texts = docs.select(F.col("doc_id").alias("rep"), F.col("tag").bitwiseAND(TAG).alias("tag"), "text")
     by_rep = scratch.table(by_rep, "by-rep")
-    found = named(passages(likely(texts, by_rep.select("rep"), "rep").join(by_rep, ["rep", "tag"]).select("rep", "tag", "text", "shards", "held"), length))
+    found = passages(likely(texts, by_rep.select("rep"), "rep").join(by_rep, ["rep", "tag"]).select("rep", "tag", "text", "shards", "held"), length)
     scratch.drop("shared")
-    scratch.table(found, "passages")
+    scratch.free(wait=1.5)
+    scratch.table(found, "passages", compression="zstd")  # the largest table
     del shared, by_rep, own, found
     scratch.drop("by-rep")
     scratch.free(wait=2.5)
@@ -452,10 +453,12 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_bytes: i
     found = windows(scratch.read("passages"), scratch, length, hot_bytes, parts)
     distinct = named(found.groupBy("shard", "anchor", "content").agg(F.min("rep").alias("least"), F.max("rep").alias("most")))
     first = scratch.table(holders(distinct, parts, length, memory), "holders")
-    hit = found.select("c1", "c2", "rep", "tag", "at").join(first, ["c1", "c2"]).where("holder < rep")
+    del distinct
+    scratch.free(wait=1.5)
+    hit = named(found).select("c1", "c2", "rep", "tag", "at").join(first, ["c1", "c2"]).where("holder < rep")
     ranges = hit.select("rep", "tag", F.struct((F.col("at") + F.col("first")).alias("a"), (F.col("at") + F.col("until") + F.lit(length - 1)).alias("b")).alias("r"))
     ranges = scratch.table(ranges.groupBy("rep", "tag").agg(F.collect_set("r").alias("ranges")), "ranges")
-    del distinct, first, hit, found
+    del first, hit, found
     scratch.drop("passages")
     changed = scratch.table(cut(likely(texts, ranges.select("rep"), "rep").join(ranges, ["rep", "tag"]).select("rep", "tag", "text", "ranges")), "changed")
 

@@ -546,7 +546,7 @@ def test_jaccard_groups_of_strangers_and_copies(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     sent = []
     plain = jaccard.Scratch.table
-    monkeypatch.setattr(jaccard.Scratch, "table", lambda self, df, name, *by: (out := plain(self, df, name, *by), sent.append((name, out.count())) if name.startswith(("pairs", "forests")) else None)[0])
+    monkeypatch.setattr(jaccard.Scratch, "table", lambda self, df, name, *by, **how: (out := plain(self, df, name, *by, **how), sent.append((name, out.count())) if name.startswith(("pairs", "forests")) else None)[0])
     expected = brute_components(dict(enumerate(texts)), 1, 85, 100)
     for tile in (jaccard.TILE, 40):
         monkeypatch.setattr(jaccard, "TILE", tile)
