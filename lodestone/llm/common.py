@@ -98,9 +98,12 @@ def likely(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
 
 
 def without(rows: DataFrame, gone: DataFrame, column: str) -> DataFrame:
-    """The rows whose number in a column isn't among those of another table's same column: those that the filter rules out, and of the rest what an anti join leaves, which alone is shuffled."""
-    clear = _marked(rows, gone, column, "left").where("not _hit").select(*(F.col(f"`{c}`") for c in rows.columns))
-    return clear.unionByName(likely(rows, gone, column).join(gone, column, "left_anti").select(*(F.col(f"`{c}`") for c in rows.columns)))
+    """The rows whose number in a column isn't among those of another table's same column: those that the filter rules out, and those it lets through by chance, which a join of the numbers alone finds."""
+    names = [F.col(f"`{c}`") for c in rows.columns]
+    clear = _marked(rows, gone, column, "left").where("not _hit").select(*names)
+    chance = likely(rows.select(column), gone, column).join(gone, column, "left_anti").distinct()
+    # An inner join: Catalyst would move a semi join below the filter, and shuffle all rows.
+    return clear.unionByName(likely(rows, chance, column).join(chance, column).select(*names))
 
 
 def released(run):

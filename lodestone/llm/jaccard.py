@@ -473,7 +473,7 @@ def labelled(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
     if doubtful.limit(1).count():
         rest = scratch.table(near.join(doubtful, "hub"), "groups-3")
         nodes = rest.select(F.col("rep").alias("doc_id")).distinct()
-        texts = likely(docs.select("doc_id", "text"), nodes, "doc_id").join(nodes, "doc_id", "left_semi")
+        texts = likely(docs.select("doc_id", "text"), nodes, "doc_id").join(nodes, "doc_id").select("doc_id", "text")
         held = elements(texts, k).join(reps.select("rep", "n"), "rep")
         more = searched(rest, component, held, True, "forests-3")
         component = components(links.unionByName(more.select("a", "b").distinct()), 3)
