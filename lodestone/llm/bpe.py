@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from .common import doc_blocks, raw_text, released, texts
 
 MEMO = 1 << 16  # pieces a worker remembers from block to block
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 WIDE = 256  # bytes from which a piece is merged alone
 NONE = np.int64(1 << 40)
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 pa.set_memory_pool(pa.system_memory_pool())  # its own pool would keep what a batch took for as long as the worker lives
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 U64 = np.uint64
 
 
