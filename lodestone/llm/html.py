@@ -380,17 +380,24 @@ def slot(kinds: list[str], parents: list[int], mass: dict[int, int]) -> tuple[li
     return ([p for m in varying or mains for p in m], True) if mains else (below(0, False), False)
 
 
-def votes(held: DataFrame, places: DataFrame) -> DataFrame:
-    """(host, place, digest, size, pages, of): how many of a host's differing pages hold each text at each place."""
-    blocks = held.join(places, ["host", "form"]).select("host", "leads", "places", F.explode(F.arrays_zip("nodes", "digests", F.transform("texts", F.length).alias("sizes"))).alias("b"))
-    blocks = blocks.select("host", F.element_at("places", F.col("b.nodes") + 1).alias("place"), F.col("b.digests").alias("digest"), F.col("b.sizes").alias("size"), F.array_except("leads", F.array("b.digests")).alias("by"))
-    voters = (F.count_distinct(F.get("by", F.lit(i))) for i in (0, 1))
-    seen = blocks.groupBy("host", "place", "digest").agg(F.greatest(*voters).alias("pages"), F.first("size").alias("size"))
-    differing = held.groupBy("host").agg(F.greatest(*(F.count_distinct(F.get("leads", F.lit(i))) for i in (0, 1))).alias("of"))
+def votes(held: DataFrame, places: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, place, digest, size, pages, of): how many of a host's differing pages hold each text at each place.
+
+    Pages are told apart by their longest block, or on hosts where that one varies less by the second longest; a block's own
+    votes are told apart by the other one of them.
+    """
+    longest, second = F.get("leads", F.lit(0)), F.get("leads", F.lit(1))
+    differing = held.groupBy("host").agg(F.count_distinct(longest).alias("a"), F.count_distinct(second).alias("b"))
+    differing = scratch.table(differing.select("host", F.greatest("a", "b").alias("of"), (F.col("b") > F.col("a")).alias("turned")), "differing")
+    blocks = held.join(places, ["host", "form"]).join(differing.select("host", "turned"), "host")
+    blocks = blocks.select("host", F.when(F.col("turned"), second).otherwise(longest).alias("lead"), F.when(F.col("turned"), longest).otherwise(second).alias("other"), "places", F.explode(F.arrays_zip("nodes", "digests", F.transform("texts", F.length).alias("sizes"))).alias("b"))
+    voter = F.coalesce(F.when(F.col("lead") != F.col("b.digests"), F.col("lead")), F.col("other"))
+    blocks = blocks.select("host", F.element_at("places", F.col("b.nodes") + 1).alias("place"), F.col("b.digests").alias("digest"), F.col("b.sizes").alias("size"), voter.alias("voter"))
+    seen = blocks.groupBy("host", "place", "digest").agg(F.count_distinct("voter").alias("pages"), F.first("size").alias("size"))
     # A host may hold a third of all pages: its texts are dealt out by digest, and summed up again in part before they meet.
     seen = seen.withColumn("lot", F.pmod("digest", F.lit(LOTS)))
-    differing = differing.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LOTS - 1).cast("long"))))
-    return seen.join(differing, ["host", "lot"])
+    lots = differing.select("host", "of").withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LOTS - 1).cast("long"))))
+    return seen.join(lots, ["host", "lot"])
 
 
 def extract(pages: DataFrame, forms: int = FORMS) -> DataFrame:
@@ -399,7 +406,7 @@ def extract(pages: DataFrame, forms: int = FORMS) -> DataFrame:
     held = scratch.table(parsed(pages), "parsed")
     shapes = held.groupBy("host", "form").agg(F.first("skeleton").alias("skeleton"), F.count(F.lit(1)).alias("pages"))
     places, wrappers = wrapped(shapes, scratch, forms)
-    seen = votes(held, places).withColumn("fixed", (F.col("of") >= PAGES) & (F.col("pages") >= CONSTANT * F.col("of")))
+    seen = votes(held, places, scratch).withColumn("fixed", (F.col("of") >= PAGES) & (F.col("pages") >= CONSTANT * F.col("of")))
     by_place = seen.groupBy("host", "place").agg(
         F.sum(F.when(~F.col("fixed"), F.col("size") * F.col("pages")).otherwise(0)).alias("mass"),
         F.collect_list(F.when(F.col("fixed"), F.struct("digest", ((F.col("of") >= SURE_PAGES) & (F.col("pages") >= SURE * F.col("of"))).alias("sure")))).alias("fixed"),
