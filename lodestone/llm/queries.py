@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprint, html, jaccard, quality, repeats, secrets, sharding, tokencount
+from . import bpe, decontaminate, factors, fingerprint, html, jaccard, oracles, prefixes, quality, repeats, secrets, sharding, spelling, tokencount
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,18 @@ def op10_pigeonhole_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), k=4, p=85, q=100)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(prefixes.regrafted(table(spark, sf_dir, "conversations")))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_lempel_ziv_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factors.remove(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_fm": op1_quality_fm,
@@ -67,8 +79,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_wrapper_html": op8_wrapper_html,
         "op9_kd_shards": op9_kd_shards,
         "op10_pigeonhole_jaccard": op10_pigeonhole_jaccard,
+        "op11_conversation_trie": op11_conversation_trie,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_lempel_ziv_repeats": op13_lempel_ziv_repeats,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_conversation_trie": oracles.TRIE, "op12_spelling_variants": oracles.SPELLING, "op13_lempel_ziv_repeats": oracles.FACTORS}
