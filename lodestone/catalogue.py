@@ -45,4 +45,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from lodestone.plans import content, events, graph, network, search, stores  # noqa: F401  each registers its queries
+    from lodestone.plans import content, events, graph, network, retrieval, search, stores  # noqa: F401  each registers its queries

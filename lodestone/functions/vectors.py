@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -52,3 +54,22 @@ def embed(text: Column, dimensions: int = 384) -> Column:
         return pd.Series(list((v / np.where(n > 0, n, 1)).astype(np.float32)))
 
     return summed(F.transform(words, lambda w: F.xxhash64(w)))
+
+
+def word_counts(text: Column, dimensions: int = 384) -> Column:
+    """An embedder without hashing that only Spark knows: signed counts of lower-case words by their MD5, as whole numbers."""
+
+    @F.pandas_udf("array<float>")
+    def summed(texts: pd.Series) -> pd.Series:
+        known: dict[str, tuple[int, int]] = {}
+        out = np.zeros((len(texts), dimensions), np.float32)
+        for i, text in enumerate(texts):
+            for word in filter(None, (text or "").split(" ")):
+                spot = known.get(word)
+                if spot is None:
+                    digest = hashlib.md5(word.encode()).digest()
+                    spot = known[word] = int.from_bytes(digest[:4], "big") % dimensions, 1 if digest[4] < 128 else -1
+                out[i, spot[0]] += spot[1]
+        return pd.Series(list(out))
+
+    return summed(F.regexp_replace(F.lower(text), r"[ \t\n\r]+", " "))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodestone.functions import vectors
 
 PENALTY, BOOST, MOST_BOOST = 0.9, 0.1, 0.3
 
 
-BLOCK = 512  # query vectors that meet the collection at once
+BLOCK, FEW = 1 << 15, 8  # query vectors that meet the collection at once (64 MB of 256 dimensions), and so few that the JVM compares them
 
 
 def blocks_of(queries: DataFrame, most: int = BLOCK) -> list[DataFrame]:
@@ -19,7 +22,47 @@ def blocks_of(queries: DataFrame, most: int = BLOCK) -> list[DataFrame]:
     return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)] if n > 1 else [queries]
 
 
-def similarities(collection: DataFrame, queries: DataFrame, vector: str = "embedding", id_col: str = "vec_id", most: int = BLOCK) -> DataFrame:
+class Nearest:
+    """The k nearest of each of some queries among rows that come in blocks, ties by id; a row of the query's own id doesn't count."""
+
+    def __init__(self, k: int, names: np.ndarray, itself: bool = False):
+        self.k, self.names, self.itself = k, names, itself
+        self.who, self.far, self.ids, self.tags = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object), np.zeros(0, np.int64)
+
+    def add(self, who: np.ndarray, ids: np.ndarray, distance: np.ndarray, tags: np.ndarray | None = None) -> None:
+        """distance: (len(who), len(ids)); tags: a number of each row, given back with it."""
+        tags = np.zeros(len(ids), np.int64) if tags is None else tags
+        for low in range(0, len(who), 512):
+            part, d = who[low : low + 512], distance[low : low + 512]
+            own = np.zeros(d.shape, bool) if self.itself else self.names[part][:, None] == ids[None, :]
+            d = np.where(own, np.inf, d)
+            if d.shape[1] > self.k:  # all that tie with the k-th stay until ids decide
+                keep = d <= np.partition(d, self.k - 1, axis=1)[:, self.k - 1 : self.k]
+            else:
+                keep = np.ones(d.shape, bool)
+            q, j = np.nonzero(keep & ~own)
+            self.who, self.far = np.concatenate((self.who, part[q])), np.concatenate((self.far, d[q, j]))
+            self.ids, self.tags = np.concatenate((self.ids, ids[j])), np.concatenate((self.tags, tags[j]))
+        if len(self.who) > 4 * self.k * len(self.names) + 4096:
+            self._cut()
+
+    def _cut(self) -> None:
+        if not len(self.who):
+            return
+        _, rank = np.unique(self.ids, return_inverse=True)
+        order = np.lexsort((rank, self.far, self.who))
+        who = self.who[order]
+        place = np.arange(len(who)) - np.searchsorted(who, who)
+        order = order[place < self.k]
+        self.who, self.far, self.ids, self.tags = self.who[order], self.far[order], self.ids[order], self.tags[order]
+
+    def rows(self) -> list[tuple]:
+        """(query's id, id, distance, tag)."""
+        self._cut()
+        return list(zip(self.names[self.who].tolist(), self.ids.tolist(), self.far.tolist(), self.tags.tolist(), strict=True))
+
+
+def similarities(collection: DataFrame, queries: DataFrame, vector: str = "embedding", id_col: str = "vec_id", most: int = 512) -> DataFrame:
     """(query_id, the collection's columns, score): each row of the collection with its cosine similarity to each query (query_id, vector), but for the row of its own id.
 
     All pairs, for queries of a checked number; `knn` takes any number.
@@ -38,24 +81,27 @@ def ranked(near: DataFrame, k: int, at_most: float | None, id_col: str = "vec_id
     return out if at_most is None else out.where((F.col("distance") <= at_most) & (F.col("rank") <= k))
 
 
-def knn(collection: DataFrame, queries: DataFrame, k: int, at_most: float | None = None, vector: str = "embedding", id_col: str = "vec_id", most: int = BLOCK) -> DataFrame:
-    """(query_id, id, distance, rank): the k nearest rows by cosine distance of each query (query_id, vector), but for the row of its own id.
+def knn(collection: DataFrame, queries: DataFrame, k: int, at_most: float | None = None, vector: str = "embedding", id_col: str = "vec_id", most: int = BLOCK, itself: bool = False) -> DataFrame:
+    """(query_id, id, distance, rank): the k nearest rows by cosine distance of each query (query_id, vector), but for the row of its own id; with `itself` that one too.
 
-    Each block of queries travels to the collection's partitions, which send on only their own nearest of each query.
+    A few queries are compared in the JVM. More travel in blocks to the collection's partitions, one scan a block, which
+    send on only their own nearest of each query.
     """
     fetch, out = k if at_most is None else 2 * k, None
-    for block in blocks_of(queries.select("query_id", vector), most):
-        part = _nearest(collection, block, fetch, vector, id_col)
+    queries = queries.select("query_id", vector)
+    if len(queries.limit(FEW + 1).collect()) <= FEW:
+        asked = F.broadcast(queries.where(F.col(vector).isNotNull()).select("query_id", F.col(vector).alias("_q")))  # FEW rows at most
+        both = collection.where(F.col(vector).isNotNull()).select(id_col, vector).crossJoin(asked)
+        both = both if itself else both.where(F.col(id_col) != F.col("query_id"))
+        return ranked(both.select("query_id", id_col, F.round(vectors.cosine_distance(F.col(vector), F.col("_q")), 12).alias("distance")), k, at_most, id_col)
+    for block in blocks_of(queries, most):
+        part = _nearest(collection, block, fetch, vector, id_col, itself)
         out = part if out is None else out.unionByName(part)
     return ranked(out, k, at_most, id_col)
 
 
-def _nearest(collection: DataFrame, block: DataFrame, k: int, vector: str, id_col: str) -> DataFrame:
+def _nearest(collection: DataFrame, block: DataFrame, k: int, vector: str, id_col: str, itself: bool) -> DataFrame:
     """(query_id, id, distance) of each query's k nearest in each partition."""
-    import numpy as np
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     spark = collection.sparkSession
     schema = block.select("query_id").join(collection.select(id_col)).withColumn("distance", F.lit(0.0)).schema
     rows = block.where(F.col(vector).isNotNull()).collect()  # a block's vectors
@@ -66,36 +112,27 @@ def _nearest(collection: DataFrame, block: DataFrame, k: int, vector: str, id_co
 
     def run(batches):
         names, q = held.value
-        lengths = np.sqrt((q * q).sum(axis=1))
-        top = [(np.zeros(0), np.zeros(0, object))] * len(names)
+        lengths, top = np.sqrt((q * q).sum(axis=1)), Nearest(k, names, itself)
         for batch in batches:
             if not len(batch):
                 continue
             ids = np.array(batch.column(0).to_pylist(), object)
             own = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(batch), -1)
-            scale = lengths[:, None] * np.sqrt((own * own).sum(axis=1))
-            with np.errstate(all="ignore"):
-                distance = np.round(np.where(scale == 0, 1.0, 1.0 - (q @ own.T) / scale), 12)
-            for i, name in enumerate(names):
-                d, which = np.concatenate((top[i][0], distance[i])), np.concatenate((top[i][1], ids))
-                other = which != name
-                d, which = d[other], which[other]
-                if len(d) > k:  # all that tie with the k-th stay until ids decide
-                    some = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-                    d, which = d[some], which[some]
-                order = sorted(range(len(d)), key=lambda j: (d[j], which[j]))[:k]
-                top[i] = d[order], which[order]
-        found = [(name, i, x) for name, (d, which) in zip(names, top, strict=True) for i, x in zip(which.tolist(), d.tolist(), strict=True)]
+            size = np.sqrt((own * own).sum(axis=1))
+            for low in range(0, len(names), 512):
+                scale = lengths[low : low + 512, None] * size
+                with np.errstate(all="ignore"):
+                    distance = np.round(np.where(scale == 0, 1.0, 1.0 - (q[low : low + 512] @ own.T) / scale), 12)
+                top.add(np.arange(low, low + len(distance)), ids, distance)
+        found = top.rows()
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), fields, strict=True)], schema=fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*found, strict=True))[:3], fields, strict=True)], schema=fields)
 
     return collection.where(F.col(vector).isNotNull()).select(id_col, vector).mapInArrow(run, schema)
 
 
 def signature_bits(vector: Column, planes: int, dimensions: int, seed: int = 7) -> Column:
     """Signs of random projections, packed into one number: near vectors share most of them."""
-    import numpy as np
-
     rng = np.random.default_rng(seed)
     out = F.lit(0).cast("long")
     for p in range(planes):
@@ -104,7 +141,7 @@ def signature_bits(vector: Column, planes: int, dimensions: int, seed: int = 7)
     return out
 
 
-def knn_prefiltered(collection: DataFrame, queries: DataFrame, k: int, planes: int = 16, within: int = 9, dimensions: int = 64, most: int = BLOCK) -> DataFrame:
+def knn_prefiltered(collection: DataFrame, queries: DataFrame, k: int, planes: int = 16, within: int = 9, dimensions: int = 64, most: int = 512) -> DataFrame:
     """(query_id, vec_id, distance, rank): approximate nearest neighbours; only rows whose projections differ in few signs are scored. A stored signature column saves its computation."""
     signed = collection if "signature" in collection.columns else collection.withColumn("signature", signature_bits(F.col("embedding"), planes, dimensions))
     out = None

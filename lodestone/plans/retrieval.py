@@ -1,0 +1,108 @@
+"""Queries over stored vector indexes, and answers by retrieval."""
+
+from __future__ import annotations
+
+import functools
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestone.catalogue import query
+from lodestone.functions import vectors
+from lodestone.operators import indexing, retrieval
+from lodestone.operators.ann import VectorIndex
+from lodestone.plans.content import FIT, PACKED
+
+CELLS, PROBES, ROUNDS = 16, 10, 2
+
+
+def folder(spark) -> str:
+    """A new folder below the one that all executors share; in a local session without one, a temporary folder."""
+    name = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not name and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(name or tempfile.mkdtemp(prefix='lodestone-')).rstrip('/')}/index-{uuid.uuid4().hex[:12]}"
+
+
+def indexed(t) -> VectorIndex:
+    """Half of the vectors in a first flush, all in a second: what is held stays."""
+    index = VectorIndex.create(t.embeddings, folder(t.spark), cells=CELLS, subspaces=16, rounds=ROUNDS)
+    index.add(t.embeddings.where("vec_id % 2 = 0"))
+    index.flush()
+    index.add(t.embeddings.where("vec_id % 3 <> 1"))
+    index.add(t.embeddings)
+    index.flush()
+    return VectorIndex.load(t.spark, index.path)
+
+
+def many(t) -> DataFrame:
+    """Every vector whose id is divisible by 50."""
+    return t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def _unit(v: str) -> str:
+    return f"list_transform({v}, lambda x: x / sqrt(list_sum(list_transform({v}, lambda y: y * y))))"
+
+
+def _cells_sql() -> str:
+    """Common table expressions: c0 to c2, the centroids after each round, and assigned (vec_id, v, cell)."""
+    out = [f"e as (select vec_id, {_unit('embedding::double[]')} v, row_number() over (order by md5(vec_id::varchar), vec_id) - 1 place from embeddings)", f"c0 as (select place cell, v c from e where place < {CELLS})"]
+    nearest = "select e.vec_id, e.v, c.cell from e, c{k} c qualify row_number() over (partition by e.vec_id order by round(list_dot_product(e.v, c.c), 12) desc, c.cell) = 1"
+    for k in range(ROUNDS):
+        out.append(f"a{k} as ({nearest.format(k=k)})")
+        out.append(f"s{k} as (select cell, list(x order by d) v from (select cell, d, sum(v[d]) x from (select cell, v, unnest(range(1, len(v) + 1)) d from a{k}) group by cell, d) group by cell)")
+        out.append(f"c{k + 1} as (select c.cell, case when s.v is null then c.c else {_unit('s.v')} end c from c{k} c left join s{k} s using (cell))")
+    out.append(f"assigned as ({nearest.format(k=ROUNDS)})")
+    return ",\n    ".join(out)
+
+
+@query("ann_ivf", f"""with {_cells_sql()},
+    probes as (select e.vec_id query_id, e.v q, c.cell from e, c{ROUNDS} c where e.vec_id % 50 = 0 qualify row_number() over (partition by e.vec_id order by round(list_dot_product(e.v, c.c), 12) desc, c.cell) <= {PROBES})
+    select query_id, vec_id, round(1 - list_dot_product(q, v), 6) distance, row_number() over (partition by query_id order by round(1 - list_dot_product(q, v), 12), vec_id) "rank"
+    from probes join assigned using (cell) where vec_id <> query_id qualify "rank" <= 10""")
+def _(t):
+    near = indexed(t).search(many(t), 10, probes=PROBES)
+    return near.select("query_id", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"), "rank")
+
+
+@query("ann_ivf_codes")
+def _(t):
+    """The codes choose a tenth of the rows that the probed cells hold, whose vectors are compared."""
+    near = indexed(t).search(many(t), 10, probes=PROBES, shortlist=100)
+    return near.select("query_id", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"), "rank")
+
+
+@query("ann_cells", f"""with {_cells_sql()} select vec_id, cell::int cell, case when vec_id % 2 = 0 then 0 else 1 end flush from assigned""")
+def _(t):
+    return indexed(t).rows().select(F.col("id").alias("vec_id"), "cell", "flush")
+
+
+WORDS = "list_filter(string_split(regexp_replace(lower({x}), '[ \\t\\n\\r]+', ' ', 'g'), ' '), lambda x: x <> '')"
+SPOTS = "select {key}, ('0x' || substr(md5(w), 1, 8))::bigint % 64 d, sum(case when substr(md5(w), 9, 1) < '8' then 1 else -1 end)::double v from (select {key}, unnest({words}) w from {rows}) group by all"
+
+
+@query("rag_fused", f"""with recursive {PACKED.format(fit=FIT)},
+    chunks as (select doc_id * 1048576 + chunk_index chunk_id, l[chunk_index + 1] chunk from packed join e using (doc_id)),
+    parts as (select item_id q, text, list_distinct(list_filter(list_transform(regexp_split_to_array(text, '[.?!;\n]+'), lambda x: trim(x, ' ')), lambda x: contains(x, ' '))) p from benchmark where length(trim(text, ' ')) > 0),
+    asked as (select row_number() over () a, * from (select q, unnest(case when len(p) > 1 then list_prepend(text, p) else [text] end) part from parts)),
+    av as ({SPOTS.format(key="a", words=WORDS.format(x="part"), rows="asked")}), cv as ({SPOTS.format(key="chunk_id", words=WORDS.format(x="chunk"), rows="chunks")}),
+    an as (select a, sqrt(sum(v * v)) n from av group by a), cn as (select chunk_id, sqrt(sum(v * v)) n from cv group by chunk_id),
+    dots as (select a, chunk_id, sum(av.v * cv.v) dot from av join cv using (d) group by a, chunk_id),
+    far as (select asked.a, q, c.chunk_id, round(case when coalesce(an.n, 0) * coalesce(cn.n, 0) = 0 then 1.0 else 1 - coalesce(dot, 0) / (an.n * cn.n) end, 12) far
+        from asked cross join chunks c left join an on an.a = asked.a left join cn on cn.chunk_id = c.chunk_id left join dots on dots.a = asked.a and dots.chunk_id = c.chunk_id),
+    near as (select *, row_number() over (partition by a order by far, chunk_id) r from far qualify r <= 20),
+    fused as (select q, chunk_id, round(sum(1.0 / (60.0::double + r)), 12) score from near group by q, chunk_id),
+    top as (select q, chunk_id, row_number() over (partition by q order by score desc, chunk_id) "rank" from fused qualify "rank" <= 20),
+    w as (select q, chunk_id, chunk, "rank", list_distinct(regexp_split_to_array(lower(b.text), '[^A-Za-z0-9_]+')) asked, list_distinct(regexp_split_to_array(lower(chunk), '[^A-Za-z0-9_]+')) words from top join chunks using (chunk_id) join benchmark b on b.item_id = q),
+    best as (select q, chunk_id, chunk, row_number() over (partition by q order by len(list_intersect(asked, words))::double / len(asked) desc, "rank") n from w qualify n <= 5),
+    done as (select q, string_agg('[Source ' || n || ']' || chr(10) || chunk || chr(10), chr(10) order by n) context, string_agg(chunk_id::varchar, ',' order by n) sources from best group by q)
+    select b.item_id q, 'Answer from the context, citing [Source N]; say so if it doesn''t hold the answer.' || chr(10) || chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || b.text || chr(10) || chr(10) || 'Answer:' prompt, sources, case when context is null then 'NO_CONTEXT' end error
+    from benchmark b left join done on done.q = b.item_id""")
+def _(t):
+    """Every benchmark item as a question over the chunks of all documents."""
+    chunks = indexing.index(t.documents, 50, 1000, 64, embedder=vectors.word_counts).select((F.col("doc_id") * 1048576 + F.col("chunk_index")).alias("chunk_id"), "chunk", "embedding")
+    asked = t.benchmark.select(F.col("item_id").alias("q"), F.col("text").alias("question"))
+    out = retrieval.answered(asked, chunks, dimensions=64, embedder=functools.partial(vectors.word_counts))
+    return out.withColumn("sources", F.array_join(F.transform("sources", lambda x: x.cast("string")), ","))

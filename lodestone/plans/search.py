@@ -256,10 +256,9 @@ def _(t):
 
     docs = t.documents.join(t.labels.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.col("text").alias("content"))
     asked = t.benchmark.select(F.col("item_id").alias("q"), F.col("text").alias("question"))
-    far = F.abs(F.length("content") - F.length("question"))
-    met = None
-    for block in search.blocks_of(asked.withColumnRenamed("q", "query_id")):  # each of a checked number of questions
-        part = docs.crossJoin(F.broadcast(block.withColumnRenamed("query_id", "q"))).withColumn("far", far)
+    sizes, met = docs.select("doc_id", F.length("content").alias("size")), None
+    for block in search.blocks_of(asked.select(F.col("q").alias("query_id"), F.length("question").alias("wanted")), 512):  # ids and lengths of a checked number of questions
+        part = sizes.crossJoin(F.broadcast(block.withColumnRenamed("query_id", "q"))).select("q", "doc_id", F.abs(F.col("size") - F.col("wanted")).alias("far"))
         met = part if met is None else met.unionByName(part)
     top = met.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("far", "doc_id"))).where("rank <= 20")
-    return indexing.answers(asked, indexing.rerank(top, "q"))
+    return indexing.answers(asked, indexing.rerank(top.join(docs, "doc_id").join(asked, "q"), "q"))

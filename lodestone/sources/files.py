@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import struct
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,6 +67,69 @@ def _lines(spark: SparkSession, path: str | None) -> list[str]:
     return [r.value for r in spark.read.text(path).collect()] if fs.exists(place) else []
 
 
+def _fs(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, place = _fs(spark, path)
+    return fs.exists(place)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, none if it isn't there."""
+    fs, place = _fs(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(place)] if fs.exists(place) else []
+
+
+def claimed(spark: SparkSession, path: str) -> bool:
+    """Whether this call made the file: of several callers one does."""
+    fs, place = _fs(spark, path)
+    if fs.exists(place):
+        return False
+    try:
+        fs.create(place, False).close()
+    except Py4JJavaError as e:
+        if fs.exists(place):
+            return False
+        raise e
+    return True
+
+
+@contextlib.contextmanager
+def locked(spark: SparkSession, path: str):
+    """One holder of a file at a time; where a holder died, the file has to be removed by hand."""
+    if not claimed(spark, path):
+        raise RuntimeError(f"another writer holds {path}")
+    try:
+        yield
+    finally:
+        fs, place = _fs(spark, path)
+        fs.delete(place, False)
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    fs, place = _fs(spark, new)
+    fs.mkdirs(place.getParent())
+    if fs.exists(place) or not fs.rename(_fs(spark, old)[1], place):
+        raise RuntimeError(f"can't rename {old} to {new}")
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, place = _fs(spark, path)
+    out = fs.create(place, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    return "\n".join(r.value for r in spark.read.text(path).collect())
+
+
 def stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
     """A throttled stream of Parquet files."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -77,13 +142,15 @@ def vectors(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "generation")
 
 
-def upsert_vectors(rows: DataFrame, path: str) -> None:
-    """Writes vectors by collection, one of each (cid, chunk_index), as a generation that stands in for the rows held before."""
+def upsert_vectors(rows: DataFrame, path: str) -> int:
+    """Writes vectors by collection, one of each (cid, chunk_index), as a generation that stands in for the rows held before; returns its number. Writers at one time each claim their own."""
     spark = rows.sparkSession
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    held = [int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(place) if "=" in f.getPath().getName()] if fs.exists(place) else []
-    rows.dropDuplicates(["collection", "cid", "chunk_index"]).write.partitionBy("collection").parquet(f"{path}/generation={max(held, default=-1) + 1}")
+    held = [int(n.split("=")[1]) for n in names(spark, path) if "=" in n] + [int(n) for n in names(spark, f"{path}/_claims")]
+    number = max(held, default=-1) + 1
+    while not claimed(spark, f"{path}/_claims/{number}"):
+        number += 1
+    rows.dropDuplicates(["collection", "cid", "chunk_index"]).write.partitionBy("collection").parquet(f"{path}/generation={number}")
+    return number
 
 
 def collections(vectors: DataFrame) -> DataFrame:
