@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.catalogue import query
-from lodestone.functions import chunking, ids, strings
-from lodestone.operators import blocks, catalog, graph, indexing, publish
+from lodestone.functions import chunking, ids, scopes, strings
+from lodestone.operators import blocks, catalog, graph, indexing, mentions, publish
 
 CHUNKS = """chunks as (select doc_id, i idx, i * 1000 "offset", substr(text, i * 1000 + 1, 1000) chunk from (select doc_id, text, unnest(range(0, (length(text) + 999) // 1000)) i from documents where length(text) > 0))"""
 
@@ -336,6 +336,15 @@ def _(t):
     return out
 
 
+@query("chunk_scopes", """select doc_id, sha256(text) digest, strlen(text) size, true fits from documents where length(text) > 0""")
+def _(t):
+    """Whole texts as code, Markdown and prose: what their chunks are together, and whether each keeps to the limit."""
+    kind = F.element_at(F.array(*(F.lit(k) for k in ("py", "rs", "md", "txt"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    parts = scopes.scoped(t.documents.select("doc_id", kind.alias("extension"), "text"), 2000)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "chunk"))), lambda c: c["chunk"]), "")
+    return parts.groupBy("doc_id").agg(F.sha2(whole, 256).alias("digest"), F.sum(F.octet_length("chunk")).alias("size"), (F.max(F.octet_length("chunk")) <= 2000).alias("fits"))
+
+
 @query("dedup_effectiveness")
 def _(t):
     c = _cdc(t, "rabin")
@@ -473,6 +482,38 @@ def _(t):
     return indexing.stored_entities(chunks_, answer, F.lit(1), F.lit("me"))
 
 
+TOKENS = "regexp_extract_all(lower({x}), '[a-z0-9à-öø-ÿ]+')"
+MENTIONS = f"""i as (select item_id, {TOKENS.format(x="text")} w from benchmark),
+    dict as (select term, min(type) type, len(string_split(term, ' ')) n from (select array_to_string(w[1:2], ' ') term, 'concept' type from i where len(w) >= 2 union all select array_to_string(w[3:5], ' '), 'location' from i where len(w) >= 5
+      union all select w[3], 'person' from i where len(w) >= 3 and length(w[3]) >= 4) group by term),
+    d as (select doc_id, {TOKENS.format(x="text")} w from documents), s as (select doc_id, w, unnest(range(len(w))) pos from d),
+    g as (select doc_id, pos, n, array_to_string(w[pos + 1:pos + n], ' ') term from s, range(1, 4) r(n)),
+    f as (select doc_id, pos, k.n, term, type from g join dict k using (term, n) qualify row_number() over (partition by doc_id, pos order by k.n desc) = 1),
+    o as (select *, row_number() over (partition by doc_id order by pos) r from f),
+    k as (select doc_id, r, pos, n, term, type, pos + n finish, true kept from o where r = 1
+      union all select o.doc_id, o.r, o.pos, o.n, o.term, o.type, case when o.pos >= k.finish then o.pos + o.n else k.finish end, o.pos >= k.finish from k join o on o.doc_id = k.doc_id and o.r = k.r + 1),
+    m as (select *, (50 + case when n > 1 then 20 else 0 end + case when count(*) over (partition by doc_id, term) > 1 then 20 else 0 end
+        + case when coalesce(pos - lag(pos + n) over w < 10 and lag(term) over w <> term, false) or coalesce(lead(pos) over w - pos - n < 10 and lead(term) over w <> term, false) then 10 else 0 end) / 100.0::double confidence from k where kept window w as (partition by doc_id order by pos))"""
+
+
+def dictionary(t):
+    """Terms of one to three tokens from the benchmark's items."""
+    w = t.benchmark.select(mentions.tokens(F.col("text")).alias("w"))
+    part = lambda a, n, kind, more=F.lit(True): w.where((F.size("w") >= a + n - 1) & more).select(F.array_join(F.slice("w", a, n), " ").alias("term"), F.lit(kind).alias("type"))
+    return part(1, 2, "concept").union(part(3, 3, "location")).union(part(3, 1, "person", F.length(F.get("w", F.lit(2))) >= 4))
+
+
+@query("entity_mentions", f"""with recursive {MENTIONS} select doc_id, pos::bigint pos, n, term, type, confidence from m""")
+def _(t):
+    rows = mentions.scored(mentions.settled(mentions.found(t.documents, dictionary(t))))
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "n", "term", "type", "confidence")
+
+
+@query("entity_extract", f"""with recursive {MENTIONS} select doc_id, type, term "name", count(*) mentions, min(pos)::bigint first_pos, max(confidence) confidence from m where confidence >= 0.7 group by doc_id, type, term""")
+def _(t):
+    return mentions.extracted(t.documents, dictionary(t))
+
+
 @query("did_web_url", """select page_id, 'https://' || regexp_extract(url, '^https?://([^/?#]+)', 1) || '/.well-known/did.json' url from pages""")
 def _(t):
     did = F.concat(F.lit("did:web:"), F.regexp_extract("url", "^https?://([^/?#]+)", 1))

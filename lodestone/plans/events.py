@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from lodestone.catalogue import query
+from lodestone.functions import jsonschema
 from lodestone.operators import events
 
 
@@ -133,6 +136,39 @@ def _(t):
     return t.events.select("event_id", events.schema_errors(payload, {"message": "string", "k": "long"}).alias("error"))
 
 
+PAYLOAD = """'{"user":' || user_id || ',"kind":"' || event_type || '","amount":' || value || ',"props":' || props || ',"tags":["' || event_type || '",' || case when event_id % 9 = 0 then '7' else '"t"' end || '],"note":' ||
+    case event_id % 5 when 0 then 'null' when 1 then '""' else '"n' || event_id || '"' end || case when event_id % 11 = 0 then ',"extra":1' else '' end || '}'"""
+
+
+def schemas() -> jsonschema.SchemaRegistry:
+    """Two versions of an event's schema: the second is laxer, and leaves more to nested parts."""
+    first = {
+        "title": "event", "version": 1, "type": "object", "required": ["user", "kind", "amount"],
+        "properties": {
+            "kind": {"enum": ["click", "view", "error", "purchase"]}, "amount": {"type": "number", "minimum": 1, "exclusiveMaximum": 60}, "props": {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "maximum": 95}}},
+            "tags": {"type": "array", "items": {"type": "string"}, "minItems": 2, "uniqueItems": True}, "user": {"type": "integer"}, "note": {"anyOf": [{"type": "null"}, {"type": "string", "minLength": 1}]},
+        },
+        "additionalProperties": False,
+    }
+    second = {
+        "title": "event", "version": 2, "$defs": {"even": {"type": "integer", "multipleOf": 2}}, "type": "object", "properties": {"props": {"properties": {"k": {"$ref": "#/$defs/even"}}}, "note": {"type": ["string", "null"], "pattern": "^$|[0-8]$"}},
+        "if": {"properties": {"kind": {"const": "view"}}}, "then": {"properties": {"amount": {"maximum": 20}}}, "else": {"not": {"required": ["extra"]}},
+    }
+    return jsonschema.SchemaRegistry().register(first).register(json.dumps(second))
+
+
+@query("event_schema_compiled", f"""with e as (select *, (props::json->>'k')::bigint k, event_id % 3 + 1 version from events)
+    select event_id, case
+      when version = 1 then case when event_type = 'signup' then '/kind enum' when value < 1 then '/amount minimum' when value >= 60 then '/amount exclusiveMaximum' when k > 95 then '/props/k maximum'
+        when event_id % 9 = 0 then '/tags/1 type' when event_id % 5 = 1 then '/note anyOf' when event_id % 11 = 0 then '/extra additionalProperties' end
+      when version = 2 then case when k % 2 = 1 then '/props/k multipleOf' when event_id % 5 > 1 and event_id % 10 = 9 then '/note pattern' when event_type = 'view' and value > 20 then '/amount maximum' when event_type <> 'view' and event_id % 11 = 0 then ' not' end
+      else 'schema not found' end error from e""")
+def _(t):
+    """Every event as a payload of one of three versions, of which two have a schema."""
+    rows = t.events.select("event_id", (F.col("event_id") % 3 + 1).alias("version"), F.expr(PAYLOAD).alias("payload"))
+    return rows.select("event_id", schemas().error(F.lit("event"), F.col("version"), F.col("payload")).alias("error"))
+
+
 @query("payload_extract", """select event_id, (props::json->>'k')::bigint k from events""")
 def _(t):
     return t.events.select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "long").alias("k"))
