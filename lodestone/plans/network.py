@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lodestone.catalogue import query
@@ -291,3 +293,73 @@ def _(t):
     from lodestone.streaming import queries as q
 
     return streamed(t, lambda s: q.topics(s.withColumn("topic", F.col("event_type")), ["error"])["error"].select("event_id", "user_id"))
+
+
+SESSION_MS, ANSWERS_MS = 7_200_000, 14_400_000
+
+
+@query("stream_challenges", f"""with e as (select user_id "key", event_id id, epoch_us(ts) // 1000 ms, event_type in ('click', 'signup') issue from events),
+    p as (select *, lag(ms) over w prev_ms, lag(id) over w prev_id, coalesce(lag(issue) over w, false) open, lead(ms) over w is null last from e window w as (partition by "key" order by ms, id))
+    select "key", id, ms ts_ms, case when issue then 'issued' when open and ms - prev_ms <= {SESSION_MS} then 'accepted' else 'missing' end outcome from p
+    union all select "key", prev_id, prev_ms + {SESSION_MS}, 'expired' from p where open and ms - prev_ms > {SESSION_MS}
+    union all select "key", id, ms + {SESSION_MS}, 'expired' from p where last and issue and ms + {SESSION_MS} < (select max(ms) from e)""")
+def _(t):
+    """Clicks and sign-ups issue a user's challenge, any other event finishes one; what is left open expires by its timer."""
+    from lodestone.streaming import timers
+
+    kind = F.when(F.col("event_type").isin("click", "signup"), "issue").otherwise("finish")
+    return streamed(t, lambda s: timers.challenges(s.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", kind.alias("kind")), SESSION_MS))
+
+
+@query("stream_gather_stop", f"""with e as (select user_id || '/' || (epoch_us(ts) // 86400000000) "key", event_id id, epoch_us(ts) // 1000 ms, event_type = 'signup' asks, event_id % 7 peer, event_id % 5 n from events),
+    q as (select "key", min({{'ms': ms, 'id': id}}) first from e where asks group by "key"),
+    a as (select e."key", q.first.ms opened, e.ms, e.id, e.n, row_number() over (partition by e."key", peer order by e.ms, e.id) again from e join q using ("key") where not asks and {{'ms': e.ms, 'id': e.id}} > q.first and e.ms - q.first.ms <= {ANSWERS_MS}),
+    k as (select *, row_number() over (partition by "key" order by ms, id) r from a where again = 1),
+    s as (select q."key", q.first.ms opened, count(k.id) peers, coalesce(sum(k.n), 0)::bigint results, max(k.ms) filter (where r = 3) enough from q left join k on k."key" = q."key" and r <= 3 group by all),
+    late as (select distinct e."key" from e join q using ("key") where not asks and e.ms - q.first.ms > {ANSWERS_MS})
+    select "key", peers, results, opened first_ms, coalesce(enough, opened + {ANSWERS_MS}) done_ms, case when enough is null then 'timeout' else 'enough' end reason from s
+    where enough is not null or opened + {ANSWERS_MS} + 1 < (select max(ms) from e) or "key" in (select "key" from late)""")
+def _(t):
+    """A user's first sign-up of a day asks, other events of that day answer: three peers are enough, and four hours."""
+    from lodestone.streaming import timers
+
+    key = F.concat(F.col("user_id").cast("string"), F.lit("/"), F.expr("cast(unix_micros(ts) div 86400000000 as string)"))
+    kind = F.when(F.col("event_type") == "signup", "query").otherwise("answer")
+    return streamed(t, lambda s: timers.gathered(s.select(key.alias("key"), F.col("event_id").alias("id"), "ts", kind.alias("kind"), (F.col("event_id") % 7).alias("peer"), (F.col("event_id") % 5).alias("results")), 3, ANSWERS_MS))
+
+
+@query("stream_lag", """with recursive e as (select user_id % 20 "key", event_id id, event_id % 3 <> 0 message, row_number() over (partition by user_id % 20 order by epoch_us(ts) // 1000, event_id) r from events),
+    s as (select "key", id, r, message, case when message then 1 else 0 end sent, 0 taken, 0 lost, case when message then 'kept' else 'empty' end outcome, 0 lag, null::bigint place from e where r = 1
+      union all select e."key", e.id, e.r, e.message, s.sent + case when e.message then 1 else 0 end,
+        case when e.message then greatest(s.taken, s.sent + 1 - 5) when s.sent > s.taken then s.taken + 1 else s.taken end,
+        case when e.message then s.lost + greatest(0, s.sent + 1 - 5 - s.taken) when s.sent > s.taken then 0 else s.lost end,
+        case when e.message then 'kept' when s.sent = s.taken then 'empty' when s.lost > 0 then 'lagged' else 'read' end, case when e.message or s.sent = s.taken then 0 else s.lost end, case when not e.message and s.sent > s.taken then s.taken + 1 end
+      from s join e on e."key" = s."key" and e.r = s.r + 1),
+    m as (select "key", id, row_number() over (partition by "key" order by r) place from e where message)
+    select s."key", s.id, s.outcome, s.lag, m.id got from s left join m on m."key" = s."key" and m.place = s.place""")
+def _(t):
+    """Twenty subscribers with buffers of five: two messages come for each read."""
+    from lodestone.streaming import timers
+
+    kind = F.when(F.col("event_id") % 3 != 0, "message").otherwise("read")
+    return streamed(t, lambda s: timers.buffered(s.select((F.col("user_id") % 20).alias("key"), F.col("event_id").alias("id"), "ts", kind.alias("kind")), 5))
+
+
+@query("stream_dispatch", """with log as (select *, row_number() over (order by ts, event_id) - 1 "offset" from events)
+    select 'clicks' "handler", event_id, "offset" from log where event_type = 'click' union all select 'large', event_id, "offset" from log where value > 20""")
+def _(t):
+    """The whole log in two segments, dispatched to two handlers from bookmarks of their own, the second segment by another dispatcher."""
+    from lodestone.streaming import dispatch
+
+    spark, base = t.spark, f"{queries.folder(t.spark)}/{uuid.uuid4().hex}"
+    half = t.events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), 0.5)).first()[0] or 0
+    early = F.unix_micros(F.col("ts").cast("timestamp")) < half
+
+    def writes(name):
+        return lambda rows: rows.select("event_id", "offset").write.mode("append").parquet(f"{base}/out/handler={name}")
+
+    for part in (t.events.where(early), t.events.where(~early)):
+        dispatch.append(part.withColumn("ts", F.col("ts").cast("timestamp")), f"{base}/log")
+        both = dispatch.Dispatcher(spark, f"{base}/log", f"{base}/state", batch=1 << 16)
+        both.register("clicks", writes("clicks"), F.col("event_type") == "click").register("large", writes("large"), F.col("value") > 20).poll()
+    return spark.read.schema("event_id long, offset long, handler string").parquet(f"{base}/out").select("handler", "event_id", "offset")
