@@ -8,13 +8,13 @@ import struct
 
 import pandas as pd
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def ignore_rules(lines: list[str]) -> list[tuple[str, bool, bool]]:
-    """(regular expression, only folders?, kept again?) of an ignore file's lines: comments, !, /, *, ?, ** and a last / as Git reads them."""
+    """(regular expression, only folders?, kept again?) of an ignore file's lines: comments, !, /, *, ?, ** and a last / as Git reads them. A folder's name ends with a /; what lies in it has names of its own."""
     out = []
     for line in lines:
         rule = line.rstrip("\n").rstrip()
@@ -29,42 +29,84 @@ def ignore_rules(lines: list[str]) -> list[tuple[str, bool, bool]]:
             if rule.startswith("**/", i):
                 body, i = body + "(?:.*/)?", i + 3
             elif rule.startswith("**", i):
-                body, i = body + ".*", i + 2
+                body, i = body + (".+" if body.endswith("/") and i + 2 == len(rule) else ".*"), i + 2
             else:
-                body += {"*": "[^/]*", "?": "[^/]"}.get(rule[i], re.escape(rule[i]))
+                whole = rule[i] == "*" and rule[i - 1 : i] in ("", "/") and rule[i + 1 : i + 2] in ("", "/")  # a name has a letter at least
+                body += {"*": "[^/]+" if whole else "[^/]*", "?": "[^/]"}.get(rule[i], re.escape(rule[i]))
                 i += 1
-        out.append((f"^{'' if anchored else '(?:.*/)?'}{body}{'/' if folder else '(?:/|$)'}", folder, again))
+        out.append((f"^{'' if anchored else '(?:.*/)?'}{body}{'/' if folder else '/?'}$", folder, again))
     return out
 
 
 def scan(spark: SparkSession, path: str, extensions: list[str] | None = None, hidden: bool = False, ignored: list[str] | None = None, ignore_file: str | None = ".gitignore") -> DataFrame:
     """(path, content, length, modificationTime) of all files below a folder, by extension, without hidden or ignored ones.
 
-    ignored: lines as of an ignore file, after those of the folder's own one; the last that fits a path decides.
+    Every folder's ignore file counts for what is below it. Of all rules that fit a path those of the deepest folder
+    decide, and of one folder's the last; but what lies in an ignored folder can't be kept again. ignored: lines that
+    come after those of the top folder's own file.
     """
+    root = path.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    below = F.substring_index("path", root + "/", -1)
+    wanted = files
     if extensions:
-        files = files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin([e.lower() for e in extensions]))
-    below = F.substring_index("path", path.rstrip("/") + "/", -1)
+        wanted = wanted.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin([e.lower() for e in extensions]))
     if not hidden:
-        files = files.where(~below.rlike(r"(^|/)\."))
-    lines = [*_lines(spark, f"{path.rstrip('/')}/{ignore_file}" if ignore_file else None), *(ignored or [])]
-    rules = ignore_rules(lines)
-    if rules:
-        kept = F.lit(True)
-        for regex, _, again in rules:
-            kept = F.when(below.rlike(regex), F.lit(again)).otherwise(kept)
-        files = files.where(kept)
-    return files
-
-
-def _lines(spark: SparkSession, path: str | None) -> list[str]:
+        wanted = wanted.where(~below.rlike(r"(^|/)\."))
+    names = wanted.select("path", below.alias("_name"))
+    rules = _rules(names, root, ignore_file, ignored)
+    if rules is None:
+        return wanted
+    gone = _ignored(names, rules).withColumn("_gone", F.lit(True))
+    return wanted.join(gone, "path", "left").where("_gone is null").drop("_gone")
+
+
+RULES = "depth int, place int, regex string, again boolean, folder string"
+
+
+def _rules(names: DataFrame, root: str, ignore_file: str | None, ignored: list[str] | None) -> DataFrame | None:
+    """(depth, place, regex, again, folder) of every rule of all ignore files, a row each; None if there can't be any.
+
+    Spark's listings leave out names with a leading dot, so tasks open the ignore file of each folder that holds a file.
+    """
+    own = [(0, 1 << 20 | i, regex, again, "") for i, (regex, _, again) in enumerate(ignore_rules(ignored or []))]
+    out = names.sparkSession.createDataFrame(own, RULES) if own else None
+    if ignore_file:
+
+        @F.pandas_udf("array<struct<place:int,regex:string,again:boolean>>")
+        def rules_of(folders: pd.Series) -> pd.Series:
+            return folders.map(lambda folder: [(i, regex, again) for i, (regex, _, again) in enumerate(ignore_rules(_lines(f"{root}/{folder}{ignore_file}")))])
+
+        steps = F.split("_name", "/")
+        prefixes = F.transform(F.sequence(F.lit(0), F.size(steps) - 1), lambda n: F.when(n == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(steps, 1, n), "/"), F.lit("/"))))
+        found = names.select(F.explode(prefixes).alias("folder")).distinct().select("folder", F.explode(rules_of("folder")).alias("r"))
+        found = found.select((F.size(F.split("folder", "/")) - 1).cast("int").alias("depth"), "r.place", "r.regex", "r.again", "folder")
+        out = found if out is None else found.unionByName(out)
+    return out
+
+
+def _lines(path: str) -> list[str]:
     """The lines of a small file, none if there is no such file."""
-    if path is None:
+    from pyarrow import fs
+
+    store, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+    if store.get_file_info(place).type != fs.FileType.File:
         return []
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [r.value for r in spark.read.text(path).collect()] if fs.exists(place) else []
+    with store.open_input_file(place) as f:
+        return f.read().decode(errors="replace").splitlines()
+
+
+def _ignored(names: DataFrame, rules: DataFrame) -> DataFrame:
+    """(path) of the ignored ones of (path, _name): each name, and each folder it lies in, meets the rules of the folders above by an equal join on their names."""
+    steps = F.split("_name", "/")
+    # Every prefix of a name, a folder's with its last /, is judged; every folder above it may hold rules.
+    judged = names.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.struct(n.alias("n"), F.concat(F.array_join(F.slice(steps, 1, n), "/"), F.when(n < F.size(steps), F.lit("/")).otherwise(F.lit(""))).alias("part")))).alias("j"))
+    judged = judged.select("path", "j.n", "j.part")
+    parts = F.split("part", "/")
+    above = judged.select("path", "n", "part", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda d: F.when(d == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, 1, d), "/"), F.lit("/"))))).alias("folder"))
+    met = above.join(rules, "folder").where(F.rlike(F.expr("substring(part, length(folder) + 1)"), F.col("regex")))
+    last = met.groupBy("path", "n").agg(F.max_by("again", F.struct("depth", "place")).alias("again"))
+    return last.where(~F.col("again")).select("path").distinct()
 
 
 def _fs(spark: SparkSession, path: str):
