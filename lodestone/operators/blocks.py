@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources import files
+
 FLAT, FANOUT = 40_000, 174
 
 
@@ -91,18 +93,24 @@ def manifest(chunks: DataFrame, flat: int = FLAT, fanout: int = FANOUT) -> DataF
 
 
 def build_tree(chunks: DataFrame, fanout: int = FANOUT, flat: int = 0) -> DataFrame:
-    """(doc_id, level, node, cid, links): the inner nodes themselves, of documents of over `flat` chunks. A node's cid is the digest of its ordered children's."""
-    below = chunks.select("doc_id", F.col("idx").cast("long").alias("pos"), "cid")
-    if flat:
-        below = below.join(chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > flat).select("doc_id"), "doc_id", "left_semi")
+    """(doc_id, level, node, cid, links): the inner nodes themselves, of documents of over `flat` chunks. A node's cid is the digest of its ordered children's.
+
+    A level's nodes carry how many there are, so the next one's number is arithmetic; each level is written before the
+    one above reads it.
+    """
+    folder = files.shared(chunks.sparkSession, "tree")
+    wide = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("width")).where((F.col("width") > flat) & (F.col("width") > fanout))
+    below = files.written(chunks.select("doc_id", F.col("idx").cast("long").alias("pos"), "cid").join(wide, "doc_id"), folder, "level-0")
     out = below.where("false").select("doc_id", F.lit(0).alias("level"), F.col("pos").alias("node"), "cid", F.array("cid").alias("links"))
-    for k in range(1, _levels(chunks, fanout) + 1):
-        wide = below.groupBy("doc_id").agg(F.max("pos").alias("last")).where(F.col("last") >= fanout).select("doc_id")
-        part = below.join(wide, "doc_id", "left_semi").groupBy("doc_id", F.expr(f"pos div {fanout}").alias("node"))
+    most, level = below.agg(F.max("width")).first()[0] or 0, 0
+    while most > fanout:
+        most, level = -(-most // fanout), level + 1
+        part = below.where(F.col("width") > fanout).groupBy("doc_id", F.expr(f"pos div {fanout}").alias("node"), F.expr(f"(width + {fanout - 1}) div {fanout}").alias("width"))
         part = part.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "cid"))), lambda s: s["cid"]).alias("links"))
-        part = part.withColumn("cid", F.concat(F.lit("01711220"), F.sha2(F.array_join("links", ",").cast("binary"), 256))).withColumn("level", F.lit(k))
+        part = part.withColumn("cid", F.concat(F.lit("01711220"), F.sha2(F.array_join("links", ",").cast("binary"), 256))).withColumn("level", F.lit(level))
+        part = files.written(part, folder, f"level-{level}")
         out = out.unionByName(part.select(*out.columns))
-        below = part.select("doc_id", F.col("node").alias("pos"), "cid")
+        below = part.select("doc_id", F.col("node").alias("pos"), "cid", "width")
     return out
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import ids
 from lodestone.operators import blocks
+from lodestone.sources import files
 
 
 def publish(held: DataFrame, new: DataFrame) -> DataFrame:
@@ -55,6 +56,7 @@ def publish_dag(chunks: DataFrame, metadata: DataFrame, flat: int = blocks.FLAT,
 
     The root and its children are provided, gossip names the root alone.
     """
+    chunks = files.written(chunks.select("doc_id", "idx", "size", "cid"), files.shared(chunks.sparkSession, "publish"), "chunks")  # cut once
     nodes = blocks.build_tree(chunks, fanout, flat=flat)
     made = manifests(chunks, nodes, metadata, flat, fanout)
     made = made.withColumn("dht", outcome(dht, running, F.lit(True))).withColumn("gossip", outcome(gossip, running, F.length("root_cid") > 0))

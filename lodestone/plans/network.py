@@ -205,18 +205,21 @@ def _(t):
     return messages(t).select("id", (F.abs(F.lit(NOW) - F.col("ts_ms")) > 300000).alias("drifted"))
 
 
-def streamed(t, plan):
-    """The result of a stream over the events, run to its end: batches of a plan without state across them are appended as files under the session's shared folder, others' last state replaces them."""
+def streamed(t, plan, close: bool = False):
+    """The result of a stream over the events, run to its end: batches are appended as files under the session's shared folder. close: a last row ends the windows that are still open."""
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
     source = t.spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{t.folder}/events.parquet*")
-    return queries.run_to_files(plan(source.withColumn("ts", F.col("ts").cast("timestamp"))))
+    source, finish = source.withColumn("ts", F.col("ts").cast("timestamp")), None
+    if close:
+        source, finish = queries.closing(source, "ts")
+    return queries.run_to_files(plan(source), finish)
 
 
 @query("stream_tumbling", """select time_bucket(interval 6 hours, ts) "start", event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2""")
 def _(t):
     from lodestone.streaming import queries as q
 
-    return streamed(t, lambda s: q.tumbling(s, "ts", "6 hours", "event_type")).withColumn("total", F.round("total", 4))
+    return streamed(t, lambda s: q.tumbling(s, "ts", "6 hours", "event_type"), close=True).withColumn("total", F.round("total", 4))
 
 
 @query("stream_dedup", """select event_type, user_id, count(*) n from (select distinct user_id, event_type from events) group by 1, 2""")
@@ -231,7 +234,7 @@ def _(t):
 def _(t):
     from lodestone.streaming import queries as q
 
-    return streamed(t, lambda s: q.sessions(s, "ts", "4 hours", "user_id"))
+    return streamed(t, lambda s: q.sessions(s, "ts", "4 hours", "user_id"), close=True)
 
 
 @query("stream_rate_limit", f"""with recursive {RATED} select user_id, event_id, allowed from s""")

@@ -3,32 +3,23 @@
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.catalogue import query
-from lodestone.functions import vectors
+from lodestone.functions import summaries, vectors
 from lodestone.operators import indexing, retrieval
 from lodestone.operators.ann import VectorIndex
 from lodestone.plans.content import FIT, PACKED
+from lodestone.sources import files, frames
 
 CELLS, PROBES, ROUNDS = 16, 10, 2
 
 
-def folder(spark) -> str:
-    """A new folder below the one that all executors share; in a local session without one, a temporary folder."""
-    name = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not name and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(name or tempfile.mkdtemp(prefix='lodestone-')).rstrip('/')}/index-{uuid.uuid4().hex[:12]}"
-
-
 def indexed(t) -> VectorIndex:
     """Half of the vectors in a first flush, all in a second: what is held stays."""
-    index = VectorIndex.create(t.embeddings, folder(t.spark), cells=CELLS, subspaces=16, rounds=ROUNDS)
+    index = VectorIndex.create(t.embeddings, files.shared(t.spark, "index"), cells=CELLS, subspaces=16, rounds=ROUNDS)
     index.add(t.embeddings.where("vec_id % 2 = 0"))
     index.flush()
     index.add(t.embeddings.where("vec_id % 3 <> 1"))
@@ -106,3 +97,36 @@ def _(t):
     asked = t.benchmark.select(F.col("item_id").alias("q"), F.col("text").alias("question"))
     out = retrieval.answered(asked, chunks, dimensions=64, embedder=functools.partial(vectors.word_counts))
     return out.withColumn("sources", F.array_join(F.transform("sources", lambda x: x.cast("string")), ","))
+
+
+def _ranks_sql(rounds: int) -> str:
+    """Common table expressions r0 to r{rounds} (doc_id, s, x): each sentence's rank after a round."""
+    out = ["r0 as (select doc_id, s, 1.0::double / n x from n)"]
+    for k in range(1, rounds + 1):
+        out.append(f"w{k} as (select a.doc_id, w, sum(share * x * flow) y from a join r{k - 1} r using (doc_id, s) join deg using (doc_id, s) group by all)")
+        out.append(f"r{k} as (select doc_id, s, 0.15 / n.n + 0.85 * (g.y - r.x * flow) x from (select doc_id, s, sum(share * y) y from a join w{k} using (doc_id, w) group by all) g join n using (doc_id, s) join r{k - 1} r using (doc_id, s) join deg using (doc_id, s))")
+    return ",\n    ".join(out)
+
+
+@query("summaries", f"""with parts as (select doc_id, unnest(range(len(p))) s, unnest(p) part from (select doc_id, regexp_split_to_array(text, '[.!?\n]+') p from documents)),
+    held as (select doc_id, s, trim(part, ' ') part, list_distinct(list_filter(regexp_extract_all(lower(part), '[a-z0-9à-öø-ÿ]+'), lambda w: length(w) > 3)) w from parts),
+    n as (select doc_id, s, part, w, count(*) over (partition by doc_id) n from held where len(w) > 0),
+    a as (select doc_id, s, unnest(w) w, 1 / sqrt(len(w)::double) share from n),
+    deg as (select doc_id, s, case when round(sum(share * c) - 1, 12) > 0 then 1 / round(sum(share * c) - 1, 12) else 0 end flow from a join (select doc_id, w, sum(share) c from a group by all) using (doc_id, w) group by doc_id, s),
+    {_ranks_sql(summaries.ROUNDS)},
+    best as (select doc_id, s, part, n from n join r{summaries.ROUNDS} using (doc_id, s) qualify row_number() over (partition by doc_id order by round(x, 9) desc, s) <= 3)
+    select d.doc_id, coalesce(string_agg(part, ' ' order by s), '') summary, coalesce(any_value(n), 0) sentences from documents d left join best using (doc_id) group by d.doc_id""")
+def _(t):
+    return summaries.summarised(t.documents)
+
+
+@query("frames_round_trip", """select event_id, event_type, round(value, 4) amount, (props::json->>'k')::bigint k from events""")
+def _(t):
+    """All events written as frames of CBOR, and read in parts as Variants."""
+    spark, out = t.spark, files.shared(t.spark, "frames")
+    spark.dataSource.register(frames.Frames)
+    message = F.to_json(F.struct("event_id", "event_type", "value", F.try_variant_get(F.try_parse_json("props"), "$.k", "long").alias("k")))
+    t.events.select(message.alias("message")).write.format(frames.Frames.name()).mode("append").save(out)
+    held = spark.read.format(frames.Frames.name()).option("part", str(1 << 18)).load(out).select(F.parse_json("message").alias("m"))
+    of = lambda key, kind: F.variant_get("m", f"$.{key}", kind)
+    return held.select(of("event_id", "long").alias("event_id"), of("event_type", "string").alias("event_type"), F.round(of("value", "double"), 4).alias("amount"), of("k", "long").alias("k"))

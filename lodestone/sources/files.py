@@ -5,6 +5,8 @@ from __future__ import annotations
 import contextlib
 import re
 import struct
+import tempfile
+import uuid
 
 import pandas as pd
 from py4j.protocol import Py4JJavaError
@@ -114,6 +116,26 @@ def _fs(spark: SparkSession, path: str):
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
+def shared(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that all executors share (spark.checkpoint.dir), which goes when the application ends; a local session without one has a temporary folder."""
+    held = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not held:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        held = tempfile.mkdtemp(prefix="lodestone-")
+    path = f"{held.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    fs, place = _fs(spark, path)
+    fs.mkdirs(place)
+    fs.deleteOnExit(place)
+    return path
+
+
+def written(rows: DataFrame, folder: str, name: str) -> DataFrame:
+    """A table written to a folder and read again, so that what follows doesn't compute it anew."""
+    rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, place = _fs(spark, path)
     return fs.exists(place)

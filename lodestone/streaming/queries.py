@@ -55,26 +55,36 @@ def folder(spark: SparkSession) -> str:
     return f"{name.rstrip('/')}/streams"
 
 
-def run_to_files(stream: DataFrame) -> DataFrame:
-    """A stream run to its end, as a table of Parquet files. Batches are appended; a batch that is run again replaces its own files."""
+def run_to_files(stream: DataFrame, finish: Callable[[], None] | None = None) -> DataFrame:
+    """A stream run to its end, as a table of Parquet files. Batches are appended; a batch that is run again replaces its own files.
+
+    finish: called once all has come, before the stream goes on with what that adds: such as a row so late that its
+    watermark closes the windows that are still open.
+    """
     spark = stream.sparkSession
     base = f"{folder(spark)}/{uuid.uuid4().hex}"
 
     def batch(rows: DataFrame, number: int) -> None:
         rows.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
 
-    # Windows that are still open at the end are sent by a last watermark: complete mode where the plan allows for it.
-    mode = "complete" if _aggregates(stream) else "append"
-    run = stream.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    run.awaitTermination()
-    out = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{base}/rows")
-    if mode == "complete":
-        out = out.where(F.col("batch") == out.agg(F.max("batch")).first()[0])
-    return out.drop("batch")
+    def run() -> None:
+        stream.writeStream.foreachBatch(batch).outputMode("append").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    if finish:
+        finish()
+        run()
+    return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{base}/rows").drop("batch")
 
 
-def _aggregates(stream: DataFrame) -> bool:
-    return "Aggregate [" in stream._jdf.queryExecution().analyzed().toString()
+def closing(stream: DataFrame, ts: str) -> tuple[DataFrame, Callable[[], None]]:
+    """The stream with a place for one more row, and what puts it there: a row of nulls in the year 9999, which ends all windows."""
+    spark = stream.sparkSession
+    path = f"{folder(spark)}/{uuid.uuid4().hex}/last"
+    last = spark.range(1).select(*(F.lit("9999-01-01").cast(f.dataType).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema.fields))
+    last.where("false").write.parquet(path)
+    more = spark.readStream.schema(stream.schema).parquet(path)
+    return stream.unionByName(more), lambda: last.write.mode("append").parquet(path)
 
 
 def subscribe(stream: DataFrame, wanted: Column, handle: Callable[[DataFrame], None], done: str, checkpoint: str, keep: int = 10_000):
