@@ -230,3 +230,9 @@ def packed(docs: DataFrame, least: int, most: int, separator: str = "\n\n", exte
             yield pa.RecordBatch.from_arrays([pa.array(docs_, batch.schema.field(0).type), pa.array(idx, pa.int64()), pa.array(out, pa.string())], ["doc_id", "idx", "chunk"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, idx long, chunk string")
+
+
+def effectiveness(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(first_chunks, second_chunks, common_chunks): the distinct chunks (cid) of two chunkings, and those that both have."""
+    both = first.select("cid", F.lit(1).alias("side")).unionByName(second.select("cid", F.lit(2).alias("side"))).groupBy("cid").agg(F.bit_or("side").alias("sides"))
+    return both.agg(F.count_if(F.col("sides") != 2).alias("first_chunks"), F.count_if(F.col("sides") != 1).alias("second_chunks"), F.count_if(F.col("sides") == 3).alias("common_chunks"))

@@ -85,6 +85,32 @@ def should_dial(peers: DataFrame, me: Column, connected: DataFrame, registered:
     return out.select("peer", reason.isNull().alias("dial"), reason.alias("reason"))
 
 
+def provider_outcomes(changes: DataFrame) -> DataFrame:
+    """(at, cid, action, outcome, session) of a registry's changes (at, cid, action): add, remove, announce.
+
+    An add of what isn't provided begins a session: added, else present; a remove ends it: removed, else absent; an
+    announcement counts in one: announced, else unknown.
+    """
+    before = Window.partitionBy("cid").orderBy("at", "action").rowsBetween(Window.unboundedPreceding, -1)
+    held = F.coalesce(F.last(F.when(F.col("action") != "announce", F.col("action")), True).over(before) == "add", F.lit(False))
+    outcome = F.when(F.col("action") == "add", F.when(held, "present").otherwise("added")).when(F.col("action") == "remove", F.when(held, "removed").otherwise("absent")).otherwise(F.when(held, "announced").otherwise("unknown"))
+    out = changes.withColumn("outcome", outcome)
+    session = F.sum((F.col("outcome") == "added").cast("long")).over(Window.partitionBy("cid").orderBy("at", "action").rowsBetween(Window.unboundedPreceding, 0))
+    return out.select("at", "cid", "action", "outcome", session.alias("session"))
+
+
+def provided(changes: DataFrame) -> DataFrame:
+    """(cid, first_provided, last_announced, announcement_count) of what a registry holds after all changes: what get_all, contains, count and get_metadata read."""
+    rows = provider_outcomes(changes).where(F.col("outcome").isin("added", "removed", "announced"))
+    last = rows.groupBy("cid", "session").agg(F.min(F.when(F.col("outcome") == "added", F.col("at"))).alias("first_provided"), F.max(F.when(F.col("outcome") == "announced", F.col("at"))).alias("last_announced"), F.count_if(F.col("outcome") == "announced").alias("announcement_count"), F.count_if(F.col("outcome") == "removed").alias("_gone"))
+    return last.where(F.col("_gone") == 0).drop("session", "_gone")
+
+
+def contains(held: DataFrame, wanted: DataFrame, key: str = "cid") -> DataFrame:
+    """(key, held) of each wanted key."""
+    return wanted.select(key).join(held.select(key, F.lit(True).alias("held")), key, "left").select(key, F.coalesce("held", F.lit(False)).alias("held"))
+
+
 def reprovide(provided: DataFrame, now_s: Column, every_s: int = 12 * 3600) -> DataFrame:
     """The provided identifiers whose last announcement is due again."""
     return provided.where(F.col("last_announced").isNull() | (now_s - F.col("last_announced") >= every_s))

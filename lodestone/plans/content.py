@@ -351,6 +351,47 @@ def _(t):
     return c.groupBy("cid").agg(F.count_distinct("doc_id").alias("n")).agg(F.count(F.lit(1)).alias("distinct_chunks"), F.count_if(F.col("n") > 1).alias("shared_chunks"))
 
 
+@query("dedup_two_chunkings", """with s as (select doc_id, unnest(range(0, length(text), 1000)) o, text from documents where length(text) > 0), a as (select distinct sha256(substr(text, o + 1, 1000)) c from s),
+    b as (select distinct sha256(substr(t, o + 1, 1000)) c from (select 'x' || text t, unnest(range(0, length(text) + 1, 1000)) o from documents where length(text) > 0))
+    select (select count(*) from a) first_chunks, (select count(*) from b) second_chunks, (select count(*) from (select c from a intersect select c from b)) common_chunks""")
+def _(t):
+    """Fixed chunks of texts, and of the same texts after one letter came before them: what one insertion leaves of such a chunking."""
+    d = t.documents.select("doc_id", "text")
+    one, two = chunking.fixed(d, 1000), chunking.fixed(d.where(F.length("text") > 0).withColumn("text", F.concat(F.lit("x"), "text")), 1000)
+    return chunking.effectiveness(one.select(F.sha2("chunk", 256).alias("cid")), two.select(F.sha2("chunk", 256).alias("cid")))
+
+
+@query("dedup_after_insertion")
+def _(t):
+    """The same by content: chunks that gear hashing cuts fall into step again."""
+    d = t.documents.select("doc_id", F.col("text").cast("binary").alias("data"))
+    moved = d.withColumn("data", F.concat(F.lit("x").cast("binary"), "data"))
+    return chunking.effectiveness(*(chunking.content_defined(x, "fastcdc", chunking.SMALL).select("cid") for x in (d, moved)))
+
+
+WHOLE = "select doc_id, sha256(text) digest, strlen(text) size, true fits from documents where length(text) > 0"
+
+
+def whole_chunks(t, kind):
+    """What a document's chunks are together, and whether all keep to the sizes: none over the largest, only the last below the least."""
+    data = t.documents.select("doc_id", F.col("text").cast("binary").alias("data"))
+    parts = chunking.content_defined(data, kind, chunking.SMALL)
+    rows = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "size", F.hex("data").alias("hex")))).alias("c"))
+    fits = F.forall("c", lambda c: c["size"] <= chunking.SMALL.most) & F.forall(F.slice("c", F.lit(1), F.size("c") - 1), lambda c: c["size"] >= chunking.SMALL.least)
+    digest = F.sha2(F.unhex(F.array_join(F.transform("c", lambda c: c["hex"]), "")), 256)
+    return rows.select("doc_id", digest.alias("digest"), F.aggregate("c", F.lit(0).cast("long"), lambda a, c: a + c["size"]).alias("size"), fits.alias("fits"))
+
+
+@query("chunk_rabin_whole", WHOLE)
+def _(t):
+    return whole_chunks(t, "rabin")
+
+
+@query("chunk_fastcdc_whole", WHOLE)
+def _(t):
+    return whole_chunks(t, "fastcdc")
+
+
 @query("manifest_flat", f"""with {CHUNKS} select doc_id, count(*) chunk_count, sum(length(chunk))::bigint total_size, 'flat' structure, 0 depth, count(*) root_children from chunks group by doc_id""")
 def _(t):
     return blocks.manifest(chunks(t))

@@ -209,3 +209,45 @@ def _(t):
 @query("edges_rows_affected", """select count(*) rows_affected from orders where o_custkey = 7 or o_orderkey = 7""")
 def _(t):
     return graph.delete(t.orders, (F.col("o_custkey") == 7) | (F.col("o_orderkey") == 7))[1]
+
+
+def registry(t):
+    """Order lines as changes of a registry of parts: returned ones are added, open ones announced, the others removed."""
+    action = F.when(F.col("l_returnflag") == "R", "add").when(F.col("l_returnflag") == "N", "announce").otherwise("remove")
+    return t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"), F.col("l_partkey").alias("cid"), action.alias("action"))
+
+
+REGISTRY = """c as (select l_orderkey * 10 + l_linenumber "at", l_partkey cid, case l_returnflag when 'R' then 'add' when 'N' then 'announce' else 'remove' end action from lineitem),
+    h as (select *, coalesce(last_value(case when action <> 'announce' then action end ignore nulls) over (partition by cid order by "at", action rows between unbounded preceding and 1 preceding) = 'add', false) held from c),
+    o as (select "at", cid, action, case action when 'add' then if(held, 'present', 'added') when 'remove' then if(held, 'removed', 'absent') else if(held, 'announced', 'unknown') end outcome from h)"""
+
+
+@query("provider_changes", f"""with {REGISTRY} select "at", cid, action, outcome from o""")
+def _(t):
+    return stores.provider_outcomes(registry(t)).drop("session")
+
+
+@query("provider_registry", f"""with {REGISTRY}, l as (select cid, max("at") filter (where outcome = 'added') a, max("at") filter (where outcome = 'removed') r from o group by cid)
+    select cid, a first_provided, (select max("at") from o where o.cid = l.cid and outcome = 'announced' and "at" > a) last_announced, (select count(*) from o where o.cid = l.cid and outcome = 'announced' and "at" > a) announcement_count from l where a is not null and (r is null or r < a)""")
+def _(t):
+    return stores.provided(registry(t))
+
+
+@query("provider_contains", f"""with {REGISTRY}, l as (select cid, max("at") filter (where outcome = 'added') a, max("at") filter (where outcome = 'removed') r from o group by cid)
+    select p_partkey cid, coalesce(a is not null and (r is null or r < a), false) held from part left join l on cid = p_partkey""")
+def _(t):
+    return stores.contains(stores.provided(registry(t)), t.part.select(F.col("p_partkey").alias("cid")))
+
+
+@query("vector_upsert", """select 'space-' || label || '-idx' collection, vec_id::varchar cid, 0 chunk_index, case when vec_id % 3 = 0 then 'second' else 'first' end batch, round(embedding[1], 6) lead from embeddings
+    union all select 'space-' || label || '-idx', vec_id::varchar, 1, 'second', round(embedding[2], 6) from embeddings where vec_id % 3 = 0""")
+def _(t):
+    """All vectors as a generation, a third of them, each with one chunk more, as another."""
+    from lodestone.sources import files
+
+    path = files.shared(t.spark, "vectors")
+    part = lambda rows, i, batch: rows.select(F.concat(F.lit("space-"), F.col("label").cast("string"), F.lit("-idx")).alias("collection"), F.col("vec_id").cast("string").alias("cid"), F.lit(i).alias("chunk_index"), F.lit(batch).alias("batch"), F.get("embedding", F.lit(i)).alias("lead"))
+    third = t.embeddings.where("vec_id % 3 = 0")
+    files.upsert_vectors(part(t.embeddings, 0, "first"), path)
+    files.upsert_vectors(part(third, 0, "second").unionByName(part(third, 1, "second")), path)
+    return files.vectors(t.spark, path).select("collection", "cid", "chunk_index", "batch", F.round("lead", 6).alias("lead"))
