@@ -5,7 +5,8 @@ their names. Equal texts are one point: they take the least source and language
 dimension in which it is widest against the whole table, at the weighted quantile that gives each side its share of
 leaves, until leaves hold the target bytes: a given number of bytes, or the table's share of a given number of shards. All
 nodes of a level are split together: sums of bytes by bin narrow each cut down, a bin at a time, so a level costs a few
-aggregations whose results hold nodes x BINS rows at most, whatever the table holds. Rows with one value in the cut's
+aggregations whose results hold RESULT rows at most, whatever the table holds. A level's cuts are a table, which rows meet
+by their node, so a tree of very many leaves is a join a level; every LEVELS of them the rows' nodes are written. Rows with one value in the cut's
 dimension are ordered by their texts' CRC, so equal texts stay together; a cut goes between two of them only where the
 group outweighs KEEP of a shard, and then by hash of doc_id.
 
@@ -17,14 +18,16 @@ rows; a table with fewer rows than shards leaves shards empty.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
 BINS, KEEP, EXACT, SLOTS = 512, 0.004, 0.0005, 128
+RESULT, LEVELS, SMALL = 1 << 19, 4, 1 << 18  # rows that the driver gets at once; levels between two tables; rows of a table that is broadcast
 DIMS = ("size", "chars", "source", "lang")
 
 
@@ -56,14 +59,19 @@ def named(docs: DataFrame, column: str) -> Column:
     return F.shiftright(F.crc32(F.encode(name, "UTF-8")), 1).cast("long")
 
 
-def tree(node: Node, leaf) -> Column:
-    """The expression that takes a row down the tree."""
-    if not node.sides:
-        return leaf(node)
-    cut, tie = node.cut
-    k = F.col(f"key_{node.dim}")
-    left, right = (tree(s, leaf) for s in node.sides)
-    return F.when((k < cut) | ((k == cut) & (F.col("tie") < tie)), left).otherwise(right)
+def table_of(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table of the driver's, made in the JVM; broadcast up to SMALL rows."""
+    made = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+    return F.broadcast(made) if len(rows) <= SMALL else made
+
+
+def descended(points: DataFrame, level: list[Node]) -> DataFrame:
+    """Rows one level further down: a row's node is the least leaf below it."""
+    cuts = [{"node": n.low, "dim": n.dim, "cut": n.cut[0], "cut_tie": n.cut[1], "middle": n.low + n.leaves // 2} for n in level]
+    met = points.join(table_of(points.sparkSession, cuts, "node int, dim string, cut long, cut_tie long, middle int"), "node", "left")
+    own = F.coalesce(*(F.when(F.col("dim") == d, F.col(f"key_{d}")) for d in DIMS))
+    right = (own > F.col("cut")) | ((own == F.col("cut")) & (F.col("tie") >= F.col("cut_tie")))
+    return met.withColumn("node", F.when(right, F.col("middle")).otherwise(F.col("node"))).select(*points.columns)
 
 
 @dataclass
@@ -79,13 +87,9 @@ class Search:
     high: int = 0
     at: int | None = None  # the key whose rows are cut by hash
 
-    def step(self) -> int:
-        return max(1, -(-(self.high - self.low) // BINS))
-
-    def row(self) -> str:
-        """This search as a row (node, dim, at, low, high, step) of a small table."""
-        at = "null" if self.at is None else f"{self.at}L"
-        return f"({self.node.low}, '{self.node.dim}', {at}, {self.low}L, {self.high}L, {self.step()}L)"
+    def row(self, bins: int) -> dict:
+        """This search as a row of a small table."""
+        return {"node": self.node.low, "dim": self.node.dim, "at": self.at, "low": self.low, "high": self.high, "step": max(1, -(-(self.high - self.low) // bins))}
 
     def done(self, value: int) -> None:
         self.node.cut = (value, 0) if self.at is None else (self.at, value)
@@ -110,22 +114,22 @@ class Search:
         return self.done(self.high)
 
 
-def grow(points: DataFrame, shards: int) -> Node:
-    """The tree over rows of DIMS, their keys and tie."""
+def grow(points: DataFrame, shards: int, scratch: Scratch) -> tuple[Node, DataFrame]:
+    """The tree over rows of DIMS, their keys and tie, and the rows with the leaf of each as `node`."""
     root, spark = Node(0, shards), points.sparkSession
+    box = points.withColumn("node", F.lit(0))
     whole = points.agg(F.sum("size").alias("bytes"), *(f(d).alias(f"{n}_{d}") for d in DIMS for n, f in (("low", F.min), ("high", F.max)))).first()
     if not whole.bytes:
-        return root
+        return root, box
     spread = {d: max(1, whole[f"high_{d}"] - whole[f"low_{d}"]) for d in DIMS}
-    leaf = whole.bytes / shards
-    level = [root]
+    leaf, depth, level = whole.bytes / shards, 0, [root]
     while level := [n for n in level if n.leaves > 1]:
         spots = {n.low: n for n in level}
-        box = points.withColumn("node", tree(root, lambda n: F.lit(n.low if n.leaves > 1 else -1))).where("node >= 0")
         found = box.groupBy("node").agg(F.sum("size").alias("bytes"), *(f(d).alias(f"{n}_{d}") for d in DIMS for n, f in (("low", F.min), ("high", F.max))), *(f(f"key_{d}").alias(f"{n}_key_{d}") for d in DIMS for n, f in (("low", F.min), ("high", F.max)))).collect()
         searches = {}
         for r in found:
-            node = spots[r.node]
+            if (node := spots.get(r.node)) is None:
+                continue  # a leaf
             node.dim = max(DIMS, key=lambda d: (r[f"high_{d}"] - r[f"low_{d}"]) / spread[d])
             share = (node.leaves // 2) / node.leaves
             searches[node.low] = Search(node, r.bytes * share, leaf * EXACT, leaf * KEEP, 0.0, r[f"low_key_{node.dim}"], r[f"high_key_{node.dim}"] + 1)
@@ -133,20 +137,24 @@ def grow(points: DataFrame, shards: int) -> Node:
             if n.low not in searches:  # no rows
                 n.dim, n.cut = DIMS[0], (0, 0)
         while going := [s for s in searches.values() if s.node.cut is None]:
-            rows = ", ".join(s.row() for s in going)
-            states = spark.sql(f"select * from values {rows} as t(node, dim, at, low, high, step)").select("node", "dim", F.col("at").cast("long"), *(F.col(c).cast("long") for c in ("low", "high", "step")))
+            bins = max(2, min(BINS, RESULT // len(going)))
+            states = table_of(spark, [s.row(bins) for s in going], "node int, dim string, at long, low long, high long, step long")
             own = F.coalesce(*(F.when(F.col("dim") == d, F.col(f"key_{d}")) for d in DIMS))
-            met = box.join(F.broadcast(states), "node").withColumn("own", own)  # a row a node
+            met = box.join(states, "node").withColumn("own", own)
             met = met.where(F.col("at").isNull() | (F.col("own") == F.col("at"))).withColumn("value", F.when(F.col("at").isNull(), F.col("own")).otherwise(F.col("tie")))
             met = met.where("value >= low and value < high").withColumn("bin", F.expr("(value - low) div step"))
-            counted = met.groupBy("node", "bin").agg(F.sum("size").alias("bytes"), F.min("value").alias("least"), F.max("value").alias("most")).collect()
+            counted: dict[int, list[tuple[int, int, int, int]]] = {}
+            for r in met.groupBy("node", "bin").agg(F.sum("size").alias("bytes"), F.min("value").alias("least"), F.max("value").alias("most")).collect():
+                counted.setdefault(r.node, []).append((r.bin, r.bytes, r.least, r.most))
             for s in going:
-                s.narrow(sorted((r.bin, r.bytes, r.least, r.most) for r in counted if r.node == s.node.low))
+                s.narrow(sorted(counted.get(s.node.low, [])))
+        box, depth = descended(box, level), depth + 1
+        box = scratch.table(box, f"level-{depth}") if depth % LEVELS == 0 else box
         for n in level:
             middle = n.low + n.leaves // 2
             n.sides = [Node(n.low, middle), Node(middle, n.high)]
         level = [s for n in level for s in n.sides]
-    return root
+    return root, box
 
 
 def points_of(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -171,15 +179,15 @@ def shard(docs: DataFrame, shards: int = 24, target_bytes: int | None = None) ->
     points = scratch.table(points, "points")
     if target_bytes:
         shards = max(1, -(-(points.agg(F.sum("size")).first()[0] or 0) // target_bytes))
-    placed = points.withColumn("shard", tree(grow(points, shards), lambda n: F.lit(n.low)).cast("int")).withColumn("lot", F.pmod("tie", F.lit(SLOTS)))
+    placed = grow(points, shards, scratch)[1].withColumnRenamed("node", "shard").withColumn("lot", F.pmod("tie", F.lit(SLOTS)))
     # Slots: each shard's rows are dealt into lots by hash, numbered within a lot, and shifted by the lots before.
     lots = placed.groupBy("shard", "lot").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("shard").orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)
     starts = lots.select("shard", "lot", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
     within = F.row_number().over(Window.partitionBy("shard", "lot").orderBy("doc_id", "crc"))
     numbered = placed.withColumn("place", within)
-    # At most shards x SLOTS rows.
-    return numbered.join(F.broadcast(starts), ["shard", "lot"]).select(
+    starts = F.broadcast(starts) if shards * SLOTS <= SMALL else starts  # so many rows at most
+    return numbered.join(starts, ["shard", "lot"]).select(
         "doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
         (F.col("start") + F.col("place") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )

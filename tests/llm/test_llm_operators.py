@@ -481,7 +481,7 @@ def test_sharding_by_metadata(spark):
     assert len({r.shard for r in got.values()}) in (12, 13) and sum(len(v) == 1 for v in of.values()) >= len(of) - 12
     scratch = sharding.Scratch(spark, "tree")
     points = sharding.points_of(df, scratch)
-    root = sharding.grow(points.select("*", *(sharding.key(d).alias(f"key_{d}") for d in sharding.DIMS)), 12)
+    root, _ = sharding.grow(points.select("*", *(sharding.key(d).alias(f"key_{d}") for d in sharding.DIMS)), 12, scratch)
     dims, level = Counter(), [root]
     while level:
         dims.update(n.dim for n in level if n.sides)
@@ -489,6 +489,17 @@ def test_sharding_by_metadata(spark):
     assert sum(dims.values()) == 11 and set(dims) <= {"size", "chars", "source", "lang"} and len(dims) > 1
 
 
+def test_sharding_into_many(spark, no_docs):
+    """Thousands of leaves: a join a level; every row has a leaf, and a few bytes' difference is all between them."""
+    texts = [f"{i:05d}" + "x" * (i % 7) for i in range(6000)]
+    docs = spark.createDataFrame([(i, t, None, f"s{i % 3}", None) for i, t in enumerate(texts)], no_docs.schema)
+    sizes, slots = Counter(), {}
+    for r in sharding.shard(docs, 3000).collect():
+        sizes[r.shard] += r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(sizes) > 2900 and max(sizes) == 2999 and max(sizes.values()) <= 4 * 19 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
 # 10: n-gram Jaccard join
 
 
