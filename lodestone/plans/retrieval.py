@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.catalogue import query
 from lodestone.functions import summaries, vectors
-from lodestone.operators import indexing, retrieval
+from lodestone.operators import federation, indexing, retrieval
 from lodestone.operators.ann import VectorIndex
 from lodestone.plans.content import FIT, PACKED
 from lodestone.sources import files, frames
@@ -130,3 +130,29 @@ def _(t):
     held = spark.read.format(frames.Frames.name()).option("part", str(1 << 18)).load(out).select(F.parse_json("message").alias("m"))
     of = lambda key, kind: F.variant_get("m", f"$.{key}", kind)
     return held.select(of("event_id", "long").alias("event_id"), of("event_type", "string").alias("event_type"), F.round(of("value", "double"), 4).alias("amount"), of("k", "long").alias("k"))
+
+
+@query("search_cached", """with alls as (select q.vec_id query_id, e.vec_id, 1 - list_cosine_similarity(e.embedding::double[], q.embedding::double[]) distance from embeddings e join embeddings q on q.vec_id % 50 = 0 and q.vec_id <> e.vec_id)
+    select query_id, vec_id, round(1 - distance, 6) score, query_id % 100 = 0 hit from alls qualify row_number() over (partition by query_id order by distance, vec_id) <= 10""")
+def _(t):
+    """Queries whose id is divisible by 100 are answered first; then every one divisible by 50, half of them from the cache."""
+    cache = federation.SearchCache(t.spark, files.shared(t.spark, "answers"))
+    table = federation.Table(t.embeddings, "local:a")
+    asked = many(t).withColumn("query", F.col("query_id").cast("string")).withColumn("scope", F.lit("local"))
+    cache.through(table, asked.where("query_id % 100 = 0"), 10, 1_000)
+    rows, hits = cache.through(table, asked, 10, 2_000)
+    return rows.join(hits, "query_id").select("query_id", "vec_id", F.round("score", 6).alias("score"), "hit")
+
+
+class Broken(federation.Table):
+    def search(self, query, limit):
+        return super().search(query, limit).withColumn("score", F.raise_error(F.lit("out of order")).cast("double"))
+
+
+@query("search_partial", """select * from (values ('local:a', 'ok', 10), ('network:p1', 'failed', 0), ('network:p2', 'unhealthy', 0), ('network:p3', 'ok', 10)) v(adapter, status, "rows")""")
+def _(t):
+    """A search over four sources of the vectors, of which one fails at work and one says so before."""
+    part = lambda k: t.embeddings.where(F.col("label") % 3 == k)
+    adapters = [federation.Table(part(0), "local:a"), Broken(part(1), "network:p1", "network"), federation.Table(part(1).drop("embedding"), "network:p2", "network"), federation.Table(part(2), "network:p3", "network")]
+    _, status = federation.searched(adapters, many(t).where("query_id = 0"), 10)
+    return status.select("adapter", "status", "rows")

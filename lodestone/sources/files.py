@@ -180,6 +180,11 @@ def rename(spark: SparkSession, old: str, new: str) -> None:
         raise RuntimeError(f"can't rename {old} to {new}")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    fs, place = _fs(spark, path)
+    fs.delete(place, True)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     fs, place = _fs(spark, path)
     out = fs.create(place, True)
