@@ -437,24 +437,20 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_bytes: i
     members = scratch.table(sized.join(classes, "sha").select("doc_id", "tag", "rep", "n_bytes", "sha"), "members")
 
     shared = scratch.table(shared_entries(packed_entries(docs, parts, fine, length, gram), parts), "shared")
-    scratch.free(wait=2.5)  # the packed entries are the largest shuffle
     own = members.select("doc_id", "tag", "rep").distinct()
     by_rep = shared.join(own, ["doc_id", "tag"]).groupBy("rep", "tag").agg(F.collect_list("shard").alias("shards"), F.collect_list("held").alias("held"))
     texts = docs.select(F.col("doc_id").alias("rep"), F.col("tag").bitwiseAND(TAG).alias("tag"), "text")
     by_rep = scratch.table(by_rep, "by-rep")
     found = passages(likely(texts, by_rep.select("rep"), "rep").join(by_rep, ["rep", "tag"]).select("rep", "tag", "text", "shards", "held"), length)
     scratch.drop("shared")
-    scratch.free(wait=1.5)
     scratch.table(found, "passages", compression="zstd")  # the largest table
     del shared, by_rep, own, found
     scratch.drop("by-rep")
-    scratch.free(wait=2.5)
 
     found = windows(scratch.read("passages"), scratch, length, hot_bytes, parts)
     distinct = named(found.groupBy("shard", "anchor", "content").agg(F.min("rep").alias("least"), F.max("rep").alias("most")))
     first = scratch.table(holders(distinct, parts, length, memory), "holders")
     del distinct
-    scratch.free(wait=1.5)
     hit = named(found).select("c1", "c2", "rep", "tag", "at").join(first, ["c1", "c2"]).where("holder < rep")
     ranges = hit.select("rep", "tag", F.struct((F.col("at") + F.col("first")).alias("a"), (F.col("at") + F.col("until") + F.lit(length - 1)).alias("b")).alias("r"))
     ranges = scratch.table(ranges.groupBy("rep", "tag").agg(F.collect_set("r").alias("ranges")), "ranges")
