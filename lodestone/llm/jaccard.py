@@ -19,8 +19,10 @@ together in a group, and a group is one row a member however many signatures its
    so a group sends one pair a member at most. Where all of them prove to be links, the group has no other link between
    its components.
 3. Groups of which a pair proved to be none are searched once more, with whole sets: what is sent now is a link.
-So rows follow the groups' sizes, not their squares, and no link between components is lost. Groups of over TILE members,
-or of large sets, are dealt out by pairs of tiles, each a task's bounded share.
+So the pairs that are sent follow the groups' sizes, not their squares, and no link between components is lost. Groups of
+over TILE members, or of large sets, that still hold several components are dealt out by pairs of tiles, each a task's
+bounded share: there a member goes to as many lots as its group has tiles, so rows grow with the square of such a group,
+over TILE.
 
 Elements are 64-bit hashes of shingles. Defined cases: null and empty texts, and texts without words, have no shingles
 and link with nothing; fewer words than k make one shingle; each row is judged by its own text, rows that repeat a doc_id

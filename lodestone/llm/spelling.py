@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, doc_blocks, raw_text, released
 
-SHARD_NODES, LOT, HELD_WORDS = 1 << 18, 16, 1 << 18
+SHARD_NODES, LOT, HELD_WORDS, TASK_WORDS = 1 << 18, 16, 1 << 18, 1 << 14
 RUN = re.compile("[a-zÀ-ÿ]+")  # A-Z are lower case by then
 
 
@@ -208,10 +208,10 @@ def variants(docs: DataFrame, shortest: int = 5, least: int = 3, every: int = 97
     spark = docs.sparkSession
     scratch = Scratch(spark, "spelling")
     words = scratch.table(counted(docs, shortest, every).where(F.col("n") >= least), "words")
-    size = words.agg(F.sum(F.length("word"))).first()[0] or 0
+    size, number = words.agg(F.coalesce(F.sum(F.length("word")), F.lit(0)), F.count(F.lit(1))).first()
     shards = scratch.table(tries(words, max(1, int(size // (4 * nodes)) + 1), nodes), "tries")
     firsts = [r.first for r in shards.select(F.col("first")).orderBy("first").toLocalIterator()]
-    dealt = scratch.table(words.select("word").repartition(max(8, int(size // (1 << 19)))), "dealt")
+    dealt = scratch.table(words.select("word").repartition(max(8, number // TASK_WORDS)), "dealt")
     near = None
     for k in range(0, len(firsts), lot):
         until = firsts[k + lot : k + lot + 1]
