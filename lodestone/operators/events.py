@@ -12,11 +12,23 @@ from lodestone.operators.folds import folded
 GENESIS = "0" * 64
 
 
-def cuts(rows: DataFrame, ts: str, parts: int) -> list[int]:
-    """At most `parts` - 1 times, in microseconds, that deal rows into about equal spans."""
+def spans(rows: DataFrame, ts: str, tie: str, parts: int) -> tuple[list[int], int | None, int | None]:
+    """(at most `parts` - 1 times, in microseconds, that deal rows into about equal spans; the least and greatest tie, if ties are numbers)."""
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    found = rows.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)], 20 * parts)).first()[0]
-    return sorted(set(found or []))
+    found = F.percentile_approx(at, [i / parts for i in range(1, parts)], 20 * parts)
+    if dict(rows.dtypes)[tie] in ("bigint", "int"):
+        times, low, high = rows.agg(found, F.min(tie), F.max(tie)).first()
+    else:
+        (times,), low, high = rows.agg(found).first(), None, None
+    return sorted(set(times or [])), low, high
+
+
+def below(value: Column, edges: list[int], first: int = 0) -> Column:
+    """How many of some sorted numbers are below a value, by halves."""
+    if not edges:
+        return F.lit(first)
+    middle = len(edges) // 2
+    return F.when(value > edges[middle], below(value, edges[middle + 1 :], first + middle + 1)).otherwise(below(value, edges[:middle], first))
 
 
 def append_offsets(events: DataFrame, head: int = -1, ts: str = "ts", tie: str = "event_id", stream: str | None = None, parts: int = 64) -> DataFrame:
@@ -26,14 +38,12 @@ def append_offsets(events: DataFrame, head: int = -1, ts: str = "ts", tie: str =
     shift them, so no task sees a whole log or stream. A time that many rows share is a span of its own, cut again by
     ranges of the tie. The numbers depend on the rows alone.
     """
-    times = cuts(events, ts, parts)
+    times, low, high = spans(events, ts, tie, parts)
     at = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(-(2**63)))
-    edges = F.lit(times).cast("array<long>")
-    within = F.array_contains(edges, at)
-    low, high = events.agg(F.min(tie), F.max(tie)).first() if dict(events.dtypes)[tie] in ("bigint", "int") else (None, None)
+    within = at.isin(times) if times else F.lit(False)
     fine = F.lit(0).cast("long") if low is None else F.floor((F.col(tie) - low) * parts / (high - low + 1)).cast("long")
     key = [stream] if stream is not None else []
-    dealt = events.withColumn("_span", 2 * F.size(F.filter(edges, lambda c: c < at)) + within.cast("int")).withColumn("_fine", F.when(within, fine).otherwise(F.lit(0).cast("long")))
+    dealt = events.withColumn("_span", 2 * below(at, times) + within.cast("int")).withColumn("_fine", F.when(within, fine).otherwise(F.lit(0).cast("long")))
     sizes = dealt.groupBy(*key, "_span", "_fine").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*key).orderBy("_span", "_fine").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*key, "_span", "_fine", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))

@@ -140,7 +140,7 @@ PAYLOAD = """'{"user":' || user_id || ',"kind":"' || event_type || '","amount":'
     case event_id % 5 when 0 then 'null' when 1 then '""' else '"n' || event_id || '"' end || case when event_id % 11 = 0 then ',"extra":1' else '' end || '}'"""
 
 
-def schemas() -> jsonschema.SchemaRegistry:
+def compiled() -> jsonschema.SchemaRegistry:
     """Two versions of an event's schema: the second is laxer, and leaves more to nested parts."""
     first = {
         "title": "event", "version": 1, "type": "object", "required": ["user", "kind", "amount"],
@@ -166,7 +166,7 @@ def schemas() -> jsonschema.SchemaRegistry:
 def _(t):
     """Every event as a payload of one of three versions, of which two have a schema."""
     rows = t.events.select("event_id", (F.col("event_id") % 3 + 1).alias("version"), F.expr(PAYLOAD).alias("payload"))
-    return rows.select("event_id", schemas().error(F.lit("event"), F.col("version"), F.col("payload")).alias("error"))
+    return rows.select("event_id", compiled().error(F.lit("event"), F.col("version"), F.col("payload")).alias("error"))
 
 
 @query("payload_extract", """select event_id, (props::json->>'k')::bigint k from events""")
