@@ -547,7 +547,7 @@ def dictionary(t):
 @query("entity_mentions", f"""with recursive {MENTIONS} select doc_id, pos::bigint pos, n, term, type, confidence from m""")
 def _(t):
     rows = mentions.scored(mentions.settled(mentions.found(t.documents, dictionary(t))))
-    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "n", "term", "type", "confidence")
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("n").cast("long").alias("n"), "term", "type", "confidence")
 
 
 @query("entity_extract", f"""with recursive {MENTIONS} select doc_id, type, term "name", count(*) mentions, min(pos)::bigint first_pos, max(confidence) confidence from m where confidence >= 0.7 group by doc_id, type, term""")

@@ -339,7 +339,7 @@ def _(t):
         case when e.message then 'kept' when s.sent = s.taken then 'empty' when s.lost > 0 then 'lagged' else 'read' end, case when e.message or s.sent = s.taken then 0 else s.lost end, case when not e.message and s.sent > s.taken then s.taken + 1 end
       from s join e on e."key" = s."key" and e.r = s.r + 1),
     m as (select "key", id, row_number() over (partition by "key" order by r) place from e where message)
-    select s."key", s.id, s.outcome, s.lag, m.id got from s left join m on m."key" = s."key" and m.place = s.place""")
+    select s."key", s.id, s.outcome, s.lag::bigint lag, m.id got from s left join m on m."key" = s."key" and m.place = s.place""")
 def _(t):
     """Twenty subscribers with buffers of five: two messages come for each read."""
     from lodestone.streaming import timers

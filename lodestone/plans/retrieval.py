@@ -149,10 +149,12 @@ class Broken(federation.Table):
         return super().search(query, limit).withColumn("score", F.raise_error(F.lit("out of order")).cast("double"))
 
 
-@query("search_partial", """select * from (values ('local:a', 'ok', 10), ('network:p1', 'failed', 0), ('network:p2', 'unhealthy', 0), ('network:p3', 'ok', 10)) v(adapter, status, "rows")""")
+@query("search_partial", """with sims as (select q.vec_id query_id, e.vec_id, case e.label % 3 when 0 then 'local:a' else 'network:p3' end source_id, 1 - list_cosine_similarity(e.embedding::double[], q.embedding::double[]) distance
+      from embeddings e join embeddings q on q.vec_id % 50 = 0 and q.vec_id <> e.vec_id where e.label % 3 <> 1)
+    select query_id, vec_id, source_id, round(1 - distance, 6) score from sims qualify row_number() over (partition by query_id, source_id order by distance, vec_id) <= 10""")
 def _(t):
-    """A search over four sources of the vectors, of which one fails at work and one says so before."""
+    """A search over four sources of the vectors, of which one fails at work and one says so before: what the others have."""
     part = lambda k: t.embeddings.where(F.col("label") % 3 == k)
     adapters = [federation.Table(part(0), "local:a"), Broken(part(1), "network:p1", "network"), federation.Table(part(1).drop("embedding"), "network:p2", "network"), federation.Table(part(2), "network:p3", "network")]
-    _, status = federation.searched(adapters, many(t).where("query_id = 0"), 10)
-    return status.select("adapter", "status", "rows")
+    rows, _ = federation.searched(adapters, many(t), 10, needed=2)
+    return rows.select("query_id", "vec_id", "source_id", F.round("score", 6).alias("score"))

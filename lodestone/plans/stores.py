@@ -239,14 +239,14 @@ def _(t):
     return stores.contains(stores.provided(registry(t)), t.part.select(F.col("p_partkey").alias("cid")))
 
 
-@query("vector_upsert", """select 'space-' || label || '-idx' collection, vec_id::varchar cid, 0 chunk_index, case when vec_id % 3 = 0 then 'second' else 'first' end batch, round(embedding[1], 6) lead from embeddings
-    union all select 'space-' || label || '-idx', vec_id::varchar, 1, 'second', round(embedding[2], 6) from embeddings where vec_id % 3 = 0""")
+@query("vector_upsert", """select 'space-' || label || '-idx' collection, vec_id::varchar cid, 0 chunk_index, case when vec_id % 3 = 0 then 'second' else 'first' end batch, round(embedding[1]::double, 6) lead from embeddings
+    union all select 'space-' || label || '-idx', vec_id::varchar, 1, 'second', round(embedding[2]::double, 6) from embeddings where vec_id % 3 = 0""")
 def _(t):
     """All vectors as a generation, a third of them, each with one chunk more, as another."""
     from lodestone.sources import files
 
     path = files.shared(t.spark, "vectors")
-    part = lambda rows, i, batch: rows.select(F.concat(F.lit("space-"), F.col("label").cast("string"), F.lit("-idx")).alias("collection"), F.col("vec_id").cast("string").alias("cid"), F.lit(i).alias("chunk_index"), F.lit(batch).alias("batch"), F.get("embedding", F.lit(i)).alias("lead"))
+    part = lambda rows, i, batch: rows.select(F.concat(F.lit("space-"), F.col("label").cast("string"), F.lit("-idx")).alias("collection"), F.col("vec_id").cast("string").alias("cid"), F.lit(i).alias("chunk_index"), F.lit(batch).alias("batch"), F.get("embedding", F.lit(i)).cast("double").alias("lead"))
     third = t.embeddings.where("vec_id % 3 = 0")
     files.upsert_vectors(part(t.embeddings, 0, "first"), path)
     files.upsert_vectors(part(third, 0, "second").unionByName(part(third, 1, "second")), path)
