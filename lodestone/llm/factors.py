@@ -177,7 +177,7 @@ def packed_entries(docs: DataFrame, parts: int, fine: int, length: int, gram: in
                 anchor, who, at, n, shard = (anchor[order] >> U64(24)), who[order], at[order], n[order], shard[order]
                 cuts = np.flatnonzero(np.concatenate((shard[:1] >= 0, shard[1:] != shard[:-1])))
                 rows = []
-                for a, b in zip(cuts, np.append(cuts[1:], len(shard)), strict=True):
+                for a, b in zip(cuts, np.append(cuts[1:], len(shard))[: len(cuts)], strict=True):  # none without entries
                     some, where = np.unique(who[a:b], return_inverse=True)
                     rows.append((int(shard[a]) % parts, int(shard[a]), planes(np.diff(ids[low + some], prepend=0), 8), planes(tags[low + some], 6), planes(anchor[a:b], 5), planes(np.diff(where, prepend=0), 4), planes(np.diff(at[a:b], prepend=0), 4), n[a:b].astype(np.uint8).tobytes()))
                 columns = list(zip(*rows, strict=True)) or [()] * 8

@@ -8,7 +8,7 @@ import public_tokenizers as P
 import pytest
 
 import corpus_pipeline
-from lodestone.llm import bpe, decontaminate, fingerprint, html, jaccard, quality, repeats, secrets, sharding, tokencount
+from lodestone.llm import bpe, decontaminate, factors, fingerprint, html, jaccard, prefixes, quality, repeats, secrets, sharding, spelling, tokencount
 
 CLASHES = [
     "key", "_key", "rep", "n", "sig", "hub", "lot", "component", "held", "tag", "digest", "size", "anchor", "score", "predicted", "shard", "slot", "crc", "node", "place", "label", "bucket", "copy",
@@ -56,6 +56,7 @@ PER_ROW = {
     "tokens": lambda d, _: tokencount.count_tokens(d, P.path("word_bpe_49k.json")),
     "shards": lambda d, _: sharding.shard(d, 3),
     "jaccard": lambda d, _: jaccard.join(d),
+    "factors": lambda d, _: factors.remove(d),
 }
 
 
@@ -109,3 +110,22 @@ def test_stages(spark, awkward, nothing, name, tmp_path, labels, benchmark):
         assert sorted(str(r.doc_id) for r in rows) == sorted(["1", "3", "4", "5", "7", "8", "None", "None", "None", "None"])
     elif name != "quality_classifier":
         assert len(rows) == len(made())
+
+
+def test_words_and_conversations(spark, awkward, nothing):
+    """Repeated rows count each time, null ids are the empty string; conversations without an id are left out, others keep repeated and null turns."""
+    rows = made()
+    got = {r.word: r.n for r in spelling.variants(awkward).collect()}
+    assert got and all(len(w) >= 5 and n >= 3 for w, n in got.items()) and got["alpha"] <= sum((t or "").count("alpha") for _, t, *_ in rows)
+    assert spelling.variants(nothing).count() == 0
+    turns = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, None, None), (None, 0, "user", "a"), (2, 5, "user", ""), (2, 5, "", None)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").selectExpr("*", *(f"1 as `{c}`" for c in [*CLASHES, "path", "sizes", "range", "step", "members", "depth", "base", "h"]))
+    nodes = prefixes.trie(prefixes.turns(df)).collect()
+    assert sorted((r.conv_id, r.depth, r.n_convs) for r in nodes) == [(1, 0, 2), (1, 1, 2), (1, 2, 1), (1, 3, 1), (2, 2, 1)]
+
+
+@pytest.mark.parametrize("remove", [repeats.remove, factors.remove])
+def test_partitions_of_short_texts(spark, remove):
+    """A partition whose texts are all too short to repeat."""
+    df = spark.createDataFrame([(i, None if i % 2 else "short") for i in range(8)], "doc_id long, text string").repartition(3)
+    assert sorted((r.doc_id, r.n_removed) for r in remove(df).collect()) == [(i, 0) for i in range(8)]
