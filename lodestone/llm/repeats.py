@@ -40,6 +40,7 @@ HOT_BYTES = 32 << 20  # of one shard's passages
 TAG = 2**48 - 1  # bits of a text's hash that tell rows with one doc_id apart
 LENGTH, GRAM, SHARD_BYTES, MOST_PARTS, MEMORY = 50, 24, 4 << 20, 20_000, 48 << 20
 STEP = 1 << 20  # entries of a shard's order taken at once
+LOT = 1 << 21  # letters of small shards that are sorted together: each letter's queue costs something whatever it holds
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -366,7 +367,7 @@ def holders(distinct: DataFrame, parts: int, length: int, memory: int = MEMORY)
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
                     continue
-                if shard[a] != last and held.n > 1 << 20:  # small shards are sorted together
+                if shard[a] != last and held.n > LOT:  # small shards are sorted together
                     yield solve(held)
                     held = Passages(memory)
                 last = shard[a]
