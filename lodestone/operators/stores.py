@@ -19,12 +19,12 @@ def kv_summary(log: DataFrame, key: str, order: Column, deleted: Column, probes:
     return size, found
 
 
-def store_messages(held: DataFrame, new: DataFrame, enabled: bool = True) -> DataFrame:
-    """Messages by id, the last of each stored; where the store is off, nothing is added."""
+def store_messages(held: DataFrame, new: DataFrame, enabled: bool = True, tie: str | None = None) -> DataFrame:
+    """Messages by id, the last of each stored; where the store is off, nothing is added. tie: a column whose larger value wins between equal times."""
     if not enabled:
         return held
     rows = held.withColumn("_at", F.lit(0)).unionByName(new.select(*held.columns).withColumn("_at", F.lit(1)))
-    w = Window.partitionBy("id").orderBy(F.desc("_at"), F.desc("ts_ms"))
+    w = Window.partitionBy("id").orderBy(F.desc("_at"), F.desc("ts_ms"), *([F.desc(tie)] if tie else []))
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*held.columns)
 
 

@@ -12,9 +12,9 @@ from lodestone.plans.network import FOLD, MESSAGES, NOW, connections, messages
 @query("message_store", f"""with {MESSAGES}, m as (select topic || ':' || (id % 4000) id, ts_ms, props, id seq from messages) select id, max(ts_ms) ts_ms, arg_max(props, (case when seq % 3 = 0 then 0 else 1 end, ts_ms, seq)) props from m group by id""")
 def _(t):
     """Every third message is held already, the others are stored after them; a later time wins within each."""
-    m = messages(t).select(F.concat_ws(":", "topic", (F.col("id") % 4000).cast("string")).alias("id"), (F.col("ts_ms") * 100000 + F.col("id")).alias("ts_ms"), "props", F.col("id").alias("seq"))
-    out = stores.store_messages(m.where("seq % 3 = 0").drop("seq"), m.where("seq % 3 <> 0").drop("seq"))
-    late = m.groupBy("id").agg(F.max(F.expr("ts_ms div 100000")).alias("ts_ms"))
+    m = messages(t).select(F.concat_ws(":", "topic", (F.col("id") % 4000).cast("string")).alias("id"), "ts_ms", "props", F.col("id").alias("seq"))
+    out = stores.store_messages(m.where("seq % 3 = 0"), m.where("seq % 3 <> 0"), tie="seq")
+    late = m.groupBy("id").agg(F.max("ts_ms").alias("ts_ms"))
     return out.select("id", "props").join(late, "id")
 
 
