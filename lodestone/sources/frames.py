@@ -142,7 +142,7 @@ class FrameWriter(DataSourceArrowWriter):
     def __init__(self, path: str, most: int, overwrite: bool):
         self.path, self.most, self.overwrite, self.job = path, most, overwrite, uuid.uuid4().hex[:12]
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written | None:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
         fs, path = filesystem(self.path)
@@ -155,7 +155,7 @@ class FrameWriter(DataSourceArrowWriter):
                     body = cbor_encode(json.loads(message))
                     out.write(struct.pack(">I", checked(len(body), self.most, staged, size)) + body)
                     size += 4 + len(body)
-        return Written(staged, f"{path}/part-{self.job}-{TaskContext.get().partitionId():05d}.frames") if size else None
+        return Written(staged, f"{path}/part-{self.job}-{TaskContext.get().partitionId():05d}.frames" if size else "")  # a task without rows leaves no file
 
     def commit(self, messages: list) -> None:
         from pyarrow.fs import FileSelector, FileType
@@ -167,7 +167,7 @@ class FrameWriter(DataSourceArrowWriter):
                 if f.type == FileType.File:
                     fs.delete_file(f.path)
         for m in messages:
-            if m is not None:
+            if m is not None and m.file:
                 fs.move(m.staged, m.file)
         self.abort(messages)
 

@@ -37,3 +37,14 @@ def test_message_store_with_ids_beyond_a_hundred_thousand(spark, against_sql):
     ids = [i + copy * 100_000 for copy in range(4) for i in (0, 1, 2, 4000, 4001, 8003)]
     got, wanted = against_sql("message_store", events=events_of(spark, [(i, i % 100_000 % 4000 * 7, i % 5, "click", 1) for i in ids]))
     assert got == wanted
+
+
+def test_frames_of_tasks_without_rows(spark, tmp_path):
+    from lodestone.sources.frames import Frames
+
+    spark.dataSource.register(Frames)
+    rows = spark.range(3).selectExpr("""'{"k":' || id || '}' message""").repartitionByRange(3, "message").unionByName(spark.range(5, numPartitions=5).where("id < 0").selectExpr("'' message"))
+    for rows_, n in ((rows, 3), (rows.where("false"), 3)):
+        rows_.write.format(Frames.name()).mode("append").save(str(tmp_path / "out"))
+        assert spark.read.format(Frames.name()).load(str(tmp_path / "out")).count() == n
+    assert not [p for p in (tmp_path / "out").iterdir() if p.name.startswith("_")]
