@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +15,9 @@ from lodestone.functions import vectors
 PENALTY, BOOST, MOST_BOOST = 0.9, 0.1, 0.3
 
 
-BLOCK, FEW = 1 << 15, 8  # query vectors that meet the collection at once (64 MB of 256 dimensions), and so few that the JVM compares them
+BLOCK, FEW = 1 << 15, 8  # query vectors that meet the collection in one scan (16 MB of 64 dimensions), and so few that the JVM compares them
+AT_ONCE, CELLS = 256, 1 << 19  # query vectors compared at once in a task, and numbers of one matrix of distances
+SENT = 1 << 16  # rows of an Arrow batch of what was found
 
 
 def blocks_of(queries: DataFrame, most: int = BLOCK) -> list[DataFrame]:
@@ -23,43 +27,71 @@ def blocks_of(queries: DataFrame, most: int = BLOCK) -> list[DataFrame]:
 
 
 class Nearest:
-    """The k nearest of each of some queries among rows that come in blocks, ties by id; a row of the query's own id doesn't count."""
+    """The k nearest of each of some queries among rows that come in blocks, ties by id; a row of the query's own id doesn't count.
+
+    Distances count to 12 digits. What is held are k rows a query, so its size doesn't depend on the rows that come.
+    """
 
     def __init__(self, k: int, names: np.ndarray, itself: bool = False):
         self.k, self.names, self.itself = k, names, itself
-        self.who, self.far, self.ids, self.tags = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object), np.zeros(0, np.int64)
-
-    def add(self, who: np.ndarray, ids: np.ndarray, distance: np.ndarray, tags: np.ndarray | None = None) -> None:
-        """distance: (len(who), len(ids)); tags: a number of each row, given back with it."""
-        tags = np.zeros(len(ids), np.int64) if tags is None else tags
-        for low in range(0, len(who), 512):
-            part, d = who[low : low + 512], distance[low : low + 512]
-            own = np.zeros(d.shape, bool) if self.itself else self.names[part][:, None] == ids[None, :]
-            d = np.where(own, np.inf, d)
-            if d.shape[1] > self.k:  # all that tie with the k-th stay until ids decide
-                keep = d <= np.partition(d, self.k - 1, axis=1)[:, self.k - 1 : self.k]
-            else:
-                keep = np.ones(d.shape, bool)
-            q, j = np.nonzero(keep & ~own)
-            self.who, self.far = np.concatenate((self.who, part[q])), np.concatenate((self.far, d[q, j]))
-            self.ids, self.tags = np.concatenate((self.ids, ids[j])), np.concatenate((self.tags, tags[j]))
-        if len(self.who) > 4 * self.k * len(self.names) + 4096:
-            self._cut()
-
-    def _cut(self) -> None:
-        if not len(self.who):
+        self.far, self.ids, self.tags = np.full((len(names), k), np.inf), None, np.zeros((len(names), k), np.int32)
+
+    def add(self, who: np.ndarray, ids: np.ndarray, distance: np.ndarray, tag: int = 0, allowed: np.ndarray | None = None) -> None:
+        """distance: (len(who), len(ids)); tag: a number given back with these rows; allowed: which of the pairs count."""
+        if self.ids is None:
+            self.ids = np.zeros(self.far.shape, ids.dtype)
+        keep = distance <= self.far[who, -1:] + 1e-11  # all that may tie with the k-th stay until ids decide
+        if allowed is not None:
+            keep &= allowed
+        if not self.itself:
+            keep &= self.names[who][:, None] != ids[None, :]
+        if np.count_nonzero(keep) > 4 * self.k * len(who):
+            keep &= distance <= np.partition(np.where(keep, distance, np.inf), self.k - 1, axis=1)[:, self.k - 1 : self.k] + 1e-11
+        q, j = np.nonzero(keep)
+        if not len(q):
+            return
+        some, q_of = np.unique(q, return_inverse=True)
+        at = who[some]
+        q = np.concatenate((np.repeat(np.arange(len(some)), self.k), q_of))
+        far = np.concatenate((self.far[at].ravel(), np.round(distance[some[q_of], j], 12)))
+        found, tags = np.concatenate((self.ids[at].ravel(), ids[j])), np.concatenate((self.tags[at].ravel(), np.full(len(j), tag, np.int32)))
+        real = np.isfinite(far)
+        q, far, found, tags = q[real], far[real], found[real], tags[real]
+        rank = np.unique(found, return_inverse=True)[1] if found.dtype == object else found
+        order = np.lexsort((rank, far, q))
+        place = np.arange(len(q)) - np.searchsorted(q[order], q[order])
+        order, place = order[place < self.k], place[place < self.k]
+        self.far[at] = np.inf
+        for held, new in ((self.far, far), (self.ids, found), (self.tags, tags)):
+            held[at[q[order]], place] = new[order]
+
+    def rows(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(query's id, id, distance, tag) as columns, in blocks."""
+        if self.ids is None:
             return
-        _, rank = np.unique(self.ids, return_inverse=True)
-        order = np.lexsort((rank, self.far, self.who))
-        who = self.who[order]
-        place = np.arange(len(who)) - np.searchsorted(who, who)
-        order = order[place < self.k]
-        self.who, self.far, self.ids, self.tags = self.who[order], self.far[order], self.ids[order], self.tags[order]
+        step = max(1, SENT // self.k)
+        for low in range(0, len(self.names), step):
+            q, place = np.nonzero(np.isfinite(self.far[low : low + step]))
+            if len(q):
+                yield self.names[low + q], self.ids[low + q, place], self.far[low + q, place], self.tags[low + q, place]
+
+
+def column_of(values: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column of ids, as numbers where they are whole numbers without nulls, so that they take eight bytes each."""
+    if pa.types.is_integer(values.type) and not values.null_count:
+        return values.to_numpy(zero_copy_only=False).astype(np.int64) if isinstance(values, pa.Array) else values.to_numpy().astype(np.int64)
+    return np.array(values.to_pylist(), object)
+
 
-    def rows(self) -> list[tuple]:
-        """(query's id, id, distance, tag)."""
-        self._cut()
-        return list(zip(self.names[self.who].tolist(), self.ids.tolist(), self.far.tolist(), self.tags.tolist(), strict=True))
+def matrix_of(values: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows."""
+    values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+    return values.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(values), -1)
+
+
+def unit(rows: np.ndarray) -> np.ndarray:
+    length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
 
 
 def similarities(collection: DataFrame, queries: DataFrame, vector: str = "embedding", id_col: str = "vec_id", most: int = 512) -> DataFrame:
@@ -84,71 +116,76 @@ def ranked(near: DataFrame, k: int, at_most: float | None, id_col: str = "vec_id
 def knn(collection: DataFrame, queries: DataFrame, k: int, at_most: float | None = None, vector: str = "embedding", id_col: str = "vec_id", most: int = BLOCK, itself: bool = False) -> DataFrame:
     """(query_id, id, distance, rank): the k nearest rows by cosine distance of each query (query_id, vector), but for the row of its own id; with `itself` that one too.
 
-    A few queries are compared in the JVM. More travel in blocks to the collection's partitions, one scan a block, which
-    send on only their own nearest of each query.
+    A few queries are compared in the JVM. More travel to the collection's partitions, one scan for each 32,768 of them,
+    which send on only their own nearest of each query. most: how many are compared at once there.
     """
     fetch, out = k if at_most is None else 2 * k, None
     queries = queries.select("query_id", vector)
-    if len(queries.limit(FEW + 1).collect()) <= FEW:
+    if len(queries.select("query_id").limit(FEW + 1).collect()) <= FEW:
         asked = F.broadcast(queries.where(F.col(vector).isNotNull()).select("query_id", F.col(vector).alias("_q")))  # FEW rows at most
         both = collection.where(F.col(vector).isNotNull()).select(id_col, vector).crossJoin(asked)
         both = both if itself else both.where(F.col(id_col) != F.col("query_id"))
         return ranked(both.select("query_id", id_col, F.round(vectors.cosine_distance(F.col(vector), F.col("_q")), 12).alias("distance")), k, at_most, id_col)
-    for block in blocks_of(queries, most):
-        part = _nearest(collection, block, fetch, vector, id_col, itself)
+    for block in blocks_of(queries):
+        part = _nearest(collection, block, fetch, vector, id_col, itself, most)
         out = part if out is None else out.unionByName(part)
     return ranked(out, k, at_most, id_col)
 
 
-def _nearest(collection: DataFrame, block: DataFrame, k: int, vector: str, id_col: str, itself: bool) -> DataFrame:
-    """(query_id, id, distance) of each query's k nearest in each partition."""
+def _nearest(collection: DataFrame, block: DataFrame, k: int, vector: str, id_col: str, itself: bool, most: int, planes: np.ndarray | None = None, within: int = 0) -> DataFrame:
+    """(query_id, id, distance) of each query's k nearest in each partition; with planes, of rows whose signs differ in `within` places at most."""
     spark = collection.sparkSession
     schema = block.select("query_id").join(collection.select(id_col)).withColumn("distance", F.lit(0.0)).schema
-    rows = block.where(F.col(vector).isNotNull()).collect()  # a block's vectors
-    if not rows:
+    rows = block.where(F.col(vector).isNotNull()).toArrow()  # a block's vectors
+    if not len(rows):
         return spark.createDataFrame([], schema)
-    held = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows], object), np.array([r[vector] for r in rows], float)))
-    fields = to_arrow_schema(schema)
+    held = spark.sparkContext.broadcast((column_of(rows.column(0)), unit(matrix_of(rows.column(1)))))
+    fields, most = to_arrow_schema(schema), min(most, AT_ONCE)
+    stored = planes is not None and "signature" in collection.columns
 
     def run(batches):
         names, q = held.value
-        lengths, top = np.sqrt((q * q).sum(axis=1)), Nearest(k, names, itself)
+        top, step = Nearest(k, names, itself), max(1, CELLS // most)
+        marks = None if planes is None else signs(q, planes)
         for batch in batches:
-            if not len(batch):
-                continue
-            ids = np.array(batch.column(0).to_pylist(), object)
-            own = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(batch), -1)
-            size = np.sqrt((own * own).sum(axis=1))
-            for low in range(0, len(names), 512):
-                scale = lengths[low : low + 512, None] * size
-                with np.errstate(all="ignore"):
-                    distance = np.round(np.where(scale == 0, 1.0, 1.0 - (q[low : low + 512] @ own.T) / scale), 12)
-                top.add(np.arange(low, low + len(distance)), ids, distance)
-        found = top.rows()
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*found, strict=True))[:3], fields, strict=True)], schema=fields)
-
-    return collection.where(F.col(vector).isNotNull()).select(id_col, vector).mapInArrow(run, schema)
+            for at in range(0, len(batch), step):
+                ids, own = column_of(batch.column(0).slice(at, step)), matrix_of(batch.column(1).slice(at, step))
+                if planes is not None:
+                    own_marks = column_of(batch.column(2).slice(at, step)) if stored else signs(own, planes)
+                own = unit(own).T
+                for low in range(0, len(names), most):
+                    some = slice(low, min(low + most, len(names)))
+                    allowed = None if marks is None else np.bitwise_count(marks[some, None] ^ own_marks) <= within
+                    top.add(np.arange(some.start, some.stop), ids, 1.0 - q[some] @ own, allowed=allowed)
+        for found in top.rows():
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(found[:3], fields, strict=True)], schema=fields)
+
+    return collection.where(F.col(vector).isNotNull()).select(id_col, vector, *(["signature"] if stored else [])).mapInArrow(run, schema)
+
+
+def sign_planes(planes: int, dimensions: int, seed: int = 7) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    return np.stack([rng.normal(size=dimensions) for _ in range(planes)])
+
+
+def signs(rows: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """The numbers of `signature_bits`."""
+    return ((rows @ planes.T >= 0) << np.arange(len(planes))).sum(axis=1).astype(np.int64)
 
 
 def signature_bits(vector: Column, planes: int, dimensions: int, seed: int = 7) -> Column:
     """Signs of random projections, packed into one number: near vectors share most of them."""
-    rng = np.random.default_rng(seed)
     out = F.lit(0).cast("long")
-    for p in range(planes):
-        plane = F.array(*(F.lit(float(x)) for x in rng.normal(size=dimensions)))
-        out = out + F.when(vectors.dot(vector, plane) >= 0, F.lit(1 << p)).otherwise(0).cast("long")
+    for p, plane in enumerate(sign_planes(planes, dimensions, seed)):
+        out = out + F.when(vectors.dot(vector, F.array(*(F.lit(float(x)) for x in plane))) >= 0, F.lit(1 << p)).otherwise(0).cast("long")
     return out
 
 
 def knn_prefiltered(collection: DataFrame, queries: DataFrame, k: int, planes: int = 16, within: int = 9, dimensions: int = 64, most: int = 512) -> DataFrame:
     """(query_id, vec_id, distance, rank): approximate nearest neighbours; only rows whose projections differ in few signs are scored. A stored signature column saves its computation."""
-    signed = collection if "signature" in collection.columns else collection.withColumn("signature", signature_bits(F.col("embedding"), planes, dimensions))
     out = None
-    for block in blocks_of(queries.select("query_id", "embedding"), most):
-        marked = block.select("query_id", F.col("embedding").alias("_q"), signature_bits(F.col("embedding"), planes, dimensions).alias("_s"))
-        close = signed.crossJoin(F.broadcast(marked)).where(F.bit_count(F.col("signature").bitwiseXOR(F.col("_s"))) <= within)  # a block of `most` rows at most
-        near = close.where("vec_id <> query_id").select("query_id", "vec_id", F.round(vectors.cosine_distance(F.col("embedding"), F.col("_q")), 12).alias("distance"))
+    for block in blocks_of(queries.select("query_id", "embedding")):
+        near = _nearest(collection, block, k, "embedding", "vec_id", False, most, sign_planes(planes, dimensions), within)
         out = near if out is None else out.unionByName(near)
     return ranked(out, k, None)
 

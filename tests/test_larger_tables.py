@@ -48,3 +48,66 @@ def test_frames_of_tasks_without_rows(spark, tmp_path):
         rows_.write.format(Frames.name()).mode("append").save(str(tmp_path / "out"))
         assert spark.read.format(Frames.name()).load(str(tmp_path / "out")).count() == n
     assert not [p for p in (tmp_path / "out").iterdir() if p.name.startswith("_")]
+
+
+def vectors_of(spark, n: int, d: int = 8):
+    import numpy as np
+
+    rows = np.random.default_rng(3).normal(size=(n, d))
+    return rows, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>").repartition(3)
+
+
+def test_searches_scan_the_collection_once_however_many_blocks_are_compared(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import search
+
+    _, rows = vectors_of(spark, 90)
+    queries = rows.where("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id")
+    scans, real = [], search._nearest
+    monkeypatch.setattr(search, "_nearest", lambda *a, **kw: scans.append(1) or real(*a, **kw))
+    few = sorted(map(tuple, search.knn(rows, queries, 4, most=2).collect()))
+    assert len(scans) == 1 and few == sorted(map(tuple, search.knn(rows, queries, 4).collect()))
+    near = search.knn_prefiltered(rows, queries, 4, planes=6, within=3, dimensions=8, most=2)
+    assert len(scans) == 3
+    signed = rows.withColumn("signature", search.signature_bits(F.col("embedding"), 6, 8))
+    both = signed.crossJoin(signed.select(F.col("vec_id").alias("query_id"), F.col("signature").alias("s"), F.col("embedding").alias("q")).where("query_id % 3 = 0"))
+    from lodestone.functions import vectors
+
+    close = both.where("query_id <> vec_id and bit_count(signature ^ s) <= 3").select("query_id", "vec_id", F.round(vectors.cosine_distance(F.col("embedding"), F.col("q")), 12).alias("distance"))
+    wanted = sorted(map(tuple, search.ranked(close, 4, None).select("query_id", "vec_id", "rank").collect()))
+    assert sorted(map(tuple, near.select("query_id", "vec_id", "rank").collect())) == wanted
+    assert sorted(map(tuple, search.knn_prefiltered(signed, queries, 4, planes=6, within=3, dimensions=8).select("query_id", "vec_id", "rank").collect())) == wanted
+
+
+def test_nearest_holds_k_rows_a_query():
+    import numpy as np
+
+    from lodestone.operators.search import Nearest
+
+    rng = np.random.default_rng(5)
+    far = np.round(rng.random((6, 4000)), 2)  # many ties
+    ids = rng.permutation(4000)
+    top = Nearest(5, np.array([ids[0], -1, -2, -3, -4, -5]))
+    for at in range(0, 4000, 700):
+        top.add(np.arange(6), ids[at : at + 700], far[:, at : at + 700], at)
+        assert top.far.shape == top.ids.shape == top.tags.shape == (6, 5)
+    got = {}
+    for who, found, distance, _ in top.rows():
+        for w, i, d in zip(who.tolist(), found.tolist(), distance.tolist(), strict=True):
+            got.setdefault(w, []).append((d, i))
+    for row, name in enumerate(top.names.tolist()):
+        assert got[name] == sorted((d, i) for d, i in zip(far[row].tolist(), ids.tolist(), strict=True) if i != name)[:5]
+
+
+def test_cells_of_an_index_are_the_means_of_all_rows(spark, tmp_path):
+    import hashlib
+
+    import numpy as np
+
+    from lodestone.operators import ann
+
+    held, rows = vectors_of(spark, 120)
+    index = ann.VectorIndex.create(rows, str(tmp_path / "index"), cells=4, subspaces=2, rounds=2, sample=20)
+    order = sorted(range(120), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    assert np.allclose(index.model.centroids, ann.spherical_means(ann.unit(held[order]), 4, 2))
