@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.extensions import Embedder
 from lodestone.functions import chunking, strings, vectors
+from lodestone.sources import files
 
 
 def skip_reason(path: Column, text: Column, size: Column, most: int, patterns: list[str], least: int) -> Column:
@@ -107,15 +108,28 @@ def stored_entities(chunks: DataFrame, answer: Column, space_id: Column, created
     return found.select("doc_id", space_id.alias("space_id"), F.col("type").alias("entity_type"), "name", properties.alias("properties"), created_by.alias("created_by"))
 
 
-def keywords(docs: DataFrame, most: int = 5) -> DataFrame:
-    """(doc_id, word, tf, idf, place): each text's words of most weight."""
-    words = docs.select("doc_id", F.explode(F.split(F.lower("text"), r"\W+")).alias("word")).where(F.length("word") > 3)
+COMMON = 1 << 16  # words that most texts hold, whose numbers are broadcast: a few MB
+
+
+def keywords(docs: DataFrame, most: int = 5, common: int = COMMON) -> DataFrame:
+    """(doc_id, word, tf, place): each text's words of most weight.
+
+    Texts are dealt out by doc_id, so their words are counted where they lie. The most frequent words are weighed there, too,
+    and all but each text's first `most` of them are left; the other words meet their numbers by a join.
+    """
+    dealt = docs.select("doc_id", "text").repartition("doc_id")
+    words = dealt.select("doc_id", F.explode(F.split(F.lower("text"), r"\W+")).alias("word")).where(F.length("word") > 3)
     tf = words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    df = files.written(tf.groupBy("word").agg(F.count(F.lit(1)).alias("df")), files.shared(docs.sparkSession, "keywords"), "df")  # a row a word, used twice
     total = docs.agg(F.count(F.lit(1)).alias("n"))
-    scored = tf.join(df, "word").crossJoin(F.broadcast(total)).withColumn("idf", F.log((F.col("n") + 1) / (F.col("df") + 1)))
-    w = Window.partitionBy("doc_id").orderBy(F.desc(F.round(F.col("tf") * F.col("idf"), 9)), "word")
-    return scored.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= most).select("doc_id", "word", "tf", "place")
+    often = df.orderBy(F.desc("df"), "word").limit(common)
+    order = Window.partitionBy("doc_id").orderBy(F.desc(F.round(F.col("tf") * F.log((F.col("n") + 1) / (F.col("df") + 1)), 9)), "word")
+    met = tf.join(F.broadcast(often), "word", "left").crossJoin(F.broadcast(total))
+    near = met.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id", F.col("df").isNull()).orderBy(F.desc(F.round(F.col("tf") * F.log((F.col("n") + 1) / (F.col("df") + 1)), 9)), "word")))
+    near = near.where(F.col("df").isNull() | (F.col("_r") <= most)).drop("_r")
+    rare = near.where("df is null").drop("df").join(df, "word")
+    scored = near.where("df is not null").unionByName(rare).withColumn("place", F.row_number().over(order).cast("long"))
+    return scored.where(F.col("place") <= most).select("doc_id", "word", "tf", "place")
 
 
 def extract_entities(chunks: DataFrame, answer: Column, at_least: float = 0.7) -> DataFrame:

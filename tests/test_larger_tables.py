@@ -111,3 +111,22 @@ def test_cells_of_an_index_are_the_means_of_all_rows(spark, tmp_path):
     index = ann.VectorIndex.create(rows, str(tmp_path / "index"), cells=4, subspaces=2, rounds=2, sample=20)
     order = sorted(range(120), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
     assert np.allclose(index.model.centroids, ann.spherical_means(ann.unit(held[order]), 4, 2))
+
+
+def test_keywords_by_broadcast_and_joined_words(spark):
+    from lodestone.operators import indexing
+
+    docs = spark.createDataFrame([(i, " ".join(f"word{(i * k) % 17:02d}" for k in range(1, 30)) + " alone" * (i % 3) + f" own{i:03d}") for i in range(40)] + [(3, "word01 again again"), (50, None)], "doc_id long, text string")
+    wanted = sorted(map(tuple, indexing.keywords(docs).collect()))
+    assert {r[0] for r in wanted} == set(range(40))
+    for common in (0, 1, 7):
+        assert sorted(map(tuple, indexing.keywords(docs, common=common).collect())) == wanted
+
+
+def test_rows_of_a_key_are_taken_in_order_without_frames_of_their_own():
+    import pandas as pd
+
+    from lodestone.streaming.timers import taken
+
+    parts = [pd.DataFrame({"key": ["a", "a"], "ts_ms": [5, 3], "id": [1, 9], "kind": ["query", "answer"]}), pd.DataFrame({"key": ["a"], "ts_ms": [3], "id": [2], "kind": ["answer"]})]
+    assert taken(iter(parts), "kind") == [(3, 2, "answer"), (3, 9, "answer"), (5, 1, "query")]
