@@ -16,6 +16,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 SESSION_MS = 300_000
 
 
+def taken(parts: Iterator[pd.DataFrame], *columns: str) -> list[tuple]:
+    """A key's rows in order of time and id, as tuples (ts_ms, id, *columns): most keys have a few, for which frames cost more than the work."""
+    rows = []
+    for part in parts:
+        rows += zip(*(part[c].tolist() for c in ("ts_ms", "id", *columns)), strict=True)
+    return sorted(rows, key=lambda r: r[:2])
+
+
 def challenges(stream: DataFrame, ttl_ms: int = SESSION_MS, late: str = "0 seconds", most: int = 1 << 16) -> DataFrame:
     """(key, id, ts_ms, outcome) of events (key, id, ts, kind): an issued challenge answers one finish within its time; a new one replaces it.
 
@@ -36,8 +44,7 @@ def challenges(stream: DataFrame, ttl_ms: int = SESSION_MS, late: str = "0 secon
         if state.hasTimedOut:
             expire(state.getCurrentWatermarkMs() + 1)
         else:
-            rows = pd.concat(list(parts)).sort_values(["ts_ms", "id"])
-            for kind, ts, one in zip(rows["kind"].tolist(), rows["ts_ms"].tolist(), rows["id"].tolist(), strict=True):
+            for ts, one, kind in taken(parts, "kind"):
                 expire(ts)
                 if kind == "issue":
                     issued, number = ts, one
@@ -50,7 +57,8 @@ def challenges(stream: DataFrame, ttl_ms: int = SESSION_MS, late: str = "0 secon
         else:
             state.update((int(issued), int(number)))
             state.setTimeoutTimestamp(max(int(issued) + ttl_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["key", "id", "ts_ms", "outcome"])
+        if out:
+            yield pd.DataFrame(out, columns=["key", "id", "ts_ms", "outcome"])
 
     kinds = dict(stream.dtypes)
     rows = stream.withWatermark("ts", late).select("key", "id", "ts", "kind", F.unix_millis("ts").alias("ts_ms"))
@@ -78,8 +86,7 @@ def gathered(stream: DataFrame, peers: int, timeout_ms: int, late: str = "0 seco
                 end(int(opened) + timeout_ms, "timeout")
             state.remove()
         else:
-            rows = pd.concat(list(parts)).sort_values(["ts_ms", "id"])
-            for kind, ts, peer, n in zip(rows["kind"].tolist(), rows["ts_ms"].tolist(), rows["peer"].tolist(), rows["results"].tolist(), strict=True):
+            for ts, _, kind, peer, n in taken(parts, "kind", "peer", "results"):
                 if kind == "query":
                     opened = ts if opened is None else opened
                     continue
@@ -95,7 +102,8 @@ def gathered(stream: DataFrame, peers: int, timeout_ms: int, late: str = "0 seco
             if opened is not None:  # a closed query is remembered until its time is over, so that late answers don't open another
                 state.update((int(opened), held, int(results), closed))
                 state.setTimeoutTimestamp(max(int(opened) + timeout_ms + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["key", "peers", "results", "first_ms", "done_ms", "reason"])
+        if out:  # a key that nothing was asked of has no rows, and a frame a key would cost more than all else
+            yield pd.DataFrame(out, columns=["key", "peers", "results", "first_ms", "done_ms", "reason"])
 
     kinds = dict(stream.dtypes)
     rows = stream.withWatermark("ts", late).select("key", "id", "ts", "kind", "peer", F.col("results").cast("long").alias("results"), F.unix_millis("ts").alias("ts_ms"))
@@ -113,8 +121,7 @@ def buffered(stream: DataFrame, size: int = 1000) -> DataFrame:
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         sent, taken, ring = state.get if state.exists else (0, 0, [])
         ring, out = list(ring), []
-        rows = pd.concat(list(parts)).sort_values(["ts_ms", "id"])
-        for kind, one in zip(rows["kind"].tolist(), rows["id"].tolist(), strict=True):
+        for _, one, kind in taken(parts, "kind"):
             if kind == "message":
                 ring.append(one)
                 sent += 1
