@@ -101,7 +101,7 @@ def subscribe(stream: DataFrame, wanted: Column, handle: Callable[[DataFrame], N
         before = generations(spark)
         held = spark.read.schema(kind).parquet(*(f"{done}/generation={g}" for g in before)) if before else spark.createDataFrame([], kind)
         held, keys = held.distinct(), ["event_id", "offset"]
-        new = rows.where(wanted).dropDuplicates(keys).join(held, keys, "left_anti").persist()
+        new = rows.where(wanted).dropDuplicates(keys).join(held.hint("shuffle_hash"), keys, "left_anti").persist()  # a broadcast would send all kept keys through the driver, batch by batch
         kept = held.orderBy(F.desc("offset")).limit(keep).unionByName(new.select(*keys))
         kept.write.parquet(f"{done}/generation={before[-1] + 1 if before else 0}")
         handle(new)
