@@ -130,3 +130,20 @@ def test_rows_of_a_key_are_taken_in_order_without_frames_of_their_own():
 
     parts = [pd.DataFrame({"key": ["a", "a"], "ts_ms": [5, 3], "id": [1, 9], "kind": ["query", "answer"]}), pd.DataFrame({"key": ["a"], "ts_ms": [3], "id": [2], "kind": ["answer"]})]
     assert taken(iter(parts), "kind") == [(3, 2, "answer"), (3, 9, "answer"), (5, 1, "query")]
+
+
+def test_fingerprints_of_many_texts_are_made_together(monkeypatch):
+    """Long, short and uniform texts, also with blocks that end within a chunk; the byte-by-byte steps are no part of it."""
+    import numpy as np
+
+    from lodestone.functions import chunking
+
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(0, k, n).astype(np.uint8).tobytes() for n in (0, 1, 64, 129, 1024, 1025, 5000, 40000) for k in (2, 60, 256)] + [bytes(20000), b"ab" * 9000]
+    for sizes in (chunking.SMALL, chunking.Sizes(64, 256, 1000), chunking.Sizes(64, 64, 64)):
+        wanted = [chunking.Rabin(sizes).cuts_plain(x) for x in texts]
+        for at_once in (5000, 1 << 20):
+            with monkeypatch.context() as m:
+                m.setattr(chunking, "AT_ONCE", at_once)
+                m.setattr(chunking.Rabin, "cuts_plain", None)
+                assert chunking.Rabin(sizes).cuts_of(texts) == wanted
