@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,21 +38,33 @@ def checked(a: Column, n: int) -> Column:
     return F.when(has_dimension(a, n), a).otherwise(F.raise_error(F.concat(F.lit(f"expected dimension {n}, got "), F.size(a).cast("string"))))
 
 
+ROWS = 1024  # texts whose vectors are made at once
+
+
+def _listed(parts: list[np.ndarray], dimensions: int) -> pa.Array:
+    """Rows of numbers as one column of lists."""
+    rows = np.concatenate([*parts, np.zeros((0, dimensions), np.float32)]).astype(np.float32, copy=False)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(dimensions)), pa.array(rows.ravel()))
+
+
 def embed(text: Column, dimensions: int = 384) -> Column:
     """A stand-in for an embedding model: signed hashing of words, normalised to length 1. Any function of this shape may replace it.
 
-    Words are hashed in the JVM; a batch's signed counts are summed at once.
+    Words are hashed in the JVM; the signed counts of 1,024 texts are summed at once.
     """
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: F.length(w) > 0)
 
-    @F.pandas_udf("array<float>")
-    def summed(hashes: pd.Series) -> pd.Series:
-        size = np.fromiter(map(len, hashes), np.int64, len(hashes))
-        flat = np.concatenate([*hashes, np.zeros(0, np.int64)]).astype(np.int64)
-        spot = np.repeat(np.arange(len(size)), size) * dimensions + flat % dimensions
-        v = np.bincount(spot, np.where(flat < 0, 1.0, -1.0), len(size) * dimensions).reshape(len(size), dimensions)
-        n = np.sqrt((v * v).sum(axis=1, keepdims=True))
-        return pd.Series(list((v / np.where(n > 0, n, 1)).astype(np.float32)))
+    @F.arrow_udf("array<float>")
+    def summed(hashes: pa.Array) -> pa.Array:
+        out = []
+        for low in range(0, len(hashes), ROWS):
+            some = hashes.slice(low, ROWS)
+            size, flat = pc.list_value_length(some).to_numpy(zero_copy_only=False), some.flatten().to_numpy(zero_copy_only=False)
+            spot = np.repeat(np.arange(len(size)), size) * dimensions + flat % dimensions
+            v = np.bincount(spot, np.where(flat < 0, 1.0, -1.0), len(size) * dimensions).reshape(len(size), dimensions)
+            n = np.sqrt((v * v).sum(axis=1, keepdims=True))
+            out.append((v / np.where(n > 0, n, 1)).astype(np.float32))
+        return _listed(out, dimensions)
 
     return summed(F.transform(words, lambda w: F.xxhash64(w)))
 
@@ -59,17 +72,18 @@ def embed(text: Column, dimensions: int = 384) -> Column:
 def word_counts(text: Column, dimensions: int = 384) -> Column:
     """An embedder without hashing that only Spark knows: signed counts of lower-case words by their MD5, as whole numbers."""
 
-    @F.pandas_udf("array<float>")
-    def summed(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<float>")
+    def summed(texts: pa.Array) -> pa.Array:
         known: dict[str, tuple[int, int]] = {}
         out = np.zeros((len(texts), dimensions), np.float32)
-        for i, text in enumerate(texts):
-            for word in filter(None, (text or "").split(" ")):
-                spot = known.get(word)
-                if spot is None:
-                    digest = hashlib.md5(word.encode()).digest()
-                    spot = known[word] = int.from_bytes(digest[:4], "big") % dimensions, 1 if digest[4] < 128 else -1
-                out[i, spot[0]] += spot[1]
-        return pd.Series(list(out))
+        for low in range(0, len(texts), ROWS):
+            for i, text in enumerate(texts.slice(low, ROWS).to_pylist(), low):
+                for word in filter(None, (text or "").split(" ")):
+                    spot = known.get(word)
+                    if spot is None:
+                        digest = hashlib.md5(word.encode()).digest()
+                        spot = known[word] = int.from_bytes(digest[:4], "big") % dimensions, 1 if digest[4] < 128 else -1
+                    out[i, spot[0]] += spot[1]
+        return _listed([out], dimensions)
 
     return summed(F.regexp_replace(F.lower(text), r"[ \t\n\r]+", " "))

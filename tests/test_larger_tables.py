@@ -147,3 +147,57 @@ def test_fingerprints_of_many_texts_are_made_together(monkeypatch):
                 m.setattr(chunking, "AT_ONCE", at_once)
                 m.setattr(chunking.Rabin, "cuts_plain", None)
                 assert chunking.Rabin(sizes).cuts_of(texts) == wanted
+
+
+class Handed:
+    """Takes a DataFrame's place and keeps the function that its tasks would run."""
+
+    dtypes = [("doc_id", "bigint"), ("text", "string")]
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_packed_texts_are_sent_on_in_pieces():
+    """A batch of 8 MB gives batches of about 1 MB, all chunks in order."""
+    import pyarrow as pa
+
+    from lodestone.functions import chunking
+
+    texts = [f"{i} " + "word " * 400 + "\n\n" + "other " * 100 for i in range(3000)] + [None, "", "x" * 3_000_000, "end of it all"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    out = list(chunking.packed(Handed(), 5, 1000)(iter([batch])))
+    assert len(out) > 7 and sorted(b.nbytes for b in out)[-2] < 1_500_000
+    got = [(r["doc_id"], r["idx"], r["chunk"]) for b in out for r in b.to_pylist()]
+    assert got == [(i, k, c) for i, t in enumerate(texts) for k, c in enumerate(chunking.paragraphs(t or "", 5, 1000))]
+
+
+def test_embedders_give_a_vector_a_row_over_several_slices(spark):
+    from lodestone.functions import vectors
+
+    texts = [(i, None if i % 7 == 0 else "" if i % 7 == 1 else f"Word{i % 40} two  Word{i % 3}") for i in range(2500)]
+    rows = spark.createDataFrame(texts, "id long, text string").coalesce(1)
+    for embedder in (vectors.embed, vectors.word_counts):
+        got = {r.id: tuple(r.v) for r in rows.select("id", embedder("text", 16).alias("v")).collect()}
+        one = {r.text: tuple(r.v) for r in rows.dropDuplicates(["text"]).repartition(50).select("text", embedder("text", 16).alias("v")).collect()}
+        assert len(got) == 2500 and all(got[i] == one[t] and len(got[i]) == 16 for i, t in texts)
+
+
+def test_vectors_are_put_into_cells_in_slices(spark, tmp_path):
+    """However long a batch is, rows meet the codebooks some at a time; the cells and codes are those of all at once."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestone.operators import ann
+
+    held = np.random.default_rng(5).normal(size=(1500, 8))
+    index = ann.VectorIndex(spark, str(tmp_path / "i"), ann.Model.fit(held, 4, 2, 2, 0.9), "bigint")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500), pa.int64()), pa.array(held.tolist(), pa.list_(pa.float32()))], ["id", "embedding"])
+    out = list(index._assigned(Handed())(iter([batch])))
+    assert max(map(len, out)) <= ann.AT_ONCE
+    own = ann.unit(held.astype(np.float32).astype(float))
+    assert np.concatenate([b.column(3).to_numpy() for b in out]).tolist() == ann.cells_of(own, index.model.centroids).tolist()
+    assert [c for b in out for c in b.column(2).to_pylist()] == [c.tobytes() for c in index.model.codes(own)]
