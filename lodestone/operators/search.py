@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodestone.functions import vectors
+from lodestone.functions.batches import released
 
 PENALTY, BOOST, MOST_BOOST = 0.9, 0.1, 0.3
 
@@ -160,7 +161,7 @@ def _nearest(collection: DataFrame, block: DataFrame, k: int, vector: str, id_co
         for found in top.rows():
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(found[:3], fields, strict=True)], schema=fields)
 
-    return collection.where(F.col(vector).isNotNull()).select(id_col, vector, *(["signature"] if stored else [])).mapInArrow(run, schema)
+    return collection.where(F.col(vector).isNotNull()).select(id_col, vector, *(["signature"] if stored else [])).mapInArrow(released(run), schema)
 
 
 def sign_planes(planes: int, dimensions: int, seed: int = 7) -> np.ndarray:
