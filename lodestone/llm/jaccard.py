@@ -48,6 +48,7 @@ CHANCE = 1e5  # other sets of a band that a short segment is weighed against
 BITS = {4: 4}  # bits by which one element tells sets apart, by the words of a shingle; longer shingles are rarer
 MOST_BITS = 8
 BLOCK = 1 << 20  # bytes of text whose sets a worker holds at once
+HELD = 1 << 20  # sets of one signature that a worker holds at once
 SKETCH, DENSE = 512, 4  # parity bits of a sketch, and at least so many an element, up to the next power of two
 TILE = 1 << 13  # members of a group that meet in one task
 MEET = 1 << 17  # pairs compared at once
@@ -204,46 +205,58 @@ def signed(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(released(run), "sig long, doc_id long")
 
 
-def shared(rows: DataFrame) -> DataFrame:
-    """(sig, doc_id) of the signatures that several rows have, from rows sorted by signature within each partition."""
+def hubs_of(batches, most: int = HELD):
+    """(sig, hub, rep) from batches (sig, rep) sorted by signature: each signature's least set as the hub of the others, without the signature; rows of one that over `most` share keep it, without a hub."""
+
+    def out(rep, sig=None, hub=None):
+        blank = pa.nulls(len(rep), pa.int64())
+        return pa.RecordBatch.from_arrays([blank if sig is None else pa.array(sig), blank if hub is None else pa.array(hub), pa.array(rep)], ["sig", "hub", "rep"])
+
+    def solved(rep, starts):
+        size = np.diff(np.append(starts, len(rep)))
+        hub = np.repeat(np.minimum.reduceat(rep, starts), size)
+        other = rep != hub
+        if other.any():
+            yield out(rep[other], hub=hub[other])
+
+    waiting, lead, many = [], None, False  # the sets of the last signature, which may go on; whether they are over `most`
+    for batch in batches:
+        sig, rep = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if not len(sig):
+            continue
+        starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        if sig[0] == lead:
+            waiting.append(rep[: starts[1]] if len(starts) > 1 else rep)
+            starts = starts[1:]
+        if many or sum(map(len, waiting)) > most:
+            held = np.concatenate([*waiting, rep[:0]])
+            if len(held):
+                yield out(held, sig=np.full(len(held), lead))
+            waiting, many = [], True
+        if not len(starts):
+            continue
+        n = sum(map(len, waiting))
+        ended = np.concatenate(([0] * bool(n), starts[:-1] - starts[0] + n)).astype(np.int64)
+        if len(ended):
+            yield from solved(np.concatenate([*waiting, rep[starts[0] : starts[-1]]]), ended)
+        waiting, lead, many = [rep[starts[-1] :]], sig[-1], False
+    if waiting:
+        yield from solved(np.concatenate(waiting), np.zeros(1, np.int64))
+
+
+def grouped(rows: DataFrame, scratch: Scratch, most: int = HELD) -> DataFrame:
+    """(hub, rep) of the sets that share a signature with a lesser one, their hub; rows: (sig, doc_id) of every set."""
 
     def run(batches):
-        last = np.zeros((0, 2), np.int64)  # the rows of the last signature, which may go on
-        sent = False
+        yield from hubs_of(batches, most)
 
-        def out(part):
-            return pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], ["sig", "doc_id"])
-
-        for batch in batches:
-            part = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            if not len(part):
-                continue
-            if sent and part[0, 0] != last[0, 0]:
-                last, sent = last[:0], False
-            if sent:  # the last signature's rows went out but one, which only marks it
-                last = last[:0]
-                lead = part[0, 0]
-            else:
-                lead = None
-            part = np.concatenate((last, part))
-            sig = part[:, 0]
-            same = np.zeros(len(part), bool)
-            same[1:] = sig[1:] == sig[:-1]
-            many = same.copy()
-            many[:-1] |= same[1:]
-            if lead is not None:
-                many |= sig == lead
-            tail = sig == sig[-1]
-            done = many & ~tail
-            if many[-1]:
-                done |= tail & many
-                last, sent = part[-1:], True
-            else:
-                last, sent = part[-1:], False
-            if done.any():
-                yield out(part[done])
-
-    return rows.mapInArrow(released(run), "sig long, doc_id long")
+    met = rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(released(run), "sig long, hub long, rep long").distinct()
+    met = scratch.table(met, "met")
+    near, many = met.where("hub is not null").select("hub", "rep"), met.where("hub is null").select("sig", "rep")
+    if not many.limit(1).count():
+        return near
+    hubs = many.groupBy("sig").agg(F.min("rep").alias("hub"))
+    return scratch.table(near.unionByName(many.join(hubs, "sig").where("rep <> hub").select("hub", "rep")).distinct(), "near")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
@@ -437,11 +450,7 @@ def labelled(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
     # Of equal sets the representative's text alone is signed.
     copies = members.where("n > 0").groupBy("doc_id").agg(F.max(F.expr("int(doc_id = rep)")).alias("own")).where("own = 0").select("doc_id")
     copies = scratch.table(copies, "copies")
-    groups = shared(signed(without(docs, copies, "doc_id"), k, p, q).repartition("sig").sortWithinPartitions("sig"))
-    groups = scratch.table(groups.withColumnRenamed("doc_id", "rep"), "groups")
-
-    hubs = groups.groupBy("sig").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").select("sig", "hub")
-    near = scratch.table(groups.join(hubs, "sig").where("rep <> hub").select("hub", "rep").distinct(), "near")
+    near = grouped(signed(without(docs, copies, "doc_id"), k, p, q), scratch)
     near = near.unionByName(near.select("hub", F.col("hub").alias("rep")).distinct())
     reps = scratch.table(likely(reps, near.select("rep"), "rep"), "reps")
 

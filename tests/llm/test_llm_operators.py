@@ -588,5 +588,33 @@ def test_jaccard_short_sets(bits, p):
     assert all(held[i] & held[i + 1] for i in range(0, len(texts), 2))
 
 
+@pytest.mark.parametrize("most", [1, 7, 1000])
+def test_jaccard_hubs(spark, monkeypatch, most):
+    """Hubs are found as signatures come sorted: what is written is a row a hub and member, not one a signature, but for signatures of very many sets."""
+    rng = np.random.default_rng(9)
+    rows = np.column_stack((rng.choice([3, -5, 8, 2**60, *range(100, 160)], 600, p=[0.3, 0.05, 0.02, 0.03, *[0.01] * 60]), rng.integers(0, 90, 600)))
+    rows = rows[np.argsort(rows[:, 0], kind="stable")]
+    sets = {}
+    for sig, rep in rows.tolist():
+        sets.setdefault(sig, set()).add(rep)
+    want = {(min(v), rep) for v in sets.values() for rep in v if rep > min(v)}
+    for step in (1, 2, 50, 600):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in np.ascontiguousarray(rows[low : low + step].T)], ["sig", "rep"]) for low in range(0, 600, step)]
+        got, left = set(), {}
+        for sig, hub, rep in (r.values() for b in jaccard.hubs_of(iter([batches[0].slice(0, 0), *batches]), most) for r in b.to_pylist()):
+            if hub is None:
+                left.setdefault(sig, set()).add(rep)
+            else:
+                assert sig is None
+                got.add((hub, rep))
+        assert got | {(min(v), rep) for v in left.values() for rep in v if rep > min(v)} == want
+        assert all(left[s] == sets[s] for s in left) and (most < 1000 or not left)
+    written, plain = {}, jaccard.Scratch.table
+    monkeypatch.setattr(jaccard.Scratch, "table", lambda self, df, name, *by, **how: (out := plain(self, df, name, *by, **how), written.update({name: out.count()}))[0])
+    found = jaccard.grouped(spark.createDataFrame(rows.tolist(), "sig long, doc_id long"), jaccard.Scratch(spark, "hubs"), most)
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert most < 1000 or written == {"met": len(want)}
+
+
 def test_jaccard_empty(no_docs):
     assert jaccard.join(no_docs).count() == 0
