@@ -6,22 +6,27 @@ run again ends the same. Rows of a key that come in one batch are taken in order
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SESSION_MS = 300_000
+CHUNK = 10_000  # rows of a group that are tuples at once
 
 
-def taken(parts: Iterator[pd.DataFrame], *columns: str) -> list[tuple]:
-    """A key's rows in order of time and id, as tuples (ts_ms, id, *columns): most keys have a few, for which frames cost more than the work."""
-    rows = []
-    for part in parts:
-        rows += zip(*(part[c].tolist() for c in ("ts_ms", "id", *columns)), strict=True)
-    return sorted(rows, key=lambda r: r[:2])
+def taken(parts: Iterator[pd.DataFrame], *columns: str) -> Iterator[tuple]:
+    """A group's rows in order of time and id, nulls last, as tuples (ts_ms, id, *columns): most groups have a few, for which frames cost more than the work."""
+    held = [[part[c].to_numpy() for c in ("ts_ms", "id", *columns)] for part in parts]
+    values = [np.concatenate(c) for c in zip(*held, strict=True)]
+    order = np.lexsort((values[1], values[0]))
+    for at in range(0, len(order), CHUNK):
+        yield from zip(*(v[order[at : at + CHUNK]].tolist() for v in values), strict=True)
 
 
 def challenges(stream: DataFrame, ttl_ms: int = SESSION_MS, late: str = "0 seconds", most: int = 1 << 16) -> DataFrame:
@@ -112,31 +117,33 @@ def gathered(stream: DataFrame, peers: int, timeout_ms: int, late: str = "0 seco
 
 
 def buffered(stream: DataFrame, size: int = 1000) -> DataFrame:
-    """(key, id, seq, outcome, lag) of rows (key, id, ts, kind): a subscriber's ring buffer of `size` messages. "message" puts one in; "read" takes the oldest that is left.
+    """(key, id, outcome, lag, got) of rows (key, id, ts, kind): a subscriber's ring buffer of `size` messages. "message" puts one in; "read" takes the oldest that is left.
 
     outcome of a message: kept. Of a read: the id it got is `got`; "lagged" with the number of messages lost since its last
     read, which the read skips as a receiver that fell behind does; "read"; or "empty". State: numbers and the ring's ids.
+    A subscriber may have many rows in a batch: they are held as arrays, and given out in chunks.
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        sent, taken, ring = state.get if state.exists else (0, 0, [])
-        ring, out = list(ring), []
-        for _, one, kind in taken(parts, "kind"):
-            if kind == "message":
-                ring.append(one)
-                sent += 1
-                if len(ring) > size:
-                    del ring[0]
-                out.append((key[0], one, "kept", 0, None))
-                continue
-            lost = sent - len(ring) - taken
-            if not ring:
-                out.append((key[0], one, "empty", 0, None))
-                continue
-            taken = sent - len(ring) + 1
-            out.append((key[0], one, "lagged" if lost else "read", lost, ring.pop(0)))
-        state.update((sent, taken, ring))
-        yield pd.DataFrame(out, columns=["key", "id", "outcome", "lag", "got"]).astype({"got": "Int64"})
+        sent, read, held = state.get if state.exists else (0, 0, [])
+        ring, rows = deque(held, size), taken(parts, "kind")
+        while some := list(islice(rows, CHUNK)):
+            out = []
+            for _, one, kind in some:
+                one = None if one != one else int(one)  # a null among numbers comes as a float
+                if kind == "message":
+                    ring.append(one)  # the oldest goes when it is full
+                    sent += 1
+                    out.append((key[0], one, "kept", 0, None))
+                    continue
+                lost = sent - len(ring) - read
+                if not ring:
+                    out.append((key[0], one, "empty", 0, None))
+                    continue
+                read = sent - len(ring) + 1
+                out.append((key[0], one, "lagged" if lost else "read", lost, ring.popleft()))
+            yield pd.DataFrame(out, columns=["key", "id", "outcome", "lag", "got"]).astype({"id": "Int64", "got": "Int64"})
+        state.update((sent, read, list(ring)))
 
     kinds = dict(stream.dtypes)
     rows = stream.select("key", "id", "kind", F.unix_millis("ts").alias("ts_ms"))

@@ -128,3 +128,26 @@ def test_buffers(spark, tmp_path, batches):
             want.append((key, i, "empty", 0, None))
     out = run_to_files(timers.buffered(stream_of(spark, tmp_path, rows, "key string, id long, ms long, kind string", batches), 5))
     assert sorted((tuple(r) for r in out.select("key", "id", "outcome", "lag", "got").collect()), key=lambda r: r[1]) == want
+
+
+def test_buffers_of_long_keys_and_nulls(spark, tmp_path, monkeypatch):
+    """A key's rows come in several frames and go out in several; ids may be null, also within the ring."""
+    monkeypatch.setattr(timers, "CHUNK", 4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = [("a", i if i % 7 else None, 40 - i, "read" if i % 3 == 0 else "message") for i in range(1, 25)]
+        out = run_to_files(timers.buffered(stream_of(spark, tmp_path, rows, "key string, id long, ms long, kind string"), 2)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    ring, lost, want = [], 0, []
+    for _, i, _, kind in reversed(rows):
+        if kind == "message":
+            lost += len(ring) == 2
+            ring = [*ring, i][-2:]
+            want.append((i, "kept", 0, None))
+        elif ring:
+            want.append((i, "lagged" if lost else "read", lost, ring.pop(0)))
+            lost = 0
+        else:
+            want.append((i, "empty", 0, None))
+    assert sorted(((r.id, r.outcome, r.lag, r.got) for r in out), key=str) == sorted(want, key=str)
