@@ -327,7 +327,7 @@ def _(t):
     from lodestone.streaming import timers
 
     key = F.concat(F.col("user_id").cast("string"), F.lit("/"), F.expr("cast(unix_micros(ts) div 86400000000 as string)"))
-    kind = F.when(F.col("event_type") == "signup", "query").otherwise("answer")
+    kind = F.when(F.col("event_type") == "signup", "query").when(F.col("event_type").isNotNull(), "answer")
     return streamed(t, lambda s: timers.gathered(s.select(key.alias("key"), F.col("event_id").alias("id"), "ts", kind.alias("kind"), (F.col("event_id") % 7).alias("peer"), (F.col("event_id") % 5).alias("results")), 3, ANSWERS_MS))
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SESSION_MS = 300_000
+BUCKETS = 4096  # groups that gathered keys are dealt into
 CHUNK = 10_000  # rows of a group that are tuples at once
 
 
@@ -70,50 +71,59 @@ def challenges(stream: DataFrame, ttl_ms: int = SESSION_MS, late: str = "0 secon
     return rows.groupBy("key").applyInPandasWithState(run, f"key {kinds['key']}, id long, ts_ms long, outcome string", "issued long, number long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def gathered(stream: DataFrame, peers: int, timeout_ms: int, late: str = "0 seconds") -> DataFrame:
+def gathered(stream: DataFrame, peers: int, timeout_ms: int, late: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
     """(key, peers, results, first_ms, done_ms, reason) of each query (key): what its peers answered until enough had, or its time was over.
 
     Rows (key, id, ts, kind, peer, results): kind "query" opens a key, "answer" counts unless it comes before the query,
     after its end, or from a peer that has answered. reason: "enough" or "timeout"; a query without answers ends too.
+    Calls of Python go by buckets of keys, since most keys have few rows and a call costs as much as hundreds of them; a
+    bucket's state is a list of its keys with a query whose time isn't over.
     """
 
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened, held, results, closed = state.get if state.exists else (None, [], 0, False)
-        held, out = list(held), []
+    def run(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {key: [opened, list(told), results, closed] for key, opened, told, results, closed in zip(*state.get, strict=True)} if state.exists else {}
+        out = []
 
-        def end(at: int, reason: str) -> None:
-            nonlocal closed
-            closed = True
-            out.append((key[0], len(held), int(results), int(opened), int(at), reason))
+        def end(key, at: int, reason: str) -> None:
+            one = held[key]
+            one[3] = True
+            out.append((key, sum(p is not None for p in one[1]), one[2], one[0], at, reason))  # an unnamed peer takes a place, but doesn't count
 
-        if state.hasTimedOut:
-            if not closed:
-                end(int(opened) + timeout_ms, "timeout")
-            state.remove()
-        else:
-            for ts, _, kind, peer, n in taken(parts, "kind", "peer", "results"):
+        if not state.hasTimedOut:
+            for ts, _, key, kind, peer, n in taken(parts, "key", "kind", "peer", "results"):
+                one = held.get(key)
                 if kind == "query":
-                    opened = ts if opened is None else opened
+                    if one is None:
+                        held[key] = [int(ts), [], 0, False]
                     continue
-                if opened is None or closed:
+                if one is None or one[3]:
                     continue
-                if ts - opened > timeout_ms:
-                    end(int(opened) + timeout_ms, "timeout")
-                elif peer not in held:
-                    held.append(peer)
-                    results += n
-                    if len(held) >= peers:
-                        end(ts, "enough")
-            if opened is not None:  # a closed query is remembered until its time is over, so that late answers don't open another
-                state.update((int(opened), held, int(results), closed))
-                state.setTimeoutTimestamp(max(int(opened) + timeout_ms + 1, state.getCurrentWatermarkMs() + 1))
-        if out:  # a key that nothing was asked of has no rows, and a frame a key would cost more than all else
+                if ts - one[0] > timeout_ms:
+                    end(key, one[0] + timeout_ms, "timeout")
+                elif peer not in one[1]:
+                    one[1].append(peer)
+                    one[2] += int(n)
+                    if len(one[1]) >= peers:
+                        end(key, int(ts), "enough")
+        now = state.getCurrentWatermarkMs()
+        for key in [key for key, one in held.items() if one[0] + timeout_ms + 1 < now]:  # a closed query is remembered until its time is over, so that late answers don't open another
+            if not held[key][3]:
+                end(key, held[key][0] + timeout_ms, "timeout")
+            del held[key]
+        if held:
+            state.update((list(held), *map(list, zip(*held.values(), strict=True))))
+            state.setTimeoutTimestamp(max(min(one[0] for one in held.values()) + timeout_ms + 1, now + 1))
+        elif state.exists:
+            state.remove()
+        if out:  # a bucket that nothing was asked of has no rows
             yield pd.DataFrame(out, columns=["key", "peers", "results", "first_ms", "done_ms", "reason"])
 
     kinds = dict(stream.dtypes)
-    rows = stream.withWatermark("ts", late).select("key", "id", "ts", "kind", "peer", F.col("results").cast("long").alias("results"), F.unix_millis("ts").alias("ts_ms"))
-    shape = f"opened long, held array<{kinds['peer']}>, results long, closed boolean"
-    return rows.groupBy("key").applyInPandasWithState(run, f"key {kinds['key']}, peers long, results long, first_ms long, done_ms long, reason string", shape, "append", GroupStateTimeout.EventTimeTimeout)
+    bucket, n = F.pmod(F.hash("key"), F.lit(buckets)).alias("bucket"), F.coalesce(F.col("results").cast("long"), F.lit(0)).alias("results")
+    counted = stream.withWatermark("ts", late).where("ts is not null and (kind = 'query' or kind = 'answer' and key is not null)")  # an answer to null answers none, as in a join
+    rows = counted.select(bucket, "key", "id", "ts", "kind", F.col("peer").cast("string").alias("peer"), n, F.unix_millis("ts").alias("ts_ms"))
+    shape = f"keys array<{kinds['key']}>, opened array<long>, held array<array<string>>, results array<long>, closed array<boolean>"
+    return rows.groupBy("bucket").applyInPandasWithState(run, f"key {kinds['key']}, peers long, results long, first_ms long, done_ms long, reason string", shape, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def buffered(stream: DataFrame, size: int = 1000) -> DataFrame:

@@ -201,3 +201,16 @@ def test_vectors_are_put_into_cells_in_slices(spark, tmp_path):
     own = ann.unit(held.astype(np.float32).astype(float))
     assert np.concatenate([b.column(3).to_numpy() for b in out]).tolist() == ann.cells_of(own, index.model.centroids).tolist()
     assert [c for b in out for c in b.column(2).to_pylist()] == [c.tobytes() for c in index.model.codes(own)]
+
+
+def test_gather_stop_with_nulls_and_many_keys_a_bucket(spark, against_sql, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lodestone.streaming import timers
+
+    monkeypatch.setattr(timers.gathered, "__defaults__", (*timers.gathered.__defaults__[:-1], 2))  # buckets
+    kinds = ["signup", "click", "view", None, "error", "click", "signup"]
+    rows = events_of(spark, [(i, i * 977 % 400_000, i % 41, kinds[i % 7], 1) for i in range(1500)])
+    odd = lambda c, n: F.when((F.col("event_id") % n != 0) | (F.col("event_type") == "signup"), F.col(c)).alias(c)
+    got, wanted = against_sql("stream_gather_stop", events=rows.select(odd("event_id", 19), odd("ts", 23), odd("user_id", 29), "event_type", "value", "props"))
+    assert got == wanted and len({r[0] for r in got}) > 100
