@@ -21,6 +21,7 @@ from lodestone.sources import files
 from lodestone.streaming.queries import subscribe
 
 BATCH, RANGE = 100, 50_000  # events a batch, unless the caller says otherwise; events a task reads
+BLOCK = 4 << 20  # bytes of a segment's row groups, of which a task reads those that its range touches
 
 
 def segments(names: list[str]) -> list[tuple[int, int, str]]:
@@ -40,7 +41,7 @@ def append(rows: DataFrame, path: str, ts: str = "ts", id_col: str = "event_id")
         first = held[-1][1] if held else 0
         staged = f"{path}/_segment-{uuid.uuid4().hex}"
         numbered = events.append_offsets(rows, first - 1, ts, id_col)
-        numbered.repartitionByRange("offset").sortWithinPartitions("offset").write.parquet(staged)
+        numbered.repartitionByRange("offset").sortWithinPartitions("offset").write.option("parquet.block.size", BLOCK).parquet(staged)
         n = spark.read.parquet(staged).count()
         if n:
             files.rename(spark, staged, f"{path}/segment={first:020d}-{first + n:020d}")
@@ -149,7 +150,7 @@ class Dispatcher:
         shape = self.spark.read.option("basePath", self.log).parquet(self.log).drop("segment").schema
         stream = self.spark.readStream.format(EventLog.name()).schema(shape).options(**{"path": self.log, "most": str(self.batch), "from": str(self._recorded(name, done=False))}).load()
         base = f"{self.state}/{name}"
-        return subscribe(stream, wanted, handle, f"{base}/handled", f"{base}/checkpoint", self.keep).trigger(processingTime="0 seconds").queryName(f"dispatch-{name}-{uuid.uuid4().hex[:8]}").start()
+        return subscribe(stream, wanted, handle, f"{base}/handled", f"{base}/checkpoint", self.keep, -(-self.batch // RANGE)).trigger(processingTime="0 seconds").queryName(f"dispatch-{name}-{uuid.uuid4().hex[:8]}").start()
 
     def poll(self) -> dict[str, int]:
         """Lets all handlers catch up with the log's present end, side by side; returns their bookmarks. A handler's error ends its own stream, and is raised when the others are done."""

@@ -87,8 +87,12 @@ def closing(stream: DataFrame, ts: str) -> tuple[DataFrame, Callable[[], None]]:
     return stream.unionByName(more), lambda: last.write.mode("append").parquet(path)
 
 
-def subscribe(stream: DataFrame, wanted: Column, handle: Callable[[DataFrame], None], done: str, checkpoint: str, keep: int = 10_000):
-    """Runs a handler once for each wanted (event_id, offset). Handled keys are stored, a generation a batch, before the handler runs; the last `keep` of them, and all of the batch, are kept."""
+def subscribe(stream: DataFrame, wanted: Column, handle: Callable[[DataFrame], None], done: str, checkpoint: str, keep: int = 10_000, parts: int | None = None):
+    """Runs a handler once for each wanted (event_id, offset). Handled keys are stored, a generation a batch, before the handler runs; the last `keep` of them, and all of the batch, are kept.
+
+    parts: partitions that a batch is dealt into, for sources with batches of known size; else the session's number, which
+    may be made for the whole of the data and cost a small batch more in tasks and files than in work.
+    """
     kind = "event_id long, offset long"
 
     def generations(spark: SparkSession) -> list[int]:
@@ -100,8 +104,9 @@ def subscribe(stream: DataFrame, wanted: Column, handle: Callable[[DataFrame], N
         spark = rows.sparkSession
         before = generations(spark)
         held = spark.read.schema(kind).parquet(*(f"{done}/generation={g}" for g in before)) if before else spark.createDataFrame([], kind)
-        held, keys = held.distinct(), ["event_id", "offset"]
-        new = rows.where(wanted).dropDuplicates(keys).join(held.hint("shuffle_hash"), keys, "left_anti").persist()  # a broadcast would send all kept keys through the driver, batch by batch
+        keys, n = ["event_id", "offset"], parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        held = held.repartition(n, *keys).distinct()
+        new = rows.where(wanted).repartition(n, *keys).dropDuplicates(keys).join(held.hint("shuffle_hash"), keys, "left_anti").persist()  # a broadcast would send all kept keys through the driver, batch by batch
         kept = held.orderBy(F.desc("offset")).limit(keep).unionByName(new.select(*keys))
         kept.write.parquet(f"{done}/generation={before[-1] + 1 if before else 0}")
         handle(new)

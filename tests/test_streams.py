@@ -70,6 +70,28 @@ def test_dispatcher_goes_on_after_a_failure(spark, tmp_path):
         again.register("all", every)
 
 
+def test_a_batch_is_dealt_out_by_its_own_size(spark, tmp_path, monkeypatch):
+    """Not into the session's four partitions, whose tasks and files would cost more than the work; and ranges are read from row groups of their size."""
+    from pyarrow import parquet
+
+    monkeypatch.setattr(dispatch, "BLOCK", 4096)
+    monkeypatch.setattr(dispatch, "RANGE", 1000)
+    log, seen, parts = str(tmp_path / "log"), [], []
+
+    def handle(rows):
+        parts.append(rows.rdd.getNumPartitions())
+        seen.extend(r.offset for r in rows.select("offset").collect())
+
+    dispatch.append(made(spark, 0, 5000), log)
+    state = str(tmp_path / "state")
+    assert dispatch.Dispatcher(spark, log, state, batch=2000, keep=100).register("all", handle).poll() == {"all": 5000}
+    assert sorted(seen) == list(range(5000)) and parts == [2, 2, 2]
+    (held,) = (tmp_path / "state/all/handled").iterdir()
+    assert len(list(held.glob("*.parquet"))) <= 3 and spark.read.parquet(str(held)).count() == 1100
+    files_ = list((tmp_path / "log").glob("segment=*/*.parquet"))
+    assert max(parquet.ParquetFile(f).metadata.row_group(0).num_rows for f in files_) < 1000
+
+
 def stream_of(spark, tmp_path, rows, schema, batches=1):
     """A stream whose batches are given lists of rows."""
     path = str(tmp_path / "in")
