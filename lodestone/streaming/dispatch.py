@@ -122,14 +122,16 @@ class Dispatcher:
 
     def __init__(self, spark: SparkSession, log: str, state: str, batch: int = BATCH, keep: int = 10_000):
         self.spark, self.log, self.state, self.batch, self.keep = spark, log, state.rstrip("/"), max(1, batch), keep
-        self.handlers: dict[str, tuple[Column, Callable[[DataFrame], None]]] = {}
-        spark.dataSource.register(EventLog)
+        self.handlers: dict[str, tuple[Column, Callable[[DataFrame], None], str]] = {}
 
     def register(self, name: str, handle: Callable[[DataFrame], None], wanted: Column | None = None) -> Dispatcher:
         """handle: gets each batch's wanted events that it hasn't had yet; it must bear to get a batch again whose end was not recorded."""
         if name in self.handlers or not name.replace("-", "").replace("_", "").isalnum():
             raise ValueError(f"{name} is registered, or no name")
-        self.handlers[name] = (F.lit(True) if wanted is None else wanted, handle)
+        # A source for each: Spark changes a registered one's environment when its reader starts, which must not be while another handler's tasks are sent with it.
+        source = f"{EventLog.name()}_{uuid.uuid4().hex}"
+        self.spark.dataSource.register(type("HandlersLog", (EventLog,), {"name": classmethod(lambda _: source)}))
+        self.handlers[name] = (F.lit(True) if wanted is None else wanted, handle, source)
         return self
 
     def bookmark(self, name: str) -> int:
@@ -146,9 +148,9 @@ class Dispatcher:
 
     def start(self, name: str):
         """A handler's stream, running until it is stopped."""
-        wanted, handle = self.handlers[name]
+        wanted, handle, source = self.handlers[name]
         shape = self.spark.read.option("basePath", self.log).parquet(self.log).drop("segment").schema
-        stream = self.spark.readStream.format(EventLog.name()).schema(shape).options(**{"path": self.log, "most": str(self.batch), "from": str(self._recorded(name, done=False))}).load()
+        stream = self.spark.readStream.format(source).schema(shape).options(**{"path": self.log, "most": str(self.batch), "from": str(self._recorded(name, done=False))}).load()
         base = f"{self.state}/{name}"
         return subscribe(stream, wanted, handle, f"{base}/handled", f"{base}/checkpoint", self.keep, -(-self.batch // RANGE)).trigger(processingTime="0 seconds").queryName(f"dispatch-{name}-{uuid.uuid4().hex[:8]}").start()
 

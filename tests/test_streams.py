@@ -92,6 +92,11 @@ def test_a_batch_is_dealt_out_by_its_own_size(spark, tmp_path, monkeypatch):
     assert max(parquet.ParquetFile(f).metadata.row_group(0).num_rows for f in files_) < 1000
 
 
+def test_handlers_share_no_registered_source(spark, tmp_path):
+    d = dispatch.Dispatcher(spark, str(tmp_path / "log"), str(tmp_path / "state")).register("a", print).register("b", print)
+    assert d.handlers["a"][2] != d.handlers["b"][2]
+
+
 def stream_of(spark, tmp_path, rows, schema, batches=1):
     """A stream whose batches are given lists of rows."""
     path = str(tmp_path / "in")
